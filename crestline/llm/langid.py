@@ -51,6 +51,11 @@ class LangModel:
         return None
 
 
+def _ngrams(word: Column, n: int) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - n + 1))
+    return F.transform(places, lambda k: F.substring(word, k, F.lit(n)))
+
+
 def train(
     labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 20_000, words_per_lang: int = 40_000, grams_per_lang: int = 12_000, max_langs: int = 200
 ) -> LangModel:
@@ -76,7 +81,7 @@ def train(
     top_words = counts.withColumn("r", F.row_number().over(order)).where((F.col("r") <= per_lang) & F.col("l").isin(langs))
     kept = {(r["w"], r["l"]): r["n"] for r in top_words.select("w", "l", "n").toLocalIterator()}
     padded = F.concat(F.lit("\x02"), F.col("w"), F.lit("\x03"))
-    pieces = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p") - n + 1)), lambda k, n=n: F.substring(F.col("p"), k, F.lit(n))) for n in ORDERS]))
+    pieces = F.flatten(F.array(*[_ngrams(F.col("p"), n) for n in ORDERS]))
     grams = counts.withColumn("p", padded).select("l", "n", F.explode(pieces).alias("g")).groupBy("l", "g").agg(F.sum("n").alias("n")).withColumn("o", F.length("g"))
     per_order = max(1, min(grams_per_lang, 1_000_000 // len(langs)))
     top_grams = grams.withColumn("r", F.row_number().over(Window.partitionBy("l", "o").orderBy(F.desc("n"), "g"))).where((F.col("r") <= per_order) & F.col("l").isin(langs))

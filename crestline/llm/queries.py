@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import decontam, langid, mixing, simhash, token_output
+from crestline.llm import decontam, langid, mixing, pii, quality_pu, quality_rules, simhash, token_output, warc
 from crestline.llm.shared import id_remainder, scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,10 +28,34 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), scratch(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", "mix.*")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    refs = quality_rules.references(docs)
+    return docs.select("doc_id", quality_rules.judged(F.col("text"), docs, refs).alias("r")).select("doc_id", "r.*")
+
+
+def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id")) == 0
+    model = quality_pu.train(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    scores = docs.select("doc_id", held_out.alias("held_out"), quality_pu.scored(F.col("text"), model, docs).alias("score"))
+    return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.all_spans(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("found"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("found")), 256).alias("base_sha256"), pii.joined(F.concat("found", "terms")).alias("spans"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", decontam.leaked(docs, table(spark, sf_dir, "benchmark")).alias("items"))
@@ -44,5 +68,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(token_output.read_tokens(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op4_mixing, op9_decontamination, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_warc, op4_mixing, op5_quality_rules, op6_quality_pu, op7_pii, op9_decontamination, op10_token_output)}
 ORACLES: dict[str, str] = {}
