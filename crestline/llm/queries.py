@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import decontam, langid, mixing, pii, quality_pu, quality_rules, simhash, token_output, warc
+from crestline.llm import decontam, html_tree, langid, mixing, pii, quality_pu, quality_rules, simhash, token_output, warc
 from crestline.llm.shared import id_remainder, scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,6 +56,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("found")), 256).alias("base_sha256"), pii.joined(F.concat("found", "terms")).alias("spans"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_tree.train(pages)
+    return pages.select("page_id", "url", html_tree.main_text(F.col("html"), model, pages).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", decontam.leaked(docs, table(spark, sf_dir, "benchmark")).alias("items"))
@@ -68,5 +74,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(token_output.read_tokens(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_warc, op4_mixing, op5_quality_rules, op6_quality_pu, op7_pii, op9_decontamination, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_warc, op4_mixing, op5_quality_rules, op6_quality_pu, op7_pii, op8_html_text, op9_decontamination, op10_token_output)}
 ORACLES: dict[str, str] = {}

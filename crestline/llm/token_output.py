@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,26 @@ PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[
 PLAIN = re.compile("[\t-\r -ɏ‐-‧‰-›]*")
 
 
+#: What keeps a text from falling into chunks at single spaces and line ends.
+UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\v", "\f", "\r", "\u0085", "\u00a0", "\0")
+
+
+def _even(text: str) -> bool:
+    return not (text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, UNEVEN)))
+
+
 class Encoder:
-    """Ids of whole texts. Merges never cross pre-tokens, so those met before are looked up."""
+    """Little-endian 32-bit ids of whole texts.
+
+    The tokenizer never merges across pre-tokens, so what it made of a chunk of text is kept and
+    looked up when the chunk comes again. A chunk is what lies between spaces, with the space (or
+    the line end) before it; one that is new is cut into pre-tokens, and those that are new are
+    encoded by the tokenizer, many at a time. Two generations are kept: what isn't met while the
+    younger fills up is forgotten.
+    """
 
-    #: Pre-tokens of one generation; two generations are kept.
-    KEPT = 600_000
-    #: Unseen pre-tokens that are encoded as one string.
+    KEPT = 350_000
+    #: New pre-tokens that are encoded as one string.
     JOINED = 2_000
 
     def __init__(self, path: str):
@@ -55,59 +70,82 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.seen: dict[str, bytes] = {}
+        #: Chunks by what follows their space; those without one begin with \0 or the line end.
+        self.chunks: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.seen) > self.KEPT:
-            self.old, self.seen = self.seen, {}
-        new = []
-        for p in missing:
-            if (ids := self.old.get(p)) is not None:
-                self.seen[p] = ids
-            else:
-                new.append(p)
+    @staticmethod
+    def _key(piece: str) -> str:
+        return piece[1:] if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else "\0" + piece
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        """Encodes pre-tokens and keeps them as chunks."""
         # words that begin with a space split again where they were joined
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        others = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
-        self.seen.update(zip(others, self._whole(others), strict=True))
+        words, others = [], []
+        for p in pieces:
+            (words if p[0] == " " and p[1:].isalpha() else others).append(p)
+        self.chunks.update(zip(map(self._key, others), self._whole(others), strict=True))
         joined = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
         for part, x in zip(joined, self.tokenizer.encode_batch(["".join(w) for w in joined], add_special_tokens=False), strict=True):
             ids, cut = np.array(x.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(x.word_ids))) + 1
             at = [0, *(4 * cut).tolist(), len(ids)]
-            if len(at) == len(part) + 1:
-                self.seen.update(zip(part, (ids[i:j] for i, j in zip(at, at[1:], strict=False)), strict=True))
-            else:
-                self.seen.update(zip(part, self._whole(part), strict=True))
+            keys = [p[1:] for p in part]
+            self.chunks.update(zip(keys, (ids[i:j] for i, j in zip(at, at[1:], strict=False)) if len(at) == len(part) + 1 else self._whole(part), strict=True))
+
+    def _known(self, key: str) -> bool:
+        if key in self.chunks:
+            return True
+        if (ids := self.old.get(key)) is None:
+            return False
+        self.chunks[key] = ids
+        return True
+
+    def _in_pieces(self, texts: list[str]) -> list[bytes]:
+        """By pre-tokens, for texts of the known characters."""
+        cut = [PRE_TOKEN.findall(x) for x in texts]
+        self._learn_pieces({p for p in {p for pieces in cut for p in pieces} if not self._known(self._key(p))})
+        return [b"".join([self.chunks[self._key(p)] for p in pieces]) for pieces in cut]
+
+    def _in_chunks(self, texts: list[str]) -> list[bytes]:
+        """By chunks, for texts whose white space is single as well."""
+        get, found, missing = self.chunks.get, [], set()
+        for x in texts:
+            chunks = x.replace("\n", " \n").split(" ")
+            chunks[0] = "\0" + chunks[0]
+            ids = [*map(get, chunks)]
+            if None in ids:
+                missing.update([c for c, i in zip(chunks, ids, strict=True) if i is None])
+            found.append((chunks, ids))
+        new = [c for c in missing if not self._known(c)]
+        words = {" " + c for c in new if c.isalpha()}
+        self._learn_pieces(words)
+        rest = [c for c in new if not c.isalpha()]
+        self.chunks.update(zip(rest, self._in_pieces([c[1:] if c[0] == "\0" else c if c[0] == "\n" else " " + c for c in rest]), strict=True))
+        known = self.chunks
+        return [b"".join([known[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] if None in ids else ids) for chunks, ids in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        if len(self.chunks) > self.KEPT:
+            self.old, self.chunks = self.chunks, {}
         out: list = [b""] * len(texts)
-        strange = [k for k, x in enumerate(texts) if not PLAIN.fullmatch(x)]
-        for k, ids in zip(strange, self._whole([texts[k] for k in strange]), strict=True):
-            out[k] = ids
-        plain = set(range(len(texts))).difference(strange)
-        get, missing, open_ = self.seen.get, set(), []
-        for k in sorted(plain):
-            pieces = PRE_TOKEN.findall(texts[k])
-            ids = [*map(get, pieces)]
-            if None in ids:
-                missing.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
-                open_.append((k, pieces))
-            else:
-                out[k] = b"".join(ids)
-        if missing:
-            before = self.seen
-            self._learn(missing)
-            get = self.seen.__getitem__ if self.seen is before else lambda p: self.seen.get(p) or before[p]
-            for k, pieces in open_:
-                out[k] = b"".join(map(get, pieces))
+        kinds: dict[str, list[int]] = {"whole": [], "pieces": [], "chunks": []}
+        for k, x in enumerate(texts):
+            kinds["whole" if not PLAIN.fullmatch(x) else "chunks" if x and _even(x) else "pieces"].append(k)
+        for kind, how in (("whole", self._whole), ("pieces", self._in_pieces), ("chunks", self._in_chunks)):
+            for k, ids in zip(kinds[kind], how([texts[k] for k in kinds[kind]]), strict=True):
+                out[k] = ids
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder; what it has learned serves its later tasks too."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
     """Encodes whole texts in ascending doc_id order and writes the format described above.
 
@@ -120,11 +158,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def encoded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        known, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for p in parts:
             for k in range(0, p.num_rows, ENCODED_AT_ONCE):
                 rows = p.slice(k, ENCODED_AT_ONCE)
-                ids = [x + end for x in encoder.encode(rows.column("text").to_pylist())]
+                ids = [x + end for x in known.encode(rows.column("text").to_pylist())]
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], n.cumsum()]).astype(np.int32), values)
