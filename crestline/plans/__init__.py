@@ -1 +1 @@
-"""Spark-native analytics of extreme events in ordered data."""
+"""Registered queries over the given tables, each with its SQL twin where SQL can say it."""

@@ -1,6 +1,6 @@
-"""The registered queries over the given tables, and their SQL twins."""
+"""All registered queries of the library proper."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from crestline.plans import alarm_queries, data_queries, episode_queries, model_queries  # noqa: F401
+from crestline.plans.registry import ORACLES, QUERIES  # noqa: F401
