@@ -1 +1,51 @@
-"""Queries."""
+"""Fits, resamples and sequential detectors; SQL can't say these, the tests hold them against small twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crestline.operators import forest, multivariate, resampling, tails
+from crestline.plans.data_queries import COMPONENTS, component_flags
+from crestline.plans.episode_queries import USER, by_user, flagged
+from crestline.plans.registry import query, table
+
+
+@query("gpd_return_levels")
+def gpd_return_levels(spark, sf_dir):
+    return tails.pareto_by(table(spark, sf_dir, "events"), "value", ["event_type"], 0.9, 0.99)
+
+
+@query("spot_thresholds")
+def spot_thresholds(spark, sf_dir):
+    return tails.adaptive_thresholds(by_user(spark, sf_dir), "value", USER, ["i"])
+
+
+@query("bootstrap_extremal_index")
+def bootstrap_extremal_index(spark, sf_dir):
+    return resampling.bootstrap_index(flagged(spark, sf_dir), "hit", USER, 2)
+
+
+@query("isolation_forest")
+def isolation_forest(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *COMPONENTS)
+    return forest.isolation_scores(rows, COMPONENTS, trees=50).select("l_orderkey", "l_linenumber", "isolation_score")
+
+
+@query("cluster_permutation_null")
+def cluster_permutation_null(spark, sf_dir):
+    # one series: suppliers after each other
+    flags = component_flags(spark, sf_dir).withColumn("i", F.col("l_suppkey") * 1_000 + F.col("i") % 1_000)
+    hits = multivariate.exceedances_long(flags, ["l_discount", "l_tax"]).distinct()
+    n = hits.agg(F.max("i")).first()[0] + 1
+    nulls = resampling.shuffled_runs(hits, n, 9)
+    met = nulls.groupBy("replicate", "i").agg(F.count("*").alias("c")).where("c > 1").groupBy("replicate").agg(F.count("*").alias("n"))
+    seen = hits.groupBy("i").agg(F.count("*").alias("c")).where("c > 1").agg(F.count("*").alias("n")).withColumn("pair", F.lit("l_discount+l_tax"))
+    return multivariate.right_tail(seen, met.withColumn("pair", F.lit("l_discount+l_tax")), ["pair"], 9)
+
+
+@query("group_bootstrap")
+def group_bootstrap(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "value")
+    times = resampling.group_resamples(events, "user_id", 50)
+    sums = events.groupBy("user_id").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    return times.where("times > 0").join(sums, "user_id").groupBy("replicate").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean_value"))
