@@ -1 +1 @@
-"""Spark-native analytics of extreme events in ordered data."""
+"""Column functions."""

@@ -1 +1 @@
-"""Spark-native analytics of extreme events in ordered data."""
+"""Readers and writers of the tables that the operators take."""

@@ -1 +1 @@
-"""Spark-native analytics of extreme events in ordered data."""
+"""Streaming twins of the sequential operators."""
