@@ -29,8 +29,8 @@ def intervals_index(hits: DataFrame, entity: list[str], position: str = "i") ->
 def k_gaps_index(hits: DataFrame, sizes: DataFrame, entity: list[str], k: int = 1, position: str = "i") -> DataFrame:
     """theta of the K-gaps likelihood: the smaller root of its quadratic. sizes: (entity, n) samples of each series."""
     t = F.when(F.col("distance").isNotNull(), F.greatest(F.col("distance") - 1 - k, F.lit(0)))
-    sums = gaps(hits, entity, position).groupBy(*entity).agg(F.count("*").alias("hits"), F.count_if(t == 0).alias("n0"), F.count_if(t > 0).alias("n1"), F.coalesce(F.sum(t), F.lit(0)).alias("s"))
-    a = F.col("hits") / F.col("n") * F.col("s")
+    sums = gaps(hits, entity, position).groupBy(*entity).agg(F.count("*").alias("_hits"), F.count_if(t == 0).alias("n0"), F.count_if(t > 0).alias("n1"), F.coalesce(F.sum(t), F.lit(0)).alias("_s"))
+    a = F.col("_hits") / F.col("n") * F.col("_s")
     b = F.col("n0") + 2 * F.col("n1") + a
     root = (b - F.sqrt(b * b - 8 * F.col("n1") * a)) / (2 * a)
     theta = F.when(F.col("n0") + F.col("n1") == 0, None).when(F.col("n1") == 0, F.lit(0.0)).when(F.col("n0") == 0, F.least(F.lit(1.0), 2 * F.col("n1") / a)).otherwise(F.least(F.lit(1.0), root))
@@ -40,9 +40,9 @@ def k_gaps_index(hits: DataFrame, sizes: DataFrame, entity: list[str], k: int =
 def _occupied(hits: DataFrame, sizes: DataFrame, entity: list[str], block: int, position: str) -> DataFrame:
     """(entity, n, hits, blocks, occupied, inside): whole blocks, those with an exceedance, and exceedances in them."""
     placed = hits.join(sizes, list(entity)).withColumn("blocks", F.floor(F.col("n") / block)).withColumn("_b", F.floor(F.col(position) / block))
-    per = placed.groupBy(*entity, "n", "blocks", "_b").agg(F.count("*").alias("c"))
+    per = placed.groupBy(*entity, "n", "blocks", "_b").agg(F.count("*").alias("_c"))
     whole = F.col("_b") < F.col("blocks")
-    return per.groupBy(*entity, "n", "blocks").agg(F.sum("c").alias("hits"), F.count_if(whole).alias("occupied"), F.coalesce(F.sum(F.when(whole, F.col("c"))), F.lit(0)).alias("inside")).where("blocks > 0")
+    return per.groupBy(*entity, "n", "blocks").agg(F.sum("_c").alias("hits"), F.count_if(whole).alias("occupied"), F.coalesce(F.sum(F.when(whole, F.col("_c"))), F.lit(0)).alias("inside")).where("blocks > 0")
 
 
 def blocks_index(hits: DataFrame, sizes: DataFrame, entity: list[str], block: int, position: str = "i") -> DataFrame:

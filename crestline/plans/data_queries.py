@@ -352,7 +352,10 @@ def order_score(spark, sf_dir):
 
 # --- transfer: users of even ids are the source
 
-SIDE = F.col("user_id") % 2 == 0
+
+
+def sided(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("side", F.col("user_id") % 2 == 0)
 
 
 @query(
@@ -361,7 +364,7 @@ SIDE = F.col("user_id") % 2 == 0
     b AS (SELECT least(49, floor((x - lo) * 50 / (hi - lo))) AS bin, s, ns, nd FROM x, e), c AS (SELECT bin, count(*) FILTER (s) / any_value(ns) AS a, count(*) FILTER (NOT s) / any_value(nd) AS b FROM b GROUP BY bin) SELECT round(sum(least(a, b)), 6) AS overlap FROM c""",
 )
 def histogram_overlap(spark, sf_dir):
-    return transfer.histogram_overlap(table(spark, sf_dir, "events").withColumn("side", SIDE), "value", "side").withColumn("overlap", F.round("overlap", 6))
+    return transfer.histogram_overlap(sided(spark, sf_dir), "value", "side").withColumn("overlap", F.round("overlap", 6))
 
 
 LEVELS = str([k / 20 for k in range(1, 20)])
@@ -370,9 +373,9 @@ SHIFT = f"q AS (SELECT quantile_cont(value, {LEVELS}) FILTER (user_id % 2 = 0) A
 
 @query("quantile_shift", f"WITH {SHIFT} SELECT round(shift, 6) AS shift, round(shift / spread, 6) AS scaled_shift FROM sh")
 def quantile_shift(spark, sf_dir):
-    return transfer.quantile_shift(table(spark, sf_dir, "events").withColumn("side", SIDE), "value", "side").select(F.round("shift", 6).alias("shift"), F.round("scaled_shift", 6).alias("scaled_shift"))
+    return transfer.quantile_shift(sided(spark, sf_dir), "value", "side").select(F.round("shift", 6).alias("shift"), F.round("scaled_shift", 6).alias("scaled_shift"))
 
 
 @query("schema_compatibility", f"WITH {SHIFT} SELECT scaled_shift <= 3 AS compatible FROM (SELECT shift / spread AS scaled_shift FROM sh)")
 def schema_compatibility(spark, sf_dir):
-    return transfer.compatibility(table(spark, sf_dir, "events").withColumn("side", SIDE), "value", "side").select("compatible")
+    return transfer.compatibility(sided(spark, sf_dir), "value", "side").select("compatible")
