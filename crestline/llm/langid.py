@@ -29,6 +29,10 @@ ORDERS = (4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words are cut at this length for the model only, so that one endless word can't fill a table.
 LONGEST_WORD = 40
+#: Weight, in occurrences, of all languages' shares in those of one.
+PRIOR = 50.0
+#: Mark the ends of a word; alone they say nothing.
+EDGES = ("\x02", "\x03")
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -45,7 +49,7 @@ class LangModel:
         """Scores of an unseen word: the mean over the known n-grams of the longest order that has any."""
         padded = f"\x02{word[:LONGEST_WORD]}\x03"
         for n in ORDERS:
-            found = [self.grams[g] for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) in self.grams]
+            found = [self.grams[g] for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) in self.grams and g not in EDGES]
             if found:
                 return self.table[found].mean(axis=0)
         return None
@@ -99,11 +103,12 @@ def _model(langs: list[str], kept: dict, got: dict) -> LangModel:
         table[words[w], at[lang]] = n
     for (g, lang), n in got.items():
         table[grams[g], at[lang]] = n
-    # add-half smoothing; n-grams within their order
+    # each language's shares, within words or an order of n-grams, lean on those of all languages, so that one with little text isn't favoured
     orders = np.array([0] * len(words) + [len(g) for g in grams])
     for o in {*orders.tolist()}:
         part = table[orders == o]
-        table[orders == o] = np.log((part + 0.5) / (part.sum(axis=0) + 0.5 * len(part)))
+        pooled = part.sum(axis=1, keepdims=True) / part.sum()
+        table[orders == o] = np.log((part + PRIOR * pooled) / (part.sum(axis=0) + PRIOR))
     return LangModel(langs, words, grams, table)
 
 
