@@ -53,10 +53,10 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
         classes: dict[str, np.ndarray] = {}
 
         def handed() -> pd.DataFrame:
-            rows = [(k, w, n) for k, c in words.items() for w, n in c.items()] + [(k, b"\0%d" % j, int(n)) for k, v in classes.items() for j, n in enumerate(v) if n]
+            rows = [(k, -1, w, n) for k, c in words.items() for w, n in c.items()] + [(k, j, b"", int(n)) for k, v in classes.items() for j, n in enumerate(v) if n]
             words.clear()
             classes.clear()
-            return pd.DataFrame(rows, columns=["l", "w", "n"])
+            return pd.DataFrame(rows, columns=["l", "class", "w", "n"])
 
         for p in parts:
             for x, k in zip(p["text"], p["l"], strict=True):
@@ -67,10 +67,10 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
         yield handed()
 
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("?")).alias("l"))
-    trimmed = F.when(F.substring("w", 1, 1) == F.lit(b"\0"), F.col("w")).otherwise(F.lower(F.btrim(F.col("w").cast("string"), F.lit(STRIPPED.decode()))).cast("binary"))
-    counts = rows.mapInPandas(counted, "l string, w binary, n long").select("l", trimmed.alias("w"), "n").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    counts = written(counts.where(F.octet_length("w") > 0), "word-counts")
-    is_class = F.substring("w", 1, 1) == F.lit(b"\0")
+    bare = F.lower(F.btrim(F.col("w").cast("string"), F.lit(STRIPPED.decode()))).cast("binary")
+    counts = rows.mapInPandas(counted, "l string, class int, w binary, n long").select("l", "class", bare.alias("w"), "n").groupBy("l", "class", "w").agg(F.sum("n").alias("n"))
+    is_class = F.col("class") >= 0
+    counts = written(counts.where(is_class | (F.octet_length("w") > 0)), "word-counts")
     totals = counts.where(~is_class).groupBy("l").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "l").limit(MOST_LANGS).collect()
     # the most common words of each task's share first, so that no language's vocabulary is sorted in one place
     near = Window.partitionBy("l", F.spark_partition_id()).orderBy(F.desc("n"), "w")
@@ -89,7 +89,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
         c = np.zeros(len(CLASSES))
         for x in shares:
             if x["l"] == row["l"]:
-                c[int(bytes(x["w"])[1:])] = x["n"]
+                c[x["class"]] = x["n"]
         out[row["l"]] = (c / c.sum(), common, n / n.sum())
     return out
 
