@@ -146,7 +146,9 @@ class _Scorer:
 
     def score(self, text: str | None) -> tuple[str, float]:
         langs, seen, total = self.model.langs, 0, np.zeros(len(self.model.langs))
-        found = (m[0] for m in LETTERS.finditer(text.lower())) if text else iter(())
+        if not text or not any(any(map(str.isalpha, m[0])) for m in LETTERS.finditer(text)):  # fractions and the like are no letters
+            return "und", 0.0
+        found = (m[0] for m in LETTERS.finditer(text.lower()))
         while words := list(islice(found, 100_000)):
             if missing := set(words).difference(self.rows):
                 self.learn(missing)
