@@ -23,10 +23,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
+    """One document of each group of near duplicates, that with the smallest doc_id.
+
+    The others are looked up, as they are the fewer. Rows without doc_id, which nothing can name,
+    and rows that repeat a kept doc_id stay.
+    """
     found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
