@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.operators.episodes import merged, onsets
-from crestline.operators.series import place_among
+from crestline.operators.series import place_among, running_sum
 
 
 def difference_score(df: DataFrame, value: str, entity: list[str], position: str = "i") -> DataFrame:
@@ -35,8 +35,7 @@ def changepoint_score(df: DataFrame, value: str, entity: list[str], window: int,
 def conformal_score(df: DataFrame, score: str, train: str) -> DataFrame:
     """df with tail: the share of training scores at or above each score, (1 + count) / (n + 1). Distinct scores are ranked once."""
     values = df.groupBy(score).agg(F.count_if(F.col(train)).alias("_k"))
-    above = F.sum("_k").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = values.withColumn("_above", above).crossJoin(F.broadcast(values.agg(F.sum("_k").alias("_n"))))
+    ranked = running_sum(values, score, F.col("_k"), "_above", descending=True, inclusive=True).crossJoin(F.broadcast(values.agg(F.sum("_k").alias("_n"))))
     return df.join(ranked.select(F.col(score).alias("_v"), ((1 + F.col("_above")) / (F.col("_n") + 1)).alias("tail")), df[score] == F.col("_v")).drop("_v")
 
 

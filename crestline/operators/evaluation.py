@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.operators.episodes import covered
+from crestline.operators.series import running_sum
 
 
 @dataclass(frozen=True)
@@ -160,8 +161,7 @@ def wilson(rate: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
 def separation(df: DataFrame, score: str, inside: str) -> DataFrame:
     """auc: P(score inside > score outside) by mid-ranks. Equal scores are counted first, so ranks run over distinct values."""
     values = df.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(score).agg(F.count("*").alias("c"), F.count_if(F.col(inside)).alias("k"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("mid", below + (F.col("c") + 1) / 2)
+    ranked = running_sum(values, score, F.col("c"), "below").withColumn("mid", F.col("below") + (F.col("c") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("mid") * F.col("k")).alias("r"), F.sum("k").alias("a"), F.sum(F.col("c") - F.col("k")).alias("b"))
     return sums.select(F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("r") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))).alias("auc"), F.col("a").alias("n_inside"), F.col("b").alias("n_outside"))
 

@@ -61,6 +61,21 @@ def with_position(df: DataFrame, series: Series, ranges: int = 64) -> DataFrame:
     return placed.withColumn(series.position, inside).join(F.broadcast(before), "_range").withColumn(series.position, F.col(series.position) + F.col("_before")).drop("_range", "_before", "_key")
 
 
+def running_sum(df: DataFrame, by: str, amount: Column, name: str, descending: bool = False, inclusive: bool = False, ranges: int = 64) -> DataFrame:
+    """df with the sum of amount over the rows before each in the order of a numeric column (and the row itself, if inclusive).
+
+    For columns of different values. Rows are dealt into ranges, summed within each, and shifted
+    by the sums of the ranges before: no window spans the table.
+    """
+    cuts = sorted(set(df.agg(F.percentile_approx(by, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []))
+    placed = df.withColumn("_range", place_among(cuts, F.col(by))).withColumn("_amount", amount)
+    turn = F.desc if descending else F.asc
+    sums = placed.groupBy("_range").agg(F.sum("_amount").alias("_in"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_in").over(Window.orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
+    inside = F.coalesce(F.sum("_amount").over(Window.partitionBy("_range").orderBy(turn(by)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)), F.lit(0))
+    return placed.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_amount", "_inside", "_before")
+
+
 def split_label(position: Column, n: Column, train: float = 0.6, validation: float = 0.2) -> Column:
     """train, validation or test by position: contiguous, sizes cut to whole rows."""
     a = F.floor(n * train)
