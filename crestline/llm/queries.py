@@ -75,4 +75,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_warc, op4_mixing, op5_quality_rules, op6_quality_pu, op7_pii, op8_html_text, op9_decontamination, op10_token_output)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    CASE WHEN last_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last_id <> page_id THEN last_id END AS refers_to
+    FROM pages LEFT JOIN (SELECT html, max(page_id) AS last_id FROM pages WHERE octet_length(encode(html)) >= 1000 GROUP BY html HAVING count(*) > 1) USING (html)""",
+}
