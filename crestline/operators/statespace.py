@@ -85,3 +85,49 @@ def delayed(df: DataFrame, columns: list[str], lags: list[int], entity: list[str
 
 def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.withColumns({f"{column}={v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in values})
+
+
+def horizon_risk(df: DataFrame, distance_col: str, entity: list[str], radius: float, horizons: list[int], position: str = "i") -> DataFrame:
+    """(horizon, probability, brier): share of rows followed by an entry into the region within a horizon, and the Brier score of the forward hit rate."""
+    from crestline.operators.recurrence import forward_rate, horizon_outcome
+
+    hits = df.withColumn("_hit", F.coalesce(F.col(distance_col) <= radius, F.lit(False)))
+    out = None
+    for h in horizons:
+        rated = forward_rate(horizon_outcome(hits, "_hit", entity, h, position=position), "_hit", entity, h, position)
+        one = rated.agg(F.lit(h).alias("horizon"), F.avg(F.col("outcome").cast("double")).alias("probability"), F.avg(F.pow(F.col("rate") - F.col("outcome").cast("double"), F.lit(2))).alias("brier"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def whitened(df: DataFrame, columns: list[str], regularization: float = 1e-6) -> DataFrame:
+    """df with white_k: coordinates in which the Euclidean distance is the Mahalanobis one. Covariances come from one aggregate; the driver factors a small matrix."""
+    import numpy as np
+
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
+    one = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.covar_samp(a, b).alias(f"c_{k}") for k, (a, b) in enumerate(pairs)]).first()
+    cov = np.eye(len(columns)) * regularization
+    for k, (a, b) in enumerate(pairs):
+        i, j = columns.index(a), columns.index(b)
+        cov[i, j] += one[f"c_{k}"] or 0.0
+        if i != j:
+            cov[j, i] = cov[i, j]
+    root = np.linalg.cholesky(np.linalg.inv(cov))
+    centered = [F.col(c) - F.lit(float(one[f"m_{c}"] or 0.0)) for c in columns]
+    return df.withColumns({f"white_{k}": sum((x * float(root[j, k]) for j, x in enumerate(centered)), F.lit(0.0)) for k in range(len(columns))})
+
+
+def medoids(references: DataFrame, key: str, vector: str, count: int) -> DataFrame:
+    """count references by farthest-first traversal from the smallest key. For stated sets of at most MOST_REFERENCES."""
+    import numpy as np
+
+    rows = references.select(key, vector).orderBy(key).limit(MOST_REFERENCES + 1).collect()
+    if len(rows) > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} references")
+    x = np.array([list(r[vector]) for r in rows], float)
+    chosen = [0] if len(rows) else []
+    near = np.linalg.norm(x - x[0], axis=1) if len(rows) else np.zeros(0)
+    while len(chosen) < min(count, len(rows)):
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, np.linalg.norm(x - x[chosen[-1]], axis=1))
+    return references.where(F.col(key).isin([rows[k][key] for k in chosen]))
