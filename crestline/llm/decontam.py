@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from crestline.llm.shared import short_batches
 
 WORDS = re.compile(r"[^\W_]+")
-BLOCK_ITEMS = 5_000
+BLOCK_ITEMS = 1_000
 FOUND = "array<struct<item_id:long,distance:int,at:int>>"
 #: Words of an item (or of its second half) that the walks cover; verification covers all.
 WALKED = 96
