@@ -11,10 +11,10 @@ def overview(n: int, alarms: DataFrame, failures: DataFrame, exceedances: DataFr
 
     alarms: disjoint (start, end). An interval gives its share to each bin it crosses, so no sample is a row.
     """
-    spark = alarms.sparkSession
-    edges = sorted({n * k // bins for k in range(bins + 1)})
-    frame = spark.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"), F.element_at(F.array(*map(F.lit, edges)), F.col("id").cast("int") + 1).cast("long").alias("first"), (F.element_at(F.array(*map(F.lit, edges)), F.col("id").cast("int") + 2) - 1).cast("long").alias("last"))
-    at = lambda x: F.least(F.lit(len(edges) - 2), sum((F.when(x >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0)))
+    bins = min(bins, n)
+    # bin k holds the samples from n * k // bins up to the next bin's first
+    frame = alarms.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).select("bin", F.expr(f"bin * {n}L div {bins}").alias("first"), F.expr(f"(bin + 1) * {n}L div {bins} - 1").alias("last"))
+    at = lambda x: F.least(F.lit(bins - 1), F.floor((bins * (x + 1) - 1) / n)).cast("int")
     crossed = alarms.select("start", "end", F.explode(F.sequence(at(F.col("start")), at(F.col("end")))).alias("bin")).join(F.broadcast(frame), "bin")
     inside = F.least("end", "last") - F.greatest("start", "first") + 1
     warned = crossed.groupBy("bin").agg(F.count_if(F.col("start") >= F.col("first")).alias("alarm_episodes"), F.sum(inside).alias("under_warning"))

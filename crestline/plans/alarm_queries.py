@@ -14,6 +14,7 @@ from crestline.operators import detectors, episodes, evaluation, thresholds
 from crestline.operators.evaluation import Policy
 from crestline.operators.series import Series, with_position
 from crestline.plans.registry import query, table
+from crestline.session import written
 
 POLICY = Policy(horizon=60, before=0, after=10)
 PER_DAY = 1_000
@@ -27,7 +28,7 @@ def alarms(spark, sf_dir) -> DataFrame:
     """High values merged over gaps of 5; alarm_id is the start."""
     cut = thresholds.fit_global(table(spark, sf_dir, "events"), "value", 0.98).select("threshold")
     hits = placed(spark, sf_dir).crossJoin(F.broadcast(cut)).where(thresholds.exceeds(F.col("value"), F.col("threshold"))).select("series", F.col("i").alias("start"), F.col("i").alias("end"))
-    return episodes.merged(hits, 5, ["series"]).select(F.col("start").alias("alarm_id"), "start", "end")
+    return written(episodes.merged(hits, 5, ["series"]).select(F.col("start").alias("alarm_id"), "start", "end"), "alarms")
 
 
 def failures(spark, sf_dir) -> DataFrame:
@@ -35,7 +36,7 @@ def failures(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy(F.floor(F.col("i") / 1_000)).orderBy("i")
     pairs = placed(spark, sf_dir).withColumn("twice", (F.col("event_type") == "error") & (F.lead("event_type").over(w) == "error") & (F.lead("event_type", 2).over(w) == "error"))
     runs = pairs.where("twice").select("series", F.col("i").alias("start"), (F.col("i") + 2).alias("end"))
-    return episodes.merged(runs, 120, ["series"]).select(F.col("start").alias("failure_id"), "start", "end")
+    return written(episodes.merged(runs, 120, ["series"]).select(F.col("start").alias("failure_id"), "start", "end"), "failures")
 
 
 P = "p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events)"
