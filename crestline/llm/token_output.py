@@ -47,6 +47,10 @@ PLAIN = re.compile("[\t-\r -ɏ‐-‧‰-›]*")
 UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\v", "\f", "\r", "\u0085", "\u00a0", "\0")
 
 
+#: Marks that are a pre-token of their own at the end of a chunk.
+MARKS = tuple(".,;:!?")
+
+
 def _even(text: str) -> bool:
     return not (text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, UNEVEN)))
 
@@ -61,7 +65,7 @@ class Encoder:
     younger fills up is forgotten.
     """
 
-    KEPT = 350_000
+    KEPT = 550_000
     #: New pre-tokens that are encoded as one string.
     JOINED = 2_000
 
@@ -81,19 +85,26 @@ class Encoder:
     def _key(piece: str) -> str:
         return piece[1:] if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else "\0" + piece
 
+    def _learn_joined(self, keys: list[str], words: list[str], between: str) -> None:
+        """Encodes words as one string each JOINED of them, with a pre-token of its own (or none) between two, and keeps their ids."""
+        step = 2 if between else 1
+        for k in range(0, len(words), self.JOINED):
+            part, names = words[k : k + self.JOINED], keys[k : k + self.JOINED]
+            x = self.tokenizer.encode(between.join(part), add_special_tokens=False)
+            ids, cut = np.array(x.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(x.word_ids))) + 1
+            at = [0, *(4 * cut).tolist(), len(ids)]
+            whole = len(at) == step * (len(part) - 1) + 2
+            self.chunks.update(zip(names, [ids[at[j] : at[j + 1]] for j in range(0, len(at) - 1, step)] if whole else self._whole(part), strict=True))
+
     def _learn_pieces(self, pieces: set[str]) -> None:
         """Encodes pre-tokens and keeps them as chunks."""
-        # words that begin with a space split again where they were joined
-        words, others = [], []
+        # words split again where they were joined: those that begin with a space anywhere, others at a line end
+        spaced, bare, others = [], [], []
         for p in pieces:
-            (words if p[0] == " " and p[1:].isalpha() else others).append(p)
+            (spaced if p[0] == " " and p[1:].isalpha() else bare if p.isalpha() else others).append(p)
         self.chunks.update(zip(map(self._key, others), self._whole(others), strict=True))
-        joined = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
-        for part, x in zip(joined, self.tokenizer.encode_batch(["".join(w) for w in joined], add_special_tokens=False), strict=True):
-            ids, cut = np.array(x.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(x.word_ids))) + 1
-            at = [0, *(4 * cut).tolist(), len(ids)]
-            keys = [p[1:] for p in part]
-            self.chunks.update(zip(keys, (ids[i:j] for i, j in zip(at, at[1:], strict=False)) if len(at) == len(part) + 1 else self._whole(part), strict=True))
+        self._learn_joined([p[1:] for p in spaced], spaced, "")
+        self._learn_joined(["\0" + p for p in bare], bare, "\n")
 
     def _known(self, key: str) -> bool:
         if key in self.chunks:
@@ -109,6 +120,27 @@ class Encoder:
         self._learn_pieces({p for p in {p for pieces in cut for p in pieces} if not self._known(self._key(p))})
         return [b"".join([self.chunks[self._key(p)] for p in pieces]) for pieces in cut]
 
+    def _learn_rest(self, chunks: list[str]) -> None:
+        """Keeps chunks of more than a spaced word; most are a word and a mark, or a line end and a word."""
+        cut = []
+        for c in chunks:
+            first, rest = (c[0], c[1:]) if c[0] in "\0\n" else (" ", c)
+            if rest[-1:] in MARKS and rest[:-1].isalpha():
+                words = [rest[:-1], rest[-1]]
+            elif rest.isalpha():
+                words = [rest]
+            else:
+                cut.append(PRE_TOKEN.findall(c[1:] if first == "\0" else c if first == "\n" else " " + c))
+                continue
+            if first == "\n":
+                words.insert(0, "\n")
+            elif first == " ":
+                words[0] = " " + words[0]
+            cut.append(words)
+        self._learn_pieces({p for p in {p for pieces in cut for p in pieces} if not self._known(self._key(p))})
+        known, key = self.chunks, self._key
+        self.chunks.update(zip(chunks, [b"".join([known[key(p)] for p in pieces]) for pieces in cut], strict=True))
+
     def _in_chunks(self, texts: list[str]) -> list[bytes]:
         """By chunks, for texts whose white space is single as well."""
         get, found, missing = self.chunks.get, [], set()
@@ -122,8 +154,7 @@ class Encoder:
         new = [c for c in missing if not self._known(c)]
         words = {" " + c for c in new if c.isalpha()}
         self._learn_pieces(words)
-        rest = [c for c in new if not c.isalpha()]
-        self.chunks.update(zip(rest, self._in_pieces([c[1:] if c[0] == "\0" else c if c[0] == "\n" else " " + c for c in rest]), strict=True))
+        self._learn_rest([c for c in new if not c.isalpha()])
         known = self.chunks
         return [b"".join([known[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] if None in ids else ids) for chunks, ids in found]
 
