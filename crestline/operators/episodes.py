@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,10 +42,11 @@ def covered(intervals: DataFrame, entity: list[str]) -> DataFrame:
     return merged(intervals, 0, entity).groupBy(*entity).agg(F.sum(F.col("end") - F.col("start") + 1).alias("samples"))
 
 
-def shifted(intervals: DataFrame, n: int, offset: int) -> DataFrame:
-    """Intervals rolled around a series of n samples; one that wraps gives two pieces."""
+def shifted(intervals: DataFrame, n: int | Column, offset: int) -> DataFrame:
+    """Intervals rolled around a series of n samples, or of as many as a column says; one that wraps gives two pieces."""
+    n = F.lit(n) if isinstance(n, int) else n
     a, b = (F.col("start") + offset) % n, (F.col("end") + offset) % n
     piece = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
-    pieces = F.when(a <= b, F.array(piece(a, b))).otherwise(F.array(piece(F.lit(0).cast("long"), b), piece(a, F.lit(n - 1).cast("long"))))
+    pieces = F.when(a <= b, F.array(piece(a, b))).otherwise(F.array(piece(F.lit(0).cast("long"), b), piece(a, (n - 1).cast("long"))))
     others = [c for c in intervals.columns if c not in ("start", "end")]
     return intervals.select(*others, F.explode(pieces).alias("_p")).select(*others, "_p.start", "_p.end")

@@ -142,7 +142,9 @@ def time_under_warning(spark, sf_dir):
     SELECT user_id, a AS start, b AS "end" FROM s WHERE a <= b UNION ALL SELECT user_id, 0, b FROM s WHERE a > b UNION ALL SELECT user_id, a, 39 FROM s WHERE a > b""",
 )
 def circular_shift(spark, sf_dir):
-    return episodes.shifted(episodes.merged(_spans(spark, sf_dir), 0, USER).where(F.col("end") < 40), 40, 7)
+    # around each user's own length; what a span claims beyond the last sample isn't there to be rolled
+    spans = episodes.merged(_spans(spark, sf_dir), 0, USER).join(sizes(spark, sf_dir), USER)
+    return episodes.shifted(spans.withColumn("end", F.least("end", F.col("n") - 1)), F.col("n"), 7).select("user_id", "start", "end")
 
 
 @query("ei_runs", f"WITH {HITS} SELECT user_id, round(sum(CASE WHEN dist IS NULL OR dist - 1 > 2 THEN 1 ELSE 0 END) / count(*), 6) AS theta, count(*) AS n_hits FROM d GROUP BY user_id")

@@ -84,3 +84,15 @@ def test_regimes(spark):
     assert [r["regime"] for r in ruled.orderBy("i").collect()] == ["off"] * 4 + ["recovery", "loaded"]
     assert sorted((r["regime"], r["duration"]) for r in regimes.durations(ruled, ["s"]).collect()) == [("loaded", 1), ("off", 4), ("recovery", 1)]
     assert {r["regime"] for r in regimes.pooled(ruled, 0.2, "rest").collect()} == {"off", "rest"}
+
+
+def test_circular_shift_keeps_every_interval(spark, tmp_path):
+    from crestline.plans.episode_queries import circular_shift
+
+    # a hit spans floor(value) % 4 samples more: [10], [60, 61], [92, 95] and [97, 100], of which 100 isn't there; user 2 has 5 samples
+    at = {(1, 10): 900.0, (1, 60): 901.0, (1, 92): 903.0, (1, 97): 903.0, (2, 4): 900.0}
+    events = [(u * 1000 + i, u, "a", at.get((u, i), 0.0)) for u, n in ((1, 100), (2, 5)) for i in range(n)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double")
+    df.withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["user_id"], r["start"], r["end"]) for r in circular_shift(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 2), (1, 4, 6), (1, 17, 17), (1, 67, 68), (1, 99, 99), (2, 1, 1)]
