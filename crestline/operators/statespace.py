@@ -118,16 +118,36 @@ def whitened(df: DataFrame, columns: list[str], regularization: float = 1e-6) ->
 
 
 def medoids(references: DataFrame, key: str, vector: str, count: int) -> DataFrame:
-    """count references by farthest-first traversal from the smallest key. For stated sets of at most MOST_REFERENCES."""
-    import numpy as np
+    """count references by farthest-first traversal from the smallest key; ties go to the smallest key, rows without a vector are none.
 
-    rows = references.select(key, vector).orderBy(key).limit(MOST_REFERENCES + 1).collect()
-    if len(rows) > MOST_REFERENCES:
-        raise ValueError(f"more than {MOST_REFERENCES} references")
-    x = np.array([list(r[vector]) for r in rows], float)
-    chosen = [0] if len(rows) else []
-    near = np.linalg.norm(x - x[0], axis=1) if len(rows) else np.zeros(0)
-    while len(chosen) < min(count, len(rows)):
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, np.linalg.norm(x - x[chosen[-1]], axis=1))
-    return references.where(F.col(key).isin([rows[k][key] for k in chosen]))
+    Each pick is one pass over the references: a task keeps its farthest row alone, and only the
+    vectors chosen so far are sent out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = references.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    first = rows.agg(F.min(F.struct("key", "vector")).alias("best")).first()["best"]
+    chosen = [first] if first is not None else []
+    while chosen and len(chosen) < count:
+        at = np.array([c["vector"] for c in chosen], float)
+
+        def farthest(batches, at=at):
+            best = None
+            for batch in batches:
+                if len(batch):
+                    x, keys = np.stack(batch["vector"].to_numpy()), batch["key"].to_numpy()
+                    near = np.min([np.linalg.norm(x - c, axis=1) for c in at], axis=0)
+                    top = np.flatnonzero(near == near.max())
+                    k = top[keys[top].argmin()] if len(top) else None
+                    if k is not None and (best is None or (-near[k], keys[k]) < best[:2]):
+                        best = (-near[k], keys[k], x[k])
+            if best is not None:
+                yield pd.DataFrame({"back": [best[0]], "key": [best[1]], "vector": [best[2]]})
+
+        kind = rows.schema["key"].dataType.simpleString()
+        best = rows.mapInPandas(farthest, f"back double, key {kind}, vector array<double>").agg(F.min(F.struct("back", "key", "vector")).alias("best")).first()["best"]
+        if best is None or not best["back"] < 0:
+            break  # all that is left equals a chosen one
+        chosen.append(best)
+    return references.where(F.col(key).isin([c["key"] for c in chosen]))

@@ -95,4 +95,4 @@ def mahalanobis_states(spark, sf_dir):
 
 @query("medoid_references")
 def medoid_references(spark, sf_dir):
-    return statespace.medoids(table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select("vec_id", "embedding"), "vec_id", "embedding", 16).select("vec_id")
+    return statespace.medoids(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 16).select("vec_id")

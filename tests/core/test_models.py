@@ -92,3 +92,22 @@ def test_transfer(spark):
     apart = same.withColumn("x", F.when(F.col("s"), F.col("x")).otherwise(F.col("x") + 1_000))
     got = transfer.compatibility(apart, "x", "s").first()
     assert got["overlap"] < 0.01 and not got["compatible"]
+
+
+def test_medoids_of_all_rows(spark, tmp_path):
+    from crestline.plans.control_queries import medoid_references
+
+    x = np.random.default_rng(5).normal(size=(6_001, 3))
+    x[1] = [50.0, 0.0, 0.0]  # an odd key, the farthest of all; key 9 is as far, but comes later
+    x[9] = x[1]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(7_000, None)], "vec_id long, embedding array<double>")
+    df.repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    chosen, near = [0], np.linalg.norm(x - x[0], axis=1)
+    while len(chosen) < 16:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, np.linalg.norm(x - x[chosen[-1]], axis=1))
+    got = sorted(r["vec_id"] for r in medoid_references(spark, str(tmp_path)).collect())
+    assert got == sorted(chosen) and 1 in got and 9 not in got
+    few = spark.createDataFrame([(1, [0.0]), (2, [0.0]), (3, [4.0])], "vec_id long, embedding array<double>")
+    assert sorted(r["vec_id"] for r in statespace.medoids(few, "vec_id", "embedding", 16).collect()) == [1, 3]
+    assert statespace.medoids(few.where("vec_id > 9"), "vec_id", "embedding", 16).count() == 0
