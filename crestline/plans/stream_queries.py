@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from crestline.operators.series import place_among
 from crestline.plans.registry import query, table
 from crestline.session import scratch
 from crestline.streaming import operators
 
 
+#: Rows of a batch of an ordered stream, about.
+BATCH_ROWS = 1_000_000
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may name a file or a folder
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str, place: str | None = None, path: str | None = None) -> DataFrame:
     """What a streaming query has given when its input is read: a table in the shared folder."""
     spark = stream.sparkSession
-    path, place = scratch(spark, name), scratch(spark, f"{name}-state")
+    path, place = path or scratch(spark, name), place or scratch(spark, f"{name}-state")
     write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
     running = stream.writeStream.outputMode(mode).option("checkpointLocation", place).foreachBatch(write).trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def drained_in_order(spark: SparkSession, sf_dir: str, order: str, query_of: Callable[[DataFrame], DataFrame], name: str, mode: str) -> DataFrame:
+    """drained() over the events in ranges of the order column, whatever files they came in: a batch holds a range, and no row is before those of earlier batches."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    number = F.unix_micros(order) if order == "ts" else F.col(order)
+    n = max(1, -(-events.count() // BATCH_ROWS))
+    cuts = sorted(set(events.agg(F.percentile_approx(number, [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
+    dealt, feed = scratch(spark, f"{name}-ranges"), scratch(spark, f"{name}-feed")
+    events.withColumn("_range", place_among(cuts, number)).write.partitionBy("_range").parquet(dealt)
+    ranges = spark.read.schema(StructType([*events.schema.fields, StructField("_range", IntegerType())])).parquet(dealt)
+    path, place, out = scratch(spark, name), scratch(spark, f"{name}-state"), None
+    for k in range(len(cuts) + 1):
+        ranges.where(F.col("_range") == k).drop("_range").write.mode("append").parquet(feed)
+        out = drained(query_of(spark.readStream.schema(events.schema).parquet(feed)), name, mode, place, path)
+    return out
+
+
 @query(
     "stream_window_statistics",
     """SELECT epoch_us(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')) AS window_start, event_type, count(*) AS n, count(*) FILTER (value IS NULL OR isnan(value)) AS missing, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY ALL""",
@@ -41,8 +65,8 @@ def stream_window_statistics(spark, sf_dir):
     SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL '12 hours') AS "end", count(*) AS size, max(value) AS max_value FROM g GROUP BY user_id, g""",
 )
 def stream_exceedance_sessions(spark, sf_dir):
-    sessions = operators.exceedance_sessions(event_stream(spark, sf_dir), "ts", "value", ["user_id"], 100.0, "12 hours", "1 day")
-    return drained(sessions, "stream-sessions", "complete").withColumns({c: F.unix_micros(c) for c in ("start", "end")})
+    sessions = lambda events: operators.exceedance_sessions(events, "ts", "value", ["user_id"], 100.0, "12 hours", "1 day")
+    return drained_in_order(spark, sf_dir, "ts", sessions, "stream-sessions", "complete").withColumns({c: F.unix_micros(c) for c in ("start", "end")})
 
 
 @query(
@@ -50,12 +74,12 @@ def stream_exceedance_sessions(spark, sf_dir):
     """WITH s AS (SELECT user_id, event_id::DOUBLE AS event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events) SELECT user_id, event_id, CASE WHEN s >= 0 THEN round(s, 6) END AS increment, coalesce(s < 0, false) AS reset FROM s""",
 )
 def stream_counter_increments(spark, sf_dir):
-    out = operators.counter_increments(event_stream(spark, sf_dir), "user_id", "event_id", "value")
-    return drained(out, "stream-increments", "append").withColumn("increment", F.round("increment", 6))
+    increments = lambda events: operators.counter_increments(events, "user_id", "event_id", "value")
+    return drained_in_order(spark, sf_dir, "event_id", increments, "stream-increments", "append").withColumn("increment", F.round("increment", 6))
 
 
 @query("stream_adaptive_thresholds")
 def stream_adaptive_thresholds(spark, sf_dir):
     base = table(spark, sf_dir, "events").agg(F.percentile("value", F.lit(0.9))).first()[0] or 0.0
-    stream = operators.adaptive_thresholds(event_stream(spark, sf_dir), "user_id", "event_id", "value", {}, 0.01, base)
-    return drained(stream, "stream-thresholds", "append")
+    adaptive = lambda events: operators.adaptive_thresholds(events, "user_id", "event_id", "value", {}, 0.01, base)
+    return drained_in_order(spark, sf_dir, "event_id", adaptive, "stream-thresholds", "append")
