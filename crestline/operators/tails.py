@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Mid-quantiles of a series' excesses that its tail is fitted on.
-POINTS = 400
+from crestline.session import written
+
+#: Passes that narrow a tail's profile after the first grid, and the steps of each.
+ROUNDS, STEPS = 6, 32
 
 
 def fit_pareto(excesses: np.ndarray) -> tuple[float, float] | None:
@@ -52,23 +54,38 @@ def return_level(base: float, shape: float, scale: float, rate: float, tail: flo
     return base + scale * np.log(ratio) if abs(shape) < 1e-9 else base + scale / shape * (ratio**shape - 1)
 
 
+def profiled(over: DataFrame, entity: list[str], x: str = "x") -> DataFrame:
+    """(entity, fit): fit_pareto of all excesses of each entity. The profile's sums over a grid of t are aggregates, and each pass narrows the grid to the best step's neighbours."""
+    sound = over.where(F.col(x).isNotNull() & ~F.isnan(x) & (F.col(x) > 0) & (F.col(x) < float("inf")))
+    stats = written(sound.groupBy(*entity).agg(F.count("*").alias("m"), F.avg(x).alias("mean"), F.max(x).alias("top")).where("m >= 3"), "tails")
+    steps = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: k / n)
+    below = F.transform(steps(59), lambda k: -0.999 / F.col("top") * F.pow(1e-6 / 0.999 * F.col("top") / F.col("mean"), k))
+    above = F.transform(steps(119), lambda k: 1e-6 / F.col("mean") * F.pow(F.lit(50 / 1e-6), k))
+    grids = stats.select(*entity, F.concat(below, F.array(F.lit(0.0)), above).alias("ts"))
+    loss = F.when(F.abs("t") * F.col("mean") < 1e-9, F.log("mean") + 1).when(F.col("s") / F.col("t") > 0, F.log(F.col("s") / F.col("t")) + F.col("s") + 1).otherwise(F.lit(float("inf")))
+    for _ in range(ROUNDS + 1):
+        tried = sound.join(grids, entity).select(*entity, x, F.explode("ts").alias("t")).groupBy(*entity, "t").agg(F.avg(F.log1p(F.col("t") * F.col(x))).alias("s"))
+        rows = tried.join(stats, entity).select(*entity, "mean", F.struct("t", loss.alias("loss"), "s").alias("g")).groupBy(*entity, "mean").agg(F.sort_array(F.collect_list("g")).alias("g"))
+        k = F.array_position("g.loss", F.array_min("g.loss")).cast("int")
+        at = lambda i: F.element_at("g", i)
+        best = written(rows.select(*entity, "mean", at(F.greatest(k - 1, F.lit(1)))["t"].alias("low"), at(F.least(k + 1, F.size("g")))["t"].alias("high"), at(k).alias("best")), "tails")
+        grids = best.select(*entity, F.transform(steps(STEPS), lambda k: F.col("low") + (F.col("high") - F.col("low")) * k).alias("ts"))
+    flat = F.abs("best.t") * F.col("mean") < 1e-9
+    return best.select(*entity, F.struct(F.when(flat, 0.0).otherwise(F.col("best.s")).alias("shape"), F.when(flat, F.col("mean")).otherwise(F.col("best.s") / F.col("best.t")).alias("scale")).alias("fit"))
+
+
 def pareto_by(df: DataFrame, value: str, entity: list[str], quantile: float, target: float, least: int = 50) -> DataFrame:
     """(entity, base, n_excesses, shape, scale, level): the tail over each series' quantile and its return level.
 
-    With fewer than least excesses the level is the empirical quantile. Only excesses reach a fit.
+    With fewer than least excesses the level is the empirical quantile. A fit takes in all excesses.
     """
     cuts = df.groupBy(*entity).agg(F.percentile(value, F.lit(quantile)).alias("base"), F.percentile(value, F.lit(target)).alias("empirical"), F.count(value).alias("n"))
-    over = df.join(cuts, entity).where(F.col(value) > F.col("base")).select(*entity, (F.col(value) - F.col("base")).alias("x"))
-    # the excesses' mid-quantiles stand for them, so that a series of any size is fitted on as many numbers
-    points = F.percentile("x", F.array(*[F.lit((k + 0.5) / POINTS) for k in range(POINTS)]))
-    kept = over.groupBy(*entity).agg(F.count("*").alias("n_excesses"), points.alias("points"))
-
-    @F.pandas_udf("struct<shape:double,scale:double>")
-    def fitted(points: pd.Series) -> pd.DataFrame:
-        out = [fit_pareto(np.asarray(p)) or (None, None) for p in points]
-        return pd.DataFrame(out, columns=["shape", "scale"]).astype(float)
+    over = written(df.join(cuts, entity).where(F.col(value) > F.col("base")).select(*entity, (F.col(value) - F.col("base")).alias("x")), "excesses")
+    kept = over.groupBy(*entity).agg(F.count("*").alias("n_excesses"))
+    enough = over.join(kept.where(F.col("n_excesses") >= least), entity, "left_semi")
+    kept = kept.join(profiled(enough, entity), entity, "left")
 
-    both = cuts.join(kept, entity, "left").withColumn("fit", F.when(F.col("n_excesses") >= least, fitted("points")))
+    both = cuts.join(kept, entity, "left")
     ratio = (F.col("n_excesses") / F.col("n")) / (1 - target)
     level = F.when(F.abs(F.col("fit.shape")) < 1e-9, F.col("base") + F.col("fit.scale") * F.log(ratio)).otherwise(F.col("base") + F.col("fit.scale") / F.col("fit.shape") * (F.pow(ratio, F.col("fit.shape")) - 1))
     return both.select(*entity, "base", F.coalesce("n_excesses", F.lit(0)).alias("n_excesses"), F.col("fit.shape").alias("shape"), F.col("fit.scale").alias("scale"), F.coalesce(F.when(ratio > 1, level), F.col("empirical")).alias("level"))
