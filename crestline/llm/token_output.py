@@ -2,22 +2,24 @@
 
 The file format is a folder of Parquet files, one range of doc_id each, rows in ascending order:
 
-    doc_id long, n_tokens int, part int, tokens array<int>
+    doc_id long, n_tokens int, part int, at long, tokens array<int>
 
-written with format version 2: dictionary pages for columns of few values, delta encoding for
+part being the range and at the ids of the range's documents before, written with format version 2: dictionary pages for columns of few values, delta encoding for
 integers beyond them, row groups of a set size and page indexes, so that a reader can fetch the
 lengths without the ids, or the ids of a few documents without the others' pages.
 
 Null texts count as empty and give only the end id. Rows that repeat a doc_id stay apart, in the
-order of their texts. An empty table gives an empty folder of the same schema; other columns are
+order of their texts, and rows without one come first; each has its own place. An empty table gives an empty folder of the same schema; other columns are
 not read.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql.window import Window
 
 from crestline.llm.shared import short_batches
 
-SCHEMA = "doc_id long, n_tokens int, part int, tokens array<int>"
+SCHEMA = "doc_id long, n_tokens int, part int, at long, tokens array<int>"
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 #: Texts that are encoded at once, so that unseen pre-tokens are met in bulk.
@@ -47,7 +49,7 @@ PLAIN = re.compile("[\t-\r -ɏ‐-‧‰-›]*")
 UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\v", "\f", "\r", "\u0085", "\u00a0", "\0")
 
 
-#: Marks that are a pre-token of their own at the end of a chunk.
+#: Marks that are a pre-token of their own after a word at the end of a chunk.
 MARKS = tuple(".,;:!?")
 
 
@@ -55,25 +57,45 @@ def _even(text: str) -> bool:
     return not (text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, UNEVEN)))
 
 
+#: Bytes that byte-level vocabularies write as themselves; the others are written as characters from U+0100 on, in order.
+ITSELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+WRITTEN = np.array([*range(0x100)], "<u4")
+WRITTEN[[x for x in range(0x100) if x not in ITSELF]] = 0x100 + np.arange(0x100 - len(ITSELF))
+SPACE_MARK = chr(WRITTEN[0x20])
+
+
+def _written(pieces: list[str]) -> list[str]:
+    """Pre-tokens in the characters of a byte-level vocabulary; NUL stands between them meanwhile, so none may hold one."""
+    codes = WRITTEN.copy()
+    codes[0] = 0
+    return codes[np.frombuffer("\0".join(pieces).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\0")
+
+
 class Encoder:
     """Little-endian 32-bit ids of whole texts.
 
     The tokenizer never merges across pre-tokens, so what it made of a chunk of text is kept and
     looked up when the chunk comes again. A chunk is what lies between spaces, with the space (or
-    the line end) before it; one that is new is cut into pre-tokens, and those that are new are
-    encoded by the tokenizer, many at a time. Two generations are kept: what isn't met while the
-    younger fills up is forgotten.
+    the line end) before it; new chunks are cut into pre-tokens, which the tokenizer's model
+    encodes. Two generations are kept: what isn't met while the younger fills up is forgotten. A
+    tokenizer of another kind than byte-level pair merges encodes every text whole.
     """
 
     KEPT = 550_000
-    #: New pre-tokens that are encoded as one string.
-    JOINED = 2_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        shape = json.loads(self.tokenizer.to_str())
+        cut, model = shape["pre_tokenizer"] or {}, shape["model"]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        self.by_chunks = model["type"] == "BPE" and plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and shape["normalizer"] is None
+        #: The same merges without a store of words, as known chunks are kept here.
+        self.merge = BPE(model["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0).tokenize if self.by_chunks else None
+        self.names = [i.to_bytes(4, "little") for i in range(1 + max(model["vocab"].values()))] if self.by_chunks else []
         #: Chunks by what follows their space; those without one begin with \0 or the line end.
         self.chunks: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -81,65 +103,64 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens without NUL, written as characters of the vocabulary."""
+        merge, name = self.merge, self.names.__getitem__
+        return [b"".join([name(t.id) for t in merge(p)]) for p in pieces]
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        """Keeps pre-tokens, each as a chunk of its own."""
+        of = {self._key(p): p for p in pieces}
+        new = self._unknown(of)
+        odd = [k for k in new if "\0" in of[k]]
+        self.chunks.update(zip(odd, self._whole([of[k] for k in odd]), strict=True))
+        if new := [k for k in new if "\0" not in of[k]] if odd else new:
+            self.chunks.update(zip(new, self._merged(_written([of[k] for k in new])), strict=True))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Keeps words of letters with a space before them."""
+        if words:
+            self.chunks.update(zip(words, self._merged([SPACE_MARK + w for w in _written(words)]), strict=True))
+
     @staticmethod
     def _key(piece: str) -> str:
         return piece[1:] if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else "\0" + piece
 
-    def _learn_joined(self, keys: list[str], words: list[str], between: str) -> None:
-        """Encodes words as one string each JOINED of them, with a pre-token of its own (or none) between two, and keeps their ids."""
-        step = 2 if between else 1
-        for k in range(0, len(words), self.JOINED):
-            part, names = words[k : k + self.JOINED], keys[k : k + self.JOINED]
-            x = self.tokenizer.encode(between.join(part), add_special_tokens=False)
-            ids, cut = np.array(x.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(x.word_ids))) + 1
-            at = [0, *(4 * cut).tolist(), len(ids)]
-            whole = len(at) == step * (len(part) - 1) + 2
-            self.chunks.update(zip(names, [ids[at[j] : at[j + 1]] for j in range(0, len(at) - 1, step)] if whole else self._whole(part), strict=True))
-
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        """Encodes pre-tokens and keeps them as chunks."""
-        # words split again where they were joined: those that begin with a space anywhere, others at a line end
-        spaced, bare, others = [], [], []
-        for p in pieces:
-            (spaced if p[0] == " " and p[1:].isalpha() else bare if p.isalpha() else others).append(p)
-        self.chunks.update(zip(map(self._key, others), self._whole(others), strict=True))
-        self._learn_joined([p[1:] for p in spaced], spaced, "")
-        self._learn_joined(["\0" + p for p in bare], bare, "\n")
-
-    def _known(self, key: str) -> bool:
-        if key in self.chunks:
-            return True
-        if (ids := self.old.get(key)) is None:
-            return False
-        self.chunks[key] = ids
-        return True
+    def _unknown(self, keys: Iterable[str]) -> list[str]:
+        """Those keys that are not kept; ones that only the older generation has are taken over."""
+        keys = [k for k in keys if k not in self.chunks]
+        if self.old:
+            ids = [*map(self.old.get, keys)]
+            self.chunks.update([(k, i) for k, i in zip(keys, ids, strict=True) if i is not None])
+            keys = [k for k, i in zip(keys, ids, strict=True) if i is None]
+        return keys
 
     def _in_pieces(self, texts: list[str]) -> list[bytes]:
         """By pre-tokens, for texts of the known characters."""
         cut = [PRE_TOKEN.findall(x) for x in texts]
-        self._learn_pieces({p for p in {p for pieces in cut for p in pieces} if not self._known(self._key(p))})
-        return [b"".join([self.chunks[self._key(p)] for p in pieces]) for pieces in cut]
+        self._learn_pieces({p for pieces in cut for p in pieces})
+        known, key = self.chunks, self._key
+        return [b"".join([known[key(p)] for p in pieces]) for pieces in cut]
 
-    def _learn_rest(self, chunks: list[str]) -> None:
-        """Keeps chunks of more than a spaced word; most are a word and a mark, or a line end and a word."""
-        cut = []
+    def _learn(self, chunks: list[str]) -> None:
+        """Keeps chunks; most are a spaced word, or one and a mark."""
+        words, marked, rest = set(), [], []
         for c in chunks:
-            first, rest = (c[0], c[1:]) if c[0] in "\0\n" else (" ", c)
-            if rest[-1:] in MARKS and rest[:-1].isalpha():
-                words = [rest[:-1], rest[-1]]
-            elif rest.isalpha():
-                words = [rest]
+            if c.isalpha():
+                words.add(c)
+            elif c[-1:] in MARKS and c[:-1].isalpha():
+                marked.append(c)
             else:
-                cut.append(PRE_TOKEN.findall(c[1:] if first == "\0" else c if first == "\n" else " " + c))
-                continue
-            if first == "\n":
-                words.insert(0, "\n")
-            elif first == " ":
-                words[0] = " " + words[0]
-            cut.append(words)
-        self._learn_pieces({p for p in {p for pieces in cut for p in pieces} if not self._known(self._key(p))})
+                rest.append(c)
+        words.update([c[:-1] for c in marked])
+        self._learn_words(self._unknown(words))
+        first = {"\0": "", "\n": "\n"}
+        cut = [PRE_TOKEN.findall(first[c[0]] + c[1:] if c[0] in first else " " + c) for c in rest]
+        self._learn_pieces({p for pieces in cut for p in pieces}.union(MARKS))
         known, key = self.chunks, self._key
-        self.chunks.update(zip(chunks, [b"".join([known[key(p)] for p in pieces]) for pieces in cut], strict=True))
+        ends = {m: known[key(m)] for m in MARKS}
+        self.chunks.update([(c, known[c[:-1]] + ends[c[-1]]) for c in marked])
+        self.chunks.update([(c, b"".join([known[key(p)] for p in pieces])) for c, pieces in zip(rest, cut, strict=True)])
 
     def _in_chunks(self, texts: list[str]) -> list[bytes]:
         """By chunks, for texts whose white space is single as well."""
@@ -151,23 +172,26 @@ class Encoder:
             if None in ids:
                 missing.update([c for c, i in zip(chunks, ids, strict=True) if i is None])
             found.append((chunks, ids))
-        new = [c for c in missing if not self._known(c)]
-        words = {" " + c for c in new if c.isalpha()}
-        self._learn_pieces(words)
-        self._learn_rest([c for c in new if not c.isalpha()])
+        self._learn(self._unknown(missing))
         known = self.chunks
         return [b"".join([known[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] if None in ids else ids) for chunks, ids in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_chunks:
+            return self._whole(texts)
         if len(self.chunks) > self.KEPT:
             self.old, self.chunks = self.chunks, {}
         out: list = [b""] * len(texts)
         kinds: dict[str, list[int]] = {"whole": [], "pieces": [], "chunks": []}
         for k, x in enumerate(texts):
             kinds["whole" if not PLAIN.fullmatch(x) else "chunks" if x and _even(x) else "pieces"].append(k)
-        for kind, how in (("whole", self._whole), ("pieces", self._in_pieces), ("chunks", self._in_chunks)):
-            for k, ids in zip(kinds[kind], how([texts[k] for k in kinds[kind]]), strict=True):
-                out[k] = ids
+        gc.disable()  # nothing here makes a cycle, and the collector would go over millions of strings again and again
+        try:
+            for kind, how in (("whole", self._whole), ("pieces", self._in_pieces), ("chunks", self._in_chunks)):
+                for k, ids in zip(kinds[kind], how([texts[k] for k in kinds[kind]]), strict=True):
+                    out[k] = ids
+        finally:
+            gc.enable()
         return out
 
 
@@ -189,15 +213,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def encoded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        known, end, before = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
         for p in parts:
             for k in range(0, p.num_rows, ENCODED_AT_ONCE):
                 rows = p.slice(k, ENCODED_AT_ONCE)
                 ids = [x + end for x in known.encode(rows.column("text").to_pylist())]
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], n.cumsum()]).astype(np.int32), values)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int32)), rows.column("part"), lists], names=["doc_id", "n_tokens", "part", "tokens"])
+                values, at = pa.array(np.frombuffer(b"".join(ids), "<i4")), np.concatenate([[0], n.cumsum()])
+                lists = pa.ListArray.from_arrays(at.astype(np.int32), values)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int32)), rows.column("part"), pa.array(at[:-1] + before), lists], names=["doc_id", "n_tokens", "part", "at", "tokens"])
+                before += int(at[-1])
 
     out = rows.mapInArrow(encoded, SCHEMA).write
     for key, value in {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": 2000, "parquet.dictionary.page.size": 256 << 10}.items():
@@ -210,19 +235,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def _placed(rows: DataFrame, tie: str) -> DataFrame:
-    """rows with start, the number of ids of all documents before. Parts are summed first, so no window spans the table."""
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
+def _placed(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """rows with start, the number of ids of all documents before: those of earlier ranges and those of the range's earlier rows."""
     # one row for each range that was written; their number is that of the writing tasks
-    before = parts.withColumn("before", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    within = Window.partitionBy("part").orderBy("doc_id", tie).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return inside.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("inside"))
+    parts = tokens.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
+    before = parts.select("part", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("at")).withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, from the lengths alone: the files' ids aren't read."""
-    return _placed(tokens.select("doc_id", "part", "n_tokens"), "n_tokens").select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"))
+    return _placed(tokens.select("doc_id", "part", "at", "n_tokens"), tokens).select("doc_id", "start", "n_tokens")
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
@@ -234,6 +257,5 @@ def token_digest(tokens: DataFrame) -> DataFrame:
         flat, at = part.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False), np.concatenate([[0], np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))])
         return pa.array([zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at, at[1:], strict=False)], pa.int64())
 
-    # the digest is taken before rows are placed, so that ids are not shuffled
-    marked = tokens.select("doc_id", "part", "n_tokens", crc("tokens").alias("ids_crc32"))
-    return _placed(marked, "ids_crc32").select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
+    marked = tokens.select("doc_id", "part", "at", "n_tokens", crc("tokens").alias("ids_crc32"))
+    return _placed(marked, tokens).select("doc_id", "start", "n_tokens", "ids_crc32")

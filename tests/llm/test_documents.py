@@ -448,3 +448,31 @@ def test_token_files_odd(spark, odd, none):
     path = scratch(spark, "test-none")
     token_output.write_tokens(none, path, tokenizer_path(), partitions=3)
     assert token_output.token_digest(token_output.read_tokens(spark, path)).count() == 0
+
+
+def test_token_places_of_repeated_and_missing_ids(spark):
+    """Both functions agree with the ids' place in the files, end to end, for ids that repeat or are null."""
+    rows = spark.createDataFrame([(5, "b b b b b"), (5, "a"), (None, "no id here at all"), (None, None), (3, "three, 3."), (5, "a"), (9, "\0odd\0 text")], "doc_id long, text string")
+    path = scratch(spark, "test-places")
+    token_output.write_tokens(rows, path, tokenizer_path(), partitions=3)
+    back = token_output.read_tokens(spark, path)
+    digest, lengths = token_output.token_digest(back).collect(), token_output.offsets(back).collect()
+    assert sorted(map(str, ((r["doc_id"], r["start"], r["n_tokens"]) for r in digest))) == sorted(map(str, map(tuple, lengths)))
+    flat = [i for r in sorted(back.collect(), key=lambda r: (r["part"], r["at"])) for i in r["tokens"]]
+    for r in digest:
+        assert zlib.crc32(np.array(flat[r["start"] : r["start"] + r["n_tokens"]], "<u4").tobytes()) == r["ids_crc32"]
+    order = sorted(digest, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in order] == [None, None, 3, 5, 5, 5, 9] and sum(r["n_tokens"] for r in order) == len(flat)
+    ids = {tuple(x) for x in plain_ids([r["text"] or "" for r in rows.collect()])}
+    assert {tuple(flat[r["start"] : r["start"] + r["n_tokens"]]) for r in digest} == ids
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder, t = token_output.Encoder(path), Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    assert not encoder.by_chunks
+    texts = ["Hello  there, World's end.", "", "x\ny"]
+    assert encoder.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
