@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_store(path: str):
+    """(file system, path in it), for what tasks write or read without Spark's own sources."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def new_folder(path: str) -> None:
+    """Makes a folder for a job's files; one that holds files already is refused."""
+    from pyarrow import fs
+
+    store, folder = open_store(path)
+    store.create_dir(folder, recursive=True)
+    if store.get_file_info(fs.FileSelector(folder)):
+        raise FileExistsError(path)
+
+
+@contextmanager
+def whole_file(path: str):
+    """A stream to a file that gets its name when it is whole.
+
+    A task that is repeated after a loss, or runs twice, leaves one file: what is there under the
+    name already is an earlier attempt's and holds the same records.
+    """
+    from pyarrow import fs
+
+    store, final = open_store(path)
+    folder, _, name = final.rpartition("/")
+    temporary = f"{folder}/_{name}-{uuid.uuid4().hex}"
+    store.create_dir(folder, recursive=True)
+    try:
+        with store.open_output_stream(temporary) as out:
+            yield out
+        if store.get_file_info(final).type == fs.FileType.NotFound:
+            store.move(temporary, final)
+    finally:
+        if store.get_file_info(temporary).type != fs.FileType.NotFound:
+            store.delete_file(temporary)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds of long texts at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

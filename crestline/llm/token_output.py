@@ -21,20 +21,25 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline.llm.shared import short_batches
+from crestline.llm.shared import new_folder, short_batches, whole_file
 
 SCHEMA = "doc_id long, n_tokens int, part int, at long, tokens array<int>"
+LAYOUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("part", pa.int32()), ("at", pa.int64()), ("tokens", pa.list_(pa.field("element", pa.int32())))])
+#: Ids have few values and a dictionary; the other columns are stored as differences.
+FORMAT = {"version": "2.6", "data_page_version": "2.0", "compression": "zstd", "use_dictionary": ["tokens.list.element"], "column_encoding": dict.fromkeys(("doc_id", "n_tokens", "part", "at"), "DELTA_BINARY_PACKED"), "write_page_index": True, "data_page_size": 256 << 10, "max_rows_per_page": 2000, "dictionary_pagesize_limit": 256 << 10}
 ROW_GROUP = 32 << 20
-PAGE = 256 << 10
-#: Texts that are encoded at once, so that unseen pre-tokens are met in bulk.
-ENCODED_AT_ONCE = 500
+#: Characters of text that are encoded at once, so that equal chunks are looked up once and unseen ones are met in bulk.
+CHARS_AT_ONCE = 8 << 20
 
 # The byte-level pre-tokenizer's published pattern, for texts of the characters below U+0250 only.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -126,14 +131,17 @@ class Encoder:
     def _key(piece: str) -> str:
         return piece[1:] if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else "\0" + piece
 
+    def _not_old(self, keys: list[str]) -> list[str]:
+        """Those keys that the older generation hasn't; the others are taken over from it."""
+        if not self.old:
+            return keys
+        ids = [*map(self.old.get, keys)]
+        self.chunks.update([(k, i) for k, i in zip(keys, ids, strict=True) if i is not None])
+        return [k for k, i in zip(keys, ids, strict=True) if i is None]
+
     def _unknown(self, keys: Iterable[str]) -> list[str]:
-        """Those keys that are not kept; ones that only the older generation has are taken over."""
-        keys = [k for k in keys if k not in self.chunks]
-        if self.old:
-            ids = [*map(self.old.get, keys)]
-            self.chunks.update([(k, i) for k, i in zip(keys, ids, strict=True) if i is not None])
-            keys = [k for k, i in zip(keys, ids, strict=True) if i is None]
-        return keys
+        """Those keys that neither generation has."""
+        return self._not_old([k for k in keys if k not in self.chunks])
 
     def _in_pieces(self, texts: list[str]) -> list[bytes]:
         """By pre-tokens, for texts of the known characters."""
@@ -163,18 +171,23 @@ class Encoder:
         self.chunks.update([(c, b"".join([known[key(p)] for p in pieces])) for c, pieces in zip(rest, cut, strict=True)])
 
     def _in_chunks(self, texts: list[str]) -> list[bytes]:
-        """By chunks, for texts whose white space is single as well."""
-        get, found, missing = self.chunks.get, [], set()
-        for x in texts:
-            chunks = x.replace("\n", " \n").split(" ")
-            chunks[0] = "\0" + chunks[0]
-            ids = [*map(get, chunks)]
-            if None in ids:
-                missing.update([c for c, i in zip(chunks, ids, strict=True) if i is None])
-            found.append((chunks, ids))
-        self._learn(self._unknown(missing))
-        known = self.chunks
-        return [b"".join([known[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] if None in ids else ids) for chunks, ids in found]
+        """By chunks, for texts whose white space is single as well. Equal chunks of the texts are looked up once."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pc.replace_substring(pa.array(["\0" + x for x in texts], pa.large_string()), "\n", " \n"), " ")
+        coded = lists.flatten().dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))
+        chunks = joined[0].as_py().split(" ")
+        ids = [*map(self.chunks.get, chunks)]
+        if missing := [c for c, i in zip(chunks, ids, strict=True) if i is None]:
+            self._learn(self._not_old(missing))
+            ids = [self.chunks[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        kept = pa.LargeListArray.from_arrays(np.concatenate([[0], sizes.cumsum()]), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        flat = kept.take(coded.indices).flatten().to_numpy().tobytes()
+        upto = np.concatenate([[0], sizes[coded.indices.to_numpy()].cumsum()])[lists.offsets.to_numpy()]
+        ends = (4 * upto).tolist()
+        return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunks:
@@ -201,33 +214,58 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
-    """Encodes whole texts in ascending doc_id order and writes the format described above.
-
-    The texts are dealt by ranges of doc_id, in one shuffle, before they are encoded.
+def _encoded(parts: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, part: int) -> Iterator[pa.Table]:
+    """Rows of the file format, about CHARS_AT_ONCE characters of text at a time."""
+    known, end, before = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
+    doc_ids, texts, chars = [], [], 0
+    for p in chain(parts, [None]):
+        if p is not None:
+            more = p.column("text").to_pylist()
+            doc_ids.append(p.column("doc_id"))
+            texts += more
+            chars += sum(map(len, more))
+        if not texts or p is not None and chars < CHARS_AT_ONCE:
+            continue
+        ids = [x + end for x in known.encode(texts)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = np.concatenate([[0], n.cumsum()])
+        lists = pa.LargeListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(ids), "<i4"))).cast(LAYOUT.field("tokens").type)
+        yield pa.table([pa.chunked_array(doc_ids).combine_chunks(), pa.array(n.astype(np.int32)), pa.array(np.full(len(n), part, np.int32)), pa.array(at[:-1] + before), lists], schema=LAYOUT)
+        before += int(at[-1])
+        doc_ids, texts, chars = [], [], 0
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> int:
+    """Encodes whole texts in ascending doc_id order, writes the format described above and returns the number of rows.
+
+    The texts are dealt by ranges of doc_id, in one shuffle, before they are encoded. Tasks write
+    their columns as they are, without a detour by rows. A task writes under a name of its own and
+    renames the file when it is whole, so one that is repeated after a loss, or runs twice, leaves
+    one file of the same rows.
     """
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-
-    def encoded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end, before = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
-        for p in parts:
-            for k in range(0, p.num_rows, ENCODED_AT_ONCE):
-                rows = p.slice(k, ENCODED_AT_ONCE)
-                ids = [x + end for x in known.encode(rows.column("text").to_pylist())]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                values, at = pa.array(np.frombuffer(b"".join(ids), "<i4")), np.concatenate([[0], n.cumsum()])
-                lists = pa.ListArray.from_arrays(at.astype(np.int32), values)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int32)), rows.column("part"), pa.array(at[:-1] + before), lists], names=["doc_id", "n_tokens", "part", "at", "tokens"])
-                before += int(at[-1])
-
-    out = rows.mapInArrow(encoded, SCHEMA).write
-    for key, value in {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": 2000, "parquet.dictionary.page.size": 256 << 10}.items():
-        out = out.option(key, value)
-    out.parquet(path)
+    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held, rows = TaskContext.get().partitionId(), [], 0
+        with whole_file(f"{path}/part-{part:05d}.parquet") as out, pq.ParquetWriter(out, LAYOUT, **FORMAT) as file:
+            for some in chain(_encoded(parts, tokenizer, end_id, part), [None]):
+                if some is not None:
+                    held.append(some)
+                    rows += some.num_rows
+                if held and (some is None or sum(x.nbytes for x in held) >= ROW_GROUP):
+                    whole = pa.concat_tables(held)
+                    file.write_table(whole, row_group_size=whole.num_rows)
+                    held = []
+        yield pa.RecordBatch.from_pydict({"rows": [rows]})
+
+    new_folder(path)
+    return rows.mapInArrow(write, "rows long").agg(F.sum("rows")).first()[0] or 0
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm.shared import short_batches
+from crestline.llm.shared import new_folder, open_store, short_batches, whole_file
 
 MAGIC = b"\x1f\x8b\x08"
 ID = "urn:crestline:page:"
@@ -60,12 +60,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def write_archives(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes the rows of with_revisits() to path, a file for each partition, and returns a manifest, which is what sets the work going.
 
@@ -73,24 +67,18 @@ def write_archives(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     a loss replaces its file and never leaves half of one under the final name.
     """
     short_batches(rows.sparkSession)
+    new_folder(path)
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, folder = _open(path)
-        k, n, size = TaskContext.get().partitionId(), 0, 0
-        final, temporary = f"{folder}/part-{k:05d}.warc.gz", f"{folder}/_part-{k:05d}-{uuid.uuid4().hex}"
-        store.create_dir(folder, recursive=True)
-        with store.open_output_stream(temporary) as out:
+        n, size, final = 0, 0, f"{path}/part-{TaskContext.get().partitionId():05d}.warc.gz"
+        with whole_file(final) as out:
             for p in parts:
                 for row in p.to_pylist():
                     whole = record(**row, date=date)
                     out.write(whole)
                     n, size = n + 1, size + len(whole)
-        if n:
-            store.move(temporary, final)
-        else:
-            store.delete_file(temporary)
         yield pa.RecordBatch.from_pylist([{"file": final, "records": n, "bytes": size}])
 
     return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, MANIFEST)
@@ -185,7 +173,7 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
         shape = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split(" ") for x in schema.split(", "))])
         for p in parts:
             for task in p.to_pylist():
-                store, local = _open(task["path"])
+                store, local = open_store(task["path"])
                 with store.open_input_file(local) as file:
                     rows = []
                     for whole in members(file, task["length"], task["start"], task["start"] + range_bytes):
