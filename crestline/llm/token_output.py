@@ -39,7 +39,7 @@ LAYOUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("part", p
 FORMAT = {"version": "2.6", "data_page_version": "2.0", "compression": "zstd", "use_dictionary": ["tokens.list.element"], "column_encoding": dict.fromkeys(("doc_id", "n_tokens", "part", "at"), "DELTA_BINARY_PACKED"), "write_page_index": True, "data_page_size": 256 << 10, "max_rows_per_page": 2000, "dictionary_pagesize_limit": 256 << 10}
 ROW_GROUP = 32 << 20
 #: Characters of text that are encoded at once, so that equal chunks are looked up once and unseen ones are met in bulk.
-CHARS_AT_ONCE = 8 << 20
+CHARS_AT_ONCE = 4 << 20
 
 # The byte-level pre-tokenizer's published pattern, for texts of the characters below U+0250 only.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -86,7 +86,7 @@ class Encoder:
     tokenizer of another kind than byte-level pair merges encodes every text whole.
     """
 
-    KEPT = 550_000
+    KEPT = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
