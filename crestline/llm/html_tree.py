@@ -4,12 +4,12 @@ Every element of the page is a node with one of four states: content, clutter ma
 labels, clutter made of prose (comments, notices, adverts), or a mixture that holds both kinds.
 Potentials join each node to its parent and to what it shows (its tag, the words of its class, id
 and role, how much text it holds, how much of that is links). They are estimated from labelled
-pages by counting, averaged with prior shares for what those pages lack. Sum-product
+pages by counting, on top of prior shares that weigh as much as PSEUDO_NODES nodes. Sum-product
 messages go up and down the tree; a block of text belongs to the page's main text if content is
 the likeliest state of its node.
 
 Labelled pages are pages that mark their main part themselves (article, main): at most max_pages,
-chosen by a hash of the page. A null page counts as empty; a page without text gives an empty
+chosen by a hash of id and page. A null page counts as empty; a page without text gives an empty
 text. Repeated rows give equal results. An empty table gives an empty result, and without any
 labelled page the prior shares alone decide. Columns other than those named are not read.
 """
@@ -26,11 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.shared import short_batches
+from crestline.llm.shared import at_most, drawn, short_batches
 
 MAX_PAGES = 2_000
+#: Weight of the prior shares, in nodes of a state: the more labelled nodes, the less they count.
+PSEUDO_NODES = 500
 CONTENT, LINKS, MIXTURE, PROSE = 0, 1, 2, 3
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)>""", re.S)
+#: A quote opens a value only after an equals sign, as in HTML; elsewhere it is a character like any other. No part gives back what it took.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 # Element kinds of HTML.
@@ -81,6 +84,8 @@ def parse(source: str | None) -> Page:
     page = Page([-1], ["#root"], [0], [0], [0], [])
     stack, links, pieces, linked, at = [0], 0, [], 0, 0
     source = source or ""
+    # no tag ends after the last of these, so none is sought there, and every search stops at a tag's end
+    last = source.rfind(">") + 1
 
     def add(tag: str, hint: int) -> None:
         page.parent.append(stack[-1])
@@ -104,7 +109,7 @@ def parse(source: str | None) -> Page:
         linked = 0
 
     while at < len(source):
-        found = TOKEN.search(source, at)
+        found = TOKEN.search(source, at, last) if at < last else None
         text = source[at : found.start() if found else len(source)]
         if text:
             pieces.append(text)
@@ -135,7 +140,7 @@ def parse(source: str | None) -> Page:
                 if hidden:
                     at = _skipped(source, at, tag)
         elif closing:
-            if any(page.tag[n] == tag for n in stack[1:]):
+            if any(page.tag[n] == tag for n in reversed(stack[1:])):
                 close_block()
                 links = 0
                 while page.tag[stack.pop()] != tag:
@@ -256,11 +261,10 @@ def fit(pages: list[tuple[list[int], np.ndarray, list[int]]]) -> TreeModel:
         t[PROSE] = t[CONTENT]
     prior_edges, prior_tables = prior_shares()
 
-    def mixed(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        n = counts.sum(1, keepdims=True)
-        return np.where(n > 0, (counts / np.where(n > 0, n, 1) + prior) / 2, prior)
+    def learned(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        return (counts + PSEUDO_NODES * prior) / (counts.sum(1, keepdims=True) + PSEUDO_NODES)
 
-    return TreeModel(np.log(mixed(edges, prior_edges)), [w * np.log(mixed(t, p)) for w, t, p in zip(TRUST, tables, prior_tables, strict=True)])
+    return TreeModel(np.log(learned(edges, prior_edges)), [w * np.log(learned(t, p)) for w, t, p in zip(TRUST, tables, prior_tables, strict=True)])
 
 
 def marginals(parents: np.ndarray, depth: np.ndarray, codes: np.ndarray, model: TreeModel) -> np.ndarray:
@@ -268,7 +272,8 @@ def marginals(parents: np.ndarray, depth: np.ndarray, codes: np.ndarray, model:
     lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True), np.squeeze(m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True)), axis))[1]
     belief = sum(t[:, c].T for t, c in zip(model.features, codes.T, strict=True))
     up = np.zeros_like(belief)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if len(depth) else []
+    order = np.argsort(depth, kind="stable")
+    levels = np.split(order, np.searchsorted(depth[order], np.arange(1, depth.max() + 1))) if len(depth) else []
     for nodes in reversed(levels[1:]):
         up[nodes] = lse(model.edges[None] + belief[nodes][:, None, :], 2)
         np.add.at(belief, parents[nodes], up[nodes])
@@ -295,12 +300,10 @@ def extract(sources: list[str | None], model: TreeModel) -> list[str]:
     return ["\n\n".join(t for node, t in p.blocks if best[k + node] == CONTENT) for p, k in zip(pages, first.tolist(), strict=False)]
 
 
-def train(pages: DataFrame, page: str = "html", max_pages: int = MAX_PAGES) -> TreeModel:
-    """Fits the potentials on at most about max_pages pages that mark their main part. Their trees, not their texts, reach the driver."""
-    rows = pages.select(F.col(page).alias("h")).where(F.lower("h").rlike("<(article|main)[\\s>]"))
+def train(pages: DataFrame, page: str = "html", max_pages: int = MAX_PAGES, id_col: str = "page_id") -> TreeModel:
+    """Fits the potentials on at most max_pages pages that mark their main part. Their trees, not their texts, reach the driver."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(page).alias("h")).where(F.lower("h").rlike("<(article|main)[\\s>]"))
     short_batches(pages.sparkSession)
-    share = min(1.0, max_pages / max(1, rows.count()))
-    chosen = rows.where((F.shiftrightunsigned(F.xxhash64("h"), 33) / F.lit(float(1 << 31))) < share)
 
     @F.pandas_udf("struct<parents:array<int>,codes:array<array<int>>,states:array<int>>")
     def trees(part: pd.Series) -> pd.DataFrame:
@@ -311,7 +314,8 @@ def train(pages: DataFrame, page: str = "html", max_pages: int = MAX_PAGES) -> T
             out.append((p.parent, observed(p).tolist(), states) if states else ([], [], []))
         return pd.DataFrame(out, columns=["parents", "codes", "states"])
 
-    got = chosen.select(trees("h").alias("t")).select("t.*").where(F.size("states") > 0).collect()
+    made = drawn(rows, max_pages, "id", "h").select("_draw", trees("h").alias("t")).select("_draw", "t.*").where(F.size("states") > 0)
+    got = at_most(made, max_pages).collect()
     return fit([(list(r["parents"]), np.array([list(c) for c in r["codes"]], np.int64), list(r["states"])) for r in got])
 
 

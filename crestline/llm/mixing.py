@@ -14,11 +14,13 @@ the input other than those named are left alone, but for one named mix, which is
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline.llm.shared import written
+from crestline.llm.shared import free_names, written
 
 MARGINALS = ("source", "lang", "topic")
 #: Cells of one partition while raking, and the most that are broadcast to the documents.
@@ -46,7 +48,8 @@ def tempered(cells: DataFrame, by: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, per_round: int = 5, tolerance: float = 1e-6) -> DataFrame:
     """cells (keys, tokens) with weight: sums of tokens * weight meet the shares of every marginal in targets.
 
-    targets: marginal -> (marginal, target share). Classes without a target get weight 0. The cells'
+    targets: marginal -> (marginal, target share). Classes without a target get weight 0. Targets that
+    the cells can't meet together, or at all, are warned of; the weights are then the nearest found. The cells'
     number is that of the combinations that occur; beyond CELLS_AT_ONCE they are dealt by key.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -68,20 +71,44 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, per_
             worst = max(worst, gap.agg(F.max(F.abs(F.col("now") / max(1, total) - F.col("t")))).first()[0] or 0.0)
         if worst < tolerance:
             break
+    else:
+        warnings.warn(f"the targets can't all be met by these cells: a marginal is off by {worst:.2g} of all tokens after {rounds * per_round} sweeps", stacklevel=2)
+    for m, t in targets.items():
+        if lost := t.where("target > 0").join(cells.where("tokens > 0"), m, "left_anti").count():
+            warnings.warn(f"{lost} classes of {m} have a target but no tokens", stacklevel=2)
     return out.drop(*[f"{m}_target" for m in targets])
 
 
-def calibrated(cells: DataFrame, budget_share: float) -> DataFrame:
-    """cells with keep: weight times one constant, at most 1, so that the expected tokens are budget_share of all (or as near as weights allow)."""
-    heavy = Window.orderBy(F.desc("weight"), *MARGINALS)
-    upto, after = heavy.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.asc("weight"), *[F.desc(m) for m in MARGINALS]).rowsBetween(Window.unboundedPreceding, 0)
-    mass = F.col("tokens") * F.col("weight")
-    budget = F.lit(budget_share) * F.sum("tokens").over(Window.partitionBy())
-    ranked = cells.withColumn("full", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).withColumn("rest", F.sum(mass).over(after)).withColumn("budget", budget)
-    ranked = ranked.withColumn("c", F.when(F.col("rest") > 0, F.greatest(F.lit(0.0), F.col("budget") - F.col("full")) / F.col("rest")).otherwise(F.lit(0.0)))
-    # the first cell, from the heaviest, that the constant leaves below 1 sets it
-    best = ranked.where(F.col("c") * F.col("weight") <= 1).agg(F.max_by("c", F.struct(F.col("weight"), F.col("c"))).alias("constant"))
-    return cells.crossJoin(F.broadcast(best)).withColumn("keep", F.least(F.lit(1.0), F.coalesce(F.col("constant") * F.col("weight"), F.lit(1.0)))).drop("constant")
+def calibrated(cells: DataFrame, budget_share: float, passes: int = 5, steps: int = 32) -> DataFrame:
+    """cells with keep: weight times one constant, at most 1, so that the expected tokens are budget_share of all (or as near as weights allow).
+
+    What a constant spends grows with it, so each pass is one aggregate over the cells for a row of
+    constants, and the next looks between the two that enclose the budget; no window spans the cells.
+    """
+    mass, have = F.col("tokens") * F.col("weight"), F.col("weight") > 0
+    total, reachable, least, most = cells.agg(F.sum("tokens"), F.sum(F.when(have, F.col("tokens"))), F.min(F.when(have, F.col("weight"))), F.max("weight")).first()
+    if not total or not reachable:
+        return cells.withColumn("keep", F.least(F.lit(1.0), F.col("weight")) if not total else F.lit(0.0))
+    budget = budget_share * total
+    if budget >= reachable:
+        return cells.withColumn("keep", F.when(have, 1.0).otherwise(0.0))
+    # at low no cell is kept whole and too little is spent, at high all are
+    low, high = 0.0, 1.0 / least
+    grid = [1.0 / most * (most / least) ** (k / steps) for k in range(steps)] if most > least else []
+    for _ in range(passes):
+        grid = [c for c in grid if low < c < high]
+        if not grid:
+            break
+        tried = cells.crossJoin(F.broadcast(cells.sparkSession.createDataFrame([(c,) for c in grid], "c double")))
+        spent = tried.groupBy("c").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("c") * F.col("weight"))).alias("s")).orderBy("c").collect()
+        for c, x in spent:
+            low, high = (c, high) if x <= budget else (low, min(high, c))
+        grid = [low + (high - low) * k / steps for k in range(1, steps)]
+    # between the two the cells that are kept whole are known, and the constant of the others follows
+    whole = F.lit(low) * F.col("weight") >= 1
+    full, rest = cells.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(whole, 0.0).otherwise(mass))).first()
+    constant = (budget - full) / rest if rest else low
+    return cells.withColumn("keep", F.least(F.lit(1.0), F.lit(float(constant)) * F.col("weight")))
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -97,14 +124,15 @@ def mixed(docs: DataFrame, budget_share: float = 0.5, powers: dict[str, float] |
     """
     tokens = n_tokens(F.col(text))
     keys = F.struct(F.coalesce(F.col(source), F.lit("?")).alias("source"), F.coalesce(F.col(lang), F.lit("?")).alias("lang"), F.coalesce(topic if topic is not None else genre(F.col(text), tokens), F.lit("?")).alias("topic"), tokens.alias("tokens"))
-    marked = docs.withColumn("_mix_keys", keys)
-    cells = written(marked.groupBy(*[F.col(f"_mix_keys.{m}").alias(m) for m in MARGINALS]).agg(F.sum("_mix_keys.tokens").alias("tokens")), "cells")
+    own, cell = free_names(docs, "_mix_keys", "_mix_cell")
+    marked = docs.withColumn(own, keys)
+    cells = written(marked.groupBy(*[F.col(f"{own}.{m}").alias(m) for m in MARGINALS]).agg(F.sum(f"{own}.tokens").alias("tokens")), "cells")
     powers = powers or {"source": 0.5, "lang": 0.7, "topic": 0.7}
     wanted = targets or {m: tempered(cells, m, powers[m]) for m in MARGINALS}
-    fitted = written(calibrated(rake(cells, wanted), budget_share).select(F.struct(*MARGINALS, "weight", "keep").alias("_mix_cell")), "fitted")
+    fitted = written(calibrated(rake(cells, wanted), budget_share).select(F.struct(*MARGINALS, "weight", "keep").alias(cell)), "fitted")
     side = F.broadcast(fitted) if fitted.count() <= CELLS_AT_ONCE else fitted
-    joined = marked.join(side, [F.col(f"_mix_keys.{m}") == F.col(f"_mix_cell.{m}") for m in MARGINALS])
-    keep, weight = F.col("_mix_cell.keep"), F.col("_mix_cell.weight")
+    joined = marked.join(side, [F.col(f"{own}.{m}") == F.col(f"{cell}.{m}") for m in MARGINALS])
+    keep, weight = F.col(f"{cell}.keep"), F.col(f"{cell}.weight")
     sampled = draw(F.col(id_col), seed) < keep
-    full = F.struct("_mix_keys.*", weight.alias("weight"), keep.alias("keep"), sampled.alias("sampled"), F.when(sampled, weight / keep).alias("sample_weight"))
+    full = F.struct(f"{own}.*", weight.alias("weight"), keep.alias("keep"), sampled.alias("sampled"), F.when(sampled, weight / keep).alias("sample_weight"))
     return joined.select(*[F.col(c) for c in docs.columns if c != "mix"], full.alias("mix"))

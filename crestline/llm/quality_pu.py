@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crestline.llm.profile import CLASSES, base_counts, class_counts, words_of
-from crestline.llm.shared import short_batches
+from crestline.llm.shared import at_most, drawn, short_batches
 
-#: Rows of either training sample, at most about; chosen by a hash of the text.
+#: Rows of either training sample, at most; chosen by a hash of id and text.
 MAX_POSITIVES, MAX_UNLABELLED = 8_000, 16_000
 N_FEATURES = len(CLASSES) + 16
 
@@ -113,10 +113,7 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> PuModel:
 
 
 def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    n = rows.count()
-    share = min(1.0, most / max(1, n))
-    chosen = rows.where((F.shiftrightunsigned(F.xxhash64("text"), 33) / F.lit(float(1 << 31))) < share) if share < 1 else rows
-    got = chosen.select(vector(F.col("text"), rows).alias("x")).collect()
+    got = at_most(drawn(rows, most, "id", "text").select("_draw", vector(F.col("text"), rows).alias("x")), most).collect()
     return np.array([r["x"] for r in got]).reshape(-1, N_FEATURES)
 
 

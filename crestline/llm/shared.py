@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -16,13 +15,11 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("crestline.shared.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="crestline-")
-        spark.conf.set("crestline.shared.dir", base)
-    return base.rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir. In local mode, where one machine does all, the warehouse stands in."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -69,7 +66,7 @@ def whole_file(path: str):
     temporary = f"{folder}/_{name}-{uuid.uuid4().hex}"
     store.create_dir(folder, recursive=True)
     try:
-        with store.open_output_stream(temporary) as out:
+        with store.open_output_stream(temporary, compression=None) as out:
             yield out
         if store.get_file_info(final).type == fs.FileType.NotFound:
             store.move(temporary, final)
@@ -85,6 +82,33 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def drawn(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """About ``most`` rows, the same ones whenever asked, with the number that drew them in ``_draw``.
+
+    The draw is a hash of the columns, which name a row and not only its content, so that of
+    copies a part is drawn. What is made of the rows goes through at_most() before it is collected.
+    """
+    n = rows.count()
+    marked = rows.withColumn("_draw", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    return marked.where(F.shiftrightunsigned("_draw", 33) / F.lit(float(1 << 31)) < 1.1 * most / n) if n > most else marked
+
+
+def at_most(rows: DataFrame, most: int) -> DataFrame:
+    """The first rows by draw: a hard bound, also where rows repeat in all that drew them."""
+    return rows.orderBy("_draw").limit(most).drop("_draw")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no column of that name."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_remainder(doc_id: Column) -> Column:
     """crc32 of doc_id as text, mod 5; 0 marks the held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

@@ -9,7 +9,8 @@ Hamming distance of the fingerprints decides.
 
 Texts that are null or have no word have fingerprint zero, linked like any other. Only different
 fingerprints are joined, so equal texts, however many, cost one row. Rows that repeat a doc_id
-each appear in the result. Empty tables give empty results; other columns are not read.
+each appear in the result, with what their own text gives; rows without one link others, and their
+component_id is null only if no row of the component has a doc_id. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,8 +109,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     reps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     pairs = written(near_pairs(reps.select("fp"), radius), "simhash-pairs")
     ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    links = pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("src")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst")
-    classes = reps.join(connected(links), reps["rep"] == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")).join(ends, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # components are those of fingerprints: rows without doc_id, or with a repeated one, neither break nor make a link
+    of = connected(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "fp")
+    placed = written(reps.join(of, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "simhash-classes")
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = placed.join(least, "component").join(ends, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 

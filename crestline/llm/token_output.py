@@ -86,7 +86,7 @@ class Encoder:
     tokenizer of another kind than byte-level pair merges encodes every text whole.
     """
 
-    KEPT = 400_000
+    KEPT = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

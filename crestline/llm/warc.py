@@ -7,7 +7,9 @@ inside its range, wherever they end.
 
 A null payload is empty. Of pages with equal payloads of at least least_bytes, that with the
 largest page_id is the response and the others are revisits of it; rows that repeat that page_id
-are responses too. A null page_id or url gives a record without that field, read back as null. An
+are responses too. Archives of others are read as well: request, metadata and information records
+are passed over, bodies sent in chunks are joined, resources count as responses, NUL between members
+is skipped, and ids that are not ours are null. A null page_id or url gives a record without that field, read back as null. An
 empty table gives an empty folder and reads back as no rows; other columns are not read.
 """
 
@@ -15,9 +17,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,8 @@ from crestline.llm.shared import new_folder, open_store, short_batches, whole_fi
 
 MAGIC = b"\x1f\x8b\x08"
 ID = "urn:crestline:page:"
+#: A field of our own: the url as it was, escaped, where it holds what a header line can't.
+SOURCE_URI = "Crestline-Source-URI"
 LEAST_BYTES = 1000
 #: Bytes of a file that one task scans, and that it reads at a time.
 RANGE_BYTES = 8 << 20
@@ -52,7 +58,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     name = f"{ID}{page_id}" if page_id is not None else uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {digest}").urn
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
+        odd = [c for c in url if c <= " " or c.isspace()]
+        head.append("WARC-Target-URI: " + "".join(quote(c) if c <= " " or c.isspace() else c for c in url))
+        if odd:  # the field above can't say whether an escape stood in the url
+            head.append(f"{SOURCE_URI}: {quote(url)}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{ID}{refers_to}>"]
@@ -88,9 +97,9 @@ class _Window:
     """Bytes of a file by place, read forward in pieces."""
 
     def __init__(self, file, size: int, start: int):
-        self.file, self.size, self.base, self.held = file, size, start, b""
+        self.file, self.size, self.base, self.held = file, size, start, bytearray()
 
-    def upto(self, end: int) -> bytes:
+    def upto(self, end: int) -> bytearray:
         """Reads on until the place end (or the file's end) is held."""
         end = min(end, self.size)
         if (have := self.base + len(self.held)) < end:
@@ -99,7 +108,8 @@ class _Window:
         return self.held
 
     def drop(self, before: int) -> None:
-        self.held, self.base = self.held[before - self.base :], before
+        del self.held[: before - self.base]
+        self.base = before
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
@@ -108,7 +118,7 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     try:
         while not decode.eof:
             held = window.upto(place + 1)
-            piece = held[place - window.base :]
+            piece = bytes(held[place - window.base : place - window.base + READ_BYTES])
             if not piece:
                 return None
             out.append(decode.decompress(piece))
@@ -120,8 +130,11 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     whole, end = b"".join(out), place - len(decode.unused_data)
     if not whole.startswith(b"WARC/1."):
         return None
+    # between members some writers pad with NUL
+    while (pad := window.upto(end + 1)[end - window.base : end - window.base + 1]) == b"\0":
+        end += 1
     after = window.upto(end + 3)[end - window.base : end - window.base + 3]
-    return (whole, end) if not after or after == MAGIC else None
+    return (whole, end) if not pad or after == MAGIC else None
 
 
 def members(file, size: int, start: int, end: int) -> Iterator[bytes]:
@@ -147,19 +160,47 @@ def members(file, size: int, start: int, end: int) -> Iterator[bytes]:
         window.drop(at)
 
 
-def parsed(whole: bytes) -> dict:
-    """Fields of a decoded record, its payload among them (None for revisits)."""
+def _plain(http: bytes, body: bytes) -> bytes:
+    """The body of an HTTP message, its chunks joined if it was sent in chunks."""
+    if not re.search(rb"(?im)^transfer-encoding:.*\bchunked\b", http):
+        return body
+    out, at = [], 0
+    while (line := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:line].split(b";")[0], 16)
+        except ValueError:
+            break
+        if not n:
+            break
+        out.append(body[line + 2 : line + 2 + n])
+        at = line + 4 + n
+    return b"".join(out)
+
+
+def parsed(whole: bytes) -> dict | None:
+    """Fields of a decoded record, its payload among them (None for revisits); None for what holds no page: records of other types."""
     head, _, rest = whole.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    name, refers = fields["warc-record-id"].strip("<>"), fields.get("warc-refers-to", "").strip("<>")
-    revisit = fields["warc-type"] == "revisit"
-    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit", "resource"):
+        return None
+    length = fields.get("content-length", "")
+    block = rest[: int(length)] if length.isdigit() else rest.removesuffix(b"\r\n\r\n")
+    http, payload = (b"", block) if kind == "resource" or not block.startswith(b"HTTP/") else (block.partition(b"\r\n\r\n")[i] for i in (0, 2))
+    payload = _plain(http, payload)
+    name, refers = fields.get("warc-record-id", "").strip("<>"), fields.get("warc-refers-to", "").strip("<>")
+    said = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    revisit, url = kind == "revisit", fields.get("warc-target-uri", "").strip("<>") or None
+    if SOURCE_URI.lower() in fields:
+        url = unquote(fields[SOURCE_URI.lower()])
+    elif "warc-target-uri" in fields and url is None:
+        url = ""
+    number = lambda x: int(x[len(ID) :]) if x.startswith(ID) and x[len(ID) :].lstrip("-").isdigit() else None
     return {
-        "page_id": int(name[len(ID) :]) if name.startswith(ID) else None, "url": fields.get("warc-target-uri"), "payload": None if revisit else payload, "payload_bytes": length if revisit else len(payload),
-        "payload_digest": base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex() if revisit else hashlib.sha1(payload).hexdigest(),
-        "record_type": fields["warc-type"], "refers_to": int(refers[len(ID) :]) if refers.startswith(ID) else None,
+        "page_id": number(name), "url": url, "payload": None if revisit else payload,
+        "payload_bytes": (int(said[1]) if said else None) if revisit else len(payload), "payload_digest": (base64.b32decode(digest).hex() if len(digest) == 32 else digest.lower() or None) if revisit else hashlib.sha1(payload).hexdigest(),
+        "record_type": "revisit" if revisit else "response", "refers_to": number(refers),
     }
 
 
@@ -177,7 +218,8 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
                 with store.open_input_file(local) as file:
                     rows = []
                     for whole in members(file, task["length"], task["start"], task["start"] + range_bytes):
-                        rows.append(parsed(whole))
+                        if (row := parsed(whole)) is not None:
+                            rows.append(row)
                         if len(rows) == 200:
                             yield pa.RecordBatch.from_pylist(rows, schema=shape)
                             rows = []

@@ -59,11 +59,76 @@ def test_language_backs_off_by_order(spark):
     rows = spark.createDataFrame([("the cat sat there", "en")] * 3 + [("der hund steht dort", "de")] * 3, "text string, lang string")
     model = langid.train(rows)
     assert model.langs == ["de", "en"] and "cat" in model.words and "cats" not in model.words
-    assert model.word_row("cats").argmax() == 1 and model.word_row("hunde").argmax() == 0
-    assert model.word_row("щ") is None
+    scorer = langid._Scorer(model)
+    scorer.learn({"cats", "hunde", "щ"})
+    row = lambda w: scorer.table[scorer.rows[w]]
+    assert row("cats").argmax() == 1 and row("hunde").argmax() == 0 and scorer.rows["щ"] == 0
     # the row of an unseen word is the mean over its longest known n-grams
     grams = [g for g in ("\x02cat", "cats", "ats\x03") if g in model.grams]
-    assert np.allclose(model.word_row("cats"), model.table[[model.grams[g] for g in grams]].mean(axis=0))
+    assert np.allclose(row("cats"), model.shares(np.array([model.grams[g] for g in grams])).mean(axis=0))
+
+
+def plain_language(labelled, texts, prior=50.0):
+    """(language, score) of each text by plain dictionaries: words of up to 40 letters, n-grams of every run."""
+    runs = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = [{} for _ in range(5)]  # words, then n-grams by order
+    for text, lang in labelled:
+        for w in runs(text):
+            if len(w) <= 40:
+                counts[0].setdefault(w, {}).setdefault(lang, 0)
+                counts[0][w][lang] += 1
+            padded = f"\x02{w}\x03"
+            for n in (1, 2, 3, 4):
+                for k in range(len(padded) - n + 1):
+                    of = counts[n].setdefault(padded[k : k + n], {})
+                    of[lang] = of.get(lang, 0) + 1
+    langs = sorted({x for _, x in labelled})
+    total = [{x: sum(of.get(x, 0) for of in c.values()) for x in langs} for c in counts]
+
+    def share(o, key):
+        pooled = sum(counts[o][key].values()) / sum(total[o].values())
+        return np.array([np.log((counts[o][key].get(x, 0) + prior * pooled) / (total[o][x] + prior)) for x in langs])
+
+    def row(w, padded):
+        if w in counts[0]:
+            return share(0, w)
+        for n in (4, 3, 2, 1):
+            if known := [g for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) in counts[n] and g not in ("\x02", "\x03")]:
+                return np.mean([share(n, g) for g in known], axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for text in texts:
+        rows = []
+        for w in runs(text or ""):
+            padded = f"\x02{w}\x03"
+            rows += [row(w, padded)] if len(w) <= 40 else [row(None, padded[k : k + 40]) for k in range(0, len(padded) - 3, 37)]
+        if not rows:
+            out.append(("und", 0.0))
+            continue
+        z = np.sum(rows, axis=0) * min(len(rows), 20) / len(rows)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        out.append((langs[int(p.argmax())], float(p.max())))
+    return out
+
+
+def test_language_scores_equal_brute_force(spark, texts):
+    rng = random.Random(11)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    labelled = [(f"the cat {run('abcxyz', 90)} sat there again", "en"), ("der hund steht dort a", "de"), (f"le chat {run('klmnop', 41)} est là", "fr"), ("the the the dog", "en"), (run("qrstuv", 200), "fr")]
+    asked = ["the cats of there", "hunde stehen", run("abcxyz", 120), run("qrstuv", 77) + " the", "x", "", None, "123", "là-bas", labelled[0][0], "щ", "der " * 50]
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(labelled)], "doc_id long, text string, lang string")
+    model = langid.train(rows)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "k long, text string")
+    got = [r["p"] for r in df.select("k", langid.predict(F.col("text"), model, df).alias("p")).orderBy("k").collect()]
+    for (lang, score), g, t in zip(plain_language(labelled, asked), got, asked, strict=True):
+        assert g["score"] == pytest.approx(score, abs=1e-9), t
+        assert g["lang_pred"] == lang or score < 0.5, t
+
+
+def test_every_language_has_a_model(spark):
+    rows = spark.createDataFrame([(k, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} same", f"l{k:03d}") for k in range(230)], "doc_id long, text string, lang string")
+    assert len(langid.train(rows).langs) == 230
 
 
 def test_language_odd(odd, none):
@@ -137,6 +202,15 @@ def test_components_of_long_chains(spark):
     assert got == dict.fromkeys(range(41), 0) | {200: 200, 201: 200, 202: 200}
 
 
+def test_rows_without_id_or_with_a_repeated_one(spark, monkeypatch):
+    """Fingerprints are the nodes: one that only rows without id have links others, and a repeated id joins nothing."""
+    prints = {"a": 0, "b": 7, "c": 63, "d": simhash.signed(0xFFFFFFFF00000000), "e": 1 << 40}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, df, n=3, seed=42: F.element_at(F.create_map(*[F.lit(x) for k, v in prints.items() for x in (k, v)]), text))
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c"), (9, "d"), (9, "e"), (None, "d")], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 0, 1), (0, 7, 1), (3, 63, 1), (9, prints["d"], 9), (0, prints["d"], 9), (9, 1 << 40, 1)], key=str)
+
+
 def test_simhash_odd(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -208,6 +282,33 @@ def test_pu_prior_of_a_known_mixture():
     assert quality_pu.estimate_prior(pos, unl) == pytest.approx(0.7, abs=0.06)
 
 
+def test_sample_is_bounded_and_holds_many_texts(spark):
+    """Nine tenths are one text: the driver gets no more rows than asked for, and the other texts are not lost to it."""
+    rows = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 10 > 0, F.lit("the same text again")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    for most in (50, 500):
+        x = quality_pu._sample(rows, most)
+        assert 0.8 * most <= len(x) <= most
+    alike = spark.range(3_000).select(F.lit(None).cast("long").alias("id"), F.lit("x").alias("text"))
+    assert len(quality_pu._sample(alike, 100)) <= 100
+
+
+def test_pu_risk_equals_the_definition():
+    """The fitted weights are where numeric gradients of the non-negative unbiased risk, written out anew, vanish."""
+    rng = np.random.default_rng(5)
+    pos, unl = rng.normal(1, 1, (300, 3)), np.vstack([rng.normal(1, 1, (200, 3)), rng.normal(-1, 1, (400, 3))])
+    w, b = quality_pu._descend(pos, unl, 1 / 3, True, steps=4_000, rate=0.01)
+    loss = lambda z: np.log1p(np.exp(-z)).mean()
+
+    def risk(t):
+        zp, zu = pos @ t[:3] + t[3], unl @ t[:3] + t[3]
+        negative = loss(-zu) - loss(-zp) / 3
+        return loss(zp) / 3 + max(0.0, negative) + 0.5e-4 * (t[:3] ** 2).sum()
+
+    best = np.append(w, b)
+    near = [risk(best + 0.2 * rng.normal(size=4)) for _ in range(300)]
+    assert risk(best) <= min(near) + 2e-3
+
+
 def test_pu_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (6, 1), (7, 0), (None, 1)], "doc_id long, quality int")
     for model in (quality_pu.train(odd, labels), quality_pu.train(none, labels), quality_pu.train(odd, labels.where("false"))):
@@ -372,6 +473,50 @@ def test_calibration_spends_the_budget(spark):
         assert sum(r["tokens"] * r["keep"] for r in got) == pytest.approx(1_000 * share) and max(r["keep"] for r in got) <= 1
 
 
+def test_calibration_equals_bisection(spark):
+    rng = random.Random(3)
+    rows = [(f"s{k}", "x", "t", rng.randrange(0, 900), rng.choice([0.0, 1e-4, rng.random(), 5 * rng.random(), 80.0])) for k in range(400)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, weight double")
+    total, reach = sum(r[3] for r in rows), sum(r[3] for r in rows if r[4] > 0)
+    for share in (0.01, 0.2, 0.5, 0.75, 0.99):
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(r[3] * min(1.0, c * r[4]) for r in rows) <= share * total else (low, c)
+        got = {r["source"]: r["keep"] for r in mixing.calibrated(cells, share).collect()}
+        assert sum(r[3] * got[r[0]] for r in rows) == pytest.approx(min(share * total, reach), rel=1e-6)
+        if share * total < reach:
+            assert all(got[r[0]] == pytest.approx(min(1.0, low * r[4]), rel=1e-5, abs=1e-9) for r in rows)
+
+
+def test_mixture_equals_brute_force(docs):
+    """Raking and calibration of the given documents, redone in pandas."""
+    got = mixing.mixed(docs, 0.5).select("doc_id", "mix.*").toPandas()
+    cells = got.groupby(["source", "lang", "topic"]).tokens.sum().reset_index()
+    powers, total = {"source": 0.5, "lang": 0.7, "topic": 0.7}, cells.tokens.sum()
+    want = {m: (s := cells.groupby(m).tokens.sum() ** p) / s.sum() for m, p in powers.items()}
+    cells["w"] = 1.0
+    for _ in range(300):
+        for m in powers:
+            now = (cells.tokens * cells.w).groupby(cells[m]).transform("sum")
+            cells["w"] = np.where(now > 0, cells.w * cells[m].map(want[m]) * total / now.where(now > 0, 1), 0.0)
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if (cells.tokens * np.minimum(1, c * cells.w)).sum() <= 0.5 * total else (low, c)
+    both = got.merge(cells[["source", "lang", "topic", "w"]], on=["source", "lang", "topic"])
+    some = both[both.tokens > 0]
+    assert np.allclose(some.weight, some.w, rtol=1e-3, atol=1e-6) and np.allclose(some.keep, np.minimum(1, low * some.w), rtol=1e-3, atol=1e-6)
+
+
+def test_targets_out_of_reach_are_warned_of(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, target double"), "lang": spark.createDataFrame([("x", 0.1), ("y", 0.8), ("z", 0.1)], "lang string, target double")}
+    with pytest.warns(UserWarning) as said:
+        mixing.rake(cells, targets, rounds=2)
+    assert any("can't all be met" in str(w.message) for w in said) and any("classes of lang" in str(w.message) for w in said)
+
+
 def test_mixture_is_calibrated(docs):
     got = mixing.mixed(docs, 0.5).select("doc_id", "mix.*").toPandas()
     assert len(got) == docs.count() and abs((got.tokens * got.keep).sum() / got.tokens.sum() - 0.5) < 1e-6
@@ -386,6 +531,8 @@ def test_mixing_odd(odd, none):
     out = mixing.mixed(odd, 0.5)
     assert out.count() == odd.count() and out.columns == [c for c in odd.columns if c != "mix"] + ["mix"]
     assert {r["mix"]["source"] for r in out.where("doc_id = 2").collect()} == {"?"}
+    clash = mixing.mixed(odd.withColumn("_mix_keys", F.lit("mine")).withColumn("_MIX_CELL", F.lit("mine too")), 0.5)
+    assert {(r["_mix_keys"], r["_MIX_CELL"]) for r in clash.collect()} == {("mine", "mine too")}
     assert mixing.mixed(none).count() == 0
 
 

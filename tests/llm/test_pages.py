@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline.llm import html_tree, warc
-from crestline.llm.shared import scratch, table
+from crestline.llm.shared import open_store, scratch, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -133,3 +133,44 @@ def test_pages_odd(spark, model):
     assert got[1] == got[2] == "" and got[None] == "x" and len(got[3]) == 999_999
     none = odd.where("false")
     assert none.select(html_tree.main_text(F.col("html"), html_tree.train(none), none)).count() == 0
+
+
+def test_foreign_archives(spark):
+    """Information, request and metadata records, chunked bodies, resources, padding and records without our ids."""
+    import gzip
+
+    def member(kind, block, **fields):
+        head = "WARC/1.0\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {"WARC_Type": kind, "WARC_Record_ID": "<urn:uuid:1>", "Content_Length": len(block), **fields}.items())
+        return gzip.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+    body = b"<p>" + b"x" * 5_000 + b"</p>"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (body[:1000], body[1000:])) + b"0\r\n\r\n"
+    plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    data = member("warcinfo", b"software: x\r\n") + member("request", b"GET / HTTP/1.1\r\n\r\n") + member("response", chunked, WARC_Target_URI="<http://a/%20b>") + b"\0" * 700 + member("response", plain, WARC_Target_URI="http://c/") + member("metadata", b"x: y") + member("resource", body) + member("revisit", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Payload_Digest="sha1:" + "A" * 32)
+    path = scratch(spark, "foreign")
+    store, folder = open_store(path)
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(f"{folder}/other.warc.gz", compression=None) as out:
+        out.write(data)
+    for size in (64, 1 << 20):
+        got = warc.read_archives(spark, path, size, payloads=True).collect()
+        assert sorted((r["record_type"], r["url"] or "", r["payload_bytes"] or 0) for r in got) == [("response", "", len(body)), ("response", "http://a/%20b", len(body)), ("response", "http://c/", len(body)), ("revisit", "", 0)]
+        assert {bytes(r["payload"]) for r in got if r["record_type"] == "response"} == {body} and all(r["page_id"] is None for r in got)
+
+
+def test_urls_and_repeated_ids_round_trip(spark):
+    urls = ["http://a/b c", "http://a/b%20c", " tab\there ", "", None, "http://ü/ß\u00a0"]
+    rows = spark.createDataFrame([(5, u, "y" * 2_000, "extra") for u in urls] + [(4, "u", "y" * 2_000, "extra")], "page_id long, url string, html string, first_id string").withColumn("refers_to", F.lit("mine"))
+    got = warc.archived(rows, scratch(spark, "urls")).collect()
+    assert sorted((r["url"] or "?", r["page_id"], r["record_type"], r["refers_to"]) for r in got) == sorted([(u or ("?" if u is None else "?"), 5, "response", None) for u in urls] + [("u", 4, "revisit", 5)])
+
+
+def test_stray_and_many_quotes():
+    import time
+
+    assert [t for _, t in html_tree.parse('<p title="5" tall">Hello there</p><p class="x">Second</p>').blocks] == ["Hello there", "Second"]
+    assert [t for _, t in html_tree.parse("<p title='a > b' x=\"<i>\">One</p>after").blocks] == ["One", "after"]
+    began = time.time()
+    for bad in ('<p ' + '"' * 10_000, '<p ' + 'a="' * 10_000, '<p a="' * 10_000 + '>"', "<" * 100_000, "<!--" * 10_000, "<! " * 10_000, "<a " * 10_000):
+        html_tree.parse(bad + "<p>x")
+    assert time.time() - began < 5
