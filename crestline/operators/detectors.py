@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.operators.episodes import merged, onsets
-from crestline.operators.series import place_among, running_sum
+from crestline.operators.series import SPAN, carried, placed_in, quantiles, ranges_of, running_sum
+from crestline.session import written
 
 
-def difference_score(df: DataFrame, value: str, entity: list[str], position: str = "i") -> DataFrame:
-    """Absolute first difference, 0 at the first row."""
-    w = Window.partitionBy(*entity).orderBy(position)
-    return df.withColumn("difference_score", F.coalesce(F.abs(F.col(value) - F.lag(value).over(w)), F.lit(0.0)))
+def difference_score(df: DataFrame, value: str, entity: list[str], position: str = "i", span: int = SPAN) -> DataFrame:
+    """Absolute first difference, 0 at the first row. Ranges of a series know the last row of those before."""
+    dealt = carried(df.withColumn("_range", F.floor(F.col(position) / span)), entity, "_range", "_last", F.max(F.struct(position, value)), F.max)
+    order = Window.partitionBy(*entity, "_range").orderBy(position)
+    before = F.when(F.row_number().over(order) == 1, F.col(f"_last.{value}")).otherwise(F.lag(value).over(order))
+    return dealt.withColumn("difference_score", F.coalesce(F.abs(F.col(value) - before), F.lit(0.0))).drop("_last", "_range")
 
 
-def running_excess(df: DataFrame, value: str, entity: list[str], position: str = "i") -> DataFrame:
-    """Excess over the largest value so far, 0 at the first row."""
-    before = F.max(value).over(Window.partitionBy(*entity).orderBy(position).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("excess_score", F.coalesce(F.col(value) - before, F.lit(0.0)))
+def running_excess(df: DataFrame, value: str, entity: list[str], position: str = "i", span: int = SPAN) -> DataFrame:
+    """Excess over the largest value so far, 0 at the first row. Ranges of a series know the maximum of those before."""
+    dealt = carried(df.withColumn("_range", F.floor(F.col(position) / span)), entity, "_range", "_most", F.max(value), F.max)
+    before = F.max(value).over(Window.partitionBy(*entity, "_range").orderBy(position).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("excess_score", F.coalesce(F.col(value) - F.greatest(before, F.col("_most")), F.lit(0.0))).drop("_most", "_range")
 
 
 def changepoint_score(df: DataFrame, value: str, entity: list[str], window: int, position: str = "i") -> DataFrame:
@@ -33,28 +37,26 @@ def changepoint_score(df: DataFrame, value: str, entity: list[str], window: int,
 
 
 def conformal_score(df: DataFrame, score: str, train: str) -> DataFrame:
-    """df with tail: the share of training scores at or above each score, (1 + count) / (n + 1). Distinct scores are ranked once."""
-    values = df.groupBy(score).agg(F.count_if(F.col(train)).alias("_k"))
+    """df with tail: the share of training scores at or above each score, (1 + count) / (n + 1); null for a null score. Distinct scores are ranked once."""
+    values = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(train)).alias("_k"))
     ranked = running_sum(values, score, F.col("_k"), "_above", descending=True, inclusive=True).crossJoin(F.broadcast(values.agg(F.sum("_k").alias("_n"))))
-    return df.join(ranked.select(F.col(score).alias("_v"), ((1 + F.col("_above")) / (F.col("_n") + 1)).alias("tail")), df[score] == F.col("_v")).drop("_v")
+    return df.join(ranked.select(F.col(score).alias("_v"), ((1 + F.col("_above")) / (F.col("_n") + 1)).alias("tail")), df[score] == F.col("_v"), "left").drop("_v")
 
 
 def risk_bins(df: DataFrame, score: str, outcome: str, levels: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """(bin, n, risk): mean outcome between score quantiles."""
-    cuts = df.agg(F.percentile(score, F.array(*map(F.lit, levels))).alias("_c"))
+    cuts = quantiles(df, F.col(score), [*levels], []).select(F.col("q").alias("_c"))
     bin_ = F.aggregate("_c", F.lit(0), lambda n, c: n + (F.col(score) > c).cast("int"))
     return df.crossJoin(F.broadcast(cuts)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(outcome).cast("double")).alias("risk"))
 
 
 def order_score(df: DataFrame, score: str, position: str = "i") -> DataFrame:
-    """df with order_score: rank from 0 to 1, ties by position. Ranks come from ranges of the score, not from one task."""
+    """df with order_score: rank from 0 to 1, ties by position, nulls first. Ranks come from ranges of the score, not from one task."""
     n = df.count()
-    cuts = sorted(set(df.agg(F.percentile_approx(score, [k / 32 for k in range(1, 32)], 1000)).first()[0] or []))
-    placed = df.withColumn("_range", place_among(cuts, F.col(score)))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
+    placed = df.withColumn("_range", placed_in(ranges_of(df, F.col(score)), F.col(score)))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(score, position)) - 1
-    return placed.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("order_score", (F.col("_inside") + F.col("_before")) / max(1, n - 1)).drop("_range", "_inside", "_before")
+    out = carried(placed.withColumn("_inside", inside), [], "_range", "_before", F.count("*"), F.sum)
+    return out.withColumn("order_score", (F.col("_inside") + F.coalesce("_before", F.lit(0))) / max(1, n - 1)).drop("_range", "_inside", "_before")
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,12 @@ def benchmark_alarms(df: DataFrame, methods: list[Method], train: str, test: str
     """
     check_methods(methods)
     scores = sorted({m.score for m in methods})
-    cuts = df.where(train).agg(*[F.percentile(m.score, F.lit(m.quantile)).alias(f"_t{k}") for k, m in enumerate(methods)])
+    asked = {name: sorted({m.quantile for m in methods if m.score == name}) for name in scores}
+    cuts = None
+    for name, levels in asked.items():
+        one = quantiles(df.where(train), F.col(name), levels, []).select(*[F.col("q")[levels.index(m.quantile)].alias(f"_t{k}") for k, m in enumerate(methods) if m.score == name])
+        cuts = one if cuts is None else cuts.crossJoin(F.broadcast(one))
+    cuts = written(cuts, "cuts")
     rates = df.where(train).crossJoin(F.broadcast(cuts)).agg(*[F.avg((F.col(m.score) > F.col(f"_t{k}")).cast("double")).alias(f"_r{k}") for k, m in enumerate(methods)])
     fitted = cuts.crossJoin(F.broadcast(rates))
     flags = [F.when((F.col(m.score) > F.round(F.col(f"_t{k}"), 9)) & (F.col(f"_r{k}") <= most_rate), F.lit(m.name)) for k, m in enumerate(methods)]

@@ -6,13 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crestline.operators.series import SPAN, carried
 
-def clustered(hits: DataFrame, run_length: int, entity: list[str], position: str = "i") -> DataFrame:
+
+def spaced(hits: DataFrame, entity: list[str], position: str = "i", span: int = SPAN) -> DataFrame:
+    """hits with distance, to the hit before in the series (null at the first).
+
+    Series are worked through in ranges of span positions; a range knows the last hit of those before.
+    """
+    dealt = carried(hits.withColumn("_range", F.floor(F.col(position) / span)), entity, "_range", "_last", F.max(position), F.max)
+    before = F.lag(position).over(Window.partitionBy(*entity, "_range").orderBy(position))
+    return dealt.withColumn("distance", F.col(position) - F.coalesce(before, "_last")).drop("_last", "_range")
+
+
+def clustered(hits: DataFrame, run_length: int, entity: list[str], position: str = "i", span: int = SPAN) -> DataFrame:
     """Exceedance rows with cluster_id (0-based in each series): a gap of at most run_length samples keeps a cluster together."""
-    order = Window.partitionBy(*entity).orderBy(position)
-    gap = F.col(position) - F.lag(position).over(order) - 1
-    opens = F.when(gap <= run_length, 0).otherwise(1)
-    return hits.withColumn("_opens", opens).withColumn("cluster_id", F.sum("_opens").over(order) - 1).drop("_opens")
+    opens = F.when(F.col("distance") - 1 <= run_length, 0).otherwise(1)
+    dealt = spaced(hits, entity, position, span).withColumn("_range", F.floor(F.col(position) / span)).withColumn("_opens", opens)
+    dealt = carried(dealt, entity, "_range", "_opened", F.sum("_opens"), F.sum)
+    inside = F.sum("_opens").over(Window.partitionBy(*entity, "_range").orderBy(position))
+    return dealt.withColumn("cluster_id", inside + F.coalesce("_opened", F.lit(0)) - 1).select(*hits.columns, "cluster_id")
 
 
 def clusters(hits: DataFrame, run_length: int, entity: list[str], position: str = "i", value: str | None = None) -> DataFrame:
@@ -24,17 +37,20 @@ def clusters(hits: DataFrame, run_length: int, entity: list[str], position: str
 
 def onsets(hits: DataFrame, run_length: int, entity: list[str], position: str = "i") -> DataFrame:
     """The first exceedance of each cluster."""
-    order = Window.partitionBy(*entity).orderBy(position)
-    gap = F.col(position) - F.lag(position).over(order) - 1
-    return hits.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > run_length)).drop("_gap")
+    return spaced(hits, entity, position).where(F.col("distance").isNull() | (F.col("distance") - 1 > run_length)).select(*hits.columns)
 
 
-def merged(intervals: DataFrame, merge_gap: int, entity: list[str]) -> DataFrame:
+def merged(intervals: DataFrame, merge_gap: int, entity: list[str], span: int = SPAN) -> DataFrame:
     """(entity, start, end) of intervals merged while at most merge_gap samples lie between; overlaps and nesting merge too."""
-    order = Window.partitionBy(*entity).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = intervals.withColumn("_open", F.when(F.col("start") - reach - 1 <= merge_gap, 0).otherwise(1)).withColumn("_group", F.sum("_open").over(order))
-    return opened.groupBy(*entity, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
+    dealt = intervals.select(*entity, "start", "end", F.floor(F.col("start") / span).alias("_range"))
+    dealt = carried(dealt, entity, "_range", "_reach", F.max("end"), F.max)
+    order = Window.partitionBy(*entity, "_range").orderBy("start", "end")
+    reach = F.greatest(F.col("_reach"), F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    opened = dealt.withColumn("_at", F.when(F.col("start") - reach - 1 <= merge_gap, None).otherwise(F.col("start")))
+    # a merged interval goes by the start that opened it
+    known = carried(opened, entity, "_range", "_open", F.max("_at"), F.max)
+    group = F.coalesce(F.max("_at").over(order), "_open")
+    return known.withColumn("_group", group).groupBy(*entity, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
 
 
 def covered(intervals: DataFrame, entity: list[str]) -> DataFrame:
@@ -50,3 +66,14 @@ def shifted(intervals: DataFrame, n: int | Column, offset: int) -> DataFrame:
     pieces = F.when(a <= b, F.array(piece(a, b))).otherwise(F.array(piece(F.lit(0).cast("long"), b), piece(a, (n - 1).cast("long"))))
     others = [c for c in intervals.columns if c not in ("start", "end")]
     return intervals.select(*others, F.explode(pieces).alias("_p")).select(*others, "_p.start", "_p.end")
+
+
+def within(df: DataFrame, intervals: DataFrame, name: str, position: str = "i", span: int = 1_000) -> DataFrame:
+    """df with a boolean: does one of the intervals (start, end), which don't overlap, hold the row's position?
+
+    Both sides are dealt into cells of span samples, so the join is on equal keys.
+    """
+    cells = intervals.select("start", "end", F.explode(F.sequence(F.floor(F.col("start") / span), F.floor(F.col("end") / span))).alias("_cell"))
+    spans = cells.groupBy("_cell").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    met = df.withColumn("_cell", F.floor(F.col(position) / span)).join(spans, "_cell", "left")
+    return met.withColumn(name, F.coalesce(F.exists("_spans", lambda s: F.col(position).between(s["start"], s["end"])), F.lit(False))).drop("_cell", "_spans")

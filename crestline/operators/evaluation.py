@@ -125,7 +125,7 @@ def evaluated(alarms: DataFrame, failures: DataFrame, policy: Policy, n: int, pe
     count = lambda k: F.count_if(F.col("kind") == k)
     sums = outcomes(alarms, failures, policy, assigned).agg(count("true_positive").alias("tp"), count("false_alarm").alias("false_alarms"), count("duplicate").alias("duplicates"), count("missed").alias("missed"))
     leads = assigned.agg(F.max("lead").cast("double").alias("earliest_lead"), F.percentile("lead", F.lit(0.5)).alias("median_lead"), F.coalesce(F.sum(F.greatest(F.lit(0), -F.col("lead"))), F.lit(0)).alias("late"))
-    under = covered(alarms.withColumn("_all", F.lit(0)), ["_all"]).agg(F.coalesce(F.sum("samples"), F.lit(0)).alias("time_under_warning"))
+    under = covered(alarms, []).agg(F.coalesce(F.sum("samples"), F.lit(0)).alias("time_under_warning"))
     both = sums.crossJoin(leads).crossJoin(under)
     tp, fa, dup, miss = (F.col(c) for c in ("tp", "false_alarms", "duplicates", "missed"))
     precision = F.when(tp + fa + dup > 0, tp / (tp + fa + dup)).otherwise(F.lit(0.0))

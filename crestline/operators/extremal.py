@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from crestline.operators.episodes import spaced
+from crestline.operators.series import finite, quantiles
 
 
 def gaps(hits: DataFrame, entity: list[str], position: str = "i") -> DataFrame:
     """Exceedances with the distance to the one before (null at the first)."""
-    return hits.withColumn("distance", F.col(position) - F.lag(position).over(Window.partitionBy(*entity).orderBy(position)))
+    return spaced(hits, entity, position)
 
 
 def runs_index(hits: DataFrame, entity: list[str], run_length: int, position: str = "i") -> DataFrame:
@@ -27,13 +29,13 @@ def intervals_index(hits: DataFrame, entity: list[str], position: str = "i") ->
 
 
 def k_gaps_index(hits: DataFrame, sizes: DataFrame, entity: list[str], k: int = 1, position: str = "i") -> DataFrame:
-    """theta of the K-gaps likelihood: the smaller root of its quadratic. sizes: (entity, n) samples of each series."""
+    """theta of the K-gaps likelihood: the smaller root of its quadratic; null where no gap lies between clusters, as there is no estimate. sizes: (entity, n) samples of each series."""
     t = F.when(F.col("distance").isNotNull(), F.greatest(F.col("distance") - 1 - k, F.lit(0)))
     sums = gaps(hits, entity, position).groupBy(*entity).agg(F.count("*").alias("_hits"), F.count_if(t == 0).alias("n0"), F.count_if(t > 0).alias("n1"), F.coalesce(F.sum(t), F.lit(0)).alias("_s"))
     a = F.col("_hits") / F.col("n") * F.col("_s")
     b = F.col("n0") + 2 * F.col("n1") + a
     root = (b - F.sqrt(b * b - 8 * F.col("n1") * a)) / (2 * a)
-    theta = F.when(F.col("n0") + F.col("n1") == 0, None).when(F.col("n1") == 0, F.lit(0.0)).when(F.col("n0") == 0, F.least(F.lit(1.0), 2 * F.col("n1") / a)).otherwise(F.least(F.lit(1.0), root))
+    theta = F.when(F.col("n0") + F.col("n1") == 0, None).when(F.col("n1") == 0, None).when(F.col("n0") == 0, F.least(F.lit(1.0), 2 * F.col("n1") / a)).otherwise(F.least(F.lit(1.0), root))
     return sums.join(sizes, list(entity)).select(*entity, theta.alias("theta"), "n0", "n1")
 
 
@@ -57,12 +59,16 @@ def reciprocal_index(hits: DataFrame, sizes: DataFrame, entity: list[str], block
     return _occupied(hits, sizes, entity, block, position).where("occupied > 0").select(*entity, (F.col("occupied") / F.col("inside")).alias("theta"))
 
 
-def stability(values: DataFrame, quantiles: list[float], run_lengths: list[int], value: str = "value", position: str = "i") -> DataFrame:
-    """(quantile, run_length, threshold, hits, clusters, theta): the runs estimate over a grid, as one plan."""
-    from crestline.operators.series import finite
+def cuts_at(values: DataFrame, x: Column, levels: list[float]) -> DataFrame:
+    """(quantile, threshold) for each level."""
+    found = quantiles(values, x, levels, []).select(F.posexplode("q").alias("k", "threshold"))
+    return found.select(F.element_at(F.array(*map(F.lit, levels)), F.col("k") + 1).alias("quantile"), F.round("threshold", 6).alias("threshold"))
 
+
+def stability(values: DataFrame, levels: list[float], run_lengths: list[int], value: str = "value", position: str = "i") -> DataFrame:
+    """(quantile, run_length, threshold, hits, clusters, theta): the runs estimate over a grid, as one plan."""
     x = finite(F.col(value))
-    cuts = values.agg(F.percentile(x, F.array(*map(F.lit, quantiles))).alias("t")).select(F.posexplode("t").alias("q", "threshold")).select(F.element_at(F.array(*map(F.lit, quantiles)), F.col("q") + 1).alias("quantile"), F.round("threshold", 6).alias("threshold"))
+    cuts = cuts_at(values, x, levels)
     hits = values.crossJoin(F.broadcast(cuts)).where(x > F.col("threshold")).select("quantile", "threshold", position)
     spaced = gaps(hits, ["quantile", "threshold"], position).select("quantile", "threshold", "distance", F.explode(F.array(*map(F.lit, run_lengths))).alias("run_length"))
     opens = F.when(F.col("distance").isNull() | (F.col("distance") - 1 > F.col("run_length")), 1).otherwise(0)

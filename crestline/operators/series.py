@@ -5,7 +5,9 @@ Gaps, run lengths and horizons count samples, so every analysis starts from a de
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,43 @@ def place_among(cuts: list, value: Column) -> Column:
     return F.coalesce(sum((F.when(value >= c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0))
 
 
-def with_position(df: DataFrame, series: Series, ranges: int = 64) -> DataFrame:
+#: Positions (or rows) of a range that one task works through in order.
+SPAN = 1_000_000
+
+
+def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Join condition on equal keys that takes nulls for equal; the right side's columns carry a prefix _k_."""
+    return reduce(Column.__and__, [left[c].eqNullSafe(right[f"_k_{c}"]) for c in keys], F.lit(True))
+
+
+def carried(df: DataFrame, entity: list[str], by: str, name: str, part: Column, merge: Callable[[Column], Column], descending: bool = False) -> DataFrame:
+    """df with ``name``: an aggregate over all rows of the series' earlier ranges (later ones, if descending), null in the first.
+
+    part aggregates a range, merge joins the ranges' parts. Only one row a range meets the others
+    of its series, so a long series, or the one series of a table, is never in one task.
+    """
+    keys = [*entity, by]
+    parts = df.groupBy(*keys).agg(part.alias("_part"))
+    order = Window.partitionBy(*entity).orderBy(F.desc(by) if descending else F.asc(by)).rowsBetween(Window.unboundedPreceding, -1)
+    side = parts.select(*[F.col(c).alias(f"_k_{c}") for c in keys], merge(F.col("_part")).over(order).alias(name))
+    return df.join(side, same_key(df, side, keys), "left").drop(*[f"_k_{c}" for c in keys])
+
+
+def ranges_of(df: DataFrame, number: Column, span: int = SPAN) -> list:
+    """Cut points of a numeric column, so many that a range holds about span rows; the size of the data sets their number."""
+    n = df.count()
+    ranges = -(-n // span)
+    if ranges <= 1:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], max(10_000, 50 * ranges))).first()[0] or []))
+
+
+def placed_in(cuts: list, value: Column) -> Column:
+    """place_among() for any number of cuts."""
+    return place_among(cuts, value) if len(cuts) < 32 else F.when(value.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value)))
+
+
+def with_position(df: DataFrame, series: Series, span: int = SPAN) -> DataFrame:
     """df with a dense 0-based position in each series.
 
     Without an entity, rows are dealt into ranges of the first order column, numbered in each,
@@ -50,30 +88,57 @@ def with_position(df: DataFrame, series: Series, ranges: int = 64) -> DataFrame:
         order = Window.partitionBy(*series.entity).orderBy(*series.order)
         return df.withColumn(series.position, F.row_number().over(order) - 1)
     first = series.order[0]
-    number = F.unix_micros(first) if dict(df.dtypes)[first].startswith("timestamp") and not dict(df.dtypes)[first].endswith("ntz") else F.unix_micros(F.col(first).cast("timestamp")) if dict(df.dtypes)[first].endswith("ntz") else F.col(first).cast("double")
-    keyed = df.withColumn("_key", number)
-    cuts = keyed.agg(F.percentile_approx("_key", [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    placed = keyed.withColumn("_range", place_among(cuts, F.col("_key")))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
+    kind = dict(df.dtypes)[first]
+    number = F.unix_micros(F.col(first).cast("timestamp")) if kind.startswith("timestamp") else F.col(first).cast("double")
+    placed = df.withColumn("_range", placed_in(ranges_of(df, number, span), number))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*series.order)) - 1
-    return placed.withColumn(series.position, inside).join(F.broadcast(before), "_range").withColumn(series.position, F.col(series.position) + F.col("_before")).drop("_range", "_before", "_key")
+    out = carried(placed.withColumn("_inside", inside), [], "_range", "_before", F.count("*"), F.sum)
+    return out.withColumn(series.position, F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_range", "_inside", "_before")
 
 
-def running_sum(df: DataFrame, by: str, amount: Column, name: str, descending: bool = False, inclusive: bool = False, ranges: int = 64) -> DataFrame:
+def running_sum(df: DataFrame, by: str, amount: Column, name: str, descending: bool = False, inclusive: bool = False, span: int = SPAN) -> DataFrame:
     """df with the sum of amount over the rows before each in the order of a numeric column (and the row itself, if inclusive).
 
     For columns of different values. Rows are dealt into ranges, summed within each, and shifted
     by the sums of the ranges before: no window spans the table.
     """
-    cuts = sorted(set(df.agg(F.percentile_approx(by, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []))
-    placed = df.withColumn("_range", place_among(cuts, F.col(by))).withColumn("_amount", amount)
+    placed = df.withColumn("_range", placed_in(ranges_of(df, F.col(by), span), F.col(by))).withColumn("_amount", amount)
     turn = F.desc if descending else F.asc
-    sums = placed.groupBy("_range").agg(F.sum("_amount").alias("_in"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_in").over(Window.orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
-    inside = F.coalesce(F.sum("_amount").over(Window.partitionBy("_range").orderBy(turn(by)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)), F.lit(0))
-    return placed.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_amount", "_inside", "_before")
+    inside = F.sum("_amount").over(Window.partitionBy("_range").orderBy(turn(by)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    out = carried(placed.withColumn("_inside", inside), [], "_range", "_before", F.sum("_amount"), F.sum, descending)
+    return out.withColumn(name, F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_range", "_amount", "_inside", "_before")
+
+
+def quantiles(df: DataFrame, value: Column, levels: list[float], by: list[str], accuracy: int = 10_000) -> DataFrame:
+    """(by, n, q): exact quantiles, by linear interpolation between order statistics, of the finite values of each group.
+
+    Sketches first enclose each quantile between two values; then rows below are counted, and only
+    values in between, about four in ``accuracy``, are sorted. No group's values meet in one place,
+    and a value that many rows share is one row. Groups without a finite value are there, with nulls.
+    """
+    rows = df.select(*by, finite(value.cast("double")).alias("_x"))
+    pad = 2 / accuracy
+    ask = [min(1.0, max(0.0, q + d)) for q in levels for d in (-pad, pad)]
+    rough = rows.groupBy(*by).agg(F.count("_x").alias("n"), F.percentile_approx("_x", ask, accuracy).alias("_a"))
+    bounds = [F.struct(F.lit(q).cast("double").alias("level"), F.col("_a")[2 * k].alias("lo"), F.col("_a")[2 * k + 1].alias("hi"), F.floor((F.col("n") - 1) * F.lit(q)).alias("rank"), ((F.col("n") - 1) * F.lit(q)).alias("at")) for k, q in enumerate(levels)]
+    side = rough.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.array(*bounds).alias("_b"))
+    met = rows.where("_x is not null").join(side, same_key(rows, side, by)) if by else rows.where("_x is not null").crossJoin(F.broadcast(side))
+    each = met.select(*by, "_x", F.explode("_b").alias("b")).select(*by, "_x", "b.*")
+    # values outside the two bounds count, and the nearest of them stays, as an interpolation may need it
+    low, high = F.col("_x") < F.col("lo"), F.col("_x") > F.col("hi")
+    spot = F.when(low, F.lit(-1)).when(high, F.lit(1)).otherwise(F.lit(0))
+    kept = F.when(spot == 0, F.col("_x"))
+    counts = each.groupBy(*by, "level", "rank", "at", spot.alias("_spot"), kept.alias("_v")).agg(F.count("*").alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    here = counts.withColumn("_v", F.when(F.col("_spot") < 0, F.col("_max")).when(F.col("_spot") > 0, F.col("_min")).otherwise(F.col("_v")))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "level").orderBy("_spot", "_v"))
+    ranked = here.withColumn("_upto", upto)
+    holds = lambda r: F.min(F.when(F.col("_upto") > r, F.struct("_spot", "_v")))["_v"]
+    got = ranked.groupBy(*by, "level", "rank", "at").agg(holds(F.col("rank")).alias("_p"), holds(F.col("rank") + 1).alias("_q"))
+    part = F.col("at") - F.col("rank")
+    found = got.select(*[F.col(c).alias(f"_k_{c}") for c in by], "level", F.when(part > 0, F.col("_p") + (F.col("_q") - F.col("_p")) * part).otherwise(F.col("_p")).alias("_z"))
+    wide = found.groupBy(*[f"_k_{c}" for c in by]).agg(F.map_from_entries(F.collect_list(F.struct("level", "_z"))).alias("_m"))
+    out = rough.join(wide, same_key(rough, wide, by), "left") if by else rough.crossJoin(F.broadcast(wide))
+    return out.select(*by, "n", F.array(*[F.col("_m")[F.lit(q).cast("double")] for q in levels]).alias("q"))
 
 
 def split_label(position: Column, n: Column, train: float = 0.6, validation: float = 0.2) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline.operators import detectors, episodes, evaluation, thresholds
+from crestline.operators import detectors, episodes, evaluation, extremal, thresholds
 from crestline.operators.evaluation import Policy
-from crestline.operators.series import Series, with_position
+from crestline.operators.series import Series, running_sum, with_position
 from crestline.plans.registry import query, table
 from crestline.session import written
 
@@ -21,29 +21,28 @@ PER_DAY = 1_000
 
 
 def placed(spark, sf_dir) -> DataFrame:
-    return with_position(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value"), Series((), ("ts", "event_id"))).withColumn("series", F.lit(0))
+    return with_position(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value"), Series((), ("ts", "event_id")))
 
 
 def alarms(spark, sf_dir) -> DataFrame:
     """High values merged over gaps of 5; alarm_id is the start."""
     cut = thresholds.fit_global(table(spark, sf_dir, "events"), "value", 0.98).select("threshold")
-    hits = placed(spark, sf_dir).crossJoin(F.broadcast(cut)).where(thresholds.exceeds(F.col("value"), F.col("threshold"))).select("series", F.col("i").alias("start"), F.col("i").alias("end"))
-    return written(episodes.merged(hits, 5, ["series"]).select(F.col("start").alias("alarm_id"), "start", "end"), "alarms")
+    hits = placed(spark, sf_dir).crossJoin(F.broadcast(cut)).where(thresholds.exceeds(F.col("value"), F.col("threshold"))).select(F.col("i").alias("start"), F.col("i").alias("end"))
+    return written(episodes.merged(hits, 5, []).select(F.col("start").alias("alarm_id"), "start", "end"), "alarms")
 
 
 def failures(spark, sf_dir) -> DataFrame:
-    """Pairs of errors that follow at once and lie above the median; failure_id is the start."""
-    w = Window.partitionBy(F.floor(F.col("i") / 1_000)).orderBy("i")
-    pairs = placed(spark, sf_dir).withColumn("twice", (F.col("event_type") == "error") & (F.lead("event_type").over(w) == "error") & (F.lead("event_type", 2).over(w) == "error"))
-    runs = pairs.where("twice").select("series", F.col("i").alias("start"), (F.col("i") + 2).alias("end"))
-    return written(episodes.merged(runs, 120, ["series"]).select(F.col("start").alias("failure_id"), "start", "end"), "failures")
+    """Three errors that follow at once, merged while at most 120 samples lie between; failure_id is the start."""
+    errors = placed(spark, sf_dir).where("event_type = 'error'").select("i")
+    runs = episodes.merged(errors.select(F.col("i").alias("start"), F.col("i").alias("end")), 0, []).where(F.col("end") - F.col("start") >= 2)
+    return written(episodes.merged(runs, 120, []).select(F.col("start").alias("failure_id"), "start", "end"), "failures")
 
 
 P = "p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events)"
 ALARMS = """cut AS (SELECT round(quantile_cont(value, 0.98), 6) AS t FROM events), ah AS (SELECT i FROM p, cut WHERE value > t),
     ag AS (SELECT i, sum(CASE WHEN i - li - 1 <= 5 THEN 0 ELSE 1 END) OVER (ORDER BY i) AS g FROM (SELECT i, lag(i) OVER (ORDER BY i) AS li FROM ah)),
     a AS (SELECT min(i) AS alarm_id, min(i) AS a_start, max(i) AS a_end FROM ag GROUP BY g)"""
-FAILURES = """fh AS (SELECT i, i + 2 AS e FROM (SELECT i, event_type, lead(event_type) OVER w AS e1, lead(event_type, 2) OVER w AS e2 FROM p WINDOW w AS (PARTITION BY i // 1000 ORDER BY i)) WHERE event_type = 'error' AND e1 = 'error' AND e2 = 'error'),
+FAILURES = """fh AS (SELECT i, i + 2 AS e FROM (SELECT i, event_type, lead(event_type) OVER w AS e1, lead(event_type, 2) OVER w AS e2 FROM p WINDOW w AS (ORDER BY i)) WHERE event_type = 'error' AND e1 = 'error' AND e2 = 'error'),
     fg AS (SELECT i, e, sum(CASE WHEN i - m - 1 <= 120 THEN 0 ELSE 1 END) OVER (ORDER BY i) AS g FROM (SELECT i, e, max(e) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM fh)),
     f AS (SELECT min(i) AS failure_id, min(i) AS f_start, max(e) AS f_end, greatest(0, min(i) - 60) AS w_start, min(i) + 10 AS w_end FROM fg GROUP BY g)"""
 PAIRS = """pr AS (SELECT alarm_id, a_start, a_end, failure_id, f_start, f_start - a_start AS lead, CASE WHEN a_start BETWEEN w_start AND w_end THEN a_start - f_start ELSE least(abs(a_start - w_start), abs(a_start - w_end)) + 10000 END AS cost FROM a, f WHERE a_start <= w_end AND w_start <= a_end)"""
@@ -99,9 +98,8 @@ def optimal_matching(spark, sf_dir):
     t AS (SELECT sum(mid * k) AS r, sum(k) AS a, sum(c - k) AS b FROM r) SELECT round(CASE WHEN a > 0 AND b > 0 THEN (r - a * (a + 1) / 2) / (a * b) END, 6) AS auc, a::BIGINT AS n_inside, b::BIGINT AS n_outside FROM t""",
 )
 def warning_separation(spark, sf_dir):
-    reach = failures(spark, sf_dir).select(F.lit(0).alias("series"), F.greatest(F.lit(0).cast("long"), F.col("start") - 60).alias("start"), F.col("start").alias("end"))
-    inside = episodes.merged(reach, 0, ["series"]).select(F.explode(F.sequence("start", "end")).alias("i")).withColumn("inside", F.lit(True))
-    rows = placed(spark, sf_dir).join(inside, "i", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    reach = failures(spark, sf_dir).select(F.greatest(F.lit(0).cast("long"), F.col("start") - 60).alias("start"), F.col("start").alias("end"))
+    rows = episodes.within(placed(spark, sf_dir), episodes.merged(reach, 0, []), "inside")
     return evaluation.separation(rows, "value", "inside").withColumn("auc", F.round("auc", 6))
 
 
@@ -124,10 +122,12 @@ GAPS, AFTER = [0, 2, 5, 10], [0, 5, 10, 20, 40]
 )
 def tolerance_surface(spark, sf_dir):
     cut = thresholds.fit_global(table(spark, sf_dir, "events"), "value", 0.98).select("threshold")
-    hits = placed(spark, sf_dir).crossJoin(F.broadcast(cut)).where(thresholds.exceeds(F.col("value"), F.col("threshold"))).select("i")
-    spaced = hits.withColumn("_d", F.col("i") - F.lag("i").over(Window.orderBy("i"))).select("i", "_d", F.explode(F.array(*map(F.lit, GAPS))).alias("gap"))
-    groups = spaced.withColumn("_g", F.sum(F.when(F.col("_d") - 1 <= F.col("gap"), 0).otherwise(1)).over(Window.partitionBy("gap").orderBy("i")))
-    found = groups.groupBy("gap", "_g").agg(F.min("i").alias("a_start"), F.max("i").alias("a_end"))
+    hits = placed(spark, sf_dir).crossJoin(F.broadcast(cut)).where(thresholds.exceeds(F.col("value"), F.col("threshold"))).select(F.col("i").alias("start"), F.col("i").alias("end"))
+    found = None
+    for gap in GAPS:
+        one = episodes.merged(hits, gap, []).select(F.lit(gap).alias("gap"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+        found = one if found is None else found.unionByName(one)
+    found = written(found, "merged")
     grid = failures(spark, sf_dir).select(F.col("start").alias("f_start"), F.explode(F.array(*map(F.lit, AFTER))).alias("tolerance"))
     cell = POLICY.horizon + max(AFTER) + 1
     left = found.withColumn("_c", F.explode(F.sequence(F.floor(F.col("a_start") / cell), F.floor(F.col("a_end") / cell))))
@@ -144,8 +144,8 @@ def scored_documents(spark, sf_dir) -> DataFrame:
     """Percentile rank (average of ties) of each labelled document's length, and its quality label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     lengths = docs.groupBy("n_chars").agg(F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = lengths.select("n_chars", ((below + (F.col("c") + 1) / 2) / F.sum("c").over(Window.partitionBy())).alias("p"))
+    total = lengths.agg(F.sum("c").alias("n"))
+    ranks = running_sum(lengths.where("n_chars is not null"), "n_chars", F.col("c"), "below").crossJoin(F.broadcast(total)).select("n_chars", ((F.col("below") + (F.col("c") + 1) / 2) / F.col("n")).alias("p"))
     labels = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", (F.col("quality") == 1).alias("outcome"))
     return docs.join(labels, "doc_id").join(ranks, "n_chars").select("doc_id", "p", "outcome")
 
@@ -178,7 +178,7 @@ GRID = f"""WITH {P}, {FAILURES}, q AS (SELECT unnest(quantile_cont(value, [0.95,
 
 def frontier(spark, sf_dir) -> DataFrame:
     levels = [0.95, 0.97, 0.98, 0.99]
-    cuts = table(spark, sf_dir, "events").agg(F.percentile("value", F.array(*map(F.lit, levels))).alias("t")).select(F.posexplode("t").alias("k", "t")).select(F.element_at(F.array(*map(F.lit, levels)), F.col("k") + 1).alias("quantile"), F.round("t", 6).alias("t"))
+    cuts = extremal.cuts_at(table(spark, sf_dir, "events"), F.col("value"), levels).select("quantile", F.col("threshold").alias("t"))
     hits = placed(spark, sf_dir).crossJoin(F.broadcast(cuts)).where(F.col("value") > F.col("t")).select("quantile", F.col("i").alias("start"), F.col("i").alias("end"))
     found = episodes.merged(hits, 5, ["quantile"])
     numbered = found.withColumn("alarm_id", F.struct("quantile", "start"))
@@ -241,5 +241,5 @@ _COLUMN = {"value": "value", "difference_score": "ds", "excess_score": "es"}
 )
 def benchmark_alarms(spark, sf_dir):
     n = table(spark, sf_dir, "events").count()
-    rows = detectors.running_excess(detectors.difference_score(placed(spark, sf_dir), "value", ["series"]), "value", ["series"])
+    rows = detectors.running_excess(detectors.difference_score(placed(spark, sf_dir), "value", []), "value", [])
     return detectors.benchmark_alarms(rows, METHODS, f"i < {int(0.6 * n)}", f"i >= {int(0.6 * n)}")

@@ -37,13 +37,15 @@ def sizes(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-FIT = "g AS (SELECT round(quantile_cont(value, 0.98), 6) AS t FROM events WHERE isfinite(value)), r AS (SELECT event_type AS regime, CASE WHEN count(*) >= 20 THEN round(quantile_cont(value, 0.98), 6) ELSE (SELECT t FROM g) END AS threshold, count(*) AS n, count(*) >= 20 AS own FROM events WHERE isfinite(value) GROUP BY event_type)"
+#: SQL: thresholds by event type, and what holds for types that weren't fitted or aren't known.
+FIT = """g AS (SELECT round(quantile_cont(value, 0.98) FILTER (isfinite(value)), 6) AS t, count(*) FILTER (isfinite(value)) AS n FROM events),
+    r AS (SELECT coalesce(event_type, '<NA>') AS regime, CASE WHEN count(*) FILTER (isfinite(value)) >= 100 THEN round(quantile_cont(value, 0.98) FILTER (isfinite(value)), 6) ELSE (SELECT t FROM g) END AS threshold, count(*) FILTER (isfinite(value)) AS n, count(*) FILTER (isfinite(value)) >= 100 AS own FROM events GROUP BY ALL)"""
 
 
 @query(
     "flagship_episodes",
     f"""WITH {FIT}, p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events),
-    h AS (SELECT p.i, p.value FROM p JOIN r ON p.event_type = r.regime WHERE p.value > r.threshold AND NOT isnan(p.value)),
+    h AS (SELECT p.i, p.value FROM g, p LEFT JOIN r ON coalesce(p.event_type, '<NA>') = r.regime WHERE p.value > coalesce(r.threshold, g.t) AND NOT isnan(p.value)),
     c AS (SELECT *, sum(CASE WHEN i - lag_i - 1 <= 10 THEN 0 ELSE 1 END) OVER (ORDER BY i) - 1 AS cluster_id FROM (SELECT *, lag(i) OVER (ORDER BY i) AS lag_i FROM h))
     SELECT cluster_id::BIGINT AS cluster_id, min(i) AS start, max(i) AS "end", max(i) - min(i) + 1 AS duration, count(*) AS size, max(value) AS max_value FROM c GROUP BY cluster_id""",
 )
@@ -51,8 +53,8 @@ def flagship_episodes(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     placed = with_position(events, Series((), ("ts", "event_id")))
     fitted = thresholds.fit_regimes(events, "value", "event_type", 0.98)
-    found = thresholds.apply_regimes(placed, fitted, "value", "event_type").where("exceeds").select("i", "value").withColumn("series", F.lit(0))
-    return episodes.clusters(found, 10, ["series"], value="value").select("cluster_id", "start", "end", "duration", "size", "max_value")
+    found = thresholds.apply_regimes(placed, fitted, "value", "event_type").where("exceeds").select("i", "value")
+    return episodes.clusters(found, 10, [], value="value").select("cluster_id", "start", "end", "duration", "size", "max_value")
 
 
 @query("global_threshold", "SELECT round(quantile_cont(value, 0.98), 6) AS threshold, count(*) AS n FROM events WHERE isfinite(value)")
@@ -60,21 +62,34 @@ def global_threshold(spark, sf_dir):
     return thresholds.fit_global(table(spark, sf_dir, "events"), "value", 0.98)
 
 
-@query("regime_thresholds", f"WITH {FIT} SELECT regime, threshold, n, own FROM r")
+@query("regime_thresholds", f"WITH {FIT} SELECT regime, threshold, n, own FROM r UNION ALL SELECT '<ANY>', t, n, false FROM g")
 def regime_thresholds(spark, sf_dir):
     return thresholds.fit_regimes(table(spark, sf_dir, "events"), "value", "event_type", 0.98)
 
 
-@query("regime_exceedances", f"WITH {FIT} SELECT event_id, event_type, value, threshold FROM events JOIN r ON event_type = regime WHERE value > threshold AND NOT isnan(value)")
+@query("regime_exceedances", f"WITH {FIT} SELECT event_id, event_type, value, coalesce(threshold, t) AS threshold FROM g, events LEFT JOIN r ON coalesce(event_type, '<NA>') = regime WHERE value > coalesce(threshold, t) AND NOT isnan(value)")
 def regime_exceedances(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     return thresholds.apply_regimes(events, thresholds.fit_regimes(events, "value", "event_type", 0.98), "value", "event_type").where("exceeds").select("event_id", "event_type", "value", "threshold")
 
 
+@query(
+    "regime_fallback",
+    """WITH e AS (SELECT *, CASE WHEN event_type <> 'view' THEN event_type END AS regime FROM events), f AS (SELECT * FROM e WHERE regime IS NULL OR regime <> 'error'),
+    g AS (SELECT round(quantile_cont(value, 0.95) FILTER (isfinite(value)), 6) AS t FROM f), r AS (SELECT coalesce(regime, '<NA>') AS r, round(quantile_cont(value, 0.95) FILTER (isfinite(value)), 6) AS threshold FROM f GROUP BY ALL HAVING count(*) FILTER (isfinite(value)) >= 100)
+    SELECT event_id, event_type, coalesce(threshold, t) AS threshold FROM g, e LEFT JOIN r ON coalesce(regime, '<NA>') = r WHERE value > coalesce(threshold, t) AND NOT isnan(value)""",
+)
+def regime_fallback(spark, sf_dir):
+    # views have no regime, and no error is among the training rows
+    events = table(spark, sf_dir, "events").withColumn("regime", F.when(F.col("event_type") != "view", F.col("event_type")))
+    fitted = thresholds.fit_regimes(events.where("regime is null or regime <> 'error'"), "value", "regime", 0.95)
+    return thresholds.apply_regimes(events, fitted, "value", "regime").where("exceeds").select("event_id", "event_type", "threshold")
+
+
 @query(
     "component_thresholds",
     """WITH l AS (SELECT l_returnflag AS regime, unnest([{'c': 'l_quantity', 'x': l_quantity}, {'c': 'l_extendedprice', 'x': l_extendedprice}, {'c': 'l_discount', 'x': l_discount}, {'c': 'l_tax', 'x': l_tax}]) AS e FROM lineitem)
-    SELECT e.c AS component, regime, round(quantile_cont(e.x, 0.95), 6) AS threshold, count(*) AS n FROM l GROUP BY ALL""",
+    SELECT e.c AS component, regime, round(quantile_cont(e.x, 0.95), 6) AS threshold, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT e.c, '<ANY>', round(quantile_cont(e.x, 0.95), 6), count(*) FROM l GROUP BY ALL""",
 )
 def component_thresholds(spark, sf_dir):
     return thresholds.fit_components(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag", 0.95)
@@ -138,8 +153,8 @@ def time_under_warning(spark, sf_dir):
 
 @query(
     "circular_shift",
-    f"""WITH {HITS}, {MERGED.format(gap=0)}, s AS (SELECT user_id, (start + 7) % 40 AS a, ("end" + 7) % 40 AS b FROM m WHERE "end" < 40)
-    SELECT user_id, a AS start, b AS "end" FROM s WHERE a <= b UNION ALL SELECT user_id, 0, b FROM s WHERE a > b UNION ALL SELECT user_id, a, 39 FROM s WHERE a > b""",
+    f"""WITH {HITS}, {MERGED.format(gap=0)}, s AS (SELECT user_id, n, (start + 7) % n AS a, (least("end", n - 1) + 7) % n AS b FROM m JOIN n USING (user_id))
+    SELECT user_id, a AS start, b AS "end" FROM s WHERE a <= b UNION ALL SELECT user_id, 0, b FROM s WHERE a > b UNION ALL SELECT user_id, a, n - 1 FROM s WHERE a > b""",
 )
 def circular_shift(spark, sf_dir):
     # around each user's own length; what a span claims beyond the last sample isn't there to be rolled
@@ -165,7 +180,7 @@ def ei_intervals(spark, sf_dir):
     "ei_k_gaps",
     f"""WITH {HITS}, s AS (SELECT user_id, count(*) AS hits, count(*) FILTER (greatest(dist - 2, 0) = 0 AND dist IS NOT NULL) AS n0, count(*) FILTER (dist - 2 > 0) AS n1, coalesce(sum(greatest(dist - 2, 0)) FILTER (dist IS NOT NULL), 0) AS s FROM d GROUP BY user_id),
     k AS (SELECT s.*, hits::DOUBLE / n * s AS a, n0 + 2 * n1 + hits::DOUBLE / n * s AS b FROM s JOIN n USING (user_id))
-    SELECT user_id, round(CASE WHEN n0 + n1 = 0 THEN NULL WHEN n1 = 0 THEN 0.0 WHEN n0 = 0 THEN least(1.0, 2 * n1 / a) ELSE least(1.0, (b - sqrt(b * b - 8 * n1 * a)) / (2 * a)) END, 6) AS theta, n0, n1 FROM k""",
+    SELECT user_id, round(CASE WHEN n0 + n1 = 0 THEN NULL WHEN n1 = 0 THEN NULL WHEN n0 = 0 THEN least(1.0, 2 * n1 / a) ELSE least(1.0, (b - sqrt(b * b - 8 * n1 * a)) / (2 * a)) END, 6) AS theta, n0, n1 FROM k""",
 )
 def ei_k_gaps(spark, sf_dir):
     return extremal.k_gaps_index(hits(spark, sf_dir), sizes(spark, sf_dir), USER).withColumn("theta", F.round("theta", 6))
@@ -190,7 +205,7 @@ def ei_reciprocal_blocks(spark, sf_dir):
 @query(
     "ei_by_regime",
     f"""WITH {FIT}, p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events),
-    d AS (SELECT event_type, i - lag(i) OVER (PARTITION BY event_type ORDER BY i) AS dist FROM p JOIN r ON event_type = regime WHERE value > threshold)
+    d AS (SELECT event_type, i - lag(i) OVER (PARTITION BY event_type ORDER BY i) AS dist FROM g, p LEFT JOIN r ON coalesce(event_type, '<NA>') = regime WHERE value > coalesce(threshold, t) AND NOT isnan(value))
     SELECT event_type, round(sum(CASE WHEN dist IS NULL OR dist - 1 > 10 THEN 1 ELSE 0 END) / count(*), 6) AS theta, count(*) AS n_hits FROM d GROUP BY event_type""",
 )
 def ei_by_regime(spark, sf_dir):
