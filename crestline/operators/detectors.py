@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.operators.episodes import merged, onsets
-from crestline.operators.series import SPAN, carried, placed_in, quantiles, ranges_of, running_sum
+from crestline.operators.series import SPAN, carried, finite, placed_in, quantiles, ranges_of, running_sum
 from crestline.session import written
 
 
@@ -108,3 +109,51 @@ def benchmark_alarms(df: DataFrame, methods: list[Method], train: str, test: str
     for more in out[1:]:
         result = result.unionByName(more)
     return result
+
+
+def suffix_rate(df: DataFrame, score: str, outcome: str, calibration: str) -> DataFrame:
+    """df with risk: the share of outcomes among calibration rows whose score is at least this one; where there is none, the share among all of them.
+
+    Equal scores are one row, and ranges of scores are summed from the top, so nothing is sorted in one place.
+    """
+    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(calibration)).alias("_n"), F.count_if(F.col(calibration) & F.col(outcome)).alias("_e"))
+    upto = running_sum(running_sum(counts, score, F.col("_n"), "_rows", descending=True, inclusive=True), score, F.col("_e"), "_events", descending=True, inclusive=True)
+    whole = F.broadcast(counts.agg((F.sum("_e") / F.sum("_n")).alias("_rate")))
+    side = upto.crossJoin(whole).select(F.col(score).alias("_v"), F.when(F.col("_rows") > 0, F.col("_events") / F.col("_rows")).otherwise(F.col("_rate")).alias("risk"))
+    return df.join(side, df[score] == F.col("_v"), "left").drop("_v")
+
+
+def train_share(df: DataFrame, value: str, train: str) -> DataFrame:
+    """df with share: the part of the training rows at or below each value (empirical distribution); null for a null value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(train)).alias("_n"))
+    side = running_sum(counts, value, F.col("_n"), "_upto", inclusive=True).crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all"))))
+    return df.join(side.select(F.col(value).alias("_v"), (F.col("_upto") / F.col("_all")).alias("share")), df[value] == F.col("_v"), "left").drop("_v")
+
+
+def principal_components(train: DataFrame, columns: list[str], most: int = 3) -> list[list[float]]:
+    """Directions of the largest variance, the first most of them. Missing values count as 0; covariances come from one aggregate, the driver factors a small matrix."""
+    import numpy as np
+
+    x = [F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)) for c in columns]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    one = train.agg(*[F.covar_pop(x[i], x[j]).alias(f"c{k}") for k, (i, j) in enumerate(pairs)]).first()
+    cov = np.zeros((len(x), len(x)))
+    for k, (i, j) in enumerate(pairs):
+        cov[i, j] = cov[j, i] = one[k] or 0.0
+    values, vectors = np.linalg.eigh(cov)
+    return [vectors[:, k].tolist() for k in np.argsort(values)[::-1][: max(1, min(most, len(x)))]]
+
+
+def projection_residual(df: DataFrame, columns: list[str], components: list[list[float]], center: list[float] | None = None, name: str = "residual") -> DataFrame:
+    """df with the mean squared part of each row that the components leave over; not centred unless a center is given. Without components, the mean square."""
+    shift = center or [0.0] * len(columns)
+    x = [F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)) - m for c, m in zip(columns, shift, strict=True)]
+    total = lambda parts: reduce(lambda a, b: a + b, parts)
+    along = [total([v * float(w) for v, w in zip(x, u, strict=True)]) for u in components]
+    rest = [v - total([a * float(u[j]) for a, u in zip(along, components, strict=True)]) if components else v for j, v in enumerate(x)]
+    return df.withColumn(name, total([r * r for r in rest]) / len(columns))
+
+
+def rarest(df: DataFrame, score: str, most: int, tie: list[str]) -> DataFrame:
+    """The rows of the most highest scores: reference states of a rare-state region. Tasks keep their own highest alone."""
+    return df.where(F.col(score).isNotNull()).orderBy(F.desc(score), *tie).limit(most)

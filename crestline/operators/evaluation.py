@@ -174,3 +174,23 @@ def chance_match(alarms: Column, failures: Column, policy: Policy, n: Column) ->
 def joint_utility(detected: Column, false_alarms_per_day: Column, coverage: Column, lead: Column, detection: float = 100.0, per_false_alarm: float = 1.0, under_warning: float = 10.0, lead_reward: float = 5.0, cap: float = 7_200.0) -> Column:
     reward = F.when(detected & lead.isNotNull(), lead_reward * F.least(F.greatest(lead, F.lit(0.0)), F.lit(cap)) / cap).otherwise(F.lit(0.0))
     return F.when(detected, F.lit(detection)).otherwise(F.lit(0.0)) - per_false_alarm * F.coalesce(false_alarms_per_day, F.lit(0.0)) - under_warning * F.coalesce(coverage, F.lit(0.0)) + reward
+
+
+def split_summary(df: DataFrame, split: str, target: str, regime: str) -> DataFrame:
+    """(split, n, positives, regimes): rows, positives and different regimes (a missing one counts as one) of each split."""
+    return df.groupBy(split).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col(target), F.lit(False))).alias("positives"), (F.count_distinct(regime) + F.max(F.col(regime).isNull().cast("int"))).alias("regimes"))
+
+
+def split_calibration(df: DataFrame, split: str, probability: str, outcome: str, bins: int = 10) -> DataFrame:
+    """(split, bin, n, mean_probability, event_rate, low, high) of each split, and its Brier score as the row of bin -1."""
+    rows = df.where(F.col(probability).isNotNull())
+    hit = F.col(outcome).cast("double")
+    each = rows.groupBy(split, bin_of(F.col(probability), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg(probability).alias("mean_probability"), F.avg(hit).alias("event_rate"))
+    low, high = wilson(F.col("event_rate"), F.col("n"))
+    whole = rows.groupBy(split).agg(F.lit(-1).alias("bin"), F.count("*").alias("n"), F.avg(F.pow(F.col(probability) - hit, F.lit(2))).alias("mean_probability"), F.avg(hit).alias("event_rate"))
+    none = F.lit(None).cast("double")
+    return each.withColumn("low", low).withColumn("high", high).unionByName(whole.withColumn("low", none).withColumn("high", none))
+
+
+def rmse(error: Column) -> Column:
+    return F.sqrt(F.avg(error * error))

@@ -78,3 +78,43 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", tie: list[str] | None = N
     rank = F.row_number().over(Window.orderBy(p, *(tie or [])))
     down = Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
     return tests.crossJoin(F.broadcast(m)).withColumn("_rank", rank).withColumn("adjusted", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_m", "_rank")
+
+
+def candidate_patterns(components: list[str], max_lag: int, simultaneous: bool = True) -> list[tuple[str, str, int]]:
+    """(source, target, lag) of all ordered pairs of different components and all lags."""
+    if len(components) < 2 or max_lag < 0:
+        raise ValueError("patterns need two components and a lag of 0 or more")
+    return [(a, b, lag) for a in components for b in components if a != b for lag in range(0 if simultaneous else 1, max_lag + 1)]
+
+
+def lag_detections(hits: DataFrame, entity: list[str], max_lag: int, simultaneous: bool = True, window: int = 64) -> DataFrame:
+    """(entity, source, target, lag, i) wherever a target exceeds lag samples after a source: all patterns of candidate_patterns() in one join.
+
+    hits: (entity, component, i). Positions are dealt into cells; a source meets its own and the next.
+    """
+    size = max(window, max_lag + 1)
+    cell = F.floor(F.col("i") / size)
+    source = hits.select(*entity, F.col("component").alias("source"), "i", F.explode(F.array(cell, cell + 1)).alias("_cell"))
+    target = hits.select(*entity, F.col("component").alias("target"), F.col("i").alias("_ti"), cell.alias("_cell"))
+    lag = (F.col("_ti") - F.col("i")).cast("long")
+    return source.join(target, [*entity, "_cell"]).where((F.col("source") != F.col("target")) & lag.between(0 if simultaneous else 1, max_lag)).select(*entity, "source", "target", lag.alias("lag"), "i")
+
+
+def contained(df: DataFrame, mask: str, window: int, entity: list[str], name: str = "contained", position: str = "i") -> DataFrame:
+    """df with a boolean: are all window rows from this one on there and in the mask?"""
+    ahead = Window.partitionBy(*entity).orderBy(position).rowsBetween(0, window - 1)
+    inside = F.count_if(F.coalesce(F.col(mask), F.lit(False))).over(ahead)
+    return df.withColumn(name, inside == window)
+
+
+def pattern_report(found: DataFrame, entity: list[str], run_length: int = 0) -> DataFrame:
+    """(source, target, lag, n, clusters, theta): detections, clusters of those whose windows lie within run_length, and their ratio."""
+    keys = ["source", "target", "lag"]
+    spans = found.select(*keys, *entity, F.col("i").alias("start"), (F.col("i") + F.col("lag")).alias("end"))
+    groups = merged(spans, run_length, [*keys, *entity]).groupBy(*keys).agg(F.count("*").alias("clusters"))
+    return found.groupBy(*keys).agg(F.count("*").alias("n")).join(groups, keys).withColumn("theta", F.col("clusters") / F.col("n"))
+
+
+def top_patterns(reports: DataFrame, most: int, alpha: float, p: str = "adjusted") -> DataFrame:
+    """At most most patterns that are there and whose adjusted p is at most alpha: least p first, then more detections, shorter lags and the components' names."""
+    return reports.where((F.col(p) <= alpha) & (F.col("n") > 0)).orderBy(p, F.desc("n"), "lag", "source", "target").limit(most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -117,3 +117,29 @@ def families(columns: list[str]) -> dict[str, list[str]]:
     for c in columns:
         out.setdefault(c.split("_", 1)[0], []).append(c)
     return out
+
+
+def deviates(expected: dict[str, object]) -> Column:
+    """Does any column differ from its expected constant? A missing value differs."""
+    from functools import reduce
+
+    return reduce(Column.__or__, [~F.col(c).eqNullSafe(F.lit(v)) for c, v in expected.items()])
+
+
+def unique_columns(df: DataFrame) -> DataFrame:
+    """df, if no column name (whatever its case) is there twice; else ContractError."""
+    names = [c.lower() for c in df.columns]
+    if twice := sorted({c for c in names if names.count(c) > 1}):
+        raise ContractError(f"repeated columns: {', '.join(twice)}")
+    return df
+
+
+def lag_features(df: DataFrame, columns: list[str], lags: list[int], train: str, entity: list[str], position: str = "i") -> DataFrame:
+    """df with column__lag_k: earlier values of the series; where there is none, the training median."""
+    from crestline.operators.series import quantiles
+
+    w, out = Window.partitionBy(*entity).orderBy(position), df
+    for c in columns:
+        median = quantiles(df.where(train), F.col(c), [0.5], []).select(F.col("q")[0].alias("_median"))
+        out = out.crossJoin(F.broadcast(median)).withColumns({f"{c}__lag_{k}": F.coalesce(F.lag(c, k).over(w).cast("double"), "_median") for k in lags}).drop("_median")
+    return out
