@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crestline.operators.episodes import merged, shifted
 from crestline.operators.evaluation import Policy
 
-#: Families by what they do with which alarms: observed ones or those of a rarer score, at random places or rolled around.
-FAMILIES = {"random_occupancy": ("observed", "random"), "time_shift": ("observed", "roll"), "rare_region": ("rare", "random"), "episode_permutation": ("observed", "step"), "source_permutation": ("observed", "random"), "phase_randomised": ("rare", "roll")}
+@dataclass(frozen=True)
+class Family:
+    """A kind of control: which alarms it takes and how it places them.
+
+    rare: the alarms of a rarer score in place of the observed ones, where there are any.
+    place: anywhere (each alarm on its own), together (all by one random offset), in_turn (all by
+    offsets that share the series out evenly among the draws).
+    """
+
+    name: str
+    place: str = "anywhere"
+    rare: bool = False
+
+
+#: Controls that differ in one thing each.
+FAMILIES = (Family("scattered"), Family("turned", "together"), Family("stepped", "in_turn"), Family("scattered_rare", rare=True), Family("turned_rare", "together", True))
 
 
 def _uniform(*keys) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
 
 
-def drawn(observed: DataFrame, rare: DataFrame, n: int, draws: int, seed: int = 7, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
+def drawn(observed: DataFrame, rare: DataFrame, n: int, draws: int, seed: int = 7, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
     """(family, draw, start, end) of all draws of all families: one plan, merged within each draw.
 
-    observed, rare: (start, end) alarms of a series of n samples. Random places are hashes of
-    (seed, family, draw, alarm), so a lost task draws the same again.
+    observed, rare: (start, end) alarms of a series of n samples; without a rare alarm the observed
+    ones serve. Random places are hashes of (seed, family, draw, alarm), so a lost task draws the
+    same again.
     """
-    sources = observed.select(F.lit("observed").alias("source"), "start", "end").unionByName(rare.select(F.lit("rare").alias("source"), "start", "end"))
-    plan = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(FAMILIES[f][0]).alias("of"), F.lit(FAMILIES[f][1]).alias("how")) for f in families]))
-    rows = sources.withColumn("p", plan).where("source = p.of").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rows = rows.select(F.col("p.family").alias("family"), F.col("p.how").alias("how"), "draw", "start", "end")
-    placed = F.floor(_uniform(F.lit(seed), "family", "draw", "start") * n)
-    random = rows.where("how = 'random'").select("family", "draw", placed.alias("start"), F.least(F.lit(n - 1), placed + (F.col("end") - F.col("start"))).alias("end"))
-    step = (F.col("draw") + 1) * max(1, n // draws) % n
-    roll = F.floor(1 + _uniform(F.lit(seed), "family", "draw") * (n - 1))
-    moved = rows.where("how <> 'random'").withColumn("_by", F.when(F.col("how") == "step", step).otherwise(roll))
-    rolled = shifted(moved.withColumns({c: F.col(c) + F.col("_by") for c in ("start", "end")}).drop("_by", "how"), n, 0)
-    return merged(random.unionByName(rolled.select("family", "draw", "start", "end")), 0, ["family", "draw"])
+    rare = observed if rare.isEmpty() else rare
+    sources = observed.select(F.lit(False).alias("rare"), "start", "end").unionByName(rare.select(F.lit(True).alias("rare"), "start", "end"))
+    plan = F.explode(F.array(*[F.struct(F.lit(f.name).alias("family"), F.lit(f.place).alias("place"), F.lit(f.rare).alias("of")) for f in families]))
+    rows = sources.withColumn("p", plan).where("rare = p.of").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("p.family", "p.place", "draw", "start", "end")
+    spot = F.floor(_uniform(F.lit(seed), "family", "draw", "start") * n)
+    alone = rows.where("place = 'anywhere'").select("family", "draw", spot.alias("start"), F.least(F.lit(n - 1), spot + (F.col("end") - F.col("start"))).alias("end"))
+    offset = F.when(F.col("place") == "in_turn", (F.col("draw") + 1) * max(1, n // draws) % n).otherwise(F.floor(1 + _uniform(F.lit(seed), "family", "draw") * (n - 1)))
+    moved = rows.where("place <> 'anywhere'").select("family", "draw", *[(F.col(c) + offset).alias(c) for c in ("start", "end")])
+    return merged(alone.unionByName(shifted(moved, n, 0)), 0, ["family", "draw"])
 
 
 def judged(alarms: DataFrame, failures: DataFrame, keys: list[str], policy: Policy, n: int, per_day: int) -> DataFrame:

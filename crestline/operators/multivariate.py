@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.operators.episodes import merged
+from crestline.operators.series import carried, placed_in, ranges_of, running_sum
 
 
 def simultaneous(flags: DataFrame, components: list[str]) -> DataFrame:
@@ -73,11 +74,19 @@ def right_tail(observed: DataFrame, nulls: DataFrame, keys: list[str], replicate
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", tie: list[str] | None = None) -> DataFrame:
-    """tests with adjusted: the running minimum of p * m / rank from the largest p down, at most 1."""
-    m = tests.agg(F.count(p).alias("_m"))
-    rank = F.row_number().over(Window.orderBy(p, *(tie or [])))
-    down = Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return tests.crossJoin(F.broadcast(m)).withColumn("_rank", rank).withColumn("adjusted", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_m", "_rank")
+    """tests with adjusted: the running minimum of p * m / rank from the largest p down, at most 1; null for a null p.
+
+    Equal p share the rank of the last of them, which gives the same minimum whatever their order (tie). Distinct p are
+    ranked and gone through in ranges, so no window spans the tests.
+    """
+    counts = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    ranked = running_sum(counts, "_p", F.col("_c"), "_rank", inclusive=True).crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_m"))))
+    raw = ranked.withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_rank"))
+    dealt = raw.withColumn("_range", placed_in(ranges_of(raw, F.col("_p")), F.col("_p")))
+    dealt = carried(dealt, [], "_range", "_later", F.min("_raw"), F.min, descending=True)
+    here = F.min("_raw").over(Window.partitionBy("_range").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    side = dealt.select("_p", F.least(F.lit(1.0), here, "_later").alias("adjusted"))
+    return tests.join(side, tests[p] == F.col("_p"), "left").drop("_p")
 
 
 def candidate_patterns(components: list[str], max_lag: int, simultaneous: bool = True) -> list[tuple[str, str, int]]:

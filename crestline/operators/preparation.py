@@ -33,12 +33,12 @@ def with_aliases(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return df.withColumns({new: F.col(old) for old, new in aliases.items() if old in df.columns and new not in df.columns})
 
 
-def label_intervals(df: DataFrame, intervals: DataFrame, timestamp: str) -> DataFrame:
+def label_intervals(df: DataFrame, intervals: DataFrame, timestamp: str, most_broadcast: int = 10_000) -> DataFrame:
     """df with is_failure and failure_type: the interval (start, end, kind, rank) of the highest rank that holds the timestamp.
 
     Intervals are labelled failures: a table kept by people, whose size is checked before it is broadcast.
     """
-    few = intervals.count() <= 10_000
+    few = intervals.count() <= most_broadcast
     side = intervals.select(F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("kind").alias("_kind"), F.col("rank").alias("_rank"))
     if few:
         table = side.agg(F.collect_list(F.struct("_rank", "_s", "_e", "_kind")).alias("_all"))
@@ -48,7 +48,7 @@ def label_intervals(df: DataFrame, intervals: DataFrame, timestamp: str) -> Data
     dealt = side.withColumn("_day", F.explode(F.sequence(day("_s"), day("_e"), F.expr("interval 1 day"))))
     keyed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_day", day(timestamp))
     best = keyed.select("_id", "_day", timestamp).join(dealt, "_day").where(F.col(timestamp).between(F.col("_s"), F.col("_e"))).groupBy("_id").agg(F.max_by("_kind", "_rank").alias("failure_type"), F.lit(True).alias("is_failure"))
-    return keyed.join(best, "_id", "left").withColumn("is_failure", F.coalesce("is_failure", F.lit(False))).drop("_id", "_day")
+    return keyed.join(best, "_id", "left").select(*df.columns, F.coalesce("is_failure", F.lit(False)).alias("is_failure"), "failure_type")
 
 
 def increments(df: DataFrame, counters: list[str], entity: list[str], order: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crestline.operators.series import finite, quantiles, running_sum
 from crestline.operators.statespace import nearest, observable
+from crestline.session import written
 
 #: Prototypes of a region.
 MOST_PROTOTYPES = 16
@@ -62,7 +63,7 @@ def scales_of(train: DataFrame, features: list[str]) -> DataFrame:
     spread = F.col("q")[2] - F.col("q")[0]
     each = q.select("k", F.col("q")[1].alias("center"), F.when(spread != 0, spread).otherwise(F.lit(1.0)).alias("scale"))
     ordered = F.array_sort(F.collect_list(F.struct("k", "center", "scale")))
-    return each.agg(ordered.alias("o")).select(F.col("o.center").alias("_center"), F.col("o.scale").alias("_scale"))
+    return written(each.agg(ordered.alias("o")).select(F.col("o.center").alias("_center"), F.col("o.scale").alias("_scale")), "scales")
 
 
 def standardised(df: DataFrame, features: list[str], scales: DataFrame, name: str = "state") -> DataFrame:
@@ -91,12 +92,12 @@ def fit_region(train: DataFrame, features: list[str], label: str, key: str, quan
     failing = train.where(F.col(label))
     for w in whole:
         failing = failing.where(w)
-    picked = evenly_picked(failing.select(F.col(key).alias("ref_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("raw")), "ref_id")
+    picked = written(evenly_picked(failing.select(F.col(key).alias("ref_id"), F.array(*[F.col(c).cast("double") for c in features]).alias("raw")), "ref_id"), "prototypes")
     if picked.isEmpty():
         return None
     d = distances(train, features, scales, picked, key)
     cut = quantiles(d, F.col("distance"), [1 - quantile], []).select(F.col("q")[0].alias("_threshold"))
-    return scales.crossJoin(cut), picked
+    return written(scales.crossJoin(cut), "region"), picked
 
 
 def distances(df: DataFrame, features: list[str], scales: DataFrame, prototypes: DataFrame, key: str) -> DataFrame:
@@ -122,6 +123,7 @@ def transferred(source: DataFrame, train: DataFrame, test: DataFrame, features:
     (far_params, far_refs), (own_params, own_refs) = far, own
     here = own_params.select("_center", "_scale")
     moved = quantiles(distances(train, features, here, far_refs, key), F.col("distance"), [1 - quantile], []).select(F.col("q")[0].alias("_threshold"))
+    moved = written(moved, "threshold")
     plans = {"direct": (far_params, far_refs), "rescaled": (here.crossJoin(far_params.select("_threshold")), far_refs), "recalibrated": (here.crossJoin(moved), far_refs), "refit": (own_params, own_refs)}
     out = None
     for protocol in PROTOCOLS:

@@ -90,8 +90,11 @@ def with_position(df: DataFrame, series: Series, span: int = SPAN) -> DataFrame:
     first = series.order[0]
     kind = dict(df.dtypes)[first]
     number = F.unix_micros(F.col(first).cast("timestamp")) if kind.startswith("timestamp") else F.col(first).cast("double")
-    placed = df.withColumn("_range", placed_in(ranges_of(df, number, span), number))
+    cuts = ranges_of(df, number, span)
+    placed = df.withColumn("_range", placed_in(cuts, number))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*series.order)) - 1
+    if not cuts:  # one range, whose numbers are those of the table
+        return placed.withColumn(series.position, inside.cast("long")).drop("_range")
     out = carried(placed.withColumn("_inside", inside), [], "_range", "_before", F.count("*"), F.sum)
     return out.withColumn(series.position, F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_range", "_inside", "_before")
 
@@ -102,9 +105,12 @@ def running_sum(df: DataFrame, by: str, amount: Column, name: str, descending: b
     For columns of different values. Rows are dealt into ranges, summed within each, and shifted
     by the sums of the ranges before: no window spans the table.
     """
-    placed = df.withColumn("_range", placed_in(ranges_of(df, F.col(by), span), F.col(by))).withColumn("_amount", amount)
+    cuts = ranges_of(df, F.col(by), span)
+    placed = df.withColumn("_range", placed_in(cuts, F.col(by))).withColumn("_amount", amount)
     turn = F.desc if descending else F.asc
     inside = F.sum("_amount").over(Window.partitionBy("_range").orderBy(turn(by)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    if not cuts:
+        return placed.withColumn(name, F.coalesce(inside, F.lit(0))).drop("_range", "_amount")
     out = carried(placed.withColumn("_inside", inside), [], "_range", "_before", F.sum("_amount"), F.sum, descending)
     return out.withColumn(name, F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_range", "_amount", "_inside", "_before")
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from crestline.operators.series import SPAN, carried
 
 
 def overview(n: int, alarms: DataFrame, failures: DataFrame, exceedances: DataFrame, bins: int = 240) -> DataFrame:
@@ -30,14 +33,13 @@ def overview(n: int, alarms: DataFrame, failures: DataFrame, exceedances: DataFr
 def local_trace(rows: DataFrame, alarms: DataFrame, onset: int, before: int, after: int, horizon: int, position: str = "i") -> DataFrame:
     """Rows near a failure's onset with the start of the alarm that holds them (null: none) and whether they lie in its warning window."""
     near = rows.where(F.col(position).between(onset - before, onset + after))
-    held = alarms.where((F.col("end") >= onset - before) & (F.col("start") <= onset + after)).select(F.col("start").alias("alarm_start"), F.explode(F.sequence(F.greatest("start", F.lit(onset - before)), F.least("end", F.lit(onset + after)))).alias(position))
-    return near.join(held, position, "left").withColumn("in_window", F.col(position).between(onset - horizon, onset))
+    held = F.broadcast(alarms.where((F.col("end") >= onset - before) & (F.col("start") <= onset + after)).agg(F.collect_list(F.struct("start", "end")).alias("_held")))
+    return near.crossJoin(held).withColumn("alarm_start", F.get(F.filter("_held", lambda a: F.col(position).between(a["start"], a["end"])), F.lit(0))["start"]).drop("_held").withColumn("in_window", F.col(position).between(onset - horizon, onset))
 
 
 def last_before(alarms: DataFrame, failures: DataFrame) -> DataFrame:
-    """(failure_id, alarm_start, alarm_end): each failure's last alarm that starts at or before its onset, by one pass over both in order."""
-    from pyspark.sql.window import Window
-
+    """(failure_id, alarm_start, alarm_end): each failure's last alarm that starts at or before its onset, by one pass over both in ranges of their starts."""
     both = alarms.select(F.col("start").alias("at"), F.lit(0).alias("turn"), F.struct("start", "end").alias("alarm"), F.lit(None).cast("long").alias("failure_id")).unionByName(failures.select(F.col("start").alias("at"), F.lit(1).alias("turn"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("alarm"), "failure_id"))
-    latest = F.last("alarm", ignorenulls=True).over(Window.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_latest", latest).where("turn = 1").select("failure_id", F.col("_latest.start").alias("alarm_start"), F.col("_latest.end").alias("alarm_end"))
+    dealt = carried(both.withColumn("_range", F.floor(F.col("at") / SPAN)), [], "_range", "_before", F.max("alarm"), F.max)
+    here = F.last("alarm", ignorenulls=True).over(Window.partitionBy("_range").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_latest", F.coalesce(here, "_before")).where("turn = 1").select("failure_id", F.col("_latest.start").alias("alarm_start"), F.col("_latest.end").alias("alarm_end"))

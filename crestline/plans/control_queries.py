@@ -21,7 +21,7 @@ STEPS = f"""WITH {P}, {ALARMS}, {FAILURES}, n AS (SELECT count(*) AS n FROM even
 def stepped(spark, sf_dir):
     n = table(spark, sf_dir, "events").count()
     seen = alarms(spark, sf_dir).select("start", "end")
-    draws = controls.drawn(seen, seen, n, DRAWS, families=("episode_permutation",))
+    draws = controls.drawn(seen, seen, n, DRAWS, families=(controls.Family("stepped", "in_turn"),))
     return controls.judged(draws, failures(spark, sf_dir), ["family", "draw"], POLICY, n, PER_DAY), n, seen
 
 

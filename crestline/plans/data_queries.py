@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crestline.operators import detectors, multivariate, preparation, regimes, statespace, thresholds, transfer
-from crestline.operators.series import Series, split_label, with_position
+from crestline.operators.series import Series, running_sum, split_label, with_position
 from crestline.plans.episode_queries import BY_USER, USER, by_user
 from crestline.plans.registry import query, table
 
@@ -221,16 +221,27 @@ def lagged_pattern_clusters(spark, sf_dir):
 NULLS = 19
 
 
+def one_axis(spark, sf_dir) -> DataFrame:
+    """component_flags() with suppliers after each other: each begins where those of smaller keys end."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    begins = running_sum(counts, "l_suppkey", F.col("n"), "begin").select("l_suppkey", "begin")
+    return component_flags(spark, sf_dir).join(begins, "l_suppkey").withColumn("i", F.col("begin") + F.col("i")).drop("begin")
+
+
+#: SQL: exceedances on that axis, of m samples.
+AXIS = "bg AS (SELECT l_suppkey, sum(count(*)) OVER (ORDER BY l_suppkey) - count(*) AS begin FROM lineitem GROUP BY l_suppkey), y AS (SELECT component, (begin + i)::BIGINT AS i FROM x JOIN bg USING (l_suppkey)), m AS (SELECT count(*) AS m FROM lineitem)"
+
+
 @query(
     "time_shift_null",
-    f"""WITH {FLAGS}, {LONG}, n AS (SELECT count(*) AS n FROM lineitem), p AS (SELECT component, l_suppkey * 1000 + i % 1000 AS i FROM x), y AS (SELECT DISTINCT component, i FROM p), m AS (SELECT max(i) + 1 AS m FROM y),
+    f"""WITH {FLAGS}, {LONG}, {AXIS},
     r AS (SELECT replicate, component, (i + (CASE component WHEN 'l_quantity' THEN 0 WHEN 'l_extendedprice' THEN 37 WHEN 'l_discount' THEN 101 ELSE 211 END) * replicate) % m AS i FROM y, m, (SELECT unnest(range(0, {NULLS + 1})) AS replicate)),
     j AS (SELECT a.replicate, a.component AS source, b.component AS target, count(*) AS n FROM r a JOIN r b ON a.replicate = b.replicate AND a.i = b.i AND a.component < b.component GROUP BY ALL)
     SELECT o.source, o.target, o.n, round((1 + (SELECT count(*) FROM j k WHERE k.replicate > 0 AND k.source = o.source AND k.target = o.target AND k.n >= o.n)) / {NULLS + 1}, 6) AS p FROM j o WHERE o.replicate = 0""",
 )
 def time_shift_null(spark, sf_dir):
-    long = multivariate.exceedances_long(component_flags(spark, sf_dir).withColumn("i", F.col("l_suppkey") * 1_000 + F.col("i") % 1_000), COMPONENTS).distinct()
-    m = long.agg(F.max("i")).first()[0] + 1
+    long = multivariate.exceedances_long(one_axis(spark, sf_dir), COMPONENTS)
+    m = table(spark, sf_dir, "lineitem").count()
     steps = {"l_quantity": 0, "l_extendedprice": 37, "l_discount": 101, "l_tax": 211}
     offsets = spark.range(NULLS + 1).select(F.col("id").alias("replicate"), F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.lit(k).alias("step")) for c, k in steps.items()])).alias("s")).select("replicate", "s.component", (F.col("s.step") * F.col("replicate")).alias("offset"))
     moved = multivariate.rolled(long, m, offsets)
@@ -248,7 +259,7 @@ def time_shift_null(spark, sf_dir):
 )
 def bh_adjust(spark, sf_dir):
     tests = table(spark, sf_dir, "lineitem").where("l_tax > 0.07").groupBy("l_suppkey").agg(F.round(1.0 / F.count("*"), 9).alias("p"))
-    return multivariate.benjamini_hochberg(tests, tie=["l_suppkey"]).select("l_suppkey", "p", F.round("adjusted", 6).alias("adjusted"))
+    return multivariate.benjamini_hochberg(tests).select("l_suppkey", "p", F.round("adjusted", 6).alias("adjusted"))
 
 
 # --- state space

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crestline.operators import forest, multivariate, resampling, tails
-from crestline.plans.data_queries import COMPONENTS, component_flags
+from crestline.plans.data_queries import COMPONENTS, one_axis
 from crestline.plans.episode_queries import USER, by_user, flagged
 from crestline.plans.registry import query, table
 
@@ -33,10 +33,8 @@ def isolation_forest(spark, sf_dir):
 
 @query("cluster_permutation_null")
 def cluster_permutation_null(spark, sf_dir):
-    # one series: suppliers after each other
-    flags = component_flags(spark, sf_dir).withColumn("i", F.col("l_suppkey") * 1_000 + F.col("i") % 1_000)
-    hits = multivariate.exceedances_long(flags, ["l_discount", "l_tax"]).distinct()
-    n = hits.agg(F.max("i")).first()[0] + 1
+    hits = multivariate.exceedances_long(one_axis(spark, sf_dir), ["l_discount", "l_tax"])
+    n = table(spark, sf_dir, "lineitem").count()
     nulls = resampling.shuffled_runs(hits, n, 9)
     met = nulls.groupBy("replicate", "i").agg(F.count("*").alias("c")).where("c > 1").groupBy("replicate").agg(F.count("*").alias("n"))
     seen = hits.groupBy("i").agg(F.count("*").alias("c")).where("c > 1").agg(F.count("*").alias("n")).withColumn("pair", F.lit("l_discount+l_tax"))

@@ -335,14 +335,14 @@ def region_scores(spark, sf_dir):
     return out.withColumn("distance_to_dangerous_region", F.round("distance_to_dangerous_region", 5)).withColumn("dangerous_region_observable", F.round("dangerous_region_observable", 4))
 
 
-#: SQL of a transfer: parts of two brands are the source, those of the third and of the others the destination.
+#: SQL of a transfer: parts of one type are the source, those of a second train the destination, which the others test.
 FEATURES = ["p_size", "p_retailprice"]
 _SCALES = "{n}s AS (SELECT [quantile_cont(p_size, 0.5), quantile_cont(p_retailprice, 0.5)] AS c, [CASE WHEN quantile_cont(p_size, 0.75) <> quantile_cont(p_size, 0.25) THEN quantile_cont(p_size, 0.75) - quantile_cont(p_size, 0.25) ELSE 1 END, CASE WHEN quantile_cont(p_retailprice, 0.75) <> quantile_cont(p_retailprice, 0.25) THEN quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25) ELSE 1 END] AS s FROM {t})"
 _PICKED = "{n}p AS (SELECT p_size::DOUBLE AS a, p_retailprice AS b FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS r, count(*) OVER () AS m FROM {t} WHERE failing) WHERE m <= 16 OR list_contains([floor(k * ((m - 1) / 15.0::DOUBLE))::BIGINT for k in range(16)], r))"
 _DIST = "{n} AS (SELECT p_partkey, any_value(failing) AS failing, min(sqrt(pow((p_size - c[1]) / s[1] - (a - c[1]) / s[1], 2) + pow((p_retailprice - c[2]) / s[2] - (b - c[2]) / s[2], 2))) AS d FROM {t}, {s}s, {p}p GROUP BY p_partkey)"
 TRANSFER = ", ".join(
     [
-        "pt AS (SELECT *, p_size > 45 AS failing FROM part), so AS (SELECT * FROM pt WHERE p_brand IN ('Brand#1', 'Brand#2')), tr AS (SELECT * FROM pt WHERE p_brand = 'Brand#3'), te AS (SELECT * FROM pt WHERE p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3'))",
+        "pt AS (SELECT *, p_size > 45 AS failing FROM part), so AS (SELECT * FROM pt WHERE p_type = 'ECONOMY'), tr AS (SELECT * FROM pt WHERE p_type = 'STANDARD'), te AS (SELECT * FROM pt WHERE p_type NOT IN ('ECONOMY', 'STANDARD'))",
         _SCALES.format(n="so", t="so"), _SCALES.format(n="tr", t="tr"), _PICKED.format(n="so", t="so"), _PICKED.format(n="tr", t="tr"),
         _DIST.format(n="d1", t="so", s="so", p="so"), _DIST.format(n="d2", t="tr", s="tr", p="so"), _DIST.format(n="d3", t="tr", s="tr", p="tr"), _DIST.format(n="e1", t="te", s="so", p="so"), _DIST.format(n="e2", t="te", s="tr", p="so"), _DIST.format(n="e3", t="te", s="tr", p="tr"),
         "cu AS (SELECT (SELECT quantile_cont(d, 0.02) FROM d1) AS far, (SELECT quantile_cont(d, 0.02) FROM d2) AS moved, (SELECT quantile_cont(d, 0.02) FROM d3) AS own)",
@@ -358,7 +358,7 @@ TRANSFER = ", ".join(
 )
 def transfer_protocols(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("failing", F.col("p_size") > 45)
-    source, train, test = parts.where("p_brand in ('Brand#1', 'Brand#2')"), parts.where("p_brand = 'Brand#3'"), parts.where("p_brand not in ('Brand#1', 'Brand#2', 'Brand#3')")
+    source, train, test = parts.where("p_type = 'ECONOMY'"), parts.where("p_type = 'STANDARD'"), parts.where("p_type not in ('ECONOMY', 'STANDARD')")
     out = regions.transferred(source, train, test, FEATURES, "failing", "p_partkey")
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "occupancy", "f1", "degradation")})
 
@@ -366,6 +366,6 @@ def transfer_protocols(spark, sf_dir):
 @query("standardised_parts", f"WITH {TRANSFER} SELECT p_partkey, round(coalesce((p_size - c[1]) / s[1], 0), 6) AS size, round(coalesce((p_retailprice - c[2]) / s[2], 0), 6) AS price FROM te, trs")
 def standardised_parts(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    train, test = parts.where("p_brand = 'Brand#3'"), parts.where("p_brand not in ('Brand#1', 'Brand#2', 'Brand#3')")
+    train, test = parts.where("p_type = 'STANDARD'"), parts.where("p_type not in ('ECONOMY', 'STANDARD')")
     out = regions.standardised(test, FEATURES, regions.scales_of(train, FEATURES))
     return out.select("p_partkey", F.round(F.col("state")[0], 6).alias("size"), F.round(F.col("state")[1], 6).alias("price"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from crestline.operators.series import place_among
+from crestline.operators.series import placed_in, ranges_of
+from crestline.plans.episode_queries import by_user
 from crestline.plans.registry import query, table
-from crestline.session import scratch
+from crestline.session import scratch, written
 from crestline.streaming import operators
 
 
@@ -34,22 +35,24 @@ def drained(stream: DataFrame, name: str, mode: str, place: str | None = None, p
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drained_in_order(spark: SparkSession, sf_dir: str, order: str, query_of: Callable[[DataFrame], DataFrame], name: str, mode: str) -> DataFrame:
-    """drained() over the events in ranges of the order column, whatever files they came in: a batch holds a range, and no row is before those of earlier batches."""
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    number = F.unix_micros(order) if order == "ts" else F.col(order)
-    n = max(1, -(-events.count() // BATCH_ROWS))
-    cuts = sorted(set(events.agg(F.percentile_approx(number, [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
+def drained_in_order(rows: DataFrame, number: Column, query_of: Callable[[DataFrame], DataFrame], name: str, mode: str) -> DataFrame:
+    """drained() over rows in ranges of a number, whatever files they came in: a batch holds a range, and no row is before those of earlier batches."""
+    spark = rows.sparkSession
+    cuts = ranges_of(rows, number, BATCH_ROWS)
     dealt, feed = scratch(spark, f"{name}-ranges"), scratch(spark, f"{name}-feed")
-    events.withColumn("_range", place_among(cuts, number)).write.partitionBy("_range").parquet(dealt)
-    ranges = spark.read.schema(StructType([*events.schema.fields, StructField("_range", IntegerType())])).parquet(dealt)
+    rows.withColumn("_range", placed_in(cuts, number)).write.partitionBy("_range").parquet(dealt)
+    ranges = spark.read.schema(StructType([*rows.schema.fields, StructField("_range", IntegerType())])).parquet(dealt)
     path, place, out = scratch(spark, name), scratch(spark, f"{name}-state"), None
     for k in range(len(cuts) + 1):
         ranges.where(F.col("_range") == k).drop("_range").write.mode("append").parquet(feed)
-        out = drained(query_of(spark.readStream.schema(events.schema).parquet(feed)), name, mode, place, path)
+        out = drained(query_of(spark.readStream.schema(rows.schema).parquet(feed)), name, mode, place, path)
     return out
 
 
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query(
     "stream_window_statistics",
     """SELECT epoch_us(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')) AS window_start, event_type, count(*) AS n, count(*) FILTER (value IS NULL OR isnan(value)) AS missing, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY ALL""",
@@ -66,7 +69,7 @@ def stream_window_statistics(spark, sf_dir):
 )
 def stream_exceedance_sessions(spark, sf_dir):
     sessions = lambda events: operators.exceedance_sessions(events, "ts", "value", ["user_id"], 100.0, "12 hours", "1 day")
-    return drained_in_order(spark, sf_dir, "ts", sessions, "stream-sessions", "complete").withColumns({c: F.unix_micros(c) for c in ("start", "end")})
+    return drained_in_order(event_rows(spark, sf_dir), F.unix_micros("ts"), sessions, "stream-sessions", "complete").withColumns({c: F.unix_micros(c) for c in ("start", "end")})
 
 
 @query(
@@ -75,11 +78,18 @@ def stream_exceedance_sessions(spark, sf_dir):
 )
 def stream_counter_increments(spark, sf_dir):
     increments = lambda events: operators.counter_increments(events, "user_id", "event_id", "value")
-    return drained_in_order(spark, sf_dir, "event_id", increments, "stream-increments", "append").withColumn("increment", F.round("increment", 6))
+    return drained_in_order(event_rows(spark, sf_dir), F.col("event_id"), increments, "stream-increments", "append").withColumn("increment", F.round("increment", 6))
+
+
+#: Puts a training row before every live one.
+BEFORE = 1 << 40
 
 
 @query("stream_adaptive_thresholds")
 def stream_adaptive_thresholds(spark, sf_dir):
-    base = table(spark, sf_dir, "events").agg(F.percentile("value", F.lit(0.9))).first()[0] or 0.0
-    adaptive = lambda events: operators.adaptive_thresholds(events, "user_id", "event_id", "value", {}, 0.01, base)
-    return drained_in_order(spark, sf_dir, "event_id", adaptive, "stream-thresholds", "append")
+    # the first share of each user's events is what the thresholds start from; then all of them are judged in turn
+    rows = by_user(spark, sf_dir).where("value is not null").select("user_id", F.col("i").cast("double").alias("i"), "value")
+    n = rows.groupBy("user_id").agg(F.greatest(F.lit(1), F.floor(0.6 * F.count("*"))).alias("n"))
+    first = rows.join(n, "user_id").where("i < n").select("user_id", (F.col("i") - BEFORE).alias("i"), "value", F.lit(True).alias("train"))
+    adaptive = lambda stream: operators.adaptive_thresholds(stream, "user_id", "i", "value")
+    return drained_in_order(written(first.unionByName(rows.withColumn("train", F.lit(False))), "turns"), F.col("i"), adaptive, "stream-thresholds", "append")

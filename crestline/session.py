@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a folder of our own where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("crestline.shared.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="crestline-")
-        spark.conf.set("crestline.shared.dir", base)
-    return f"{base.rstrip('/')}/crestline/{name}-{uuid.uuid4().hex}"
+    """A new path below spark.checkpoint.dir. In local mode, where one machine does all, the warehouse stands in."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/crestline/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

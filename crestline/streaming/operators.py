@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,25 +44,33 @@ def counter_increments(stream: DataFrame, key: str, order: str, counter: str) ->
     return stream.select(key, F.col(order).cast("double").alias(order), F.col(counter).cast("double").alias(counter)).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-#: Excesses that a key's state holds; a full state keeps every other one, in order of size.
-MOST_EXCESSES = 2_000
+def adaptive_thresholds(stream: DataFrame, key: str, order: str, value: str, train: str = "train", quantile: float = 0.9) -> DataFrame:
+    """(key, order, value, threshold, exceeds) of the live rows: each key's adaptive tail threshold, as tails.adaptive_thresholds() gives it over the whole series.
 
-
-def adaptive_thresholds(stream: DataFrame, key: str, order: str, value: str, bases: dict[int, float], tail: float, base: float = 0.0) -> DataFrame:
-    """(key, order, value, threshold, exceeds): the adaptive tail threshold of each key, its excesses in keyed state. bases: starting thresholds of single keys, base of the others."""
+    Rows marked train come before a key's live ones and are not judged: their quantile is the base,
+    and their excesses over it are where the threshold starts. A key's state holds its excesses,
+    all of them, as each refit is over all; a key without a training row starts at its first value.
+    """
     schema = f"{key} long, {order} double, {value} double, threshold double, exceeds boolean"
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            excesses, seen, threshold, fitted = state.get
-            model = Adaptive(bases.get(k[0], base), tail, list(excesses), seen, threshold, fitted)
-        else:
-            model = Adaptive(bases.get(k[0], base), tail)
+        base, excesses, seen, threshold, fitted, waiting = state.get if state.exists else (None, [], 0, None, -1, [])
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        cuts = [model.step(float(x)) for x in rows[value]]
-        if len(model.excesses) > MOST_EXCESSES:
-            model.excesses = sorted(model.excesses)[::2]
-        state.update((model.excesses, model.seen, model.threshold, model.fitted))
-        yield pd.DataFrame({key: k[0], order: rows[order].astype(float), value: rows[value].astype(float), "threshold": cuts, "exceeds": rows[value].to_numpy() > cuts})
-
-    return stream.select(key, F.col(order).cast("double").alias(order), F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(step, schema, "excesses array<double>, seen long, threshold double, fitted long", "append", GroupStateTimeout.NoTimeout)
+        learned = rows[train].to_numpy(bool)
+        waiting = [*waiting, *rows[value][learned].astype(float)]
+        live = rows[~learned]
+        if not len(live):
+            state.update((base, list(excesses), seen, threshold, fitted, waiting))
+            return
+        if base is None:
+            known = waiting or [float(live[value].iloc[0])]
+            base = float(np.quantile(known, quantile))
+            excesses = [v - base for v in known if v > base]
+        model = Adaptive(base, max(1e-4, 1 - quantile), list(excesses), seen, threshold, fitted)
+        cuts = np.array([model.step(float(x)) for x in live[value]])
+        state.update((base, [float(x) for x in model.excesses], model.seen, float(model.threshold), model.fitted, []))
+        yield pd.DataFrame({key: k[0], order: live[order].astype(float), value: live[value].astype(float), "threshold": cuts, "exceeds": live[value].to_numpy() > cuts})
+
+    held = "base double, excesses array<double>, seen long, threshold double, fitted long, waiting array<double>"
+    chosen = stream.where(F.col(value).isNotNull()).select(key, F.col(order).cast("double").alias(order), F.col(value).cast("double").alias(value), F.coalesce(F.col(train), F.lit(False)).alias(train))
+    return chosen.groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)

@@ -96,3 +96,74 @@ def test_circular_shift_keeps_every_interval(spark, tmp_path):
     df.withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(f"{tmp_path}/events.parquet")
     got = sorted((r["user_id"], r["start"], r["end"]) for r in circular_shift(spark, str(tmp_path)).collect())
     assert got == [(1, 0, 2), (1, 4, 6), (1, 17, 17), (1, 67, 68), (1, 99, 99), (2, 1, 1)]
+
+
+@pytest.mark.parametrize("span", [1, 3, 7, 1_000_000])
+def test_ranges_give_what_one_range_gives(spark, span):
+    """Clusters, merged intervals, differences and running maxima of two series, whatever ranges they are dealt into."""
+    import random
+
+    from crestline.operators import detectors
+
+    rng = random.Random(span)
+    rows = [(e, i, rng.choice([None, rng.random() * 10])) for e in ("a", None) for i in range(40) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "e string, i long, v double")
+    got = {(r["e"], r["i"]): r["cluster_id"] for r in episodes.clustered(df, 1, ["e"], span=span).collect()}
+    diff = {(r["e"], r["i"]): r["difference_score"] for r in detectors.difference_score(df, "v", ["e"], span=span).collect()}
+    most = {(r["e"], r["i"]): r["excess_score"] for r in detectors.running_excess(df, "v", ["e"], span=span).collect()}
+    spans = df.select("e", F.col("i").alias("start"), (F.col("i") + F.col("i") % 4).alias("end"))
+    joined = sorted(((r["e"] or "", r["start"], r["end"]) for r in episodes.merged(spans, 1, ["e"], span=span).collect()))
+    want = []
+    for e in ("a", None):
+        last, cluster, high, before, open_ = None, -1, None, None, None
+        for _, i, v in sorted(r for r in rows if r[0] == e):
+            cluster += last is None or i - last - 1 > 1
+            assert got[(e, i)] == cluster
+            assert diff[(e, i)] == pytest.approx(abs(v - before) if v is not None and before is not None else 0)
+            assert most[(e, i)] == pytest.approx(v - high if v is not None and high is not None else 0)
+            last, before = i, v
+            high = v if high is None else high if v is None else max(high, v)
+            if open_ is None or i - open_[1] - 1 > 1:
+                open_ = [i, i + i % 4]
+                want.append((e or "", open_))
+            open_[1] = max(open_[1], i + i % 4)
+    assert joined == sorted((e, a, b) for e, (a, b) in want)
+
+
+def test_exact_quantiles(spark):
+    """Ties, negative values, infinities, NaN, groups of one row and of none that is finite, against numpy; a coarse sketch too."""
+    import numpy as np
+
+    from crestline.operators.series import quantiles
+
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(size=3_001), "b": rng.integers(0, 3, 500).astype(float), "c": np.array([7.0]), "d": np.array([np.nan, np.inf]), None: np.array([-1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    levels = [0.0, 0.123, 0.5, 0.98, 1.0]
+    for accuracy in (20, 10_000):
+        got = {r["k"]: r for r in quantiles(df, F.col("x"), levels, ["k"], accuracy).collect()}
+        for k, v in data.items():
+            v = v[np.isfinite(v)]
+            assert got[k]["n"] == len(v)
+            assert got[k]["q"] is None or [None if x is None else pytest.approx(x, abs=1e-12) for x in got[k]["q"]] == (list(np.quantile(v, levels)) if len(v) else [None] * 5)
+        every = np.concatenate([v[np.isfinite(v)] for v in data.values()])
+        assert quantiles(df, F.col("x"), levels, [], accuracy).first()["q"] == pytest.approx(list(np.quantile(every, levels)), abs=1e-12)
+
+
+def test_local_trace(spark):
+    from crestline.operators import timeline
+
+    rows, alarms = spark.range(30).withColumnRenamed("id", "i"), spark.createDataFrame([(3, 6), (12, 13), (25, 40)], "start long, end long")
+    got = {r["i"]: (r["alarm_start"], r["in_window"]) for r in timeline.local_trace(rows, alarms, 15, 11, 12, 4).collect()}
+    assert set(got) == set(range(4, 28)) and all(got[i][0] == (3 if i <= 6 else 12 if i in (12, 13) else 25 if i >= 25 else None) for i in got)
+    assert [i for i in sorted(got) if got[i][1]] == [11, 12, 13, 14, 15]
+
+
+def test_labels_do_not_depend_on_the_number_of_intervals(spark):
+    from crestline.operators import preparation
+
+    rows = spark.sql("select id, timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, id) as ts from range(60)")
+    spans = spark.sql("select timestamp_ntz'2024-01-01 05:00' as start, timestamp_ntz'2024-01-02 03:00' as end, 'a' as kind, 0 as rank union all select timestamp_ntz'2024-01-01 20:00', timestamp_ntz'2024-01-01 22:00', 'b', 1")
+    few, many = preparation.label_intervals(rows, spans, "ts"), preparation.label_intervals(rows, spans, "ts", most_broadcast=0)
+    assert few.columns == many.columns and sorted(map(str, few.collect())) == sorted(map(str, many.collect()))

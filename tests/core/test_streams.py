@@ -36,3 +36,17 @@ def test_any_order_of_files(spark, shuffled, small_batches, name):
     names = [d[0] for d in out.description]
     want = sorted((tuple(map(plain, r)) for r in out.fetchall()), key=str)
     assert sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=str) == want
+
+
+def test_adaptive_thresholds_equal_the_batch_form(spark, shuffled, small_batches):
+    """Several batches, any order of files: the stream's thresholds are those of the whole series, and they move."""
+    key = lambda r: (r["user_id"], int(r["i"]))
+    want = {key(r): r for r in QUERIES["spot_thresholds"](spark, shuffled).collect()}
+    got = {key(r): r for r in QUERIES["stream_adaptive_thresholds"](spark, shuffled).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k]["threshold"] == pytest.approx(r["threshold"], rel=1e-9) and got[k]["exceeds"] == r["exceeds"]
+    by_user = {}
+    for (user, _), r in got.items():
+        by_user.setdefault(user, set()).add(r["threshold"])
+    assert max(map(len, by_user.values())) > 2
