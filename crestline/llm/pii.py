@@ -1,12 +1,12 @@
 """Personal data by patterns and by information-theoretic sanitisation (DataFrame functions only).
 
 Patterns find emails, IPv4 addresses, cards and phone numbers. Each different value found is a
-protected entity. A term near a mention may give the entity away even when the mention is gone:
-the corpus tells how much. With df(t), df(e) and df(e, t) the numbers of documents that hold the
-term, the entity, and the entity with the term near it, the pointwise mutual information
-PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) is the part of the entity's information
-IC(e) = log2(N / df(e)) that the term reveals. Terms whose share reaches the disclosure threshold,
-seen in least_support documents, are found too, as kind ``term``, near the entity's mentions.
+protected entity. A term may give the entity away even when the mention is gone: the corpus tells
+how much. With df(t), df(e) and df(e, t) the numbers of documents that hold the term, the entity,
+and both, the pointwise mutual information PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) is the part
+of the entity's information IC(e) = log2(N / df(e)) that the term reveals. Terms whose share
+reaches the disclosure threshold, seen with the entity in least_support documents, are found too,
+as kind ``term``, wherever they stand: all over the entity's documents and in those without it.
 Sanitising replaces entities by their kind and such terms by a general one, or removes them.
 
 A null text counts as empty. Documents without an entity are left as they are. Rows that repeat
@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from crestline.llm.shared import written
+from crestline.llm.shared import free_names, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the fixed patterns: they match the same, in linear time, from a run's start or the last match's end.
@@ -31,8 +32,8 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to match; saves the search elsewhere.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Characters and words on either side of a mention that are its neighbourhood.
-NEAR_CHARS, NEAR_WORDS = 64, 4
+#: A term: a whole word of two letters or more, in lower case.
+TERM = r"[\p{L}]{2,}+"
 LEAST_SUPPORT, DISCLOSURE = 3, 0.8
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -82,59 +83,85 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _near(text: Column, span: Column) -> Column:
-    """array<struct<term, start, end>>: the whole words around a mention, by place in the text."""
-    left_at = F.greatest(F.lit(0).cast("long"), span["start"] - NEAR_CHARS)
-    left = F.substring(text, (left_at + 1).cast("int"), (span["start"] - left_at).cast("int"))
-    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(NEAR_CHARS + 1))
-    word = r"(?<![\p{L}])[\p{L}]{2,}+"
+def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, same (hash of the text), text: rows that repeat a doc_id are told apart by their text."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole).alias("same"), whole.alias("text"))
 
-    def placed(part: Column, base: Column, last: bool) -> Column:
-        values, pieces = F.regexp_extract_all(part, F.lit(word), 0), F.split(part, word, -1)
-        each = F.transform(values, lambda v, k: F.struct(F.lower(v).alias("term"), (base + F.length(F.array_join(F.slice(pieces, 1, k + 1), "")) + F.length(F.array_join(F.slice(values, 1, k), ""))).cast("long").alias("start"), F.length(v).alias("n")))
-        # words that the neighbourhood's edge may cut don't count
-        whole = F.filter(each, lambda w: (w["start"] + w["n"] < span["end"] + NEAR_CHARS + 1) if last else ((w["start"] > left_at) | (w["start"] == 0)))
-        size = F.size(whole)
-        return F.slice(whole, 1, F.lit(NEAR_WORDS)) if last else F.slice(whole, F.greatest(F.lit(1), size - NEAR_WORDS + 1), F.lit(NEAR_WORDS))
 
-    return F.transform(F.concat(placed(left, left_at, False), placed(right, span["end"], True)), lambda w: F.struct(w["term"].alias("term"), w["start"].alias("start"), (w["start"] + w["n"]).cast("long").alias("end")))
+def detected(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, same and found (base spans)."""
+    return keyed(docs, id_col, text).select("doc_id", "same", spans(F.col("text")).alias("found"))
 
 
-def detected(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, same (hash of the text), found (base spans) and near (their neighbourhoods), written once for all that follows."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = rows.withColumn("found", spans(F.col("text")))
-    return marked.select("doc_id", F.xxhash64("text").alias("same"), "found", F.transform("found", lambda s: _near(F.col("text"), s)).alias("near"))
+def terms_of(text: Column) -> Column:
+    """The different terms of a whole text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 0))
 
 
 def term_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df): number of documents that hold each word, over all documents; words are made different and pre-aggregated before the shuffle."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}]{2,}+"), 0))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-
-
-def disclosing(found: DataFrame, docs: DataFrame, text: str = "text", least_support: int = LEAST_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, same, start, end: terms near mentions that give their entity away."""
-    total = F.broadcast(docs.agg(F.count("*").alias("docs")))
-    mentions = written(found.where(F.size("found") > 0).select("doc_id", "same", F.posexplode("found").alias("k", "span"), "near").select("doc_id", "same", F.concat_ws(":", "span.kind", F.lower("span.value")).alias("entity"), F.explode(F.get("near", F.col("k"))).alias("w")).select("doc_id", "same", "entity", "w.term", "w.start", "w.end"), "mentions")
-    entities = found.where(F.size("found") > 0).select(F.explode(F.array_distinct(F.transform("found", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") >= least_support)
-    each = mentions.select("doc_id", "same", "entity", "term").distinct()
-    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= least_support)
-    pairs = written(pairs.join(entities, "entity"), "pairs")
-    wanted = pairs.select("term").distinct()
-    # counted once for all terms, and only then held against the few that are wanted
-    terms = written(term_frequency(docs, text), "terms").join(wanted, "term", "left_semi")
-    n = F.col("docs").cast("double")
-    information = F.log2(n / F.col("df_entity"))
-    pmi = F.log2(n * F.col("df_both") / (F.col("df_entity") * F.col("df")))
-    telling = pairs.join(terms, "term").crossJoin(total).where((information > 0) & (pmi >= disclosure * information)).select("entity", "term")
-    return mentions.join(telling, ["entity", "term"]).select("doc_id", "same", "start", "end").distinct()
+    """(term, df): number of documents that hold each term, over all documents; terms are made different in each and pre-aggregated before the shuffle."""
+    return docs.select(F.explode(terms_of(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _on_document(left: DataFrame, right: DataFrame):
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["same"] == right["same"])
+
+
+def telling_terms(found: DataFrame, docs: DataFrame, id_col: str, text: str, least_support: int, disclosure: float) -> DataFrame:
+    """(entity, term) where the term reveals at least the disclosure threshold's share of the entity.
+
+    As df(e, t) is at most df(e), such a term is in at most N^(1 - d) df(e)^d documents: commoner
+    ones are left out before terms meet entities, which drops no pair that could pass.
+    """
+    held = found.where(F.size("found") > 0).select("doc_id", "same", F.explode(F.array_distinct(F.transform("found", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
+    held = held.groupBy("doc_id", "same", "entity").agg(F.count("*").alias("rows"))
+    entities = held.groupBy("entity").agg(F.sum("rows").alias("df_entity")).where(F.col("df_entity") >= least_support)
+    held = written(held.join(entities, "entity"), "held")
+    total, most = docs.count(), held.agg(F.max("df_entity")).first()[0]
+    none = held.select("entity", F.col("entity").alias("term")).where("false")
+    if not most:
+        return none
+    commonest = total ** (1 - disclosure) * most**disclosure
+    terms = written(term_frequency(docs, text), "terms").where(F.col("df").between(least_support, commonest * (1 + 1e-9)))
+    terms = written(terms, "rare-terms")
+    holders = held.select("doc_id", "same").distinct()
+    rows = keyed(docs, id_col, text)
+    words = rows.join(holders, _on_document(rows, holders), "left_semi").dropDuplicates(["doc_id", "same"]).select("doc_id", "same", F.explode(terms_of(F.col("text"))).alias("term")).join(terms, "term")
+    both = held.join(words, _on_document(held, words)).where(F.col("df") <= F.pow(F.lit(float(total)), F.lit(1 - disclosure)) * F.pow("df_entity", F.lit(disclosure)) * (1 + 1e-9))
+    pairs = both.groupBy("entity", "term").agg(F.sum("rows").alias("df_both"), F.first("df").alias("df"), F.first("df_entity").alias("df_entity")).where(F.col("df_both") >= least_support)
+    n = F.lit(float(total))
+    information, pmi = F.log2(n / F.col("df_entity")), F.log2(n * F.col("df_both") / (F.col("df_entity") * F.col("df")))
+    return written(pairs.where((information > 0) & (pmi >= disclosure * information)).select("entity", "term"), "telling")
+
+
+def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, same, start, end of every occurrence of the terms as whole words, in all documents.
+
+    A document's words are rows while their places are summed up, so only documents that hold a
+    term are taken apart, and a long one is no longer than its words.
+    """
+    rows = keyed(docs, id_col, text)
+    wanted = written(terms.select("term").distinct(), "wanted")
+    holds = rows.select("doc_id", "same", F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term").groupBy("doc_id", "same").agg(F.collect_set("term").alias("wanted"))
+    holds = written(holds, "holds")
+    met = rows.join(holds, _on_document(rows, holds)).select(rows["doc_id"], rows["same"], "text", "wanted").dropDuplicates(["doc_id", "same"])
+    values, pieces = F.regexp_extract_all("text", F.lit(TERM), 0), F.split("text", TERM, -1)
+    each = F.zip_with(values, F.slice(pieces, 1, F.size(values)), lambda v, p: F.struct((F.length(p) + F.length(v)).alias("step"), F.length(v).alias("n"), F.array_contains("wanted", F.lower(v)).alias("hit")))
+    parts = met.select("doc_id", "same", F.posexplode(each).alias("k", "w")).select("doc_id", "same", "k", "w.*")
+    end = F.sum(F.col("step").cast("long")).over(Window.partitionBy("doc_id", "same").orderBy("k"))
+    return parts.withColumn("end", end).where("hit").select("doc_id", "same", (F.col("end") - F.col("n")).alias("start"), "end")
+
+
+def disclosing(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_support: int = LEAST_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """doc_id, same, start, end: terms that give an entity away, wherever they stand."""
+    return occurrences(docs, telling_terms(found, docs, id_col, text, least_support, disclosure), id_col, text)
 
 
 def all_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_support: int = LEAST_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, same, found (base spans), terms (spans of kind ``term`` outside the base spans, by start)."""
     found = written(detected(docs, id_col, text), "pii")
-    more = disclosing(found, docs, text, least_support, disclosure).groupBy("doc_id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("places"))
+    more = disclosing(found, docs, id_col, text, least_support, disclosure).groupBy("doc_id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("places"))
     both = found.select("doc_id", "same", "found").join(more, (found["doc_id"].eqNullSafe(more["doc_id"])) & (found["same"] == more["same"]), "left").select(found["doc_id"], found["same"], "found", "places")
     outside = F.filter(F.col("places"), lambda t: ~F.exists(F.col("found"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     terms = F.transform(outside, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lit(None).cast("string").alias("value")))
@@ -144,10 +171,11 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", remove: bool = False, **how) -> DataFrame:
     """docs with text_clean: spans replaced by their general form, or removed. Of overlapping spans the one that starts first stands for all it touches."""
-    spans_of = all_spans(docs, id_col, text, **how).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), F.concat("found", "terms").alias("_spans")).dropDuplicates(["_id", "_same"])
+    own, same, found = free_names(docs, "_id", "_same", "_spans")
+    spans_of = all_spans(docs, id_col, text, **how).select(F.col("doc_id").alias(own), F.col("same").alias(same), F.concat("found", "terms").alias(found)).dropDuplicates([own, same])
     whole = F.coalesce(F.col(text), F.lit(""))
     state = "struct<at:bigint,out:string>"
-    ordered = F.array_sort(F.col("_spans"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]).cast("int"))
+    ordered = F.array_sort(F.col(found), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]).cast("int"))
     general = F.create_map(*[F.lit(x) for k, v in GENERAL.items() for x in (k, "" if remove else v)])
 
     def step(acc: Column, s: Column) -> Column:
@@ -158,4 +186,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", remov
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")).cast(state)
     clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
     columns = [c for c in docs.columns if c != "text_clean"]
-    return docs.join(spans_of, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(whole) == F.col("_same"))).select(*columns, clean.alias("text_clean"))
+    return docs.join(spans_of, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(whole) == F.col(same))).select(*columns, clean.alias("text_clean"))

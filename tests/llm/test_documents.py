@@ -370,6 +370,55 @@ def test_telling_terms(spark):
     assert {r["text_clean"] for r in pii.sanitised(df.where("doc_id = 1"), remove=True).collect()} == {"number 1 was sent to zorblax  yesterday by post"}
 
 
+def plain_terms(rows, least_support=3, disclosure=0.8):
+    """Spans of telling terms by the definition: df over documents, PMI against the entity's information, every whole word."""
+    import math
+
+    word = re.compile(r"[^\W\d_]{2,}")
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    has_term = {k: {w.lower() for w in word.findall(t)} for k, t in rows}
+    has_entity = {k: {m[0].lower() for m in email.finditer(t)} for k, t in rows}
+    n, telling = len(rows), set()
+    for e in set().union(*has_entity.values()):
+        de = sum(e in x for x in has_entity.values())
+        for t in set().union(*(has_term[k] for k in has_term if e in has_entity[k])):
+            both, dt = sum(e in has_entity[k] and t in has_term[k] for k in has_term), sum(t in x for x in has_term.values())
+            if de >= least_support and both >= least_support and n > de and math.log2(n * both / (de * dt)) >= disclosure * math.log2(n / de) - 1e-12:
+                telling.add(t)
+    out = {}
+    for k, t in rows:
+        base = [m.span() for m in email.finditer(t)]
+        out[k] = [m.span() for m in word.finditer(t) if m[0].lower() in telling and not any(a < m.end() and m.start() < b for a, b in base)]
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    """Terms far from the mention, in documents without it, in capitals; entities in many documents and in few."""
+    rng = random.Random(12)
+    common, rare = [f"common{chr(97 + k)}" for k in range(12)], [f"rare{chr(97 + k)}" for k in range(10)]
+    rows = []
+    for k in range(90):
+        words = [rng.choice(common) for _ in range(30)]
+        if k % 9 == 0:
+            words[3], words[25] = rare[0].upper(), "bob@x.com"
+        if k % 3 == 0:
+            words[7], words[20] = rare[1], "ann@y.org"
+        if k in (1, 10, 19, 28):
+            words[0] = rare[0] if k == 1 else rare[2]
+        if k in (2, 5):
+            words[1], words[2] = rare[3], "two@z.net"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_terms(rows)
+    got = {r["doc_id"]: [(t["start"], t["end"]) for t in r["terms"]] for r in pii.all_spans(df).collect()}
+    assert got == want and want[1] and want[0] and not want[2] and not want[10]
+
+
+def test_sanitised_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "to a@b.co", "x", "y", "z"), (None, "to a@b.co", "x", "y", "z")], "doc_id long, text string, _id string, _same string, _spans string")
+    assert sorted(map(str, pii.sanitised(df).collect())) == sorted(str(r) for r in df.withColumn("text_clean", F.lit("to [EMAIL]")).collect())
+
+
 def test_pii_odd(odd, none):
     got = pii.all_spans(odd).collect()
     assert len(got) == odd.count() and sum(len(r["found"]) for r in got) == 2
