@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crestline.llm import decontam, langid, mixing, simhash, token_output
 from crestline.llm.queries import tokenizer_path
-from crestline.llm.shared import id_remainder, scratch, table
+from crestline.llm.shared import free_names, id_remainder, scratch, table
 
 #: A document whose language scores less than this is rejected.
 LEAST_LANG_SCORE = 0.5
@@ -18,8 +18,9 @@ MIX_SHARE = 0.8
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those of ``und`` or an uncertain language go."""
     model = langid.train(docs.where(id_remainder(F.col("doc_id")) != 0))
-    marked = docs.withColumn("_lang", langid.predict(F.col("text"), model, docs))
-    return marked.where((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= LEAST_LANG_SCORE)).select(*docs.columns)
+    (found,) = free_names(docs, "_lang")
+    marked = docs.withColumn(found, langid.predict(F.col("text"), model, docs))
+    return marked.where((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= LEAST_LANG_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Fingerprints, walks and encoders can't be written in SQL; the tests hold each stage against brute force.
+#: Fingerprints, walks and encoders can't be written in SQL; tests/llm holds each operator against brute force and the stages against their operators.
 ORACLE_SQL = None
