@@ -88,6 +88,7 @@ def benchmark_alarms(df: DataFrame, methods: list[Method], train: str, test: str
     """
     check_methods(methods)
     scores = sorted({m.score for m in methods})
+    df = written(df, "scores")  # quantiles, rates and alarms each go over them
     asked = {name: sorted({m.quantile for m in methods if m.score == name}) for name in scores}
     cuts = None
     for name, levels in asked.items():

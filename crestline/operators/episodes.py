@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.operators.series import SPAN, carried
+from crestline.session import written
 
 
 def spaced(hits: DataFrame, entity: list[str], position: str = "i", span: int = SPAN) -> DataFrame:
@@ -14,6 +15,7 @@ def spaced(hits: DataFrame, entity: list[str], position: str = "i", span: int =
 
     Series are worked through in ranges of span positions; a range knows the last hit of those before.
     """
+    hits = written(hits, "hits")  # they are met twice, and are few beside the rows that they come from
     dealt = carried(hits.withColumn("_range", F.floor(F.col(position) / span)), entity, "_range", "_last", F.max(position), F.max)
     before = F.lag(position).over(Window.partitionBy(*entity, "_range").orderBy(position))
     return dealt.withColumn("distance", F.col(position) - F.coalesce(before, "_last")).drop("_last", "_range")
@@ -42,7 +44,7 @@ def onsets(hits: DataFrame, run_length: int, entity: list[str], position: str =
 
 def merged(intervals: DataFrame, merge_gap: int, entity: list[str], span: int = SPAN) -> DataFrame:
     """(entity, start, end) of intervals merged while at most merge_gap samples lie between; overlaps and nesting merge too."""
-    dealt = intervals.select(*entity, "start", "end", F.floor(F.col("start") / span).alias("_range"))
+    dealt = written(intervals.select(*entity, "start", "end", F.floor(F.col("start") / span).alias("_range")), "intervals")
     dealt = carried(dealt, entity, "_range", "_reach", F.max("end"), F.max)
     order = Window.partitionBy(*entity, "_range").orderBy("start", "end")
     reach = F.greatest(F.col("_reach"), F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))

@@ -241,5 +241,5 @@ _COLUMN = {"value": "value", "difference_score": "ds", "excess_score": "es"}
 )
 def benchmark_alarms(spark, sf_dir):
     n = table(spark, sf_dir, "events").count()
-    rows = detectors.running_excess(detectors.difference_score(placed(spark, sf_dir), "value", []), "value", [])
+    rows = detectors.running_excess(detectors.difference_score(written(placed(spark, sf_dir), "placed"), "value", []), "value", [])
     return detectors.benchmark_alarms(rows, METHODS, f"i < {int(0.6 * n)}", f"i >= {int(0.6 * n)}")
