@@ -129,7 +129,7 @@ def _model(kept: dict, got: dict) -> LangModel:
 class _Scorer:
     """Scores words of one model; the rows of words met are kept, up to a bound."""
 
-    CELLS = 3_000_000
+    CELLS = 1_600_000
 
     def __init__(self, model: LangModel):
         self.model = model
