@@ -99,7 +99,7 @@ def calibrated(cells: DataFrame, budget_share: float, passes: int = 5, steps: in
         grid = [c for c in grid if low < c < high]
         if not grid:
             break
-        tried = cells.crossJoin(F.broadcast(cells.sparkSession.createDataFrame([(c,) for c in grid], "c double")))
+        tried = cells.crossJoin(F.broadcast(cells.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, grid))).alias("c"))))
         spent = tried.groupBy("c").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("c") * F.col("weight"))).alias("s")).orderBy("c").collect()
         for c, x in spent:
             low, high = (c, high) if x <= budget else (low, min(high, c))
