@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from crestline.llm.shared import free_names, written
 
@@ -127,7 +126,7 @@ def telling_terms(found: DataFrame, docs: DataFrame, id_col: str, text: str, lea
     terms = written(terms, "rare-terms")
     holders = held.select("doc_id", "same").distinct()
     rows = keyed(docs, id_col, text)
-    words = rows.join(holders, _on_document(rows, holders), "left_semi").dropDuplicates(["doc_id", "same"]).select("doc_id", "same", F.explode(terms_of(F.col("text"))).alias("term")).join(terms, "term")
+    words = rows.join(holders, _on_document(rows, holders), "left_semi").select("doc_id", "same", F.explode(terms_of(F.col("text"))).alias("term")).join(terms, "term").distinct()
     both = held.join(words, _on_document(held, words)).where(F.col("df") <= F.pow(F.lit(float(total)), F.lit(1 - disclosure)) * F.pow("df_entity", F.lit(disclosure)) * (1 + 1e-9))
     pairs = both.groupBy("entity", "term").agg(F.sum("rows").alias("df_both"), F.first("df").alias("df"), F.first("df_entity").alias("df_entity")).where(F.col("df_both") >= least_support)
     n = F.lit(float(total))
@@ -135,22 +134,30 @@ def telling_terms(found: DataFrame, docs: DataFrame, id_col: str, text: str, lea
     return written(pairs.where((information > 0) & (pmi >= disclosure * information)).select("entity", "term"), "telling")
 
 
-def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, same, start, end of every occurrence of the terms as whole words, in all documents.
+def _places(text: Column, wanted: Column) -> Column:
+    """array<struct<start, end>> of the wanted terms in a text: one walk over its words, in which only hits are kept."""
+    values, pieces = F.regexp_extract_all(text, F.lit(TERM), 0), F.split(text, TERM, -1)
+    each = F.zip_with(values, F.slice(pieces, 1, F.size(values)), lambda v, p: F.struct(F.length(p).alias("gap"), F.length(v).alias("n"), F.array_contains(wanted, F.lower(v)).alias("hit")))
+    state = "struct<at:bigint,out:array<struct<start:bigint,end:bigint>>>"
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")).cast(state)
 
-    A document's words are rows while their places are summed up, so only documents that hold a
-    term are taken apart, and a long one is no longer than its words.
-    """
+    def step(acc: Column, w: Column) -> Column:
+        start = acc["at"] + w["gap"]
+        end = start + w["n"]
+        place = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
+        return F.struct(end.cast("long").alias("at"), F.when(w["hit"], F.concat(acc["out"], place)).otherwise(acc["out"]).alias("out")).cast(state)
+
+    return F.aggregate(each, first, step, lambda acc: acc["out"])
+
+
+def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, same, start, end of every occurrence of the terms as whole words, in all documents. Texts aren't taken apart into rows."""
     rows = keyed(docs, id_col, text)
     wanted = written(terms.select("term").distinct(), "wanted")
     holds = rows.select("doc_id", "same", F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term").groupBy("doc_id", "same").agg(F.collect_set("term").alias("wanted"))
     holds = written(holds, "holds")
-    met = rows.join(holds, _on_document(rows, holds)).select(rows["doc_id"], rows["same"], "text", "wanted").dropDuplicates(["doc_id", "same"])
-    values, pieces = F.regexp_extract_all("text", F.lit(TERM), 0), F.split("text", TERM, -1)
-    each = F.zip_with(values, F.slice(pieces, 1, F.size(values)), lambda v, p: F.struct((F.length(p) + F.length(v)).alias("step"), F.length(v).alias("n"), F.array_contains("wanted", F.lower(v)).alias("hit")))
-    parts = met.select("doc_id", "same", F.posexplode(each).alias("k", "w")).select("doc_id", "same", "k", "w.*")
-    end = F.sum(F.col("step").cast("long")).over(Window.partitionBy("doc_id", "same").orderBy("k"))
-    return parts.withColumn("end", end).where("hit").select("doc_id", "same", (F.col("end") - F.col("n")).alias("start"), "end")
+    met = rows.join(holds, _on_document(rows, holds)).select(rows["doc_id"], rows["same"], F.explode(_places(F.col("text"), F.col("wanted"))).alias("p"))
+    return met.select("doc_id", "same", "p.start", "p.end").distinct()
 
 
 def disclosing(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_support: int = LEAST_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
