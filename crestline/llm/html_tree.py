@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,36 +83,48 @@ def _attributes(raw: str) -> tuple[int, bool]:
 def parse(source: str | None) -> Page:
     """Block elements as nodes; the text between block borders as blocks, references decoded and white space joined."""
     page = Page([-1], ["#root"], [0], [0], [0], [])
-    stack, links, pieces, linked, at = [0], 0, [], 0, 0
+    links, pieces, linked, at = 0, [], 0, 0
+    #: Open elements: tag, node of the text in them, whether they are hidden; how many are open by tag, and how many are hidden.
+    stack, opened, hiding = [("#root", 0, False)], Counter(), 0
+    #: A hidden inline element: tag, how many of the tag are open, elements open where it began.
+    hushed: tuple[str, int, int] | None = None
     source = source or ""
     # no tag ends after the last of these, so none is sought there, and every search stops at a tag's end
     last = source.rfind(">") + 1
 
-    def add(tag: str, hint: int) -> None:
-        page.parent.append(stack[-1])
+    def add(tag: str, hint: int) -> int:
+        page.parent.append(stack[-1][1])
         page.tag.append(tag)
         page.hint.append(hint)
         page.chars.append(0)
         page.linked.append(0)
+        return len(page.tag) - 1
 
     def close_block() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            node = stack[-1]
+            node = stack[-1][1]
             if page.tag[node] in ("#root", "html", "body"):  # loose text is a paragraph of its own
-                add("p", 0)
-                node = len(page.tag) - 1
+                node = add("p", 0)
             page.chars[node] += len(text)
             page.linked[node] += min(linked, len(text))
             page.blocks.append((node, text))
         pieces.clear()
         linked = 0
 
+    def pop() -> str:
+        nonlocal hiding, hushed
+        tag, _, hidden = stack.pop()
+        opened[tag] -= 1
+        hiding -= hidden
+        if hushed and len(stack) < hushed[2]:  # never closed, but what holds it is
+            hushed = None
+        return tag
+
     while at < len(source):
         found = TOKEN.search(source, at, last) if at < last else None
-        text = source[at : found.start() if found else len(source)]
-        if text:
+        if not (hiding or hushed) and (text := source[at : found.start() if found else len(source)]):
             pieces.append(text)
             if links:
                 linked += len(text)
@@ -135,46 +148,37 @@ def parse(source: str | None) -> Page:
         elif tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1
-            if not closing:
-                hint, hidden = _attributes(found[3])
-                if hidden:
-                    at = _skipped(source, at, tag)
+            if hushed:
+                if tag == hushed[0]:
+                    depth = hushed[1] + (-1 if closing else 1)
+                    hushed = (tag, depth, hushed[2]) if depth else None
+            elif not closing and not hiding and _attributes(found[3])[1]:
+                hushed = tag, 1, len(stack)
         elif closing:
-            if any(page.tag[n] == tag for n in reversed(stack[1:])):
+            if opened[tag]:
                 close_block()
                 links = 0
-                while page.tag[stack.pop()] != tag:
+                while pop() != tag:
                     pass
         else:
             hint, hidden = _attributes(found[3])
             close_block()
             links = 0
-            if hidden:
-                at = _skipped(source, at, tag)
-                continue
             ended = ENDS.get(tag)
-            if ended and page.tag[stack[-1]] in ended:
-                stack.pop()
-                if tag == "tr" and page.tag[stack[-1]] == "tr":
-                    stack.pop()
+            if ended and stack[-1][0] in ended:
+                pop()
+                if tag == "tr" and stack[-1][0] == "tr":
+                    pop()
             if found[3].endswith("/"):
                 continue
-            add(tag, hint)
-            stack.append(len(page.tag) - 1)
+            # hidden elements, and all in them, are open but no nodes
+            stack.append((tag, stack[-1][1] if hidden or hiding or hushed else add(tag, hint), hidden))
+            opened[tag] += 1
+            hiding += hidden
     close_block()
     return page
 
 
-def _skipped(source: str, at: int, tag: str) -> int:
-    """Where a hidden element ends."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I).finditer(source, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return at
-
-
 def observed(page: Page) -> np.ndarray:
     """Codes of each node's features: tag, hint, own text, share of links in the text below, lines that look like sentences."""
     at = {t: k for k, t in enumerate(TAGS)}

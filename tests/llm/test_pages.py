@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import gzip
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,20 @@ def test_stray_and_many_quotes():
     for bad in ('<p ' + '"' * 10_000, '<p ' + 'a="' * 10_000, '<p a="' * 10_000 + '>"', "<" * 100_000, "<!--" * 10_000, "<! " * 10_000, "<a " * 10_000):
         html_tree.parse(bad + "<p>x")
     assert time.time() - began < 5
+
+
+def test_hidden_elements():
+    text = lambda x: [t for _, t in html_tree.parse(x).blocks]
+    assert text('<div>a<p hidden>x<p>b</p></div>c') == ["a", "b", "c"]
+    assert text('<div hidden><div>x</div>y</div>z') == ["z"]
+    assert text('<section><div hidden>x<p>y</p></section>z') == ["z"]
+    assert text('<p>a <span style="display:none">x <span>y</span> x</span> b</p>') == ["a b"]
+    assert text('<p>a <span hidden>x</p><p>b</p>') == ["a", "b"]
+    assert text('<ul><li hidden>x<li>b</ul>') == ["b"]
+
+
+@pytest.mark.parametrize("bad", ["<p hidden>x", "<div hidden>x", "<div>", "<span hidden>x", "<li>y", "</section>", "<div hidden></div>", "<div><span hidden>"])
+def test_parsing_is_linear(bad):
+    began = time.time()
+    html_tree.parse("<div>" * 60_000 + "</section>" * 60_000 if bad == "</section>" else bad * (1_000_000 // len(bad)))
+    assert time.time() - began < 10  # a second or two, on a busy machine
