@@ -88,13 +88,16 @@ class Encoder:
 
     KEPT = 300_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         shape = json.loads(self.tokenizer.to_str())
+        #: Strings that the tokenizer takes as one token; texts that hold one are encoded whole.
+        added = [re.escape(t["content"]) for t in shape["added_tokens"] if not (special_as_text and t["special"])]
+        self.added = re.compile("|".join(added)) if added else None
         cut, model = shape["pre_tokenizer"] or {}, shape["model"]
         plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         self.by_chunks = model["type"] == "BPE" and plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and shape["normalizer"] is None
@@ -197,7 +200,7 @@ class Encoder:
         out: list = [b""] * len(texts)
         kinds: dict[str, list[int]] = {"whole": [], "pieces": [], "chunks": []}
         for k, x in enumerate(texts):
-            kinds["whole" if not PLAIN.fullmatch(x) else "chunks" if x and _even(x) else "pieces"].append(k)
+            kinds["whole" if not PLAIN.fullmatch(x) or self.added and self.added.search(x) else "chunks" if x and _even(x) else "pieces"].append(k)
         gc.disable()  # nothing here makes a cycle, and the collector would go over millions of strings again and again
         try:
             for kind, how in (("whole", self._whole), ("pieces", self._in_pieces), ("chunks", self._in_chunks)):
@@ -209,14 +212,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool) -> Encoder:
     """A worker's encoder; what it has learned serves its later tasks too."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
 
 
-def _encoded(parts: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, part: int) -> Iterator[pa.Table]:
+def _encoded(parts: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, part: int, special_as_text: bool) -> Iterator[pa.Table]:
     """Rows of the file format, about CHARS_AT_ONCE characters of text at a time."""
-    known, end, before = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
+    known, end, before = encoder(tokenizer, special_as_text), np.array([end_id], "<u4").tobytes(), 0
     doc_ids, texts, chars = [], [], 0
     for p in chain(parts, [None]):
         if p is not None:
@@ -235,9 +238,12 @@ def _encoded(parts: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, part:
         doc_ids, texts, chars = [], [], 0
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text", partitions: int | None = None) -> int:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text", partitions: int | None = None, special_as_text: bool = False) -> int:
     """Encodes whole texts in ascending doc_id order, writes the format described above and returns the number of rows.
 
+    Strings of special tokens in a text become their ids, as the tokenizers library has it, or are
+    ordinary text with special_as_text.
+
     The texts are dealt by ranges of doc_id, in one shuffle, before they are encoded. Tasks write
     their columns as they are, without a detour by rows. A task writes under a name of its own and
     renames the file when it is whole, so one that is repeated after a loss, or runs twice, leaves
@@ -254,7 +260,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
 
         part, held, rows = TaskContext.get().partitionId(), [], 0
         with whole_file(f"{path}/part-{part:05d}.parquet") as out, pq.ParquetWriter(out, LAYOUT, **FORMAT) as file:
-            for some in chain(_encoded(parts, tokenizer, end_id, part), [None]):
+            for some in chain(_encoded(parts, tokenizer, end_id, part, special_as_text), [None]):
                 if some is not None:
                     held.append(some)
                     rows += some.num_rows
