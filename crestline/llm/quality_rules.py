@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from crestline.llm.profile import CLASSES, base_counts, class_counts, words_of
 from crestline.llm.shared import short_batches, written
 
-#: Common words of a reference; languages held at most, by their number of words.
-COMMON, MOST_LANGS = 60, 200
+#: Common words of a reference.
+COMMON = 60
 #: Words of a task that are counted before they are handed on.
 HELD = 300_000
 LEAST_WORDS, LEAST_CHARS = 50, 200
@@ -43,8 +43,8 @@ def _bare(word: bytes) -> bytes:
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """Language -> (class shares, common words by place, their shares and that of the rest), from all documents.
 
-    Tasks count words on their own before the shuffle; what comes back is bounded by MOST_LANGS
-    and COMMON.
+    Tasks count words on their own before the shuffle; what comes back is COMMON words a language,
+    for every language of the table.
     """
     short_batches(docs.sparkSession)
 
@@ -71,25 +71,24 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
     counts = rows.mapInPandas(counted, "l string, class int, w binary, n long").select("l", "class", bare.alias("w"), "n").groupBy("l", "class", "w").agg(F.sum("n").alias("n"))
     is_class = F.col("class") >= 0
     counts = written(counts.where(is_class | (F.octet_length("w") > 0)), "word-counts")
-    totals = counts.where(~is_class).groupBy("l").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "l").limit(MOST_LANGS).collect()
+    totals = counts.where(~is_class).groupBy("l").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "l").collect()
     # the most common words of each task's share first, so that no language's vocabulary is sorted in one place
     near = Window.partitionBy("l", F.spark_partition_id()).orderBy(F.desc("n"), "w")
     top = counts.where(~is_class).withColumn("r", F.row_number().over(near)).where(F.col("r") <= COMMON).drop("r")
     top = top.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= COMMON)
-    got = top.select("l", "w", "n").collect()
-    shares = counts.where(is_class).collect()
+    got: dict[str, dict[bytes, int]] = {}
+    for x in top.select("l", "w", "n").collect():
+        got.setdefault(x["l"], {})[bytes(x["w"])] = x["n"]
+    shares: dict[str, np.ndarray] = {}
+    for x in counts.where(is_class).collect():
+        shares.setdefault(x["l"], np.zeros(len(CLASSES)))[x["class"]] = x["n"]
     out = {}
     for row in totals:
-        common = {bytes(x["w"]): k for k, x in enumerate(sorted((x for x in got if x["l"] == row["l"]), key=lambda x: (-x["n"], bytes(x["w"]))))}
-        n = np.zeros(len(common) + 1)
-        for x in got:
-            if x["l"] == row["l"]:
-                n[common[bytes(x["w"])]] = x["n"]
+        of = got[row["l"]]
+        common = {w: k for k, w in enumerate(sorted(of, key=lambda w: (-of[w], w)))}
+        n = np.array([*(of[w] for w in common), 0.0])
         n[-1] = row["total"] - n.sum()
-        c = np.zeros(len(CLASSES))
-        for x in shares:
-            if x["l"] == row["l"]:
-                c[x["class"]] = x["n"]
+        c = shares[row["l"]]
         out[row["l"]] = (c / c.sum(), common, n / n.sum())
     return out
 
@@ -135,7 +134,7 @@ def judge(text: str | None, refs: dict, class_limit: float = CLASS_LIMIT, word_l
 
 
 def judged(text: Column, docs: DataFrame, refs: dict, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> Column:
-    """struct of RESULT for whole texts; the references are broadcast, bounded as in references()."""
+    """struct of RESULT for whole texts; the references are broadcast: COMMON words and the classes of each language."""
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(refs)
