@@ -141,8 +141,7 @@ class _Scorer:
         self.table, self.used = np.zeros((1_000, len(self.model.langs))), 1  # row 0 is that of words of which nothing is known
 
     def learn(self, words: set[str]) -> None:
-        if self.used > self.limit:
-            self.reset()
+        """Makes the rows of words; of a piece of a text, all are learned after a reset, however many."""
         of = {w: [k] if (k := self.model.words.get(w)) is not None else self.model.known_grams(w) for w in words}
         some = {w: g for w, g in of.items() if g}
         self.rows.update(dict.fromkeys(of.keys() - some.keys(), 0))
@@ -165,10 +164,12 @@ class _Scorer:
         while words := list(islice(found, 100_000)):
             if max(map(len, words)) > LONGEST_WORD:
                 words = [p for w in words for p in (pieces_of(w) if len(w) > LONGEST_WORD else (w,))]
-            if missing := set(words).difference(self.rows):
+            missing = set(words).difference(self.rows)
+            if missing and self.used > self.limit:
+                self.reset()
+                missing = set(words)
+            if missing:
                 self.learn(missing)
-                if missing := set(words).difference(self.rows):  # the rows were reset
-                    self.learn(missing)
             total += self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
             seen += len(words)
         if not seen or not langs:

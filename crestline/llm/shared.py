@@ -110,8 +110,8 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 
 
 def id_remainder(doc_id: Column) -> Column:
-    """crc32 of doc_id as text, mod 5; 0 marks the held-out rows."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+    """crc32 of doc_id as text (null: empty), mod 5; 0 marks the held-out rows."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -126,6 +126,21 @@ def test_language_scores_equal_brute_force(spark, texts):
         assert g["lang_pred"] == lang or score < 0.5, t
 
 
+def test_more_new_words_than_a_worker_keeps():
+    """Words learned before a reset of the store are still known after it."""
+    kept = {(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}", f"l{k % 200}"): 1 for k in range(3_000)}
+    model = langid._model(kept, {("a", f"l{k}"): 1 for k in range(200)})
+    scorer = langid._Scorer(model)
+    known, names = [w for w, _ in kept], [f"a{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}b" for k in range(12_000)]
+    alone = langid._Scorer(model).score(" ".join(known[:50] + names[:9_000]))
+    scorer.score(" ".join(names))
+    assert scorer.used > scorer.limit and scorer.score(" ".join(known[:50] + names[:9_000])) == alone
+
+
+def test_rows_without_id_are_held_out_or_not(odd):
+    assert odd.where(id_remainder(F.col("doc_id")).isNull()).count() == 0
+
+
 def test_every_language_has_a_model(spark):
     rows = spark.createDataFrame([(k, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} same", f"l{k:03d}") for k in range(230)], "doc_id long, text string, lang string")
     assert len(langid.train(rows).langs) == 230
@@ -588,11 +603,11 @@ def test_mixing_odd(odd, none):
 # --- token files
 
 
-def plain_ids(texts):
+def plain_ids(texts, special_as_text=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return [[*x.ids, 2] for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -606,6 +621,14 @@ def test_encoder_equals_the_tokenizer():
         assert [np.frombuffer(x, "<u4").tolist() + [2] for x in encoder.encode(part)] == plain_ids(part)
 
 
+@pytest.mark.parametrize("as_text", [False, True])
+def test_strings_of_special_tokens(as_text):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "some words <|endoftext|> and <|endoftext|><|endoftext|> more", "<|endoftext", "plain words", ""]
+    got = token_output.Encoder(tokenizer_path(), as_text).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() + [2] for x in got] == plain_ids(texts, as_text)
+    assert (50256 in np.frombuffer(got[0], "<u4")) != as_text
+
+
 def test_token_files_round_trip(spark, docs, texts):
     path = scratch(spark, "test-tokens")
     token_output.write_tokens(docs, path, tokenizer_path(), partitions=5)
@@ -668,7 +691,6 @@ def test_other_tokenizers_encode_whole_texts():
 
     path = tokenizer_path("word_bpe_49k.json")
     encoder, t = token_output.Encoder(path), Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     assert not encoder.by_chunks
     texts = ["Hello  there, World's end.", "", "x\ny"]
     assert encoder.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
