@@ -16,6 +16,8 @@ other than id and text are not read, but for those that sanitised() passes on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,9 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: A term: a whole word of two letters or more, in lower case.
 TERM = r"[\p{L}]{2,}+"
 LEAST_SUPPORT, DISCLOSURE = 3, 0.8
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
+#: Bits of the sieve that most words fall through before they meet the telling terms.
+SIEVE = 1 << 20
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
@@ -47,25 +52,58 @@ def _valid(kind: str, value: Column) -> Column:
     return F.when(size.between(13, 19), F.call_function("luhn_check", digits)).otherwise(False) if kind == "card" else size.between(9, 15)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks_of(items: Column) -> Column:
+    """An array in blocks of the root of its length: what is appended to in each, and over all, stays short."""
+
+    def cut(x: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(x))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda k: F.slice(x, k * size + 1, size))
+
+    return let(items, lambda x: F.when(F.size(x) > 0, cut(x)))
+
+
+def walked(text: Column, pattern: str, hit: Callable[[Column], Column]) -> Column:
+    """array<struct<start, end, value>> of the pattern's matches that are hits, in code points, from the pieces between all matches.
+
+    Only hits are kept. Places are added up within blocks and then over them, so the work grows
+    little faster than the number of matches.
+    """
+    spans = "array<struct<start:bigint,end:bigint,value:string>>"
+    state = f"struct<at:bigint,out:{spans}>"
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans).alias("out")).cast(state)
+
+    def step(acc: Column, m: Column) -> Column:
+        start = acc["at"] + m["gap"]
+        end = start + F.length(m["value"])
+        span = F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(hit(m["value"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out")).cast(state)
+
+    def shifted(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        move = F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), lambda b, by: F.transform(b["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"))))
+        return F.flatten(move)
+
+    def matches(values: Column) -> Column:
+        pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long"))
+        return F.zip_with(values, F.slice(pieces, F.lit(1), F.size(values)), lambda v, p: F.struct(v.alias("value"), p.alias("gap")))
+
+    def found(values: Column) -> Column:
+        done = F.transform(blocks_of(matches(values)), lambda b: F.aggregate(b, first, step))
+        return F.when(F.size(values) > 0, let(done, shifted))
+
+    return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), 0), found), F.array().cast(spans))
+
+
 def _found(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value>> of one pattern's valid matches, from the pieces that lie between all matches."""
-    pattern = PATTERNS[kind]
-    values, pieces = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
-    # running place: each match starts after the piece before it
-    state = "struct<at:bigint,out:array<struct<kind:string,start:bigint,end:bigint,value:string>>>"
-    first = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")).cast(state)
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["value"])
-        span = F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), pair["value"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out")).cast(state)
-
-    pairs = F.zip_with(values, F.slice(pieces, 1, F.size(values)), lambda v, p: F.struct(v.alias("value"), p.alias("piece")))
-    spans = F.filter(F.aggregate(pairs, first, step, lambda acc: acc["out"]), lambda s: _valid(kind, s["value"]))
+    """array<struct<kind, start, end, value>> of one pattern's valid matches."""
+    spans = F.transform(walked(text, PATTERNS[kind], lambda v: _valid(kind, v)), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     possible = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(r"[0-9][\x20-]?[0-9]")
-    return F.when(possible, F.when(F.size(values) > 0, spans).otherwise(none)).otherwise(none)
+    return F.when(possible, spans).otherwise(F.array().cast(SPANS))
 
 
 def spans(text: Column) -> Column:
@@ -89,8 +127,9 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 
 def detected(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, same and found (base spans)."""
-    return keyed(docs, id_col, text).select("doc_id", "same", spans(F.col("text")).alias("found"))
+    """doc_id, same, found (base spans) and, where there are any, own (the text's different terms)."""
+    rows = keyed(docs, id_col, text).withColumn("found", spans(F.col("text")))
+    return rows.select("doc_id", "same", "found", F.when(F.size("found") > 0, terms_of(F.col("text"))).alias("own"))
 
 
 def terms_of(text: Column) -> Column:
@@ -124,9 +163,7 @@ def telling_terms(found: DataFrame, docs: DataFrame, id_col: str, text: str, lea
     commonest = total ** (1 - disclosure) * most**disclosure
     terms = written(term_frequency(docs, text), "terms").where(F.col("df").between(least_support, commonest * (1 + 1e-9)))
     terms = written(terms, "rare-terms")
-    holders = held.select("doc_id", "same").distinct()
-    rows = keyed(docs, id_col, text)
-    words = rows.join(holders, _on_document(rows, holders), "left_semi").select("doc_id", "same", F.explode(terms_of(F.col("text"))).alias("term")).join(terms, "term").distinct()
+    words = found.where(F.size("found") > 0).select("doc_id", "same", F.explode("own").alias("term")).join(terms, "term").distinct()
     both = held.join(words, _on_document(held, words)).where(F.col("df") <= F.pow(F.lit(float(total)), F.lit(1 - disclosure)) * F.pow("df_entity", F.lit(disclosure)) * (1 + 1e-9))
     pairs = both.groupBy("entity", "term").agg(F.sum("rows").alias("df_both"), F.first("df").alias("df"), F.first("df_entity").alias("df_entity")).where(F.col("df_both") >= least_support)
     n = F.lit(float(total))
@@ -134,30 +171,31 @@ def telling_terms(found: DataFrame, docs: DataFrame, id_col: str, text: str, lea
     return written(pairs.where((information > 0) & (pmi >= disclosure * information)).select("entity", "term"), "telling")
 
 
-def _places(text: Column, wanted: Column) -> Column:
-    """array<struct<start, end>> of the wanted terms in a text: one walk over its words, in which only hits are kept."""
-    values, pieces = F.regexp_extract_all(text, F.lit(TERM), 0), F.split(text, TERM, -1)
-    each = F.zip_with(values, F.slice(pieces, 1, F.size(values)), lambda v, p: F.struct(F.length(p).alias("gap"), F.length(v).alias("n"), F.array_contains(wanted, F.lower(v)).alias("hit")))
-    state = "struct<at:bigint,out:array<struct<start:bigint,end:bigint>>>"
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")).cast(state)
+def sieve(terms: DataFrame) -> DataFrame:
+    """One row with column sieve: SIEVE bits, set where the hash of a term falls. Its size is fixed; what it lets through meets the terms themselves."""
+    at = F.pmod(F.xxhash64("term"), F.lit(SIEVE))
+    words = terms.select(F.shiftright(at, 6).alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits"))
+    all_words = terms.sparkSession.range(SIEVE // 64).join(words, F.col("id") == F.col("k"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return all_words.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("sieve"))
 
-    def step(acc: Column, w: Column) -> Column:
-        start = acc["at"] + w["gap"]
-        end = start + w["n"]
-        place = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct(end.cast("long").alias("at"), F.when(w["hit"], F.concat(acc["out"], place)).otherwise(acc["out"]).alias("out")).cast(state)
 
-    return F.aggregate(each, first, step, lambda acc: acc["out"])
+def _passes(bits: Column, term: Column) -> Column:
+    at = F.pmod(F.xxhash64(term), F.lit(SIEVE))
+    return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, same, start, end of every occurrence of the terms as whole words, in all documents. Texts aren't taken apart into rows."""
-    rows = keyed(docs, id_col, text)
+    """doc_id, same, start, end of every occurrence of the terms as whole words, in all documents.
+
+    Texts stay where they are: their words pass the sieve or not, and the places of those that do
+    are joined with the terms.
+    """
     wanted = written(terms.select("term").distinct(), "wanted")
-    holds = rows.select("doc_id", "same", F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term").groupBy("doc_id", "same").agg(F.collect_set("term").alias("wanted"))
-    holds = written(holds, "holds")
-    met = rows.join(holds, _on_document(rows, holds)).select(rows["doc_id"], rows["same"], F.explode(_places(F.col("text"), F.col("wanted"))).alias("p"))
-    return met.select("doc_id", "same", "p.start", "p.end").distinct()
+    rows = keyed(docs, id_col, text).crossJoin(F.broadcast(written(sieve(wanted), "sieve")))
+    some = F.exists(terms_of(F.col("text")), lambda t: _passes(F.col("sieve"), t))
+    places = F.when(some, walked(F.col("text"), TERM, lambda v: _passes(F.col("sieve"), F.lower(v))))
+    met = rows.select("doc_id", "same", F.explode(places).alias("p")).select("doc_id", "same", F.lower("p.value").alias("term"), "p.start", "p.end")
+    return met.join(wanted, "term").select("doc_id", "same", "start", "end").distinct()
 
 
 def disclosing(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_support: int = LEAST_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -172,8 +210,20 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least
     both = found.select("doc_id", "same", "found").join(more, (found["doc_id"].eqNullSafe(more["doc_id"])) & (found["same"] == more["same"]), "left").select(found["doc_id"], found["same"], "found", "places")
     outside = F.filter(F.col("places"), lambda t: ~F.exists(F.col("found"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     terms = F.transform(outside, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lit(None).cast("string").alias("value")))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
-    return both.select("doc_id", "same", "found", F.coalesce(terms, none).alias("terms"))
+    return both.select("doc_id", "same", "found", F.coalesce(terms, F.array().cast(SPANS)).alias("terms"))
+
+
+#: Code points of a piece of text from which the gaps between spans are taken.
+PIECE = 1_000
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of a text in pieces of PIECE."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    head = F.substring(F.get(pieces, first), (start % PIECE + 1).cast("int"), (end - start).cast("int"))
+    tail = F.substring(F.get(pieces, last), F.lit(1), (end - last * PIECE).cast("int"))
+    middle = F.when(last - first > 1, F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")).otherwise("")
+    return F.when(end <= start, "").when(first == last, head).otherwise(F.concat(head, middle, tail))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", remove: bool = False, **how) -> DataFrame:
@@ -181,16 +231,22 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", remov
     own, same, found = free_names(docs, "_id", "_same", "_spans")
     spans_of = all_spans(docs, id_col, text, **how).select(F.col("doc_id").alias(own), F.col("same").alias(same), F.concat("found", "terms").alias(found)).dropDuplicates([own, same])
     whole = F.coalesce(F.col(text), F.lit(""))
-    state = "struct<at:bigint,out:string>"
-    ordered = F.array_sort(F.col(found), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]).cast("int"))
+    ordered = F.array_sort(F.transform(F.col(found), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     general = F.create_map(*[F.lit(x) for k, v in GENERAL.items() for x in (k, "" if remove else v)])
+    state = "struct<at:bigint,out:array<string>>"
+
+    def clean(pieces: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            new = F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.array(_between(pieces, acc["at"], s["start"]), general[s["kind"]])).alias("out")).cast(state)
+            return F.when(s["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out")).cast(state))
+
+        def block(acc: Column, b: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
+            return let(F.aggregate(b, start, step), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(d["out"], ""))).alias("out")).cast(state))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(whole, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, general[s["kind"]]).alias("out")).cast(state)
-        return F.when(s["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")).cast(state))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
+        return F.aggregate(blocks_of(ordered), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), _between(pieces, acc["at"], F.length(whole).cast("long"))))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")).cast(state)
-    clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    made = F.when(F.size(found) > 0, let(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), 0), clean)).otherwise(whole)
     columns = [c for c in docs.columns if c != "text_clean"]
-    return docs.join(spans_of, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(whole) == F.col(same))).select(*columns, clean.alias("text_clean"))
+    return docs.join(spans_of, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(whole) == F.col(same))).select(*columns, made.alias("text_clean"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -442,6 +443,28 @@ def test_pii_odd(odd, none):
     assert clean.count() == odd.count() and clean.where("doc_id = 2").first()["text_clean"] == ""
 
 
+def test_many_matches_in_one_text(spark):
+    """Candidates, spans and terms by the ten thousand."""
+    numbers = " ".join(f"word{k}" for k in range(60_000))
+    mails = " ".join(f"a{k}@b.co mail" for k in range(60_000))
+    rows = [(1, numbers), (2, mails), *[(k, "zorblax c@d.org zorblax") for k in (3, 4, 5)], (6, "zorblax again " * 40_000), *[(k, "other text") for k in range(7, 60)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.all_spans(df).collect()}
+    assert not got[1]["found"] and [(s["start"], s["end"]) for s in got[2]["found"]] == [m.span() for m in re.finditer(r"a[0-9]+@b\.co", mails)]
+    assert [(s["start"], s["end"]) for s in got[6]["terms"]] == [(14 * k, 14 * k + 7) for k in range(40_000)]
+    clean = {r["doc_id"]: r["text_clean"] for r in pii.sanitised(df).collect()}
+    assert clean[1] == numbers and clean[2] == " ".join(["[EMAIL] mail"] * 60_000) and clean[6] == "[TERM] again " * 40_000
+    assert time.time() - began < 120
+
+
+def test_sanitised_over_pieces_and_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PIECE", 7)
+    text = "é" * 30 + " a.b@c.de 4111 1111 1111 1111, +1 202 555 0175 1.2.3.4 " + "日" * 20 + "\n1.2.3.4\n"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.sanitised(df).first()["text_clean"] == "é" * 30 + " [EMAIL] [CARD], [PHONE] " + "日" * 20 + "\n[IP]\n"
+
+
 def test_pii_digest(spark):
     text = "mail a@b.co or 1.2.3.4"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
