@@ -3,10 +3,12 @@
 Items and documents are sequences of lower-cased words; words that no item has are one symbol.
 The CGK random walk copies a sequence while it stays on a symbol or steps on by a random bit of
 (step, symbol), so that a small edit distance becomes a small Hamming distance. Several walks run
-from each start of an item-sized window; in each, a few sampled steps form a hash key. Windows
-that share a key with an item, at its start or middle, are verified with the whole item: the edit
-distance in words of the item to the best part of the text around must be at most 20 % of its
-words (a similarity of 0.8).
+from each start of an item-sized window; in each, a few sampled steps form a hash key. An
+item has windows all along it, every half of WALKED words, as a walk that has lost step with an
+edited passage seldom finds it again: some window of a passage within the limit has few edits at
+its beginning. Windows of a text that share a key with one of an item are verified with the whole
+item: the edit distance in words of the item to the best part of the text around must be at most
+20 % of its words (a similarity of 0.8).
 
 Windows that cannot match are not walked: with e edits an item of L words keeps a run of at least
 ceil((L - e) / (e + 1)) words, and L - q + 1 - q * e of its runs of q words, so windows with fewer
@@ -33,8 +35,8 @@ from crestline.llm.shared import short_batches
 WORDS = re.compile(r"[^\W_]+")
 BLOCK_ITEMS = 1_000
 FOUND = "array<struct<item_id:long,distance:int,at:int>>"
-#: Words of an item (or of its second half) that the walks cover; verification covers all.
-WALKED = 96
+#: Words of a window that a walk may cover. Windows start every half of that in an item, all along it.
+WALKED = 16
 #: Words of one block of a text; blocks overlap by the longest item.
 CHUNK = 200_000
 
@@ -65,12 +67,12 @@ class Index:
         # length classes, so that items of similar length sample the same steps
         self.classes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, c in enumerate(self.coded):
-            for at in {0, len(c) // 2 if len(c) >= 16 else 0}:
+            for at in range(0, max(1, len(c) - WALKED // 2 + 1), WALKED // 2):
                 n = min(len(c) - at, WALKED)
                 self.classes[2 ** int(math.log2(n)) if n < 8 else 4 * (n // 4)].append((k, at))
-        self.steps = max([2, *(int(1.5 * n) + 1 for n in self.classes)])
+        self.steps = max([2, *(n + 1 for n in self.classes)])
         self.bits = rng.integers(0, 2, (walks, self.steps, v), dtype=np.int8)
-        self.picked = {n: np.sort(rng.integers(0, max(1, int(1.5 * n)), (walks, samples)), axis=1) for n in self.classes}
+        self.picked = {n: np.sort(rng.integers(0, n, (walks, samples)), axis=1) for n in self.classes}
         self.salt = rng.integers(1, 1 << 62, samples, dtype=np.uint64) | np.uint64(1)
         self.keys: list[dict[int, np.ndarray]] = []
         self.owner: list[dict[int, dict[int, list[tuple[int, int]]]]] = []
@@ -144,11 +146,11 @@ class Index:
                     out.update((item, int(starts[k]) - at) for item, at in self.owner[r][n][int(h[k])])
         return out
 
-    def best(self, item: int, seq: np.ndarray, near: int) -> tuple[int, int]:
-        """Smallest edit distance of the item to a part of the text around the place, and the end of that part (bit-parallel)."""
+    def best(self, item: int, seq: np.ndarray, near: int, last: int | None = None) -> tuple[int, int]:
+        """Smallest edit distance of the item to a part of the text around the place, or the places from near to last, and the end of that part (bit-parallel)."""
         pattern, e = self.coded[item], self.edits[item]
         m = len(pattern)
-        low, high = max(0, near - 2 * e - 2), min(len(seq), near + m + 2 * e + 2)
+        low, high = max(0, near - 2 * e - 2), min(len(seq), (near if last is None else last) + m + 2 * e + 2)
         peq: dict[int, int] = {}
         for k, s in enumerate(pattern.tolist()):
             peq[s] = peq.get(s, 0) | 1 << k
@@ -183,10 +185,18 @@ class Index:
             gap = np.zeros(self.steps + self.reach + 2, np.int64)
             seq = np.concatenate([x for _, _, part in blocks for x in (part, gap)])
             begins = np.cumsum([0, *(len(part) + len(gap) for _, _, part in blocks[:-1])])
+            # places of one item in one block whose surroundings touch are looked at together
+            ranges: list[list[int]] = []
             for item, near in sorted(self.candidates(seq, self.starts(seq))):
                 b = max(0, int(np.searchsorted(begins, near, side="right")) - 1)
+                near -= int(begins[b])
+                if ranges and ranges[-1][:2] == [item, b] and near - ranges[-1][3] <= len(self.coded[item]) + 4 * self.edits[item] + 4:
+                    ranges[-1][3] = near
+                else:
+                    ranges.append([item, b, near, near])
+            for item, b, near, last in ranges:
                 k, at, part = blocks[b]
-                distance, end = self.best(item, part, near - int(begins[b]))
+                distance, end = self.best(item, part, near, last)
                 if distance <= self.edits[item]:
                     found[k][item] = min(found[k].get(item, (distance, at + end)), (distance, at + end))
         return [[{"item_id": self.items[i][0], "distance": d, "at": end} for i, (d, end) in sorted(x.items())] for x in found]

@@ -529,6 +529,29 @@ def test_recall_of_edited_passages_and_no_false_ones(spark, texts):
                 assert exact == any(m["item_id"] == k for m in got)
 
 
+def with_edits(words, kind, rng, vocabulary):
+    """The words with edits at exactly a fifth of their places."""
+    out = words[:]
+    places = rng.sample(range(len(words)), len(words) // 5)
+    for k in sorted(places, reverse=True):
+        how = rng.choice(["delete", "insert", "replace"]) if kind == "mix" else kind
+        out[k : k + (how != "insert")] = [] if how == "delete" else [rng.choice([*vocabulary, "qq"])]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["delete", "insert", "replace", "mix"])
+@pytest.mark.parametrize("length", [15, 30, 50, 100, 200, 400])
+def test_recall_at_the_limit(length, kind):
+    rng = random.Random(length)
+    vocabulary = [f"v{k}" for k in range(3_000)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(length))) for k in range(20)]
+    index, found = decontam.Index(items), 0
+    for k, text in items:
+        host = [rng.choice(vocabulary) for _ in range(60)]
+        found += any(m["item_id"] == k for m in index.matches([" ".join(host[:30] + with_edits(text.split(), kind, rng, vocabulary) + host[30:])])[0])
+    assert found >= 18
+
+
 def test_decontamination_odd(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "the quick brown fox and the lazy dog"), (2, None), (3, ""), (None, "null id and text"), (4, "word1")], "item_id long, text string")
     got = {r["doc_id"]: [x["item_id"] for x in r["f"]] for r in odd.select("doc_id", decontam.leaked(odd, benchmark).alias("f")).collect()}
