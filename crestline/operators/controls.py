@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crestline.functions.draws import number
 from crestline.operators.episodes import merged, shifted
 from crestline.operators.evaluation import Policy
+from crestline.operators.resampling import spread
 
 @dataclass(frozen=True)
 class Family:
@@ -28,12 +30,8 @@ class Family:
 FAMILIES = (Family("scattered"), Family("turned", "together"), Family("stepped", "in_turn"), Family("scattered_rare", rare=True), Family("turned_rare", "together", True))
 
 
-def _uniform(*keys) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
-
-
 def drawn(observed: DataFrame, rare: DataFrame, n: int, draws: int, seed: int = 7, families: tuple[Family, ...] = FAMILIES) -> DataFrame:
-    """(family, draw, start, end) of all draws of all families: one plan, merged within each draw.
+    """(family, draw, start, end) of all draws of all families; alarms that are moved together are merged where they meet, those placed anywhere keep their lengths and never do.
 
     observed, rare: (start, end) alarms of a series of n samples; without a rare alarm the observed
     ones serve. Random places are hashes of (seed, family, draw, alarm), so a lost task draws the
@@ -43,11 +41,11 @@ def drawn(observed: DataFrame, rare: DataFrame, n: int, draws: int, seed: int =
     sources = observed.select(F.lit(False).alias("rare"), "start", "end").unionByName(rare.select(F.lit(True).alias("rare"), "start", "end"))
     plan = F.explode(F.array(*[F.struct(F.lit(f.name).alias("family"), F.lit(f.place).alias("place"), F.lit(f.rare).alias("of")) for f in families]))
     rows = sources.withColumn("p", plan).where("rare = p.of").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("p.family", "p.place", "draw", "start", "end")
-    spot = F.floor(_uniform(F.lit(seed), "family", "draw", "start") * n)
-    alone = rows.where("place = 'anywhere'").select("family", "draw", spot.alias("start"), F.least(F.lit(n - 1), spot + (F.col("end") - F.col("start"))).alias("end"))
-    offset = F.when(F.col("place") == "in_turn", (F.col("draw") + 1) * max(1, n // draws) % n).otherwise(F.floor(1 + _uniform(F.lit(seed), "family", "draw") * (n - 1)))
+    alone = sources.withColumn("p", plan).where("rare = p.of and p.place = 'anywhere'").select(F.col("p.family").alias("family"), "start", "end")
+    alone = spread(alone, n, draws, ["family"], seed).select("family", (F.col("replicate") - 1).alias("draw"), "start", "end")
+    offset = F.when(F.col("place") == "in_turn", (F.col("draw") + 1) * max(1, n // draws) % n).otherwise(1 + number(seed, "family", "draw") % max(1, n - 1))
     moved = rows.where("place <> 'anywhere'").select("family", "draw", *[(F.col(c) + offset).alias(c) for c in ("start", "end")])
-    return merged(alone.unionByName(shifted(moved, n, 0)), 0, ["family", "draw"])
+    return merged(shifted(moved, n, 0), 0, ["family", "draw"]).unionByName(alone)
 
 
 def judged(alarms: DataFrame, failures: DataFrame, keys: list[str], policy: Policy, n: int, per_day: int) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.operators.episodes import merged
+from crestline.operators.resampling import shuffled_runs, turned_hits
 from crestline.operators.series import carried, placed_in, ranges_of, running_sum
+from crestline.session import written
 
 
 def simultaneous(flags: DataFrame, components: list[str]) -> DataFrame:
@@ -124,6 +126,50 @@ def pattern_report(found: DataFrame, entity: list[str], run_length: int = 0) ->
     return found.groupBy(*keys).agg(F.count("*").alias("n")).join(groups, keys).withColumn("theta", F.col("clusters") / F.col("n"))
 
 
+#: Null models by name: (hits, n, replicates, seed) -> (replicate, component, i).
+NULL_MODELS = {"time_shift": turned_hits, "cluster_permutation": shuffled_runs}
+
+
+def null_hits(hits: DataFrame, n: int, null_model: str, replicates: int, seed: int = 7) -> DataFrame:
+    """(replicate, component, i): null replicates of (component, i) that keep each component's own clustering."""
+    if null_model not in NULL_MODELS:
+        raise ValueError(f"null_model must be one of {', '.join(NULL_MODELS)}")
+    return NULL_MODELS[null_model](hits, n, replicates, seed)
+
+
+def evaluated(hits: DataFrame, components: list[str], n: int, max_lag: int, null_model: str = "time_shift", replicates: int = 199, inside: tuple[int, int] | None = None, run_length: int = 0, patterns: DataFrame | None = None, seed: int = 7) -> DataFrame:
+    """(source, target, lag, n, clusters, theta, p, adjusted): all lagged pairs of components, or those of patterns, against a null model.
+
+    hits: (component, i) of a series of n samples. A pattern counts where it lies whole in the
+    positions inside (both ends included); p is the share of replicates that have it as often,
+    adjusted over all patterns asked for, also those that are never seen. The observed series is
+    replicate 0 of one plan: all replicates and lags are counted by one join on cells.
+    """
+    keys = ["source", "target", "lag"]
+    first, last = inside or (0, n - 1)
+    asked = patterns.select(*keys) if patterns is not None else hits.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.lit(lag).cast("long").alias("lag")) for a, b, lag in candidate_patterns(components, max_lag)])).alias("c")).select("c.*")
+    hits = written(hits.select("component", "i"), "hits")
+    long = hits.select(F.lit(0).alias("replicate"), "component", "i")
+    if replicates:
+        long = long.unionByName(null_hits(hits, n, null_model, replicates, seed).select("replicate", "component", "i"))
+    # both ends of a pattern must lie inside, so nothing else is kept of the replicates
+    met = lag_detections(written(long.where(F.col("i").between(first, last)), "replicates"), ["replicate"], max_lag, window=max_lag + 1)
+    counts = written(met.groupBy("replicate", *keys).agg(F.count("*").alias("n")), "pattern-counts")
+    seen = asked.join(counts.where("replicate = 0").drop("replicate"), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    tested = benjamini_hochberg(written(right_tail(seen, counts.where("replicate > 0"), keys, replicates), "tests"))
+    found = lag_detections(hits, [], max_lag).where(F.col("i").between(first, last))
+    shape = pattern_report(found, [], run_length).select(*keys, "clusters", "theta")
+    return tested.join(shape, keys, "left").select(*keys, "n", F.coalesce("clusters", F.lit(0)).alias("clusters"), "theta", "p", "adjusted")
+
+
+def nested_selection(hits: DataFrame, components: list[str], n: int, max_lag: int, validation: tuple[int, int], heldout: tuple[int, int], most: int = 5, alpha: float = 0.1, **how) -> DataFrame:
+    """evaluated() with split: the patterns chosen in the validation positions, and how these, and they alone, do in the held-out ones."""
+    chosen = written(top_patterns(evaluated(hits, components, n, max_lag, inside=validation, **how), most, alpha), "chosen")
+    seed = how.pop("seed", 7)
+    again = evaluated(hits, components, n, max_lag, inside=heldout, patterns=chosen, seed=seed + 1, **how)
+    return chosen.withColumn("split", F.lit("validation")).unionByName(again.withColumn("split", F.lit("heldout")))
+
+
 def top_patterns(reports: DataFrame, most: int, alpha: float, p: str = "adjusted") -> DataFrame:
     """At most most patterns that are there and whose adjusted p is at most alpha: least p first, then more detections, shorter lags and the components' names."""
     return reports.where((F.col(p) <= alpha) & (F.col("n") > 0)).orderBy(p, F.desc("n"), "lag", "source", "target").limit(most)

@@ -313,12 +313,6 @@ def contained_windows(spark, sf_dir):
     return multivariate.contained(rows, "train", 4, ["l_suppkey"]).groupBy("l_suppkey").agg(F.count_if("contained").alias("windows"))
 
 
-@query("top_patterns", f"WITH {LONG}, n AS (SELECT source, target, lag, count(*) AS n FROM dt GROUP BY ALL) SELECT source, target, lag, n, round(1.0 / (1 + n), 9) AS adjusted FROM n WHERE 1.0 / (1 + n) <= 0.1 ORDER BY round(1.0 / (1 + n), 9), n DESC, lag, source, target LIMIT 5")
-def top_patterns(spark, sf_dir):
-    counts = multivariate.lag_detections(pattern_hits(spark, sf_dir), ["l_suppkey"], MAX_LAG).groupBy("source", "target", "lag").agg(F.count("*").alias("n"))
-    return multivariate.top_patterns(counts.withColumn("adjusted", F.round(1.0 / (1 + F.col("n")), 9)), 5, 0.1)
-
-
 # --- regions and transfer
 
 FIRST = "st AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), rf AS (SELECT vec_id AS ref_id, e AS r FROM st WHERE e[1] >= (SELECT quantile_cont(e[1], 0.98) FROM st)), ds AS (SELECT st.vec_id, min(list_distance(e, r)) AS d FROM st, rf GROUP BY st.vec_id)"

@@ -37,8 +37,8 @@ def test_adaptive_threshold_is_sequential(spark):
 
 
 def test_bootstrap_and_permutation(spark):
-    flags = spark.createDataFrame([(0, i, i % 10 == 0) for i in range(300)], "s int, i long, hit boolean")
-    got = resampling.bootstrap_index(flags, "hit", ["s"], 2, 50).first()
+    hits = spark.createDataFrame([(0, i) for i in range(0, 300, 10)], "s int, i long")
+    got = resampling.bootstrap_index(hits, spark.createDataFrame([(0, 300)], "s int, n long"), ["s"], 2, 50).first()
     assert got["theta"] == 1.0 and got["low"] <= got["high"] <= 1.0 and got["valid"] == 50
     hits = spark.createDataFrame([(i, "a") for i in (3, 4, 5, 20, 40, 41)], "i long, component string")
     for r in resampling.shuffled_runs(hits, 60, 5).groupBy("replicate").agg(F.sort_array(F.collect_list("i")).alias("at")).collect():
