@@ -35,13 +35,15 @@ def _paths(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 
 def isolation_scores(df: DataFrame, columns: list[str], trees: int = 100, train: str = "true", seed: int = 7, name: str = "isolation_score") -> DataFrame:
-    """df with a score, larger for rows that are isolated sooner. Trees take TREE_ROWS * trees training rows at most about; nulls count as 0."""
+    """df with a score, larger for rows that are isolated sooner. Trees take TREE_ROWS * trees training rows at most; nulls count as 0."""
     spark = df.sparkSession
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
-    rows = df.where(train).select(*filled)
+    rows = df.where(train).select(*filled, F.xxhash64(*filled, F.monotonically_increasing_id()).alias("_draw"))
     most = TREE_ROWS * trees
-    share = min(1.0, most / max(1, rows.count()))
-    sample = np.array([list(r) for r in rows.where(F.shiftrightunsigned(F.xxhash64(*columns), 33) / F.lit(float(1 << 31)) < share).collect()], float).reshape(-1, len(columns))
+    share = min(1.0, 1.1 * most / max(1, rows.count()))
+    # a row's place is in its draw, so of equal rows a part is drawn; the limit holds whatever is drawn
+    some = rows.where(F.shiftrightunsigned("_draw", 33) / F.lit(float(1 << 31)) < share).orderBy("_draw").limit(most).select(*columns)
+    sample = np.array([list(r) for r in some.collect()], float).reshape(-1, len(columns))
     rng = np.random.default_rng(seed)
     size = min(TREE_ROWS, max(1, len(sample)))
     forest = [_grow(sample[rng.choice(len(sample), size, replace=False)] if len(sample) else sample, rng, 0, max(1, int(np.ceil(np.log2(size))))) for _ in range(trees)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crestline.functions.draws import number
 from crestline.operators.series import quantiles
 
 #: Share of alarms that is aimed at where there is no target to score against.
@@ -78,3 +79,13 @@ def full_benchmark(metrics: DataFrame, columns: list[str], order: list[str]) ->
 def prediction_table(df: DataFrame, method: str, score: str, threshold: float, keys: list[str], position: str = "i") -> DataFrame:
     """(keys, i, method, score, threshold, alarm): one standard row for each row that a chosen detector judged."""
     return df.select(*keys, F.col(position).alias("i"), F.lit(method).alias("method"), F.col(score).cast("double").alias("score"), F.lit(float(threshold)).alias("threshold"), F.coalesce(F.col(score) >= threshold, F.lit(False)).alias("alarm"))
+
+
+def down_sampled(df: DataFrame, most: int, by: list[str], key: list[str], seed: int = 7) -> DataFrame:
+    """Exactly min(n, most) rows of each group, drawn without replacement by a hash of what names a row (key; equal keys in any order).
+
+    Bottom-k by hash can be merged: Spark keeps the first most of a group in every task before it
+    shuffles, so a hot group costs no more than tasks times most rows.
+    """
+    order = Window.partitionBy(*by).orderBy(number(seed, *key), *key)
+    return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")

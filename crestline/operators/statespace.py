@@ -57,15 +57,6 @@ def observable(d: Column, eps: float = 1e-12) -> Column:
     return -F.log(F.greatest(d, F.lit(eps)))
 
 
-def evenly_spaced(df: DataFrame, order: list[str], most: int) -> DataFrame:
-    """At most most rows, evenly spaced in the order, the first and last among them. For a set of prototypes already filtered."""
-    n = df.count()
-    if n <= most:
-        return df
-    places = sorted({int(k * (n - 1) / (most - 1)) for k in range(most)})
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_r").isin(places)).drop("_r")
-
-
 def density_region(df: DataFrame, columns: list[str], quantile: float) -> DataFrame:
     """df with density_distance (root sum of squared deviations over the median absolute deviation, 1 if that is 0) and in_region, at or over its quantile."""
     medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])

@@ -85,7 +85,7 @@ def _tests_sql(nulls: str, name: str = "ev", inside: str = VALIDATION, asked: st
     first, last = inside.split(", ")
     return f"""{nulls}, {name}_z AS MATERIALIZED (SELECT replicate, component, i FROM z, m WHERE i >= {first} AND i <= {last}),
     {name}_k AS MATERIALIZED (SELECT a.replicate, a.component AS source, b.component AS target, lag, count(*) AS n FROM {name}_z a, (SELECT unnest(range(0, {MAX_LAG + 1})) AS lag), {name}_z b WHERE b.replicate = a.replicate AND b.i = a.i + lag AND a.component <> b.component GROUP BY ALL),
-    {name}_o AS (SELECT {asked}.source, {asked}.target, {asked}.lag, coalesce(n, 0) AS n FROM {asked} LEFT JOIN {name}_k k ON k.replicate = 0 AND k.source = {asked}.source AND k.target = {asked}.target AND k.lag = {asked}.lag),
+    {name}_o AS (SELECT {asked}.source, {asked}.target, {asked}.lag, coalesce(k.n, 0) AS n FROM {asked} LEFT JOIN {name}_k k ON k.replicate = 0 AND k.source = {asked}.source AND k.target = {asked}.target AND k.lag = {asked}.lag),
     {name}_p AS (SELECT o.*, (1 + CASE WHEN o.n = 0 THEN {NULLS} ELSE (SELECT count(*) FROM {name}_k k WHERE k.replicate > 0 AND k.source = o.source AND k.target = o.target AND k.lag = o.lag AND k.n >= o.n) END) / {NULLS + 1} AS p FROM {name}_o o),
     {name}_b AS (SELECT *, least(1.0, min(p * c / r) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adjusted0 FROM (SELECT *, count(*) OVER () AS c, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r FROM {name}_p)),
     {name}_d AS (SELECT a.component AS source, b.component AS target, lag, a.i FROM y a, (SELECT unnest(range(0, {MAX_LAG + 1})) AS lag), y b, m WHERE b.i = a.i + lag AND a.component <> b.component AND a.i BETWEEN {first} AND {last}),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crestline.functions.draws import number_sql
 from crestline.operators import detectors, evaluation, matching, multivariate, preparation, regions, selection, univariate
 from crestline.operators.recurrence import horizon_outcome
 from crestline.operators.series import split_label
@@ -363,3 +364,8 @@ def standardised_parts(spark, sf_dir):
     train, test = parts.where("p_type = 'STANDARD'"), parts.where("p_type not in ('ECONOMY', 'STANDARD')")
     out = regions.standardised(test, FEATURES, regions.scales_of(train, FEATURES))
     return out.select("p_partkey", F.round(F.col("state")[0], 6).alias("size"), F.round(F.col("state")[1], 6).alias("price"))
+
+
+@query("down_sampled", f"SELECT event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {number_sql(7, 'event_id')}, event_id) <= 100")
+def down_sampled(spark, sf_dir):
+    return selection.down_sampled(table(spark, sf_dir, "events"), 100, ["event_type"], ["event_id"]).select("event_id", "event_type", "value")

@@ -26,13 +26,16 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str, place: str | None = None, path: str | None = None) -> DataFrame:
-    """What a streaming query has given when its input is read: a table in the shared folder."""
+    """What a streaming query has given when its input is read: a table in the shared folder.
+
+    Each batch has a folder of its own and overwrites it, so one that is repeated after a loss leaves its rows once.
+    """
     spark = stream.sparkSession
     path, place = path or scratch(spark, name), place or scratch(spark, f"{name}-state")
-    write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    write = lambda df, batch: df.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch-{batch:09d}")
     running = stream.writeStream.outputMode(mode).option("checkpointLocation", place).foreachBatch(write).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def drained_in_order(rows: DataFrame, number: Column, query_of: Callable[[DataFrame], DataFrame], name: str, mode: str) -> DataFrame:
@@ -81,6 +84,25 @@ def stream_counter_increments(spark, sf_dir):
     return drained_in_order(event_rows(spark, sf_dir), F.col("event_id"), increments, "stream-increments", "append").withColumn("increment", F.round("increment", 6))
 
 
+@query(
+    "stream_time_quality",
+    """WITH s AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6 AS s FROM events)
+    SELECT user_id, count(*) AS n, count(*) FILTER (s = 0) AS duplicates, count(*) FILTER (s < 0) AS backward, count(*) FILTER (s > 3600) AS gaps FROM s GROUP BY user_id""",
+)
+def stream_time_quality(spark, sf_dir):
+    steps = drained_in_order(event_rows(spark, sf_dir), F.col("event_id"), lambda events: operators.time_steps(events, "user_id", "event_id", "ts"), "stream-steps", "append")
+    return steps.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("step") == 0).alias("duplicates"), F.count_if(F.col("step") < 0).alias("backward"), F.count_if(F.col("step") > 3600).alias("gaps"))
+
+
+@query(
+    "stream_lag_features",
+    """SELECT user_id, event_id::DOUBLE AS event_id, value, lag(value, 1) OVER w AS value__lag_1, lag(value, 3) OVER w AS value__lag_3, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS value__mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+)
+def stream_lag_features(spark, sf_dir):
+    features = lambda events: operators.lag_features(events, "user_id", "event_id", "value", [1, 3], 5)
+    return drained_in_order(event_rows(spark, sf_dir), F.col("event_id"), features, "stream-lags", "append").withColumn("value__mean", F.round("value__mean", 6))
+
+
 #: Puts a training row before every live one.
 BEFORE = 1 << 40
 

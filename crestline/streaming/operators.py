@@ -44,6 +44,46 @@ def counter_increments(stream: DataFrame, key: str, order: str, counter: str) ->
     return stream.select(key, F.col(order).cast("double").alias(order), F.col(counter).cast("double").alias(counter)).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def time_steps(stream: DataFrame, key: str, order: str, timestamp: str) -> DataFrame:
+    """(key, order, step): seconds since a key's row before, carried from batch to batch; 0 is a duplicate, less a step back. Null at the first row and around a missing time, as in the batch form."""
+    schema = f"{key} long, {order} double, step double"
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        at = [None if pd.isna(x) else int(x) for x in rows["_at"]]
+        steps = [None if a is None or b is None else (b - a) / 1e6 for a, b in zip([last, *at[:-1]], at, strict=True)]
+        state.update((at[-1],))
+        yield pd.DataFrame({key: k[0], order: rows[order].to_numpy(float), "step": pd.array(steps, dtype="Float64").to_numpy(float, na_value=np.nan)}).astype({"step": object}).where(lambda d: d.notna(), None)
+
+    chosen = stream.select(key, F.col(order).cast("double").alias(order), F.unix_micros(F.col(timestamp).cast("timestamp")).alias("_at"))
+    return chosen.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def lag_features(stream: DataFrame, key: str, order: str, value: str, lags: list[int], width: int) -> DataFrame:
+    """(key, order, value, value__lag_k for each lag, value__mean of the width rows before): features of earlier rows only.
+
+    A key's state is a ring of its last values, as many as the longest lag or the width; means leave out missing values.
+    """
+    names = [f"{value}__lag_{k}" for k in lags]
+    schema = ", ".join([f"{key} long", f"{order} double", f"{value} double", *[f"{c} double" for c in names], f"{value}__mean double"])
+    longest = max([width, *lags])
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ring = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        new = [None if pd.isna(x) else float(x) for x in rows[value]]
+        every, begin, out = ring + new, len(ring), []
+        for j, at in enumerate(rows[order], begin):
+            near = [x for x in every[max(0, j - width) : j] if x is not None]
+            out.append((k[0], float(at), every[j], *[every[j - g] if j >= g else None for g in lags], sum(near) / len(near) if near else None))
+        state.update((every[-longest:],))
+        yield pd.DataFrame(out, columns=[key, order, value, *names, f"{value}__mean"], dtype=object)
+
+    chosen = stream.select(key, F.col(order).cast("double").alias(order), F.col(value).cast("double").alias(value))
+    return chosen.groupBy(key).applyInPandasWithState(step, schema, "ring array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def adaptive_thresholds(stream: DataFrame, key: str, order: str, value: str, train: str = "train", quantile: float = 0.9) -> DataFrame:
     """(key, order, value, threshold, exceeds) of the live rows: each key's adaptive tail threshold, as tails.adaptive_thresholds() gives it over the whole series.
 

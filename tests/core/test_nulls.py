@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.operators import controls, multivariate, resampling
+from crestline.operators import controls, multivariate, resampling, selection
 
 
 def number(seed, *keys):
@@ -127,3 +127,12 @@ def test_controls_anywhere_keep_durations(spark):
     out = controls.drawn(seen, seen.limit(0), 200, 20).where("family = 'scattered'").collect()
     for k in range(20):
         assert sorted(x["end"] - x["start"] + 1 for x in out if x["draw"] == k) == [1, 10, 20]
+
+
+def test_down_sampling_is_exact_and_merged_before_the_shuffle(spark):
+    df = spark.range(3_000).repartition(9).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id") % 40).alias("g"))
+    got = selection.down_sampled(df, 60, ["g"], ["id"])
+    assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {r["g"]: min(60, r["count"]) for r in df.groupBy("g").count().collect()}
+    hot = {r["id"] for r in got.where("g = 'hot'").collect()}
+    assert hot == {*sorted((k for k in range(3_000) if k % 3), key=lambda k: number(7, k))[:60]}
+    assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
