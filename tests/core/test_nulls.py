@@ -130,7 +130,7 @@ def test_controls_anywhere_keep_durations(spark):
 
 
 def test_down_sampling_is_exact_and_merged_before_the_shuffle(spark):
-    df = spark.range(3_000).repartition(9).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id") % 40).alias("g"))
+    df = spark.range(3_000).repartition(9).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("g"))
     got = selection.down_sampled(df, 60, ["g"], ["id"])
     assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {r["g"]: min(60, r["count"]) for r in df.groupBy("g").count().collect()}
     hot = {r["id"] for r in got.where("g = 'hot'").collect()}
