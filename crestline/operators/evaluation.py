@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from crestline.operators.episodes import covered
 from crestline.operators.series import running_sum
+from crestline.session import written
 
 
 @dataclass(frozen=True)
@@ -38,40 +39,42 @@ def windows(failures: DataFrame, policy: Policy) -> DataFrame:
     return failures.withColumn("w_start", F.greatest(F.lit(0).cast("long"), F.col("start") - policy.horizon - policy.before)).withColumn("w_end", F.col("start") + policy.after)
 
 
-def eligible(alarms: DataFrame, failures: DataFrame, policy: Policy, cell: int | None = None) -> DataFrame:
-    """(alarm_id, a_start, a_end, failure_id, f_start, lead, cost) of alarms that overlap a failure's window.
+def eligible(alarms: DataFrame, failures: DataFrame, policy: Policy, cell: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, alarm_id, a_start, a_end, failure_id, f_start, lead, cost) of alarms that overlap a failure's window; by: columns of the alarms that name a method.
 
     Both sides are dealt into cells of the window's width, so the range join is an equi-join;
     cost prefers the earliest alarm inside the window.
     """
     size = cell or max(1, policy.horizon + policy.before + policy.after + 1)
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
-    left = alarms.select("alarm_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), span("start", "end").alias("cell"))
+    left = alarms.select(*(by or []), "alarm_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), span("start", "end").alias("cell"))
     right = windows(failures, policy).select("failure_id", F.col("start").alias("f_start"), "w_start", "w_end", span("w_start", "w_end").alias("cell"))
     met = left.join(right, "cell").where((F.col("a_start") <= F.col("w_end")) & (F.col("w_start") <= F.col("a_end")))
     met = met.where(F.col("cell") == F.greatest(F.floor(F.col("a_start") / size), F.floor(F.col("w_start") / size)))
     inside = F.col("a_start").between(F.col("w_start"), F.col("w_end"))
     lead = F.col("f_start") - F.col("a_start")
     cost = F.when(inside, -lead).otherwise(F.least(F.abs(F.col("a_start") - F.col("w_start")), F.abs(F.col("a_start") - F.col("w_end"))) + 10_000)
-    return met.select("alarm_id", "a_start", "a_end", "failure_id", "f_start", lead.alias("lead"), cost.alias("cost"))
+    return met.select(*(by or []), "alarm_id", "a_start", "a_end", "failure_id", "f_start", lead.alias("lead"), cost.alias("cost"))
 
 
-def best_of(pairs: DataFrame) -> DataFrame:
+def best_of(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Each failure's cheapest eligible alarm; what an optimal matching is when no alarm is eligible for two failures."""
-    order = Window.partitionBy("failure_id").orderBy("cost", "a_start", "alarm_id")
+    order = Window.partitionBy(*(by or []), "failure_id").orderBy("cost", "a_start", "alarm_id")
     return pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def matched(pairs: DataFrame) -> DataFrame:
+def matched(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Minimum-cost one-to-one matching. Failures that share alarms form groups, and each group is solved on its own.
 
     Groups are those of failures whose windows overlap; they are small because failures are.
     """
-    spans = pairs.groupBy("failure_id").agg(F.min("a_start").alias("lo"), F.max("a_end").alias("hi"))
-    order = Window.orderBy("lo", "failure_id")
+    by = by or []
+    spans = pairs.groupBy(*by, "failure_id").agg(F.min("a_start").alias("lo"), F.max("a_end").alias("hi"))
+    order = Window.partitionBy(*by).orderBy("lo", "failure_id")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    groups = spans.withColumn("_open", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("_group", F.sum("_open").over(order)).select("failure_id", "_group")
-    return pairs.join(groups, "failure_id").groupBy("_group").applyInPandas(_assign, "alarm_id long, failure_id long, lead long, cost long")
+    groups = spans.withColumn("_open", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("_group", F.sum("_open").over(order)).select(*by, "failure_id", "_group")
+    kept = [*by, "alarm_id", "failure_id", "lead", "cost"]
+    return pairs.join(groups, [*by, "failure_id"]).groupBy(*by, "_group").applyInPandas(lambda pdf: _assign(pdf)[kept], pairs.select(*kept).schema)
 
 
 def _assign(pdf):
@@ -104,7 +107,7 @@ def _assign(pdf):
             owner[j], j = owner[way[j]], way[j]
     keep = {(rows[owner[k + 1] - 1], a) for k, a in enumerate(cols) if owner[k + 1] and cost[owner[k + 1] - 1, k] < big}
     chosen = pdf[[(f, a) in keep for f, a in zip(pdf["failure_id"], pdf["alarm_id"], strict=True)]]
-    return chosen[["alarm_id", "failure_id", "lead", "cost"]]
+    return chosen
 
 
 def outcomes(alarms: DataFrame, failures: DataFrame, policy: Policy, assigned: DataFrame | None = None) -> DataFrame:
@@ -119,20 +122,62 @@ def outcomes(alarms: DataFrame, failures: DataFrame, policy: Policy, assigned: D
     return taken.select(F.lit("true_positive").alias("kind"), F.col("failure_id").alias("id")).unionByName(false).unionByName(double).unionByName(missed)
 
 
-def evaluated(alarms: DataFrame, failures: DataFrame, policy: Policy, n: int, per_day: int, costs: Costs = Costs(), assigned: DataFrame | None = None) -> DataFrame:
-    """One row of event metrics."""
+def normalised_lead(lead: Column, policy: Policy) -> Column:
+    """Lead over the length of the warning window, from -1 to 1."""
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), lead / max(1, policy.horizon + policy.before + policy.after)))
+
+
+def _rates(policy_costs: Costs, n: int, per_day: int) -> list[Column]:
+    """What follows from the counts tp, false_alarms, duplicates, missed, and from late and time_under_warning."""
+    tp, fa, dup, miss = (F.col(c) for c in ("tp", "false_alarms", "duplicates", "missed"))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    precision, recall = share(tp, tp + fa + dup), share(tp, tp + miss)
+    c = policy_costs
+    utility = c.detection * tp - c.late * F.col("late") - c.false_alarm * fa - c.missed * miss - c.duplicate * dup - c.warning_time * F.col("time_under_warning")
+    per = (fa * per_day / n) if n else F.lit(None).cast("double")
+    return [precision.alias("precision"), recall.alias("recall"), share(2 * precision * recall, precision + recall).alias("f1"), per.alias("false_alarms_per_day"), share(dup, tp + miss).alias("duplicates_per_failure"), utility.alias("utility")]
+
+
+def evaluated_by(alarms: DataFrame, failures: DataFrame, by: list[str], groups: DataFrame, policy: Policy, n: int, per_day: int, costs: Costs = Costs()) -> DataFrame:
+    """One row of event metrics for each of the groups (by), those without an alarm among them, against the same failures; alarms are assigned one to one at least cost.
+
+    alarms: (by, alarm_id, start, end), alarm_id different within a group.
+    """
+    pairs = written(eligible(alarms, failures, policy, by=by), "pairs")
+    taken = written(matched(pairs, by), "taken")
+    leads = taken.groupBy(*by).agg(F.count("*").alias("tp"), F.max("lead").cast("double").alias("earliest_lead"), F.percentile("lead", F.lit(0.5)).alias("median_lead"), F.sum(F.greatest(F.lit(0), -F.col("lead"))).alias("late"), F.avg(normalised_lead(F.col("lead"), policy)).alias("normalised_lead"))
+    made = alarms.groupBy(*by).agg(F.count("*").alias("predicted_alarm_events"))
+    near = pairs.select(*by, "alarm_id").distinct().groupBy(*by).agg(F.count("*").alias("_near"))
+    double = pairs.join(taken.select(*by, "failure_id", F.col("alarm_id").alias("_a")), [*by, "failure_id"]).where(F.col("alarm_id") != F.col("_a")).select(*by, "alarm_id").distinct()
+    twice = double.groupBy(*by).agg(F.count("*").alias("duplicates"))
+    out = groups
+    for part in (made, near, leads, twice, covered(alarms, by).withColumnRenamed("samples", "time_under_warning")):
+        out = out.join(part, by, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    out = out.crossJoin(F.broadcast(failures.agg(F.count("*").alias("target_events"))))
+    out = out.select(*by, "target_events", zero("predicted_alarm_events"), zero("_near"), zero("tp"), zero("duplicates"), zero("late"), zero("time_under_warning"), "earliest_lead", "median_lead", "normalised_lead")
+    out = out.withColumn("false_alarms", F.col("predicted_alarm_events") - F.col("_near")).withColumn("missed", F.col("target_events") - F.col("tp"))
+    return out.select("*", *_rates(costs, n, per_day)).drop("_near", "late")
+
+
+def evaluated(alarms: DataFrame, failures: DataFrame, policy: Policy, n: int, per_day: int, costs: Costs = Costs(), assigned: DataFrame | None = None, risk: DataFrame | None = None, bins: int = 10) -> DataFrame:
+    """One row of event metrics.
+
+    risk: (probability, outcome) rows of a horizon risk; with it come horizon_brier and
+    calibration_bins (bin, n, mean_probability, event_rate, low, high), else both are null.
+    """
     assigned = best_of(eligible(alarms, failures, policy)) if assigned is None else assigned
     count = lambda k: F.count_if(F.col("kind") == k)
     sums = outcomes(alarms, failures, policy, assigned).agg(count("true_positive").alias("tp"), count("false_alarm").alias("false_alarms"), count("duplicate").alias("duplicates"), count("missed").alias("missed"))
-    leads = assigned.agg(F.max("lead").cast("double").alias("earliest_lead"), F.percentile("lead", F.lit(0.5)).alias("median_lead"), F.coalesce(F.sum(F.greatest(F.lit(0), -F.col("lead"))), F.lit(0)).alias("late"))
+    leads = assigned.agg(F.max("lead").cast("double").alias("earliest_lead"), F.percentile("lead", F.lit(0.5)).alias("median_lead"), F.coalesce(F.sum(F.greatest(F.lit(0), -F.col("lead"))), F.lit(0)).alias("late"), F.avg(normalised_lead(F.col("lead"), policy)).alias("normalised_lead"))
     under = covered(alarms, []).agg(F.coalesce(F.sum("samples"), F.lit(0)).alias("time_under_warning"))
     both = sums.crossJoin(leads).crossJoin(under)
-    tp, fa, dup, miss = (F.col(c) for c in ("tp", "false_alarms", "duplicates", "missed"))
-    precision = F.when(tp + fa + dup > 0, tp / (tp + fa + dup)).otherwise(F.lit(0.0))
-    recall = F.when(tp + miss > 0, tp / (tp + miss)).otherwise(F.lit(0.0))
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
-    utility = costs.detection * tp - costs.late * F.col("late") - costs.false_alarm * fa - costs.missed * miss - costs.duplicate * dup - costs.warning_time * F.col("time_under_warning")
-    return both.select("tp", "false_alarms", "duplicates", "missed", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), (fa * per_day / n).alias("false_alarms_per_day"), "earliest_lead", "median_lead", "time_under_warning", utility.alias("utility"))
+    each = both.select("tp", "false_alarms", "duplicates", "missed", "earliest_lead", "median_lead", "time_under_warning", "normalised_lead", *_rates(costs, n, per_day))
+    shape = "array<struct<bin:int,n:bigint,mean_probability:double,event_rate:double,low:double,high:double>>"
+    if risk is None:
+        return each.withColumn("horizon_brier", F.lit(None).cast("double")).withColumn("calibration_bins", F.lit(None).cast(shape))
+    table = reliability(risk, "probability", "outcome", bins).agg(F.array_sort(F.collect_list(F.struct("bin", "n", "mean_probability", "event_rate", "low", "high"))).cast(shape).alias("calibration_bins"))
+    return each.crossJoin(brier(risk, "probability", "outcome").select(F.col("brier").alias("horizon_brier"))).crossJoin(table)
 
 
 def brier(df: DataFrame, probability: str, outcome: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline.operators.evaluation import Policy, best_of, matched
+from crestline.operators.evaluation import best_of, matched, normalised_lead  # noqa: F401
 from crestline.session import written
 
 
@@ -41,11 +41,6 @@ def matches(pairs: DataFrame, method: str = "greedy", reuse: bool = False) -> Da
     return greedy(pairs) if method == "greedy" else matched(pairs)
 
 
-def normalised_lead(lead: Column, policy: Policy) -> Column:
-    """Lead over the length of the warning window, from -1 to 1."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), lead / max(1, policy.horizon + policy.before + policy.after)))
-
-
 def assignment_utility(lead: Column, reward: float = 1.0, late: float = 1.0) -> Column:
     return reward - late * F.greatest(F.lit(0), -lead)
 

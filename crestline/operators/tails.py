@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crestline.operators.series import quantiles
 from crestline.session import written
 
 #: Passes that narrow a tail's profile after the first grid, and the steps of each.
@@ -79,7 +80,7 @@ def pareto_by(df: DataFrame, value: str, entity: list[str], quantile: float, tar
 
     With fewer than least excesses the level is the empirical quantile. A fit takes in all excesses.
     """
-    cuts = df.groupBy(*entity).agg(F.percentile(value, F.lit(quantile)).alias("base"), F.percentile(value, F.lit(target)).alias("empirical"), F.count(value).alias("n"))
+    cuts = written(quantiles(df, F.col(value), [quantile, target], entity).select(*entity, F.col("q")[0].alias("base"), F.col("q")[1].alias("empirical"), "n"), "cuts")
     over = written(df.join(cuts, entity).where(F.col(value) > F.col("base")).select(*entity, (F.col(value) - F.col("base")).alias("x")), "excesses")
     kept = over.groupBy(*entity).agg(F.count("*").alias("n_excesses"))
     enough = over.join(kept.where(F.col("n_excesses") >= least), entity, "left_semi")

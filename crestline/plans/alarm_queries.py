@@ -75,15 +75,22 @@ def event_outcomes(spark, sf_dir):
 @query(
     "event_evaluation",
     f"""{ALL}, {OUTCOMES}, c AS (SELECT count(*) FILTER (kind = 'true_positive') AS tp, count(*) FILTER (kind = 'false_alarm') AS false_alarms, count(*) FILTER (kind = 'duplicate') AS duplicates, count(*) FILTER (kind = 'missed') AS missed FROM oc),
-    l AS (SELECT max(lead)::DOUBLE AS earliest_lead, quantile_cont(lead, 0.5)::DOUBLE AS median_lead, coalesce(sum(greatest(0, -lead)), 0) AS late FROM bs), w AS (SELECT coalesce(sum(a_end - a_start + 1), 0)::BIGINT AS time_under_warning FROM a), n AS (SELECT count(*) AS n FROM events),
-    x AS (SELECT *, CASE WHEN tp + false_alarms + duplicates > 0 THEN tp / (tp + false_alarms + duplicates) ELSE 0.0 END AS pr_, CASE WHEN tp + missed > 0 THEN tp / (tp + missed) ELSE 0.0 END AS rc FROM c, l, w, n)
-    SELECT tp, false_alarms, duplicates, missed, round(pr_, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr_ + rc > 0 THEN 2 * pr_ * rc / (pr_ + rc) ELSE 0.0 END, 6) AS f1, round(false_alarms * 1000 / n, 6) AS false_alarms_per_day, earliest_lead, median_lead, time_under_warning,
+    l AS (SELECT max(lead)::DOUBLE AS earliest_lead, quantile_cont(lead, 0.5)::DOUBLE AS median_lead, coalesce(sum(greatest(0, -lead)), 0) AS late, avg(greatest(-1.0, least(1.0, lead / 70.0))) AS norm FROM bs), rk AS (SELECT i, value, i >= floor(0.6 * count(*) OVER ()) AS test FROM p), rt AS (SELECT *, EXISTS (SELECT 1 FROM f WHERE i BETWEEN f_start - 60 AND f_start) AS o FROM rk WHERE isfinite(value)),
+    rv AS (SELECT value, count(*) FILTER (NOT test) AS c, count(*) FILTER (o AND NOT test) AS e FROM rt GROUP BY value), rs AS (SELECT value, sum(c) OVER w AS c, sum(e) OVER w AS e FROM rv WINDOW w AS (ORDER BY value DESC)), rp AS (SELECT test, o, CASE WHEN rs.c > 0 THEN rs.e / rs.c ELSE (SELECT sum(e) / sum(c) FROM rv) END AS pb FROM rt JOIN rs USING (value) WHERE test), hb AS (SELECT round(avg(pow(pb - o::INT, 2)), 6) AS horizon_brier FROM rp),
+    cb AS (SELECT string_agg(bin || ':' || n || ':' || e, ',' ORDER BY bin) AS calibration FROM (SELECT least(9, (pb >= 1/10.0)::INT + (pb >= 2/10.0)::INT + (pb >= 3/10.0)::INT + (pb >= 4/10.0)::INT + (pb >= 5/10.0)::INT + (pb >= 6/10.0)::INT + (pb >= 7/10.0)::INT + (pb >= 8/10.0)::INT + (pb >= 9/10.0)::INT) AS bin, count(*) AS n, count(*) FILTER (o) AS e FROM rp GROUP BY 1)), w AS (SELECT coalesce(sum(a_end - a_start + 1), 0)::BIGINT AS time_under_warning FROM a), n AS (SELECT count(*) AS n FROM events),
+    x AS (SELECT *, CASE WHEN tp + false_alarms + duplicates > 0 THEN tp / (tp + false_alarms + duplicates) ELSE 0.0 END AS pr_, CASE WHEN tp + missed > 0 THEN tp / (tp + missed) ELSE 0.0 END AS rc FROM c, l, w, n, hb, cb)
+    SELECT tp, false_alarms, duplicates, missed, round(pr_, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr_ + rc > 0 THEN 2 * pr_ * rc / (pr_ + rc) ELSE 0.0 END, 6) AS f1, round(false_alarms * 1000 / n, 6) AS false_alarms_per_day, earliest_lead, median_lead, time_under_warning, round(norm, 6) AS normalised_lead, round(CASE WHEN tp + missed > 0 THEN duplicates / (tp + missed) ELSE 0.0 END, 6) AS duplicates_per_failure, horizon_brier, calibration,
     round((tp - 0.05 * late - 0.2 * false_alarms - 2.0 * missed - 0.1 * duplicates)::DOUBLE, 6) AS utility FROM x""",
 )
 def event_evaluation(spark, sf_dir):
     n = table(spark, sf_dir, "events").count()
-    out = evaluation.evaluated(alarms(spark, sf_dir), failures(spark, sf_dir), POLICY, n, PER_DAY)
-    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "false_alarms_per_day", "utility")})
+    known = failures(spark, sf_dir)
+    reach = known.select(F.greatest(F.lit(0).cast("long"), F.col("start") - POLICY.horizon).alias("start"), F.col("start").alias("end"))
+    rows = written(episodes.within(placed(spark, sf_dir), episodes.merged(reach, 0, []), "outcome").withColumn("fitted_on", F.col("i") < int(0.6 * n)), "outcomes")
+    risk = detectors.suffix_rate(rows.where(F.abs("value") < float("inf")), "value", "outcome", "fitted_on").where("not fitted_on").select(F.col("risk").alias("probability"), "outcome")
+    out = evaluation.evaluated(alarms(spark, sf_dir), known, POLICY, n, PER_DAY, risk=risk)
+    bins = F.array_join(F.transform("calibration_bins", lambda b: F.concat_ws(":", b["bin"], b["n"], F.round(b["n"] * b["event_rate"]).cast("long"))), ",")
+    return out.withColumn("calibration", bins).drop("calibration_bins").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "false_alarms_per_day", "utility", "normalised_lead", "duplicates_per_failure", "horizon_brier")})
 
 
 @query("optimal_matching")
