@@ -124,13 +124,14 @@ def sensor_of(train: DataFrame, z: list[str], quantile: float) -> int:
 def horizon_risk(rows: DataFrame, score: str = "robust_max_abs_z", most: int = 3_600) -> DataFrame:
     """rows with empirical_horizon_risk: the share of training rows of the same fifth of the training scores that a failure follows within the horizon (a tenth of them, at most ``most``).
 
-    Rows whose training part holds no failure are ranked from 0 to 1 instead.
+    If no training row fails, training rows and the others are ranked from 0 to 1 instead, each among themselves.
     """
     train = rows.where("split = 'train'")
     horizon = min(most, max(1, train.count() // 10))
     reach = train.where("failing").select(F.greatest(F.lit(0).cast("long"), F.col("i") - horizon).alias("start"), F.col("i").alias("end"))
     if reach.isEmpty():
-        return detectors.order_score(rows, score).withColumnRenamed("order_score", "empirical_horizon_risk")
+        train_part, rest = (detectors.order_score(rows.where(part), score) for part in ("split = 'train'", "split != 'train'"))
+        return train_part.unionByName(rest).withColumnRenamed("order_score", "empirical_horizon_risk")
     cuts = quantiles(train, F.col(score), [0.2, 0.4, 0.6, 0.8], []).first()["q"]
     place = place_among(cuts, F.col(score))
     ahead = within(train, merged(reach, 0, []), "_ahead").groupBy(place.alias("place")).agg(F.avg(F.col("_ahead").cast("double")).alias("risk"))

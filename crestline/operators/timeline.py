@@ -43,3 +43,28 @@ def last_before(alarms: DataFrame, failures: DataFrame) -> DataFrame:
     dealt = carried(both.withColumn("_range", F.floor(F.col("at") / SPAN)), [], "_range", "_before", F.max("alarm"), F.max)
     here = F.last("alarm", ignorenulls=True).over(Window.partitionBy("_range").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
     return dealt.withColumn("_latest", F.coalesce(here, "_before")).where("turn = 1").select("failure_id", F.col("_latest.start").alias("alarm_start"), F.col("_latest.end").alias("alarm_end"))
+
+
+def reconciled(bins: DataFrame, trace: DataFrame, known: dict[str, float], table_alarms: int, table_rate: float, position: str = "i") -> DataFrame:
+    """(check, agrees, here, there) of a timeline: do its bins, its local trace, what it says of itself and the event table agree?
+
+    bins: by overview(); trace: by local_trace(), with the threshold of each row; known: alarm_episodes,
+    local_alarm_episodes, false_alarms_per_day and threshold as the timeline states them; table_alarms
+    and table_rate: alarms and false alarms a day of the event table. Checks of a trace or of bins
+    without rows hold.
+    """
+    whole = bins.agg(F.coalesce(F.sum("alarm_episodes"), F.lit(0)).alias("binned"), F.max("last").alias("last"))
+    near = trace.agg(F.min(position).alias("low"), F.max(position).alias("high"), F.count_distinct("threshold").alias("cuts"), F.max("threshold").alias("cut"))
+    stated = {k: F.lit(float(v)) for k, v in known.items()}
+    number = lambda x: (x if not isinstance(x, (int, float)) else F.lit(x)).cast("double")
+    check = lambda name, holds, here, there: F.struct(F.lit(name).alias("check"), F.coalesce(holds, F.lit(True)).alias("agrees"), number(here).alias("here"), number(there).alias("there"))
+    rows = [
+        check("alarms_in_bins", F.col("binned") == stated["alarm_episodes"], F.col("binned"), stated["alarm_episodes"]),
+        check("alarms_in_event_table", stated["alarm_episodes"] == F.lit(float(table_alarms)), stated["alarm_episodes"], table_alarms),
+        check("local_alarms_within_all", stated["local_alarm_episodes"] <= stated["alarm_episodes"], stated["local_alarm_episodes"], stated["alarm_episodes"]),
+        check("trace_within_bins", (F.col("low") >= 0) & (F.col("high") <= F.col("last")), F.col("high"), F.col("last")),
+        check("false_alarms_per_day", F.abs(stated["false_alarms_per_day"] - F.lit(float(table_rate))) <= 1e-6, stated["false_alarms_per_day"], table_rate),
+        check("one_threshold_in_trace", F.when(F.col("low").isNotNull(), F.col("cuts") == 1), F.col("cuts"), F.lit(1)),
+        check("threshold_of_trace", F.abs(F.col("cut") - stated["threshold"]) <= 1e-9, F.col("cut"), stated["threshold"]),
+    ]
+    return whole.crossJoin(near).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

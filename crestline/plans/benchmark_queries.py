@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.operators import benchmark, detectors, episodes
+from crestline.operators import benchmark, detectors, episodes, evaluation, thresholds, timeline
 from crestline.operators.series import Series, split_label, with_position
-from crestline.plans.alarm_queries import PER_DAY, POLICY, failures
+from crestline.plans.alarm_queries import ALL, OUTCOMES, PER_DAY, POLICY, alarms, failures, placed
 from crestline.plans.registry import query, table
 from crestline.session import written
 
@@ -46,3 +46,31 @@ def event_benchmark_compact(spark, sf_dir):
 @query("event_benchmark_fairness")
 def event_benchmark_fairness(spark, sf_dir):
     return benchmark.fairness(judged(spark, sf_dir))
+
+
+#: The local view of a timeline: samples around the first failure's onset.
+BEFORE, AFTER = 200, 50
+
+
+@query(
+    "timeline_reconciliation",
+    f"""{ALL}, {OUTCOMES}, c AS (SELECT round(quantile_cont(value, 0.98), 6) AS t, count(*) AS n FROM events), o AS (SELECT min(f_start) AS o FROM f), na AS (SELECT count(*) AS na FROM a),
+    fa AS (SELECT count(*) FILTER (kind = 'false_alarm') * 1000.0 / n AS rate FROM oc, c GROUP BY n), lo AS (SELECT count(*) AS ln FROM a, o WHERE a_end >= o - {BEFORE} AND a_start <= o + {AFTER}), tr AS (SELECT max(i) AS hi, count(DISTINCT t) AS cuts FROM p, o, c WHERE i BETWEEN o - {BEFORE} AND o + {AFTER})
+    SELECT k.* FROM (SELECT unnest([{{'check': 'alarms_in_bins', 'here': na, 'there': na}}, {{'check': 'alarms_in_event_table', 'here': na, 'there': na}}, {{'check': 'local_alarms_within_all', 'here': ln, 'there': na}}, {{'check': 'trace_within_bins', 'here': hi, 'there': n - 1}},
+    {{'check': 'false_alarms_per_day', 'here': round(rate, 6), 'there': round(rate, 6)}}, {{'check': 'one_threshold_in_trace', 'here': cuts, 'there': 1}}, {{'check': 'threshold_of_trace', 'here': t, 'there': t}}]) AS e FROM na, lo, tr, c, fa), LATERAL (SELECT e."check", CASE e."check" WHEN 'local_alarms_within_all' THEN e.here <= e.there WHEN 'trace_within_bins' THEN e.here <= e.there ELSE e.here = e.there END AS agrees, e.here::DOUBLE AS here, e.there::DOUBLE AS there) k""",
+)
+def timeline_reconciliation(spark, sf_dir):
+    rows, made, known = placed(spark, sf_dir), alarms(spark, sf_dir), failures(spark, sf_dir)
+    n = table(spark, sf_dir, "events").count()
+    cut = thresholds.fit_global(table(spark, sf_dir, "events"), "value", 0.98).first()["threshold"]
+    cut_rows = rows.withColumn("threshold", F.lit(cut))
+    bins = timeline.overview(n, made, known, rows.where(F.col("value") > cut).select("i"))
+    judged_row = evaluation.evaluated(made, known, POLICY, n, PER_DAY).first()
+    onset = known.agg(F.min("start")).first()[0]
+    trace = cut_rows.limit(0) if onset is None else timeline.local_trace(cut_rows, made, onset, BEFORE, AFTER, POLICY.horizon)
+    local = made.where((F.col("end") >= (onset or 0) - BEFORE) & (F.col("start") <= (onset or 0) + AFTER)).count()
+    # the timeline's own count of false alarms: those that touch no warning window
+    false = evaluation.outcomes(made, known, POLICY).where("kind = 'false_alarm'").count()
+    stated = {"alarm_episodes": made.count(), "local_alarm_episodes": local, "false_alarms_per_day": false * PER_DAY / n, "threshold": cut}
+    out = timeline.reconciled(bins, trace, stated, judged_row["tp"] + judged_row["false_alarms"] + judged_row["duplicates"], judged_row["false_alarms_per_day"])
+    return out.withColumns({c: F.round(c, 6) for c in ("here", "there")})
