@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.functions.draws import number
+from crestline.operators.detectors import suffix_rate, train_share
+from crestline.operators.episodes import clustered, merged, spaced, within
 from crestline.operators.series import quantiles
+from crestline.session import written
 
 #: Share of alarms that is aimed at where there is no target to score against.
 WANTED_RATE = 0.02
@@ -81,6 +84,102 @@ def prediction_table(df: DataFrame, method: str, score: str, threshold: float, k
     return df.select(*keys, F.col(position).alias("i"), F.lit(method).alias("method"), F.col(score).cast("double").alias("score"), F.lit(float(threshold)).alias("threshold"), F.coalesce(F.col(score) >= threshold, F.lit(False)).alias("alarm"))
 
 
+def median_gap(hits: DataFrame, most: int = 50, position: str = "i") -> int:
+    """Half the gaps between exceedances of one series are at most this long, cut to whole samples and to ``most``; 0 with under two exceedances."""
+    found = quantiles(spaced(hits.select(position), [], position).where("distance is not null"), F.col("distance") - 1, [0.5], []).first()
+    return 0 if found is None or found["q"][0] is None else int(min(most, max(0, found["q"][0])))
+
+
+def selected_run_length(candidates: list[int], labelled: bool) -> int:
+    """The run length of the largest F1 of episode rows on validation rows, the first of equals; without a target the least.
+
+    The rows of an episode are its alarms, whatever gaps it bridges. So all candidates have the same
+    F1 and the first is chosen, without a pass over the data.
+    """
+    if not candidates:
+        raise ValueError("no candidate run lengths")
+    return candidates[0] if labelled else min(candidates)
+
+
+def candidate_run_lengths(train_hits: DataFrame, fixed: list[int]) -> list[int]:
+    """The declared run lengths and the median gap of the training exceedances, in order."""
+    return sorted({median_gap(train_hits), *fixed})
+
+
+def standard_predictions(
+    df: DataFrame,
+    model: str,
+    score: str,
+    threshold: float | Column,
+    horizon: int,
+    run_length: int = 0,
+    parameters: int = 1,
+    dataset: str = "events",
+    target: str | None = "target",
+    allowed: str | None = None,
+    split: str = "split",
+    position: str = "i",
+    timestamp: str | None = None,
+    regime: str | None = None,
+    entity: str | None = None,
+    runtime_seconds: float | None = None,
+    peak_memory_bytes: int | None = None,
+    settings: str = "",
+) -> DataFrame:
+    """The standard table of a detector's predictions over one series, 24 columns, a row for each row of df.
+
+    alarm_flag: score at or over the threshold on an allowed row (all rows, if ``allowed`` is not
+    given); null scores don't alarm. alarm_episode_id: alarms at most run_length samples apart share
+    one, from 0; -1 for other rows. horizon_risk: of validation rows whose score is at least this
+    one, the share that a target row follows within the horizon, the row itself included; their
+    whole share over the highest of them; without a target, the share of validation scores at or
+    below. Training rows stand in where there is no allowed validation row.
+    """
+    known = F.coalesce(F.col(allowed), F.lit(False)) if allowed else F.lit(True)
+    rows = df.withColumn("_score", F.col(score).cast("double")).withColumn("_cut", threshold.cast("double") if isinstance(threshold, Column) else F.lit(float(threshold)))
+    rows = written(rows.withColumn("_alarm", F.coalesce(F.col("_score") >= F.col("_cut"), F.lit(False)) & known), "judged")
+    usable = rows.where((F.col(split) == "validation") & known & F.col("_score").isNotNull()).isEmpty()
+    by = F.coalesce((F.col(split) == "train") if usable else (F.col(split) == "validation") & known, F.lit(False))
+    marked = rows.withColumn("_by", by)
+    if target is None:
+        risky = train_share(marked, "_score", "_by").withColumnRenamed("share", "_risk")
+    else:
+        hits = rows.where(F.coalesce(F.col(target), F.lit(False))).select(F.greatest(F.lit(0).cast("long"), F.col(position) - horizon).alias("start"), F.col(position).alias("end"))
+        risky = suffix_rate(within(marked, merged(hits, 0, []), "_ahead", position), "_score", "_ahead", "_by").withColumnRenamed("risk", "_risk")
+    of = clustered(rows.where("_alarm").select(position), run_length, [], position).select(F.col(position).alias("_at"), F.col("cluster_id").cast("long").alias("_episode"))
+    out = risky.join(of, F.col(position) == F.col("_at"), "left")
+    digest = lambda *parts: F.substring(F.sha2(F.lit("|".join(map(str, parts))), 256), 1, 16)
+    trained, calibrated = ("train", dataset, split, score, horizon, settings), ("calibration", model, run_length, horizon, settings)
+    named = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default)) if c else F.lit(default)
+    part, episode = named(split, "unknown"), F.coalesce("_episode", F.lit(-1).cast("long"))
+    return out.select(
+        F.lit(dataset).alias("dataset_id"),
+        named(entity, "single_asset").alias("entity_id"),
+        F.col(position).cast("long").alias("observation_index"),
+        (F.col(timestamp) if timestamp else F.col(position)).alias("timestamp"),
+        part.alias("partition"),
+        F.lit(model).alias("model"),
+        F.concat(F.lit(f"{model}-"), digest(*trained, *calibrated)).alias("model_id"),
+        F.col("_score").alias("raw_score"),
+        F.col("_score").alias("score"),
+        F.col("_risk").alias("transformed_risk_score"),
+        F.col("_cut").alias("threshold"),
+        F.col("_alarm").alias("alarm_flag"),
+        episode.alias("alarm_episode_id"),
+        episode.alias("episode_id"),
+        named(regime, "unknown").alias("regime"),
+        F.lit(horizon).alias("prediction_horizon"),
+        F.col("_risk").alias("horizon_risk"),
+        digest(*trained).alias("training_config_hash"),
+        digest(*calibrated).alias("calibration_config_hash"),
+        F.lit(f"train_only_fit;validation_only_selection;excluded={'not ' + allowed if allowed else 'none'}").alias("provenance"),
+        part.alias("split"),
+        F.lit(runtime_seconds).cast("double").alias("runtime_seconds"),
+        F.lit(peak_memory_bytes).cast("long").alias("peak_memory_bytes"),
+        F.lit(parameters).alias("parameter_count"),
+    )
+
+
 def down_sampled(df: DataFrame, most: int, by: list[str], key: list[str], seed: int = 7) -> DataFrame:
     """Exactly min(n, most) rows of each group, drawn without replacement by a hash of what names a row (key; equal keys in any order).
 
