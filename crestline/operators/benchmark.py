@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crestline.operators import detectors, extremal, regions, selection, tails, univariate
 from crestline.operators.episodes import merged, spaced, within
-from crestline.operators.evaluation import Costs, Policy, evaluated_by
+from crestline.operators.evaluation import Costs, Policy, chance_match, evaluated_by, separation
 from crestline.operators.forest import isolation_scores
 from crestline.operators.series import finite, place_among, quantiles
 from crestline.operators.statespace import distance
@@ -264,8 +264,9 @@ def alarms_of(hits: DataFrame, runs: dict[str, int], merge_gap: int) -> DataFram
 
 @dataclass(frozen=True)
 class Run:
-    """All parts of a benchmark: exceedances and alarms by method, failures, the thresholds and run lengths in use, the number of test rows."""
+    """All parts of a benchmark: scores of the test rows, exceedances and alarms by method, failures, the thresholds and run lengths in use, the number of test rows."""
 
+    scores: DataFrame
     hits: DataFrame
     alarms: DataFrame
     failures: DataFrame
@@ -288,7 +289,7 @@ def run(df: DataFrame, setup: Setup, specs: tuple[Spec, ...] = SPECS) -> Run:
     alarms = written(alarms_of(hits, runs, setup.merge_gap).withColumn("alarm_id", F.col("start")), "alarms")
     bad = test.where("failing").select((F.col("i") - first).alias("start"), (F.col("i") - first).alias("end"))
     failures = written(merged(bad, 0, []).withColumn("failure_id", F.col("start")), "failures")
-    return Run(hits, alarms, failures, chosen, runs, n)
+    return Run(test.withColumn("i", F.col("i") - first), hits, alarms, failures, chosen, runs, n)
 
 
 def results(done: Run, setup: Setup, specs: tuple[Spec, ...] = SPECS, dataset: str = "events", costs: Costs = Costs()) -> DataFrame:
@@ -347,3 +348,63 @@ def fairness(rows: DataFrame, specs: tuple[Spec, ...] = SPECS) -> DataFrame:
     of = rows.where(~F.col("method").isin([s.name for s in specs])).agg(names("method").alias("x"))
     checks.append(row(of, "declared_specifications", F.col("x") != "", "fail", "every reported method has a declared specification", F.concat(F.lit("undeclared methods present: "), "x")))
     return reduce(DataFrame.unionByName, checks)
+
+
+def decomposition(done: Run, rows: DataFrame, setup: Setup) -> DataFrame:
+    """One row for each method of results(): where its evidence goes, stage by stage, beside the labelled failures.
+
+    score_median, score_p95 and score_separation_auc (warning windows against the other test rows) are
+    those of its score; exceedances are counted in samples, clusters under the method's own merge gap,
+    then episodes. chance_match_probability is null without an alarm or a failure.
+    """
+    used = rows.select("method", "score_kind", "merge_gap_used", "tp", "false_alarms", "duplicates", "predicted_alarm_events", "target_events", "recall", "precision", "time_under_warning")
+    kinds = sorted({s.score for s in SPECS} & {*done.scores.columns})
+    reach = done.failures.select(F.greatest(F.lit(0).cast("long"), F.col("start") - setup.policy.horizon).alias("start"), F.col("start").alias("end"))
+    inside = written(within(done.scores, merged(reach, 0, []), "_inside"), "windows")
+    apart = reduce(DataFrame.unionByName, [separation(inside, k, "_inside").select(F.lit(k).alias("score_kind"), F.col("auc").alias("score_separation_auc")) for k in kinds])
+    long = done.scores.select(F.explode(F.array(*[F.struct(F.lit(k).alias("score_kind"), F.col(k).alias("x")) for k in kinds])).alias("e")).select("e.*")
+    spread = quantiles(long, F.col("x"), [0.5, 0.95], ["score_kind"]).select("score_kind", F.col("q")[0].alias("score_median"), F.col("q")[1].alias("score_p95"))
+    met = spaced(done.hits, ["method"]).join(F.broadcast(rows.select("method", "merge_gap_used")), "method")
+    opens = F.col("distance").isNull() | (F.col("distance") - 1 > F.col("merge_gap_used"))
+    stages = met.groupBy("method").agg(F.count("*").alias("threshold_exceedances_samples"), F.count_if(opens).alias("extreme_clusters_count"))
+    out = used.join(apart, "score_kind").join(spread, "score_kind").join(stages, "method", "left").na.fill(0, ["threshold_exceedances_samples", "extreme_clusters_count"])
+    alarms, known = F.col("predicted_alarm_events"), F.col("target_events")
+    bad = done.scores.agg(F.count_if("failing").alias("labelled_failure_samples"))
+    return out.crossJoin(F.broadcast(bad)).select(
+        "method", "score_median", "score_p95", "score_separation_auc",
+        F.when((alarms > 0) & (known > 0), chance_match(alarms, known, setup.policy, F.lit(done.n))).alias("chance_match_probability"),
+        F.lit(done.n).cast("long").alias("test_observations_samples"), "threshold_exceedances_samples", "extreme_clusters_count", alarms.alias("alarm_episodes_count"),
+        F.col("tp").alias("matched_alarm_episodes_count"), F.col("false_alarms").alias("false_alarm_episodes_count"), F.col("duplicates").alias("duplicate_alarm_episodes_count"),
+        known.alias("labelled_failure_events_count"), "labelled_failure_samples", F.col("recall").alias("event_recall"), F.col("precision").alias("event_precision"), F.col("time_under_warning").alias("time_under_warning_samples"),
+        F.when(alarms > 0, F.col("threshold_exceedances_samples") / alarms).alias("exceedance_to_alarm_ratio"),
+    )
+
+
+#: A score that separates less than this carries no warning; a match below this precision is of no use.
+LEAST_SEPARATION, LEAST_PRECISION = 0.55, 0.01
+
+
+def root_cause(rows: DataFrame) -> DataFrame:
+    """rows of decomposition() with layer, the first stage at which a method's evidence breaks down, and the confidence in that.
+
+    Stages in their order: no labelled failure, a score that doesn't rank warning windows higher, no
+    exceedance (the score's fault if its separation is unknown, else the threshold's), no cluster, no
+    episode, no match, matches drowned in false alarms. What passes all is still evidence of few failures.
+    """
+    auc, none = F.col("score_separation_auc"), lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    known = F.coalesce(~F.isnan(auc), F.lit(False))
+    few = "insufficient independent evidence"
+    cases = (
+        (none("labelled_failure_events_count"), few, "high"),
+        (known & (auc < 0.5), "score failure", "high"),
+        (known & (auc < LEAST_SEPARATION), "score failure", "medium"),
+        (none("threshold_exceedances_samples") & ~known, "score failure", "low"),
+        (none("threshold_exceedances_samples"), "threshold failure", "medium"),
+        (none("extreme_clusters_count"), "extreme-cluster failure", "high"),
+        (none("alarm_episodes_count"), "alarm-merging failure", "high"),
+        (none("matched_alarm_episodes_count"), "event-matching failure", "medium"),
+        (F.coalesce(F.col("event_precision"), F.lit(0.0)) < LEAST_PRECISION, "no operationally acceptable result", "medium"),
+        (F.lit(True), few, "low"),
+    )
+    verdict = F.coalesce(*[F.when(holds, F.struct(F.lit(layer).alias("layer"), F.lit(sure).alias("confidence"))) for holds, layer, sure in cases])
+    return rows.withColumn("_v", verdict).select(*rows.columns, "_v.layer", "_v.confidence")

@@ -133,7 +133,8 @@ def _sql_over(m: benchmark.Spec) -> str:
     return f"SELECT '{m.name}' AS method, i FROM s WHERE split = 'test' AND {m.score} > {cut}"
 
 
-def _sql_benchmark() -> str:
+def _sql_parts() -> str:
+    """CTEs up to o, one row a method."""
     run = """CASE policy WHEN 'merge_gap' THEN 5 WHEN 'fixed_run_declustering' THEN 5 ELSE CASE WHEN policy = 'extremal_index_declustering' THEN greatest(1, rl // 2) ELSE rl END END"""
     return f"""WITH {_sql_scores()}, specs AS (SELECT * FROM (VALUES {", ".join(f"('{m.name}', '{m.policy}')" for m in SAID)}) t(method, policy)), nt AS (SELECT count(*) AS n FROM s WHERE split = 'test'),
     h AS MATERIALIZED (SELECT method, policy, i, i - lag(i) OVER (PARTITION BY method ORDER BY i) AS dist FROM ({" UNION ALL ".join(map(_sql_over, SAID))}) JOIN specs USING (method)),
@@ -146,11 +147,29 @@ def _sql_benchmark() -> str:
     bs AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY method, fs ORDER BY cost, a_start) = 1), k1 AS (SELECT method, count(*) AS tp, median(lead)::DOUBLE AS median_lead, avg(greatest(-1.0, least(1.0, lead / 70.0))) AS nl FROM bs GROUP BY 1),
     k2 AS (SELECT method, count(*) AS alarms, sum(a_end - a_start + 1)::BIGINT AS under FROM a GROUP BY 1), k3 AS (SELECT method, count(DISTINCT a_start) AS near FROM pr GROUP BY 1), k4 AS (SELECT pr.method, count(DISTINCT pr.a_start) AS dup FROM pr JOIN bs ON pr.method = bs.method AND pr.fs = bs.fs AND pr.a_start <> bs.a_start GROUP BY 1),
     o AS (SELECT specs.method, CASE policy WHEN 'merge_gap' THEN 0 ELSE run END::INTEGER AS run_length_used, (SELECT count(*) FROM ft) AS target_events, coalesce(alarms, 0) AS predicted_alarm_events, coalesce(tp, 0) AS tp, coalesce(dup, 0) AS duplicates, coalesce(alarms, 0) - coalesce(near, 0) AS false_alarms, coalesce(under, 0) AS time_under_warning, median_lead, round(nl, 6) AS normalised_lead
-        FROM specs LEFT JOIN rl USING (method) LEFT JOIN k1 USING (method) LEFT JOIN k2 USING (method) LEFT JOIN k3 USING (method) LEFT JOIN k4 USING (method))
-    SELECT o.*, round(CASE WHEN tp + false_alarms + duplicates > 0 THEN tp / (tp + false_alarms + duplicates) ELSE 0.0 END, 6) AS precision, round(CASE WHEN target_events > 0 THEN tp / target_events ELSE 0.0 END, 6) AS recall, time_under_warning / n > 0.5 AS degenerate_always_on FROM o, nt"""
+        FROM specs LEFT JOIN rl USING (method) LEFT JOIN k1 USING (method) LEFT JOIN k2 USING (method) LEFT JOIN k3 USING (method) LEFT JOIN k4 USING (method))"""
 
 
-@query("event_benchmark_said", _sql_benchmark())
+@query("event_benchmark_said", f"{_sql_parts()} SELECT o.*, round(CASE WHEN tp + false_alarms + duplicates > 0 THEN tp / (tp + false_alarms + duplicates) ELSE 0.0 END, 6) AS precision, round(CASE WHEN target_events > 0 THEN tp / target_events ELSE 0.0 END, 6) AS recall, time_under_warning / n > 0.5 AS degenerate_always_on FROM o, nt")
 def event_benchmark_said(spark, sf_dir):
     kept = ("method", "run_length_used", "target_events", "predicted_alarm_events", "tp", "duplicates", "false_alarms", "time_under_warning", "median_lead", "normalised_lead", "precision", "recall", "degenerate_always_on")
     return judged(spark, sf_dir, SAID).select(*[F.round(c, 6).alias(c) if c in ROUNDED else F.col(c) for c in kept])
+
+
+@query(
+    "benchmark_root_cause",
+    f"""{_sql_parts()}, kd AS (SELECT * FROM (VALUES {", ".join(f"('{m.name}', '{m.score}', {5 if m.policy == 'merge_gap' else 0})" for m in SAID)}) t(method, kind, gap)),
+    st AS (SELECT s.*, EXISTS (SELECT 1 FROM ft WHERE s.i BETWEEN w0 AND fs) AS inside FROM s WHERE split = 'test'), lg AS ({" UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS v, inside FROM st" for k in sorted({m.score for m in SAID}))}),
+    rk AS (SELECT kind, v, inside, rank() OVER (PARTITION BY kind ORDER BY v) + (count(*) OVER (PARTITION BY kind, v) - 1) / 2 AS r FROM lg),
+    au AS (SELECT kind, (sum(r) FILTER (inside) - count(*) FILTER (inside) * (count(*) FILTER (inside) + 1) / 2) / nullif(count(*) FILTER (inside) * count(*) FILTER (NOT inside), 0) AS auc FROM rk GROUP BY kind),
+    ex AS (SELECT method, count(*) AS hits, count(*) FILTER (dist IS NULL OR dist - 1 > gap) AS clusters FROM h JOIN kd USING (method) GROUP BY method),
+    d AS (SELECT method, auc, coalesce(hits, 0) AS hits, coalesce(clusters, 0) AS clusters, predicted_alarm_events AS episodes, tp, target_events AS known, false_alarms, CASE WHEN tp + false_alarms + duplicates > 0 THEN tp / (tp + false_alarms + duplicates) ELSE 0.0 END AS prec, CASE WHEN predicted_alarm_events > 0 AND target_events > 0 THEN 1 - exp(-predicted_alarm_events::DOUBLE * target_events * 71 / n) END AS chance FROM o JOIN kd USING (method) JOIN au USING (kind) LEFT JOIN ex USING (method), nt),
+    v AS (SELECT *, CASE WHEN known = 0 THEN 'insufficient independent evidence/high' WHEN auc < 0.5 THEN 'score failure/high' WHEN auc < 0.55 THEN 'score failure/medium' WHEN hits = 0 AND auc IS NULL THEN 'score failure/low' WHEN hits = 0 THEN 'threshold failure/medium' WHEN clusters = 0 THEN 'extreme-cluster failure/high'
+        WHEN episodes = 0 THEN 'alarm-merging failure/high' WHEN tp = 0 THEN 'event-matching failure/medium' WHEN prec < 0.01 THEN 'no operationally acceptable result/medium' ELSE 'insufficient independent evidence/low' END AS w FROM d)
+    SELECT method, round(auc, 6) AS score_separation_auc, round(chance, 6) AS chance_match_probability, hits AS threshold_exceedances_samples, clusters AS extreme_clusters_count, episodes AS alarm_episodes_count, tp AS matched_alarm_episodes_count, false_alarms AS false_alarm_episodes_count, split_part(w, '/', 1) AS layer, split_part(w, '/', 2) AS confidence FROM v""",
+)
+def benchmark_root_cause(spark, sf_dir):
+    done = benchmark.run(machine(spark, sf_dir), SETUP, SAID)
+    parts = benchmark.decomposition(done, written(benchmark.results(done, SETUP, SAID), "benchmark"), SETUP)
+    kept = ("method", "score_separation_auc", "chance_match_probability", "threshold_exceedances_samples", "extreme_clusters_count", "alarm_episodes_count", "matched_alarm_episodes_count", "false_alarm_episodes_count", "layer", "confidence")
+    return benchmark.root_cause(parts).select(*kept).withColumns({c: F.round(c, 6) for c in ("score_separation_auc", "chance_match_probability")})

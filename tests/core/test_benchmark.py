@@ -183,3 +183,41 @@ def test_timeline_reconciliation(spark):
     outside = trace.unionByName(spark.range(100, 101).selectExpr("id i", "3.0D threshold"))
     assert {k for k, ok in agree(bins, outside, good, 2, 0.5).items() if not ok} == {"trace_within_bins", "one_threshold_in_trace", "threshold_of_trace"}
     assert all(agree(bins, trace.limit(0), good, 2, 0.5).values())
+
+
+def test_root_cause(spark):
+    # failures, auc, exceedances, clusters, episodes, matched, precision -> layer, confidence
+    cases = [
+        ((0, 0.9, 5, 3, 2, 1, 0.5), ("insufficient independent evidence", "high")),
+        ((1, 0.4, 5, 3, 2, 1, 0.5), ("score failure", "high")),
+        ((1, 0.52, 0, 0, 0, 0, 0.0), ("score failure", "medium")),
+        ((1, None, 0, 0, 0, 0, 0.0), ("score failure", "low")),
+        ((1, 0.8, 0, 0, 0, 0, 0.0), ("threshold failure", "medium")),
+        ((1, 0.8, 5, 0, 0, 0, 0.0), ("extreme-cluster failure", "high")),
+        ((1, None, 5, 3, 0, 0, 0.0), ("alarm-merging failure", "high")),
+        ((1, 0.8, 5, 3, 2, 0, 0.0), ("event-matching failure", "medium")),
+        ((1, 0.8, 5, 3, 2, 1, 0.005), ("no operationally acceptable result", "medium")),
+        ((1, 0.8, 5, 3, 2, 1, 0.5), ("insufficient independent evidence", "low")),
+    ]
+    shape = "k int, labelled_failure_events_count int, score_separation_auc double, threshold_exceedances_samples int, extreme_clusters_count int, alarm_episodes_count int, matched_alarm_episodes_count int, event_precision double"
+    df = spark.createDataFrame([(k, *c) for k, (c, _) in enumerate(cases)], shape)
+    got = {r["k"]: (r["layer"], r["confidence"]) for r in benchmark.root_cause(df).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+
+
+def test_decomposition(done):
+    done, _ = done
+    x, bad = series()
+    rows = {r["method"]: r for r in benchmark.decomposition(done, benchmark.results(done, SETUP), SETUP).collect()}
+    n = len(x)
+    scores = plain_scores(x, bad, np.arange(n) >= 0.8 * n, np.arange(n) < 0.6 * n)["robust_max_abs_z"]
+    starts = np.flatnonzero(np.diff(np.r_[False, bad[720:]].astype(int)) == 1)
+    inside = np.zeros(len(scores), bool)
+    for s in starts:
+        inside[max(0, s - 20) : s + 1] = True
+    auc = np.mean([(a > b) + (a == b) / 2 for a in scores[inside] for b in scores[~inside]])
+    got = rows["fixed_run_declustering"]
+    over = np.flatnonzero(scores > done.thresholds["fixed_run_declustering"])
+    assert len(rows) == 19 and got["score_separation_auc"] == pytest.approx(auc) and got["score_median"] == pytest.approx(np.median(scores)) and got["score_p95"] == pytest.approx(np.quantile(scores, 0.95))
+    assert (got["threshold_exceedances_samples"], got["extreme_clusters_count"], got["labelled_failure_samples"]) == (len(over), len(firsts(over, 0)), bad[720:].sum())
+    assert got["exceedance_to_alarm_ratio"] == pytest.approx(len(over) / got["alarm_episodes_count"])
