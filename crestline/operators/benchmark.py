@@ -392,7 +392,7 @@ def root_cause(rows: DataFrame) -> DataFrame:
     episode, no match, matches drowned in false alarms. What passes all is still evidence of few failures.
     """
     auc, none = F.col("score_separation_auc"), lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
-    known = F.coalesce(~F.isnan(auc), F.lit(False))
+    known = auc.isNotNull() & ~F.isnan(auc)
     few = "insufficient independent evidence"
     cases = (
         (none("labelled_failure_events_count"), few, "high"),
