@@ -221,3 +221,11 @@ def test_decomposition(done):
     assert len(rows) == 19 and got["score_separation_auc"] == pytest.approx(auc) and got["score_median"] == pytest.approx(np.median(scores)) and got["score_p95"] == pytest.approx(np.quantile(scores, 0.95))
     assert (got["threshold_exceedances_samples"], got["extreme_clusters_count"], got["labelled_failure_samples"]) == (len(over), len(firsts(over, 0)), bad[720:].sum())
     assert got["exceedance_to_alarm_ratio"] == pytest.approx(len(over) / got["alarm_episodes_count"])
+
+
+def test_thresholds_that_tell_nothing_apart(spark):
+    shape, engineering = "i long, split string, failing boolean, robust_max_abs_z double", (benchmark.SPECS[0],)
+    busy = spark.createDataFrame([(k, "train", False, 4.0 + k) for k in range(101)], shape)
+    assert benchmark.fitted(busy, SETUP, engineering) == {"engineering_threshold": pytest.approx(np.quantile(np.arange(5.0, 105.0), 0.9))}
+    same = spark.createDataFrame([(k, "train", False, 4.0) for k in range(20)], shape)
+    assert benchmark.fitted(same, SETUP, engineering) == {}
