@@ -111,3 +111,35 @@ def test_medoids_of_all_rows(spark, tmp_path):
     few = spark.createDataFrame([(1, [0.0]), (2, [0.0]), (3, [4.0])], "vec_id long, embedding array<double>")
     assert sorted(r["vec_id"] for r in statespace.medoids(few, "vec_id", "embedding", 16).collect()) == [1, 3]
     assert statespace.medoids(few.where("vec_id > 9"), "vec_id", "embedding", 16).count() == 0
+
+
+def test_nearest_by_pivots_is_exact(spark, monkeypatch):
+    """Many references in clusters, a hot vector, ties, NaN, nulls: the same as brute force, and as one array."""
+    monkeypatch.setattr(statespace, "PIVOTS", 16)
+    monkeypatch.setattr(statespace, "BLOCK", 20)
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(12, 6)) * 5
+    near = [(centers[k % 12] + rng.normal(size=6) * 0.3).tolist() for k in range(1_500)]
+    many = [*near, *[near[0]] * 700, [float("nan")] * 6]
+    refs = [(len(many) - k, v) for k, v in enumerate(many)]
+    asked = [(k, (centers[k % 12] + rng.normal(size=6) * (3 if k % 5 == 0 else 0.3)).tolist()) for k in range(300)] + [(300, near[0]), (301, None), (302, [0.0] * 6)]
+    states = spark.createDataFrame(asked, "vec_id long, embedding array<double>").repartition(5)
+    known = spark.createDataFrame([*refs, (-1, None)], "ref_id long, ref array<double>").repartition(6)
+    got = {r["vec_id"]: (r["ref_id"], r["distance"]) for r in statespace.nearest(states, known, most=100).collect()}
+    plain = {r["vec_id"]: (r["ref_id"], r["distance"]) for r in statespace.nearest(states, known).collect()}
+    assert got == plain and len(got) == 303 and got[301] == (None, None)
+    at, ids = np.array([v for _, v in refs]), np.array([i for i, _ in refs])
+    for k, v in asked:
+        if v is not None:
+            d = np.linalg.norm(at - v, axis=1)
+            least = np.nanmin(d)
+            assert got[k][1] == pytest.approx(least, abs=1e-9) and d[ids == got[k][0]][0] == pytest.approx(least, abs=1e-9)
+    assert got[300] == (min(i for i, v in refs if v == near[0]), 0.0)
+
+
+def test_nearest_by_pivots_of_one_vector(spark):
+    """All references equal: one pivot, whose ring has no width."""
+    refs = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(50)], "ref_id long, ref array<double>")
+    states = spark.createDataFrame([(1, [1.0, 1.0]), (2, [4.0, 5.0])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["ref_id"], r["distance"]) for r in statespace.nearest(states, refs, most=10).collect()}
+    assert got == {1: (0, 0.0), 2: (0, 5.0)}
