@@ -9,6 +9,8 @@ from crestline.operators import detectors, multivariate, preparation, regimes, s
 from crestline.operators.series import Series, running_sum, split_label, with_position
 from crestline.plans.episode_queries import BY_USER, USER, by_user
 from crestline.plans.registry import query, table
+from crestline.session import scratch
+from crestline.sources import tables
 
 # --- preparation
 
@@ -296,6 +298,46 @@ def nearest_reference(spark, sf_dir):
     return _nearest(spark, sf_dir).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
+TRACES = """SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding), 5) AS mean FROM embeddings"""
+
+
+def _as_traces(spark, sf_dir):
+    """Lines of an id and the numbers of its vector."""
+    return table(spark, sf_dir, "embeddings").select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.transform("embedding", lambda x: x.cast("string"))).alias("value"))
+
+
+def _trace_means(traces):
+    x = F.slice("trace", 2, F.greatest(F.lit(0), F.size("trace") - 1))
+    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    return traces.select(F.col("trace")[0].cast("long").alias("vec_id"), F.size(x).cast("long").alias("n"), F.round(total / F.size(x), 5).alias("mean"))
+
+
+@query("trace_lines", TRACES)
+def trace_lines(spark, sf_dir):
+    path = scratch(spark, "traces")
+    _as_traces(spark, sf_dir).write.text(path)
+    return _trace_means(tables.read_traces(spark, path))
+
+
+@query("zipped_traces", TRACES)
+def zipped_traces(spark, sf_dir):
+    path = scratch(spark, "archives")
+    tables.write_zipped(_as_traces(spark, sf_dir), path, "trace.txt")
+    return _trace_means(tables.read_zipped(spark, path, "TRACE.txt"))
+
+
+@query(
+    "nearest_of_other_labels",
+    """WITH d AS (SELECT e.vec_id, r.vec_id AS ref_id, sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda k: (e.embedding[k]::DOUBLE - r.embedding[k]::DOUBLE) ** 2))) AS distance FROM embeddings e, embeddings r WHERE e.label % 2 = 0 AND r.label % 2 = 1)
+    SELECT vec_id, ref_id, round(distance, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, ref_id) AS k FROM d) WHERE k = 1""",
+)
+def nearest_of_other_labels(spark, sf_dir):
+    # references grow with the table, so they are searched by pivots at any size
+    rows = table(spark, sf_dir, "embeddings")
+    refs = rows.where("label % 2 = 1").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref"))
+    return statespace.nearest(rows.where("label % 2 = 0"), refs, most=0).withColumn("distance", F.round("distance", 5))
+
+
 @query("distance_observable", f"WITH {NEAREST} SELECT vec_id, round(-ln(greatest(distance, 0.001)), 5) AS observable FROM b")
 def distance_observable(spark, sf_dir):
     return _nearest(spark, sf_dir).select("vec_id", F.round(statespace.observable(F.col("distance"), 0.001), 5).alias("observable"))
