@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from crestline.operators import tails
 from crestline.operators.series import placed_in, ranges_of
 from crestline.plans.episode_queries import by_user
 from crestline.plans.registry import query, table
@@ -113,5 +114,6 @@ def stream_adaptive_thresholds(spark, sf_dir):
     rows = by_user(spark, sf_dir).where("value is not null").select("user_id", F.col("i").cast("double").alias("i"), "value")
     n = rows.groupBy("user_id").agg(F.greatest(F.lit(1), F.floor(0.6 * F.count("*"))).alias("n"))
     first = rows.join(n, "user_id").where("i < n").select("user_id", (F.col("i") - BEFORE).alias("i"), "value", F.lit(True).alias("train"))
-    adaptive = lambda stream: operators.adaptive_thresholds(stream, "user_id", "i", "value")
+    fitted = written(tails.adaptive_bases(first, "value", ["user_id"]), "bases")
+    adaptive = lambda stream: operators.adaptive_thresholds(stream, "user_id", "i", "value", fitted)
     return drained_in_order(written(first.unionByName(rows.withColumn("train", F.lit(False))), "turns"), F.col("i"), adaptive, "stream-thresholds", "append")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from crestline.operators.tails import Adaptive
+from crestline.operators.tails import STATE, Adaptive, tail_of
 
 
 def windowed_statistics(stream: DataFrame, timestamp: str, value: str, keys: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -84,33 +84,27 @@ def lag_features(stream: DataFrame, key: str, order: str, value: str, lags: list
     return chosen.groupBy(key).applyInPandasWithState(step, schema, "ring array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def adaptive_thresholds(stream: DataFrame, key: str, order: str, value: str, train: str = "train", quantile: float = 0.9) -> DataFrame:
+def adaptive_thresholds(stream: DataFrame, key: str, order: str, value: str, fitted: DataFrame, train: str = "train", quantile: float = 0.9) -> DataFrame:
     """(key, order, value, threshold, exceeds) of the live rows: each key's adaptive tail threshold, as tails.adaptive_thresholds() gives it over the whole series.
 
-    Rows marked train come before a key's live ones and are not judged: their quantile is the base,
-    and their excesses over it are where the threshold starts. A key's state holds its excesses,
-    all of them, as each refit is over all; a key without a training row starts at its first value.
+    fitted has each key's base and unit, from tails.adaptive_bases() over training rows; a key that
+    it lacks has a null threshold. Rows marked train come before a key's live ones and aren't
+    judged: those over the base are where the threshold starts. A key's state has a fixed size.
     """
     schema = f"{key} long, {order} double, {value} double, threshold double, exceeds boolean"
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        base, excesses, seen, threshold, fitted, waiting = state.get if state.exists else (None, [], 0, None, -1, [])
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        learned = rows[train].to_numpy(bool)
-        waiting = [*waiting, *rows[value][learned].astype(float)]
+        base, unit = (float(x) for x in rows[["base", "unit"]].astype(float).iloc[0])
+        model = Adaptive(base, tail_of(quantile), unit=unit, held=state.get if state.exists else None) if np.isfinite(base) else None
+        learned, x = rows[train].to_numpy(bool), rows[value].to_numpy(float)
+        for v in x[learned] if model else ():
+            model.learn(float(v))
+        cuts = np.array([model.step(float(v)) if model else np.nan for v in x[~learned]], float)
+        if model:
+            state.update(model.state())
         live = rows[~learned]
-        if not len(live):
-            state.update((base, list(excesses), seen, threshold, fitted, waiting))
-            return
-        if base is None:
-            known = waiting or [float(live[value].iloc[0])]
-            base = float(np.quantile(known, quantile))
-            excesses = [v - base for v in known if v > base]
-        model = Adaptive(base, max(1e-4, 1 - quantile), list(excesses), seen, threshold, fitted)
-        cuts = np.array([model.step(float(x)) for x in live[value]])
-        state.update((base, [float(x) for x in model.excesses], model.seen, float(model.threshold), model.fitted, []))
-        yield pd.DataFrame({key: k[0], order: live[order].astype(float), value: live[value].astype(float), "threshold": cuts, "exceeds": live[value].to_numpy() > cuts})
-
-    held = "base double, excesses array<double>, seen long, threshold double, fitted long, waiting array<double>"
+        yield pd.DataFrame({key: k[0], order: live[order].astype(float), value: live[value].astype(float), "threshold": cuts, "exceeds": live[value].to_numpy(float) > cuts})
+
     chosen = stream.where(F.col(value).isNotNull()).select(key, F.col(order).cast("double").alias(order), F.col(value).cast("double").alias(value), F.coalesce(F.col(train), F.lit(False)).alias(train))
-    return chosen.groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
+    return chosen.join(fitted.select(key, "base", "unit"), key, "left").groupBy(key).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
