@@ -110,8 +110,8 @@ TOPS = 64
 class TailSums:
     """Excesses as sums of fixed size: their count, total, the TOPS largest values, and sums of log(1 + t x) of the others on a grid of t.
 
-    unit is a typical excess and sets the grid, which serves while the mean stays between a fiftieth
-    and a hundred times the unit. Sums between steps are interpolated by polynomials through six of them; the largest excesses,
+    unit is a typical excess and sets the grid, which is tested for means up to 20 times the unit
+    and down to a twentieth of it. Sums between steps are interpolated by polynomials through six of them; the largest excesses,
     whose logarithms bend most, are exact. Fits differ from those over all excesses by less than
     0.1 % of the return level's excess (tests/core/test_tails.py).
     """
