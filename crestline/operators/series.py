@@ -115,20 +115,26 @@ def running_sum(df: DataFrame, by: str, amount: Column, name: str, descending: b
     return out.withColumn(name, F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_range", "_amount", "_inside", "_before")
 
 
-def quantiles(df: DataFrame, value: Column, levels: list[float], by: list[str], accuracy: int = 10_000) -> DataFrame:
+def quantiles(df: DataFrame, value: Column, levels: list[float], by: list[str], accuracy: int = 10_000, every: bool = False, few: bool = False) -> DataFrame:
     """(by, n, q): exact quantiles, by linear interpolation between order statistics, of the finite values of each group.
 
+    With every, infinities count too, and NaN as the largest value. few: the groups are so few that their bounds are
+    broadcast, and the rows aren't shuffled.
+
     Sketches first enclose each quantile between two values; then rows below are counted, and only
     values in between, about four in ``accuracy``, are sorted. No group's values meet in one place,
     and a value that many rows share is one row. Groups without a finite value are there, with nulls.
     """
-    rows = df.select(*by, finite(value.cast("double")).alias("_x"))
+    number = value.cast("double")
+    rows = df.select(*by, (number if every else finite(number)).alias("_x"))
     pad = 2 / accuracy
     ask = [min(1.0, max(0.0, q + d)) for q in levels for d in (-pad, pad)]
-    rough = rows.groupBy(*by).agg(F.count("_x").alias("n"), F.percentile_approx("_x", ask, accuracy).alias("_a"))
+    # to the sketch NaN is infinite; as a value beyond all bounds it is counted apart
+    inner = F.when(F.isnan("_x"), F.lit(float("inf"))).otherwise(F.col("_x")) if every else F.col("_x")
+    rough = rows.groupBy(*by).agg(F.count("_x").alias("n"), F.percentile_approx(inner, ask, accuracy).alias("_a"))
     bounds = [F.struct(F.lit(q).cast("double").alias("level"), F.col("_a")[2 * k].alias("lo"), F.col("_a")[2 * k + 1].alias("hi"), F.floor((F.col("n") - 1) * F.lit(q)).alias("rank"), ((F.col("n") - 1) * F.lit(q)).alias("at")) for k, q in enumerate(levels)]
     side = rough.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.array(*bounds).alias("_b"))
-    met = rows.where("_x is not null").join(side, same_key(rows, side, by)) if by else rows.where("_x is not null").crossJoin(F.broadcast(side))
+    met = rows.where("_x is not null").join(F.broadcast(side) if few else side, same_key(rows, side, by)) if by else rows.where("_x is not null").crossJoin(F.broadcast(side))
     each = met.select(*by, "_x", F.explode("_b").alias("b")).select(*by, "_x", "b.*")
     # values outside the two bounds count, and the nearest of them stays, as an interpolation may need it
     low, high = F.col("_x") < F.col("lo"), F.col("_x") > F.col("hi")
@@ -141,7 +147,7 @@ def quantiles(df: DataFrame, value: Column, levels: list[float], by: list[str],
     holds = lambda r: F.min(F.when(F.col("_upto") > r, F.struct("_spot", "_v")))["_v"]
     got = ranked.groupBy(*by, "level", "rank", "at").agg(holds(F.col("rank")).alias("_p"), holds(F.col("rank") + 1).alias("_q"))
     part = F.col("at") - F.col("rank")
-    found = got.select(*[F.col(c).alias(f"_k_{c}") for c in by], "level", F.when(part > 0, F.col("_p") + (F.col("_q") - F.col("_p")) * part).otherwise(F.col("_p")).alias("_z"))
+    found = got.select(*[F.col(c).alias(f"_k_{c}") for c in by], "level", F.when((part > 0) & (F.col("_p") != F.col("_q")) & (F.col("_p") != F.lit(float("-inf"))), F.col("_p") + (F.col("_q") - F.col("_p")) * part).otherwise(F.col("_p")).alias("_z"))
     wide = found.groupBy(*[f"_k_{c}" for c in by]).agg(F.map_from_entries(F.collect_list(F.struct("level", "_z"))).alias("_m"))
     out = rough.join(wide, same_key(rough, wide, by), "left") if by else rough.crossJoin(F.broadcast(wide))
     return out.select(*by, "n", F.array(*[F.col("_m")[F.lit(q).cast("double")] for q in levels]).alias("q"))

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crestline.operators.series import quantiles
 from crestline.session import written
 
 
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, x) of the columns' values."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
+
+
 def robust_scales(df: DataFrame, columns: list[str], least: float = 0.0) -> DataFrame:
     """(column, center, scale): median and interquartile range, 1 where the range is at most least."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
-    q = long.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("column").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    long = _long(df, columns)
+    q = quantiles(long.where(F.col("x").isNotNull() & ~F.isnan("x")), F.col("x"), [0.25, 0.5, 0.75], ["column"], every=True, few=True)
     spread = F.col("q")[2] - F.col("q")[0]
     return q.select("column", F.col("q")[1].alias("center"), F.when(spread > least, spread).otherwise(F.lit(1.0)).alias("scale"))
 
@@ -108,14 +114,20 @@ def observable(d: Column, eps: float = 1e-12) -> Column:
     return -F.log(F.greatest(d, F.lit(eps)))
 
 
+def _medians(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
+    """One row of the columns' medians, null for a column without values."""
+    q = quantiles(_long(df, columns), F.col("x"), [0.5], ["column"], every=True, few=True)
+    return written(q.agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(f"{prefix}{c}") for c in columns]), "medians")
+
+
 def density_region(df: DataFrame, columns: list[str], quantile: float) -> DataFrame:
     """df with density_distance (root sum of squared deviations over the median absolute deviation, 1 if that is 0) and in_region, at or over its quantile."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-    near = df.crossJoin(F.broadcast(medians))
-    spreads = near.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"_m_{c}")), F.lit(0.5)).alias(f"_s_{c}") for c in columns])
+    near = df.crossJoin(F.broadcast(_medians(df, columns, "_m_")))
+    apart = near.select(*[F.abs(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
+    spreads = _medians(apart, columns, "_s_")
     z = [(F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0)) for c in columns]
     far = near.crossJoin(F.broadcast(spreads)).withColumn("density_distance", F.round(F.sqrt(sum((x * x for x in z), F.lit(0.0))), 9))
-    cut = far.agg(F.round(F.percentile("density_distance", F.lit(quantile)), 9).alias("_cut"))
+    cut = written(quantiles(far, F.col("density_distance"), [quantile], [], every=True).select(F.round(F.col("q")[0], 9).alias("_cut")), "cut")
     return far.crossJoin(F.broadcast(cut)).withColumn("in_region", F.col("density_distance") >= F.col("_cut")).select(*df.columns, "density_distance", "in_region")
 
 
