@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crestline.operators import matrices
 from crestline.operators.series import quantiles
 from crestline.session import written
 
@@ -36,22 +37,22 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
 
 
-#: References that are sent to all tasks as one array; more of them lie in cells round pivots.
-MOST_REFERENCES = 5_000
-#: Pivots, rings round a pivot, and references of a block of a ring, about.
-PIVOTS, RINGS, BLOCK = 128, 32, 500
+#: References that are sent to all tasks as one array; more of them lie in blocks, which meet blocks of states.
+MOST_REFERENCES = 64
+#: Pivots, references of a block, and states of a block, about.
+PIVOTS, BLOCK, STATES = 128, 16_384, 8_192
 
 
 def nearest(states: DataFrame, references: DataFrame, vector: str = "embedding", key: str = "vec_id", ref_key: str = "ref_id", ref_vector: str = "ref", most: int = MOST_REFERENCES) -> DataFrame:
     """(key, ref_id, distance) of each state's nearest reference; ties go to the smallest ref_id.
 
-    Up to ``most`` references are one array that is broadcast; more of them are searched by pivots,
+    Up to ``most`` references are one array that is broadcast; more of them are searched in blocks,
     with the same result and a plan of one size. A key names one state. References without a vector
     are none; a state without a vector, or without any reference, has nulls.
     """
     sound = references.where(F.col(ref_vector).isNotNull()).select(F.col(ref_key).alias("id"), F.col(ref_vector).alias("v"))
     asked = states.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
-    least = _by_pivots(asked, sound) if sound.limit(most + 1).count() > most else _by_one_array(asked, sound)
+    least = _by_blocks(asked, sound) if sound.limit(most + 1).count() > most else _by_one_array(asked, sound)
     return least.select(F.col("key").alias(key), F.col("least.id").alias("ref_id"), F.col("least.d").alias("distance"))
 
 
@@ -65,47 +66,36 @@ def _by_one_array(states: DataFrame, references: DataFrame) -> DataFrame:
     return states.crossJoin(F.broadcast(table)).select("key", _least(F.col("refs")).alias("least"))
 
 
-def _by_pivots(states: DataFrame, references: DataFrame) -> DataFrame:
-    """(key, least) by the triangle inequality.
+def _by_blocks(states: DataFrame, references: DataFrame) -> DataFrame:
+    """(key, least): blocks of states meet blocks of references, each pair of blocks as products of matrices.
 
-    Some references are pivots; each reference belongs to its nearest pivot, in a ring of distances
-    to it, in blocks of about BLOCK. A state looks first into one block near its own distance to its
-    nearest pivot. What it finds bounds its search: a ring whose distances to the pivot differ from
-    the state's by more, or a pivot farther than the nearest one by more than twice as much, holds
-    nothing better. Equal vectors are one reference, that with the smallest id. The pivots and the
-    rings' bounds (PIVOTS and PIVOTS * (RINGS + 1) rows at most) are all that is broadcast.
+    Some references are pivots. A reference belongs to its nearest pivot, a pivot's references to one
+    block or, if they are many, to several. The nearest pivot bounds a state's search: a block goes
+    without the state if the distances of its references to their pivots differ by more from the
+    state's (triangle inequality). Where that spares nothing, all pairs are worked out, which takes
+    time in their number, but no task holds more than two blocks. Equal vectors are one reference,
+    that with the smallest id. Vectors that are odd (missing or infinite coordinates, another
+    length) skip the bounds. The pivots and their blocks (PIVOTS rows) are all that meets the driver.
     """
     refs = written(references.groupBy("v").agg(F.min("id").alias("id")), "references")
-    pivots = written(refs.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).agg(F.collect_list(F.struct("id", "v")).alias("pivots")), "pivots")
-    aways = lambda x: F.transform("pivots", lambda p, k: F.struct(distance(F.col(x), p["v"]).alias("d"), k.alias("pivot")))
-
-    own = refs.crossJoin(F.broadcast(pivots)).select("id", "v", F.array_min(aways("v")).alias("own")).select("id", "v", "own.pivot", F.col("own.d").alias("r"))
+    asked = written(states, "states")
+    kind, key_kind = refs.schema["id"].dataType.simpleString(), asked.schema["key"].dataType.simpleString()
+    drawn = [r["v"] for r in refs.where(F.size("v") > 0).orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
+    pivots = matrices.usable(drawn)
+    own = refs.mapInArrow(matrices.owner(pivots, "v"), f"v {refs.schema['v'].dataType.simpleString()}, id {kind}, pivot int, r double")
     own = written(own, "owned")
-    widths = own.where(~F.isnan("r")).groupBy("pivot").agg(F.max("r").alias("reach"))
-    ring = F.when(F.isnan("r") | F.col("reach").isNull(), -1).otherwise(F.least(F.lit(RINGS - 1), F.floor(F.coalesce(F.try_divide(RINGS * F.col("r"), F.col("reach")), F.lit(0.0))))).cast("int")
-    ringed = own.join(F.broadcast(widths), "pivot", "left").withColumn("ring", ring)
-    rings = written(ringed.groupBy("pivot", "ring").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.ceil(F.count("*") / BLOCK).alias("salts")), "rings")
-    blocks = ringed.join(F.broadcast(rings), ["pivot", "ring"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), F.col("salts")))
-    blocks = written(blocks.groupBy("pivot", "ring", "salt").agg(F.collect_list(F.struct("id", "v")).alias("refs")), "blocks")
-    place = ["pivot", "ring", "salt"]
-
-    # one block first: the ring of the nearest pivot that is nearest to the state's distance
-    here = states.where("vector is not null").crossJoin(F.broadcast(pivots)).select("key", "vector", F.array_min(aways("vector")).alias("own"), _least(F.col("pivots")).alias("found"))
-    by_pivot = rings.groupBy("pivot").agg(F.collect_list(F.struct("ring", "low", "high", "salts")).alias("rings"))
-    off = lambda x: F.greatest(F.lit(0.0), x["low"] - F.col("own.d"), F.col("own.d") - x["high"])
-    first = here.withColumn("pivot", F.col("own.pivot")).join(F.broadcast(by_pivot), "pivot").withColumn("ring", F.array_min(F.transform("rings", lambda x: F.struct(off(x).alias("off"), x["ring"].alias("ring"), x["salts"].alias("salts")))))
-    first = first.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("ring.salts"))).withColumn("ring", F.col("ring.ring"))
-    bound = written(first.join(blocks, place, "left").select("key", "vector", "own", F.array_min(F.array_compact(F.array("found", _least(F.col("refs"))))).alias("found")), "bounds")
-
-    # then all blocks that can hold a nearer one, or one as near
-    u = F.col("found.d")
-    slack = 1e-9 * (1 + F.col("away.d") + u)
-    tried = bound.crossJoin(F.broadcast(pivots)).select("key", "vector", "own", "found", F.explode(aways("vector")).alias("away")).where(~((F.col("away.d") - F.col("own.d")) / 2 > u + slack))
-    tried = tried.withColumn("pivot", F.col("away.pivot")).join(F.broadcast(rings), "pivot").where(~((F.col("low") - F.col("away.d") > u + slack) | (F.col("away.d") - F.col("high") > u + slack)))
-    asked = tried.select("key", "vector", "pivot", "ring", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    better = asked.join(blocks, place).select("key", _least(F.col("refs")).alias("least"))
-    every = better.unionByName(bound.select("key", F.col("found").alias("least"))).groupBy("key").agg(F.min("least").alias("least"))
-    without = states.where("vector is null").select("key", F.lit(None).cast(every.schema["least"].dataType).alias("least"))
+    spans = own.groupBy("pivot").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).orderBy("pivot").collect()
+    places, shells, blocks = matrices.dealt(spans, BLOCK)
+    parts = max(1, -(-asked.where("vector is not null").count() // STATES))
+
+    place = F.create_map(*[F.lit(x) for p, (first, salts) in places.items() for x in (p, F.struct(F.lit(first).alias("first"), F.lit(salts).alias("salts")))])[F.col("pivot")]
+    block = (place["first"] + F.pmod(F.xxhash64("id", "v"), place["salts"])).cast("int")
+    left = asked.where("vector is not null").mapInArrow(matrices.sent(pivots, shells, blocks), f"key {key_kind}, vector {asked.schema['vector'].dataType.simpleString()}, blocks array<int>")
+    left = left.select("key", "vector", F.pmod(F.xxhash64("key", "vector"), F.lit(parts)).cast("int").alias("part"), F.explode("blocks").alias("block"))
+    right = own.select("id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(matrices.nearest, f"key {key_kind}, d double, id {kind}")
+    every = found.groupBy("key").agg(F.min(F.struct("d", "id")).alias("least"))
+    without = asked.where("vector is null").select("key", F.lit(None).cast(every.schema["least"].dataType).alias("least"))
     return every.unionByName(without)
 
 

@@ -332,7 +332,7 @@ def zipped_traces(spark, sf_dir):
     SELECT vec_id, ref_id, round(distance, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, ref_id) AS k FROM d) WHERE k = 1""",
 )
 def nearest_of_other_labels(spark, sf_dir):
-    # references grow with the table, so they are searched by pivots at any size
+    # references grow with the table, so they are searched in blocks at any size
     rows = table(spark, sf_dir, "embeddings")
     refs = rows.where("label % 2 = 1").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref"))
     return statespace.nearest(rows.where("label % 2 = 0"), refs, most=0).withColumn("distance", F.round("distance", 5))

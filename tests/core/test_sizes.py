@@ -39,3 +39,18 @@ def test_quantiles_of_every_value(spark):
         want = df.agg(F.percentile("x", F.array(*map(F.lit, levels))).alias("q")).first()["q"]
         got = quantiles(df, F.col("x"), levels, ["g"], every=True, few=True).first()
         assert got["n"] == len(values) and [repr(v) for v in got["q"]] == [repr(v) for v in want], values
+
+
+def test_nearest_of_many_is_worked_out_in_blocks(spark, monkeypatch):
+    """No state is joined to references one by one; odd vectors, ties and equal distances as with one array."""
+    monkeypatch.setattr(statespace, "BLOCK", 50)
+    monkeypatch.setattr(statespace, "STATES", 40)
+    rng, nan, inf = np.random.default_rng(3), float("nan"), float("inf")
+    grid = rng.integers(0, 3, (400, 4)).astype(float).tolist()  # many equal distances
+    for odd_refs in ([], [[nan, 0.0, 0.0, 0.0], [inf, 0.0, 0.0, 1.0]], [[1e200, 0.0, 0.0, 0.0]], [[1.0, 2.0]], [[None, 1.0, 1.0, 1.0]]):
+        refs = spark.createDataFrame([((7 * k) % 1009, v) for k, v in enumerate([*grid, *odd_refs])], "ref_id long, ref array<double>")
+        asked = [*rng.integers(0, 3, (150, 4)).astype(float).tolist(), [nan, 0.0, 0.0, 0.0], [inf, 1.0, 0.0, 0.0], [1e200, 1.0, 0.0, 0.0], [1.0], [None, 0.0, 0.0, 0.0], [], None]
+        states = spark.createDataFrame(list(enumerate(asked)), "vec_id long, embedding array<double>").repartition(3)
+        got, want = ({r["vec_id"]: repr((r["ref_id"], r["distance"])) for r in statespace.nearest(states, refs, most=m).collect()} for m in (0, 10_000))
+        assert got == want
+    assert "FlatMapCoGroups" in plan(statespace.nearest(states, refs, most=0))
