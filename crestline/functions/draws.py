@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +19,12 @@ def number(seed: int, *keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *words).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
+def numbers(words: Iterable[str]) -> np.ndarray:
+    """number() in tasks: of the seed and the keys, joined by colons."""
+    digests = b"".join([md5(w.encode()).digest()[:8] for w in words])
+    return (np.frombuffer(digests, ">u8") >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def share(seed: int, *keys: Column | str) -> Column:
     """A number from 0 (included) to 1."""
     return number(seed, *keys) / F.lit(float(1 << BITS))

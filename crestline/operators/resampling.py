@@ -1,4 +1,4 @@
-"""Resampling: replicates as rows. Series are never packed; what a replicate needs of them is joined from summaries."""
+"""Resampling: replicates as rows. Exceedances are packed up to a bounded number a row; what a replicate needs of longer series is joined from summaries."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.functions.draws import BITS, number, share
+from crestline.operators import blocks
 from crestline.operators.episodes import clusters, spaced
 from crestline.operators.series import SPAN, same_key
 from crestline.session import written
@@ -72,17 +73,58 @@ def joined(summaries: DataFrame, entity: list[str], run_length: int) -> DataFram
     return apart.groupBy(*entity, "replicate").agg(F.sum("hits").alias("hits"), F.sum(opens).alias("clusters"), (F.sum(opens) / F.sum("hits")).alias("theta"))
 
 
+#: Exceedances of a series that may be one row, and blocks of it that are drawn at once.
+PACKED, DRAWN = 50_000, 1_000_000
+
+
+def _parted(rows: DataFrame, keys: DataFrame, entity: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows without and with those keys."""
+    side = keys.select(*[F.col(c).alias(f"_k_{c}") for c in entity])
+    on = same_key(rows, side, entity)
+    return rows.join(side, on, "left_anti"), rows.join(side, on, "left_semi")
+
+
+def packed_index(hits: DataFrame, sizes: DataFrame, entity: list[str], run_length: int, replicates: int, block: Column, circular: bool, seed: int, position: str = "i") -> DataFrame:
+    """(entity, theta): as joined(), one row a replicate with exceedances, of series whose exceedances are one row each. block is a column of sizes' n."""
+    packed = hits.groupBy(*entity).agg(F.sort_array(F.collect_list(F.col(position).cast("long"))).alias("_at"))
+    side = sizes.where("n > 0").select(*[F.col(c).alias(f"_k_{c}") for c in entity], F.col("n").cast("long").alias("_n"), block.cast("long").alias("_b"))
+    met = packed.join(side, same_key(packed, side, entity)).select(*entity, "_at", "_n", "_b")
+    # so many replicates at a time that their blocks are about DRAWN
+    step = F.greatest(F.lit(1), F.floor(F.lit(DRAWN) / F.ceil(F.col("_n") / F.col("_b")))).cast("int")
+    rows = met.withColumn("_step", step).withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.least(F.col("_step"), F.lit(replicates)))))
+    words = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in entity])
+    rows = rows.select(F.struct(*[F.col(c) for c in entity]).alias("_key") if entity else F.lit(0).alias("_key"), words.alias("_words"), "_at", "_n", "_b", "_first", F.least(F.lit(replicates + 1), F.col("_first") + F.col("_step")).alias("_end"))
+    # the rows are few bytes and much work, so their number of tasks isn't left to their size
+    rows = rows.repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_words", "_first")
+    out = rows.mapInArrow(blocks.thetas(run_length, circular), f"_key {rows.schema['_key'].dataType.simpleString()}, thetas array<double>")
+    return out.select(*([F.col("_key")[c].alias(c) for c in entity]), F.explode("thetas").alias("theta"))
+
+
 def bootstrap_index(hits: DataFrame, sizes: DataFrame, entity: list[str], run_length: int, replicates: int = 200, confidence: float = 0.95, circular: bool = True, block=None, seed: int = 7, position: str = "i", span: int = SPAN) -> DataFrame:
     """(entity, theta, low, high, valid): the runs index of each series with a percentile interval from block bootstraps.
 
     hits: (entity, position) of the exceedances, sizes: (entity, n). Circular blocks have the cube
     root of n as length, moving ones its square root, unless block says otherwise. A replicate of a
-    series is a number of drawn starts; blocks are summed up where the exceedances are, so no
+    series is a number of drawn starts. The exceedances of a series are one row, up to PACKED of them,
+    and its replicates are drawn where that row is, a bounded number of blocks a task, so nothing but
+    exceedances is shuffled. Of longer series blocks are summed up where the exceedances are: no such
     series is in one place and a replicate costs as many rows as it has blocks.
     """
     block = block or (cube_root_block if circular else square_root_block(run_length))
-    parts = block_draws(sizes, entity, replicates, block(F.col("n")), circular, seed)
-    drawn = joined(block_summaries(hits, parts, entity, run_length, position, span), entity, run_length)
+    hits = written(hits.select(*entity, position), "hits")
+    drawn, counts = None, hits.groupBy(*entity).agg(F.count("*").alias("_hits")) if PACKED else None
+    if PACKED:
+        many = written(counts.where(F.col("_hits") > PACKED), "long-series")
+        long = not many.isEmpty()
+        short, rest = _parted(hits, many, entity) if long else (hits, None)
+        drawn = packed_index(short, sizes, entity, run_length, replicates, block(F.col("n")), circular, seed, position)
+        some = _parted(sizes, many, entity)[1] if long else None
+    else:
+        long, rest, some = True, hits, sizes
+    if long:
+        parts = block_draws(some, entity, replicates, block(F.col("n")), circular, seed)
+        apart = joined(block_summaries(rest, parts, entity, run_length, position, span), entity, run_length).select(*entity, "theta")
+        drawn = drawn.unionByName(apart) if drawn is not None else apart
     tail = (1 - confidence) / 2
     bounds = drawn.groupBy(*entity).agg(F.percentile("theta", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"), F.count("*").cast("int").alias("valid"))
     whole = spaced(hits, entity, position, span).groupBy(*entity).agg((F.sum(F.when(F.col("distance") - 1 <= run_length, 0).otherwise(1)) / F.count("*")).alias("theta"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.operators import statespace
+from crestline.operators import resampling, statespace
 from crestline.operators.series import quantiles
 
 
@@ -54,3 +54,25 @@ def test_nearest_of_many_is_worked_out_in_blocks(spark, monkeypatch):
         got, want = ({r["vec_id"]: repr((r["ref_id"], r["distance"])) for r in statespace.nearest(states, refs, most=m).collect()} for m in (0, 10_000))
         assert got == want
     assert "FlatMapCoGroups" in plan(statespace.nearest(states, refs, most=0))
+
+
+@pytest.mark.parametrize("circular", [True, False])
+def test_bootstrap_shuffles_no_blocks(spark, monkeypatch, circular):
+    """Replicates of packed series are drawn in place, in parts or at once, and equal those of series that are too long to be packed."""
+    rng = np.random.default_rng(6)
+    series = {("a", None): 300, ("b", 2): 41, (None, 3): 7, ("c", 1): 150}
+    rows = [(*e, int(i)) for e, n in series.items() for i in np.flatnonzero(rng.random(n) < 0.3)]
+    hits = spark.createDataFrame(rows, "s string, k int, i long")
+    sizes = spark.createDataFrame([(*e, n) for e, n in series.items()] + [("d", 4, 9)], "s string, k int, n long")
+    run = lambda: sorted(map(repr, resampling.bootstrap_index(hits, sizes, ["s", "k"], 1, 60, circular=circular).collect()))
+    called = []
+    draws = resampling.block_draws
+    monkeypatch.setattr(resampling, "block_draws", lambda *a: called.append(a) or draws(*a))
+    packed = run()
+    assert not called and len(packed) == 5
+    monkeypatch.setattr(resampling, "DRAWN", 100)
+    assert run() == packed and not called
+    monkeypatch.setattr(resampling, "PACKED", 40)
+    assert run() == packed and called
+    monkeypatch.setattr(resampling, "PACKED", 0)
+    assert run() == packed
