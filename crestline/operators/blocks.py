@@ -53,3 +53,66 @@ def thetas(run_length: int, circular: bool) -> Callable:
             yield pa.RecordBatch.from_arrays([batch.column("_key"), lists], ["_key", "thetas"])
 
     return run
+
+
+def turned(n: int, first: int, last: int, size: int, max_lag: int) -> Callable:
+    """Rows of a component's positions with a turn for each replicate, as rows of turned positions by cell, counted from the cell's begin."""
+    kind = np.uint16 if size + max_lag <= 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for component, at, turns in zip(batch.column("component"), batch.column("_at"), batch.column("_turns"), strict=True):
+                at, made = at.values.to_numpy(), ([], [], [])
+                low, high = int(at.min()), int(at.max())
+                for replicate, turn in enumerate(turns.values.to_pylist()):
+                    a, b = (low + turn) % n, (high + turn) % n
+                    if a <= b and high - low < n and (b < first or a > last):
+                        continue
+                    moved = (at + turn) % n
+                    moved = moved[(moved >= first) & (moved <= last)]
+                    cell = moved // size
+                    inside = moved - cell * size
+                    for c in np.unique(cell):
+                        made[0].append(replicate)
+                        made[1].append(int(c))
+                        made[2].append(inside[cell == c].astype(kind).tobytes())
+                    behind = inside < max_lag  # targets of the cell before
+                    for c in np.unique(cell[behind]):
+                        made[0].append(replicate)
+                        made[1].append(int(c) - 1)
+                        made[2].append((inside[behind & (cell == c)] + size).astype(kind).tobytes())
+                names = pa.array([component.as_py()] * len(made[0]), batch.schema.field("component").type)
+                yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.int64()), names, pa.array(made[2], pa.binary())], ["replicate", "cell", "component", "at"])
+
+    return run
+
+
+def lag_counts(size: int, max_lag: int) -> Callable:
+    """Rows of a cell's positions by component, as counts of (replicate, source, target, lag) over all cells of the task."""
+    kind = np.uint16 if size + max_lag <= 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, int] = {}
+        names = pa.string()
+        for batch in batches:
+            names = batch.schema.field("parts").type.value_type.field("component").type
+            for replicate, parts in zip(batch.column("replicate").to_pylist(), batch.column("parts"), strict=True):
+                counts: dict = {}
+                for part in parts.as_py():
+                    counts.setdefault(part["component"], []).append(np.frombuffer(part["at"], kind))
+                seen = {c: np.bincount(np.concatenate(x), minlength=size + max_lag) for c, x in counts.items()}
+                once = all(x.max() <= 1 for x in seen.values())
+                if once:
+                    seen = {c: x.astype(bool) for c, x in seen.items()}
+                for s, a in seen.items():
+                    for t, b in seen.items():
+                        for lag in range(max_lag + 1) if s != t else ():
+                            here, there = a[:size], b[lag : lag + size]
+                            found = int(np.count_nonzero(here & there) if once else here @ there)
+                            if found:
+                                sums[replicate, s, t, lag] = sums.get((replicate, s, t, lag), 0) + found
+        columns = list(zip(*[(*k, v) for k, v in sums.items()], strict=True)) or [()] * 5
+        kinds = [pa.int32(), names, names, pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["replicate", "source", "target", "lag", "n"])
+
+    return run

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crestline.functions.draws import number
+from crestline.operators import blocks
 from crestline.operators.episodes import merged
 from crestline.operators.resampling import shuffled_runs, turned_hits
 from crestline.operators.series import carried, placed_in, ranges_of, running_sum
@@ -137,24 +139,53 @@ def null_hits(hits: DataFrame, n: int, null_model: str, replicates: int, seed: i
     return NULL_MODELS[null_model](hits, n, replicates, seed)
 
 
+#: Positions of a cell; with a lag of up to as many they fit into 16 bits.
+CELL = 1 << 15
+
+
+def shifted_counts(hits: DataFrame, n: int, replicates: int, seed: int, first: int, last: int, max_lag: int) -> DataFrame:
+    """(replicate, source, target, lag, n): what lag_detections() counts between first and last in turned_hits(), and in the hits themselves as replicate 0.
+
+    The hits of a component in a cell are one row. It is rolled where it is, and its positions between
+    first and last go to their cells as one array each, those just behind a cell to that cell too. A
+    cell of a replicate then counts all pairs and lags at once.
+    """
+    size = max(CELL, max_lag + 1)
+    packed = hits.groupBy("component", F.floor(F.col("i") / size).alias("_chunk")).agg(F.collect_list(F.col("i").cast("long")).alias("_at"))
+    turns = F.array(F.lit(0).cast("long"))
+    if replicates:
+        turns = F.concat(turns, F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: number(seed, "component", r) % n))
+    kind = hits.schema["component"].dataType.simpleString()
+    pieces = packed.select("component", "_at", turns.alias("_turns")).mapInArrow(blocks.turned(n, first, last, size, max_lag), f"replicate int, cell long, component {kind}, at binary")
+    cells = pieces.groupBy("replicate", "cell").agg(F.collect_list(F.struct("component", "at")).alias("parts"))
+    found = cells.select("replicate", "parts").mapInArrow(blocks.lag_counts(size, max_lag), f"replicate int, source {kind}, target {kind}, lag long, n long")
+    return found.groupBy("replicate", "source", "target", "lag").agg(F.sum("n").alias("n"))
+
+
 def evaluated(hits: DataFrame, components: list[str], n: int, max_lag: int, null_model: str = "time_shift", replicates: int = 199, inside: tuple[int, int] | None = None, run_length: int = 0, patterns: DataFrame | None = None, seed: int = 7) -> DataFrame:
     """(source, target, lag, n, clusters, theta, p, adjusted): all lagged pairs of components, or those of patterns, against a null model.
 
     hits: (component, i) of a series of n samples. A pattern counts where it lies whole in the
     positions inside (both ends included); p is the share of replicates that have it as often,
     adjusted over all patterns asked for, also those that are never seen. The observed series is
-    replicate 0 of one plan: all replicates and lags are counted by one join on cells.
+    replicate 0 of one plan. Replicates of time shifts are counted in cells of packed positions,
+    those of other models, with all lags, by one join on cells.
     """
     keys = ["source", "target", "lag"]
+    if null_model not in NULL_MODELS:
+        raise ValueError(f"null_model must be one of {', '.join(NULL_MODELS)}")
     first, last = inside or (0, n - 1)
     asked = patterns.select(*keys) if patterns is not None else hits.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.lit(lag).cast("long").alias("lag")) for a, b, lag in candidate_patterns(components, max_lag)])).alias("c")).select("c.*")
     hits = written(hits.select("component", "i"), "hits")
-    long = hits.select(F.lit(0).alias("replicate"), "component", "i")
-    if replicates:
-        long = long.unionByName(null_hits(hits, n, null_model, replicates, seed).select("replicate", "component", "i"))
-    # both ends of a pattern must lie inside, so nothing else is kept of the replicates
-    met = lag_detections(written(long.where(F.col("i").between(first, last)), "replicates"), ["replicate"], max_lag, window=max_lag + 1)
-    counts = written(met.groupBy("replicate", *keys).agg(F.count("*").alias("n")), "pattern-counts")
+    if null_model == "time_shift":
+        met = shifted_counts(hits, n, replicates, seed, first, last, max_lag)
+    else:
+        long = hits.select(F.lit(0).alias("replicate"), "component", "i")
+        if replicates:
+            long = long.unionByName(null_hits(hits, n, null_model, replicates, seed).select("replicate", "component", "i"))
+        # both ends of a pattern must lie inside, so nothing else is kept of the replicates
+        met = lag_detections(written(long.where(F.col("i").between(first, last)), "replicates"), ["replicate"], max_lag, window=max_lag + 1).groupBy("replicate", *keys).agg(F.count("*").alias("n"))
+    counts = written(met, "pattern-counts")
     seen = asked.join(counts.where("replicate = 0").drop("replicate"), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     tested = benjamini_hochberg(written(right_tail(seen, counts.where("replicate > 0"), keys, replicates), "tests"))
     found = lag_detections(hits, [], max_lag).where(F.col("i").between(first, last))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.operators import resampling, statespace
+from crestline.operators import multivariate, resampling, statespace
 from crestline.operators.series import quantiles
 
 
@@ -76,3 +76,18 @@ def test_bootstrap_shuffles_no_blocks(spark, monkeypatch, circular):
     assert run() == packed and called
     monkeypatch.setattr(resampling, "PACKED", 0)
     assert run() == packed
+
+
+def test_time_shifts_are_counted_in_cells(spark, monkeypatch):
+    """No exceedance of a replicate is a row, and the counts equal those of the rows, repeats and borders of cells included."""
+    monkeypatch.setattr(multivariate, "CELL", 16)
+    rng, n, first, last, lags = np.random.default_rng(2), 301, 50, 250, 3
+    rows = [(c, int(i)) for c in "abc" for i in np.flatnonzero(rng.random(n) < 0.3)]
+    for given in (rows, [*rows, ("a", 77), ("a", 77), ("b", 78)]):
+        hits = spark.createDataFrame(given, "component string, i long")
+        every = hits.selectExpr("0 as replicate", "component", "i").union(resampling.turned_hits(hits, n, 40, 7)).where(F.col("i").between(first, last))
+        want = multivariate.lag_detections(every, ["replicate"], lags).groupBy("replicate", "source", "target", "lag").count()
+        got = multivariate.shifted_counts(hits, n, 40, 7, first, last, lags)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(multivariate, "null_hits", lambda *_: pytest.fail("rows of replicates"))
+    assert multivariate.evaluated(hits, ["a", "b", "c"], n, lags, replicates=20, inside=(first, last)).count() == 24
