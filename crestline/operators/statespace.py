@@ -104,17 +104,17 @@ def observable(d: Column, eps: float = 1e-12) -> Column:
     return -F.log(F.greatest(d, F.lit(eps)))
 
 
-def _medians(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
-    """One row of the columns' medians, null for a column without values."""
-    q = quantiles(_long(df, columns), F.col("x"), [0.5], ["column"], every=True, few=True)
-    return written(q.agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(f"{prefix}{c}") for c in columns]), "medians")
+def column_quantile(df: DataFrame, columns: list[str], level: float, prefix: str) -> DataFrame:
+    """One row of the columns' quantiles, null for a column without values."""
+    q = quantiles(_long(df, columns), F.col("x"), [level], ["column"], every=True, few=True)
+    return written(q.agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(f"{prefix}{c}") for c in columns]), "column-quantiles")
 
 
 def density_region(df: DataFrame, columns: list[str], quantile: float) -> DataFrame:
     """df with density_distance (root sum of squared deviations over the median absolute deviation, 1 if that is 0) and in_region, at or over its quantile."""
-    near = df.crossJoin(F.broadcast(_medians(df, columns, "_m_")))
+    near = df.crossJoin(F.broadcast(column_quantile(df, columns, 0.5, "_m_")))
     apart = near.select(*[F.abs(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
-    spreads = _medians(apart, columns, "_s_")
+    spreads = column_quantile(apart, columns, 0.5, "_s_")
     z = [(F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0)) for c in columns]
     far = near.crossJoin(F.broadcast(spreads)).withColumn("density_distance", F.round(F.sqrt(sum((x * x for x in z), F.lit(0.0))), 9))
     cut = written(quantiles(far, F.col("density_distance"), [quantile], [], every=True).select(F.round(F.col("q")[0], 9).alias("_cut")), "cut")

@@ -165,8 +165,9 @@ FLAGS = """c AS (SELECT round(quantile_cont(l_quantity, 0.9), 6) AS a, round(qua
 
 
 def component_flags(spark, sf_dir) -> DataFrame:
-    rows = with_position(table(spark, sf_dir, "lineitem").select("l_suppkey", *dict.fromkeys((*ORDER, *COMPONENTS))), Series(("l_suppkey",), ORDER))
-    cuts = rows.agg(*[F.round(F.percentile(c, F.lit(0.9)), 6).alias(f"_{c}") for c in COMPONENTS])
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", *dict.fromkeys((*ORDER, *COMPONENTS)))
+    rows = with_position(items, Series(("l_suppkey",), ORDER))
+    cuts = statespace.column_quantile(items, COMPONENTS, 0.9, "_").select(*[F.round(f"_{c}", 6).alias(f"_{c}") for c in COMPONENTS])
     return rows.crossJoin(F.broadcast(cuts)).select("l_suppkey", "i", *[thresholds.exceeds(F.col(c), F.col(f"_{c}")).alias(c) for c in COMPONENTS])
 
 

@@ -91,3 +91,10 @@ def test_time_shifts_are_counted_in_cells(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     monkeypatch.setattr(multivariate, "null_hits", lambda *_: pytest.fail("rows of replicates"))
     assert multivariate.evaluated(hits, ["a", "b", "c"], n, lags, replicates=20, inside=(first, last)).count() == 24
+
+
+def test_component_thresholds_without_percentile(spark, monkeypatch):
+    from crestline.plans.data_queries import COMPONENTS, component_flags
+
+    monkeypatch.setattr(F, "percentile", lambda *_: pytest.fail("percentile"))
+    assert component_flags(spark, "/root/testdata/sf0.001").columns == ["l_suppkey", "i", *COMPONENTS]
