@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline.functions.draws import number
+from crestline.functions.draws import BITS, number
 from crestline.operators import blocks
-from crestline.operators.episodes import merged
-from crestline.operators.resampling import shuffled_runs, turned_hits
+from crestline.operators.episodes import clusters, merged
+from crestline.operators.resampling import GAP_UNITS, shuffled_runs, turned_hits
 from crestline.operators.series import carried, placed_in, ranges_of, running_sum
 from crestline.session import written
 
@@ -151,25 +151,85 @@ def shifted_counts(hits: DataFrame, n: int, replicates: int, seed: int, first: i
     cell of a replicate then counts all pairs and lags at once.
     """
     size = max(CELL, max_lag + 1)
-    packed = hits.groupBy("component", F.floor(F.col("i") / size).alias("_chunk")).agg(F.collect_list(F.col("i").cast("long")).alias("_at"))
+    packed = hits.where("component is not null").groupBy("component", F.floor(F.col("i") / size).alias("_chunk")).agg(F.collect_list(F.col("i").cast("long")).alias("_at"))
     turns = F.array(F.lit(0).cast("long"))
     if replicates:
         turns = F.concat(turns, F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: number(seed, "component", r) % n))
     kind = hits.schema["component"].dataType.simpleString()
     pieces = packed.select("component", "_at", turns.alias("_turns")).mapInArrow(blocks.turned(n, first, last, size, max_lag), f"replicate int, cell long, component {kind}, at binary")
+    return counted_cells(pieces, size, max_lag)
+
+
+def counted_cells(pieces: DataFrame, size: int, max_lag: int) -> DataFrame:
+    """(replicate, source, target, lag, n) of (replicate, cell, component, at)."""
+    kind = pieces.schema["component"].dataType.simpleString()
     cells = pieces.groupBy("replicate", "cell").agg(F.collect_list(F.struct("component", "at")).alias("parts"))
     found = cells.select("replicate", "parts").mapInArrow(blocks.lag_counts(size, max_lag), f"replicate int, source {kind}, target {kind}, lag long, n long")
     return found.groupBy("replicate", "source", "target", "lag").agg(F.sum("n").alias("n"))
 
 
+#: Positions of a chunk of runs, runs of a range of turns, replicates that are drawn in a row.
+CHUNK, RANGE_RUNS, DRAWN = 1 << 18, 200_000, 8
+#: Half the share of turns that are kept beyond those expected between first and last, in 1 / sqrt(runs).
+MARGIN = 6.0
+
+
+def permuted_counts(hits: DataFrame, n: int, replicates: int, seed: int, first: int, last: int, max_lag: int) -> DataFrame:
+    """(replicate, source, target, lag, n): what lag_detections() counts between first and last in shuffled_runs(), and in the hits themselves as replicate 0.
+
+    The runs of a component in a chunk of positions are one row, and its replicates are drawn there. As runs
+    stand in the order of their turns, only those whose turns are near first and last are sent on, as their
+    starts; the others are sums. A replicate of a component is then placed range by range of turns, and goes
+    to its cells. Where the sums show that a run was left out that should be there (very long runs), more turns are kept.
+    """
+    hits = hits.where("component is not null")
+    observed = shifted_counts(hits, n, 0, seed, first, last, max_lag)
+    if not replicates:
+        return observed
+    size, kind = max(CELL, max_lag + 1), hits.schema["component"].dataType.simpleString()
+    runs = written(clusters(hits, 0, ["component"]).select("component", F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start") + 1).cast("long").alias("length")), "runs")
+    sums = runs.groupBy("component").agg(F.sum("length").alias("total"), F.count("*").alias("m")).collect()
+    if not sums:
+        return observed
+    if max(r["total"] for r in sums) > n:
+        raise ValueError(f"intervals of {max(r['total'] for r in sums)} samples don't fit into {n}")
+    totals, margin, partitions = {}, MARGIN, int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for r in sums:
+        apart = 1 if r["total"] + r["m"] - 1 <= n else 0
+        totals[r["component"]] = (str(r["component"]), n - r["total"] - apart * (r["m"] - 1), apart)
+    packed = written(runs.groupBy("component", F.floor(F.col("start") / CHUNK).alias("_chunk")).agg(F.collect_list(F.struct("start", "length")).alias("_runs")), "packed-runs")
+    while True:
+        kept = []
+        for r in sums:
+            wide = margin / r["m"] ** 0.5
+            low, high = max(0.0, first / n - wide), min(1.0, (last + 1) / n + wide)
+            kept.append((r["component"], r["m"], totals[r["component"]][0], int(low * (1 << BITS)), int(high * (1 << BITS)), -(-r["m"] // RANGE_RUNS)))
+        side = hits.sparkSession.createDataFrame(kept, f"_k_component {kind}, whole long, _word string, _low long, _high long, _ranges int")
+        begins = F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(min(DRAWN, replicates))))
+        rows = packed.join(F.broadcast(side), F.col("component") == F.col("_k_component")).drop("_k_component").withColumn("_begin", begins).withColumn("_end", F.least(F.lit(replicates + 1), F.col("_begin") + DRAWN))
+        # few bytes and much work, so the number of tasks isn't left to their size
+        rows = rows.repartition(4 * partitions, "component", "_chunk", "_begin").drop("whole")
+        drawn = rows.mapInArrow(blocks.drawn_runs(seed, GAP_UNITS), f"component {kind}, chunk long, replicate int, place int, all_gaps long, gaps long, lengths long, runs long, held int, first long, steps binary, sizes binary")
+        drawn = drawn.withColumn("whole", F.element_at(F.array(*[F.lit(r["m"]) for r in sums]), F.coalesce(*[F.when(F.col("component") == F.lit(r["component"]), k + 1) for k, r in enumerate(sums)])))
+        dealt = drawn.repartition(4 * partitions, "component", "replicate").sortWithinPartitions("component", "replicate", "place", "chunk")
+        pieces = dealt.mapInArrow(blocks.placed_runs(seed, GAP_UNITS, totals, first, last, size, max_lag), f"replicate int, cell long, component {kind}, at binary")
+        counts = written(counted_cells(pieces, size, max_lag), "permuted-counts")
+        if counts.where("replicate < 0").isEmpty():
+            return observed.unionByName(counts)
+        margin *= 8
+
+
+#: Counts of lagged pairs under each null model.
+COUNTS = {"time_shift": shifted_counts, "cluster_permutation": permuted_counts}
+
+
 def evaluated(hits: DataFrame, components: list[str], n: int, max_lag: int, null_model: str = "time_shift", replicates: int = 199, inside: tuple[int, int] | None = None, run_length: int = 0, patterns: DataFrame | None = None, seed: int = 7) -> DataFrame:
     """(source, target, lag, n, clusters, theta, p, adjusted): all lagged pairs of components, or those of patterns, against a null model.
 
     hits: (component, i) of a series of n samples. A pattern counts where it lies whole in the
     positions inside (both ends included); p is the share of replicates that have it as often,
     adjusted over all patterns asked for, also those that are never seen. The observed series is
-    replicate 0 of one plan. Replicates of time shifts are counted in cells of packed positions,
-    those of other models, with all lags, by one join on cells.
+    replicate 0 of one plan. Replicates are counted in cells of packed positions, all lags at once.
     """
     keys = ["source", "target", "lag"]
     if null_model not in NULL_MODELS:
@@ -177,14 +237,7 @@ def evaluated(hits: DataFrame, components: list[str], n: int, max_lag: int, null
     first, last = inside or (0, n - 1)
     asked = patterns.select(*keys) if patterns is not None else hits.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.lit(lag).cast("long").alias("lag")) for a, b, lag in candidate_patterns(components, max_lag)])).alias("c")).select("c.*")
     hits = written(hits.select("component", "i"), "hits")
-    if null_model == "time_shift":
-        met = shifted_counts(hits, n, replicates, seed, first, last, max_lag)
-    else:
-        long = hits.select(F.lit(0).alias("replicate"), "component", "i")
-        if replicates:
-            long = long.unionByName(null_hits(hits, n, null_model, replicates, seed).select("replicate", "component", "i"))
-        # both ends of a pattern must lie inside, so nothing else is kept of the replicates
-        met = lag_detections(written(long.where(F.col("i").between(first, last)), "replicates"), ["replicate"], max_lag, window=max_lag + 1).groupBy("replicate", *keys).agg(F.count("*").alias("n"))
+    met = COUNTS[null_model](hits, n, replicates, seed, first, last, max_lag)
     counts = written(met, "pattern-counts")
     seen = asked.join(counts.where("replicate = 0").drop("replicate"), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     tested = benjamini_hochberg(written(right_tail(seen, counts.where("replicate > 0"), keys, replicates), "tests"))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.operators import multivariate, resampling, statespace
+from crestline.functions import draws
+from crestline.operators import blocks, multivariate, resampling, statespace
 from crestline.operators.series import quantiles
 
 
@@ -93,6 +94,37 @@ def test_time_shifts_are_counted_in_cells(spark, monkeypatch):
     assert multivariate.evaluated(hits, ["a", "b", "c"], n, lags, replicates=20, inside=(first, last)).count() == 24
 
 
+def test_numbers_of_texts_at_once():
+    rng = np.random.default_rng(1)
+    at = np.concatenate([[0, 9, 10, 99, 100, 10**18], rng.integers(0, 10**9, 500), rng.integers(0, 2_000, 200)])
+    for begin in ("7:l_tax:turn:3:", "7:é:gap:199:", "", "x" * 44, "x" * 50, "x" * 60):
+        assert draws.Texts(at).numbers(begin).tolist() == draws.numbers(f"{begin}{x}" for x in at.tolist()).tolist()
+
+
+def test_permuted_runs_are_counted_in_cells(spark, monkeypatch):
+    """No exceedance of a replicate is a row; the counts equal those of the rows, with chunks, ranges, very long runs and repeats."""
+    monkeypatch.setattr(multivariate, "CELL", 16)
+    monkeypatch.setattr(multivariate, "CHUNK", 32)
+    monkeypatch.setattr(multivariate, "RANGE_RUNS", 7)
+    monkeypatch.setattr(blocks, "LAID", 20)
+    rng, n, first, last, lags = np.random.default_rng(2), 901, 500, 640, 3
+    rows = [(c, int(i)) for c, p in (("a", 0.3), ("b", 0.1), ("c", 0.6)) for i in np.flatnonzero(rng.random(n) < p)]
+    long = [("d", i) for i in range(100, 400)] + [("d", 2 * i) for i in range(250, 400)]
+    tried = []
+    count = multivariate.counted_cells
+    monkeypatch.setattr(multivariate, "counted_cells", lambda *a: tried.append(a) or count(*a))
+    for given, margin in ((rows, 6.0), (rows, 0.5), ([*rows, ("a", 77), ("a", 77), (None, 78), (None, 510)], 6.0), ([*rows, *long], 0.01)):
+        monkeypatch.setattr(multivariate, "MARGIN", margin)
+        hits = spark.createDataFrame(given, "component string, i long")
+        every = hits.selectExpr("0 as replicate", "component", "i").union(resampling.shuffled_runs(hits, n, 10, 7)).where(F.col("i").between(first, last))
+        want = multivariate.lag_detections(every, ["replicate"], lags).groupBy("replicate", "source", "target", "lag").count()
+        got = multivariate.permuted_counts(hits, n, 10, 7, first, last, lags)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert len(tried) > 8  # two a call, and more where turns were left out
+    monkeypatch.setattr(multivariate, "null_hits", lambda *_: pytest.fail("rows of replicates"))
+    assert multivariate.evaluated(hits, ["a", "b", "c"], n, lags, "cluster_permutation", replicates=20, inside=(first, last)).count() == 24
+
+
 def test_component_thresholds_without_percentile(spark, monkeypatch):
     from crestline.plans.data_queries import COMPONENTS, component_flags
 
