@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -26,22 +26,70 @@ def exceedance_sessions(stream: DataFrame, timestamp: str, value: str, keys: lis
     return hits.groupBy(F.session_window(timestamp, gap), *keys).agg(F.count("*").alias("size"), F.max(value).alias("max_value")).select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "size", "max_value")
 
 
+#: Groups in which keys are worked through together, so that a batch costs as many calls as there are groups, not keys. A group's state grows with its keys.
+BUCKETS = 1_024
+
+
+def bucketed(stream: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """(_bucket, _key, columns): the groups of a whole-numbered key. Rows without a key have a group of their own."""
+    k = F.col(key).cast("long")
+    return stream.select(F.when(k.isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(k), F.lit(BUCKETS).cast("long"))).alias("_bucket"), F.coalesce(k, F.lit(0).cast("long")).alias("_key"), *columns)
+
+
+def sorted_rows(parts: Iterator[pd.DataFrame], order: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows in order of key and order, their different keys, and where each begins."""
+    rows = pd.concat(list(parts)).sort_values(["_key", order], kind="stable")
+    keys, begins = np.unique(rows["_key"].to_numpy(), return_index=True)
+    return rows, keys, begins
+
+
+def named(bucket: int, rows: pd.DataFrame) -> np.ndarray:
+    """The rows' keys as they came."""
+    return rows["_key"].to_numpy() if bucket >= 0 else np.full(len(rows), None, object)
+
+
+def held(state: GroupState, keys: np.ndarray, width: int = 1) -> np.ndarray:
+    """width numbers of each key, NaN for a key that the state (sorted keys, their numbers) lacks."""
+    out = np.full((len(keys), width), np.nan)
+    if state.exists:
+        known, values = (np.array(x) for x in state.get)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        here = known[at] == keys
+        out[here] = values.astype(float).reshape(-1, width)[at[here]]
+    return out
+
+
+def hold(state: GroupState, keys: np.ndarray, values: np.ndarray) -> None:
+    """Puts the keys' numbers into the state; other keys stay."""
+    values = values.reshape(len(keys), -1)
+    if state.exists:
+        known, old = (np.array(x) for x in state.get)
+        kept = ~np.isin(known, keys)
+        keys, values = np.concatenate([known[kept], keys]), np.concatenate([old.astype(float).reshape(-1, values.shape[1])[kept], values])
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+    state.update((keys.tolist(), values.ravel().tolist()))
+
+
 def counter_increments(stream: DataFrame, key: str, order: str, counter: str) -> DataFrame:
     """(key, order, increment, reset): differences to a key's last row, carried from batch to batch."""
     schema = f"{key} long, {order} double, increment double, reset boolean"
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        out = []
-        for at, c in zip(rows[order], rows[counter], strict=True):
-            change = None if last is None else c - last
-            out.append((k[0], float(at), change if change is not None and change >= 0 else None, bool(change is not None and change < 0)))
-            last = float(c)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, order, "increment", "reset"]).astype({"increment": "float64"})
+        rows, keys, begins = sorted_rows(parts, order)
+        x = rows[counter].to_numpy(float)
+        before = np.roll(x, 1)
+        before[begins] = held(state, keys)[:, 0]
+        change = x - before
+        hold(state, keys, x[np.append(begins[1:], len(x)) - 1])
+        yield pd.DataFrame({key: named(k[0], rows), order: rows[order].to_numpy(float), "increment": np.where(change >= 0, change, np.nan), "reset": change < 0})
 
-    return stream.select(key, F.col(order).cast("double").alias(order), F.col(counter).cast("double").alias(counter)).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+    chosen = bucketed(stream, key, F.col(order).cast("double").alias(order), F.col(counter).cast("double").alias(counter))
+    return chosen.groupBy("_bucket").applyInPandasWithState(step, schema, HELD, "append", GroupStateTimeout.NoTimeout)
+
+
+#: What a stream holds of a group's keys.
+HELD = "keys array<long>, numbers array<double>"
 
 
 def time_steps(stream: DataFrame, key: str, order: str, timestamp: str) -> DataFrame:
@@ -49,15 +97,15 @@ def time_steps(stream: DataFrame, key: str, order: str, timestamp: str) -> DataF
     schema = f"{key} long, {order} double, step double"
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        at = [None if pd.isna(x) else int(x) for x in rows["_at"]]
-        steps = [None if a is None or b is None else (b - a) / 1e6 for a, b in zip([last, *at[:-1]], at, strict=True)]
-        state.update((at[-1],))
-        yield pd.DataFrame({key: k[0], order: rows[order].to_numpy(float), "step": pd.array(steps, dtype="Float64").to_numpy(float, na_value=np.nan)}).astype({"step": object}).where(lambda d: d.notna(), None)
+        rows, keys, begins = sorted_rows(parts, order)
+        at = rows["_at"].to_numpy(float)  # microseconds, which a double holds exactly
+        before = np.roll(at, 1)
+        before[begins] = held(state, keys)[:, 0]
+        hold(state, keys, at[np.append(begins[1:], len(at)) - 1])
+        yield pd.DataFrame({key: named(k[0], rows), order: rows[order].to_numpy(float), "step": (at - before) / 1e6})
 
-    chosen = stream.select(key, F.col(order).cast("double").alias(order), F.unix_micros(F.col(timestamp).cast("timestamp")).alias("_at"))
-    return chosen.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    chosen = bucketed(stream, key, F.col(order).cast("double").alias(order), F.unix_micros(F.col(timestamp).cast("timestamp")).alias("_at"))
+    return chosen.groupBy("_bucket").applyInPandasWithState(step, schema, HELD, "append", GroupStateTimeout.NoTimeout)
 
 
 def lag_features(stream: DataFrame, key: str, order: str, value: str, lags: list[int], width: int) -> DataFrame:
@@ -70,18 +118,22 @@ def lag_features(stream: DataFrame, key: str, order: str, value: str, lags: list
     longest = max([width, *lags])
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        new = [None if pd.isna(x) else float(x) for x in rows[value]]
-        every, begin, out = ring + new, len(ring), []
-        for j, at in enumerate(rows[order], begin):
-            near = [x for x in every[max(0, j - width) : j] if x is not None]
-            out.append((k[0], float(at), every[j], *[every[j - g] if j >= g else None for g in lags], sum(near) / len(near) if near else None))
-        state.update((every[-longest:],))
-        yield pd.DataFrame(out, columns=[key, order, value, *names, f"{value}__mean"], dtype=object)
-
-    chosen = stream.select(key, F.col(order).cast("double").alias(order), F.col(value).cast("double").alias(value))
-    return chosen.groupBy(key).applyInPandasWithState(step, schema, "ring array<double>", "append", GroupStateTimeout.NoTimeout)
+        rows, keys, begins = sorted_rows(parts, order)
+        x = rows[value].to_numpy(float)
+        ends, nth = np.append(begins[1:], len(x)), np.arange(len(keys))
+        # each key's ring stands before its rows
+        at = np.arange(len(x)) + longest * (np.repeat(nth, ends - begins) + 1)
+        every, slots = np.full(len(x) + longest * len(keys), np.nan), np.arange(longest)
+        every[at] = x
+        every[(begins + longest * nth)[:, None] + slots] = held(state, keys, longest)
+        hold(state, keys, every[(ends + longest * nth)[:, None] + slots])
+        near = [every[at - g] for g in range(width, 0, -1)]
+        total, n = sum(np.where(np.isnan(v), 0.0, v) for v in near), sum((~np.isnan(v)).astype(int) for v in near)
+        means = np.divide(total, n, out=np.full(len(x), np.nan), where=n > 0)
+        yield pd.DataFrame({key: named(k[0], rows), order: rows[order].to_numpy(float), value: x, **{c: every[at - g] for c, g in zip(names, lags, strict=True)}, f"{value}__mean": means})
+
+    chosen = bucketed(stream, key, F.col(order).cast("double").alias(order), F.col(value).cast("double").alias(value))
+    return chosen.groupBy("_bucket").applyInPandasWithState(step, schema, HELD, "append", GroupStateTimeout.NoTimeout)
 
 
 def adaptive_thresholds(stream: DataFrame, key: str, order: str, value: str, fitted: DataFrame, train: str = "train", quantile: float = 0.9) -> DataFrame:
