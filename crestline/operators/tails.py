@@ -25,36 +25,42 @@ def fit_pareto(excesses: np.ndarray) -> tuple[float, float] | None:
     x = x[np.isfinite(x) & (x > 0)]
     if len(x) < 3:
         return None
-    return _fit_profile(float(x.mean()), float(x.max()), lambda t: float(np.log1p(t * x).mean()))
+    return _fit_profile(float(x.mean()), float(x.max()), lambda ts: np.array([np.log1p(t * x).mean() for t in ts]))
 
 
-def _fit_profile(mean: float, top: float, mean_log: Callable[[float], float]) -> tuple[float, float]:
-    """(shape, scale) from the excesses' mean, their largest, and mean(log(1 + t x)) as a function of t = shape / scale.
+#: The first grid of t, from below: in parts of 1 / top, and in parts of 1 / mean.
+BELOW, ABOVE = np.linspace(0, 1, 60), np.geomspace(1e-6, 50, 120)
+#: Passes that narrow the best of the grid to its neighbours, and their steps: to 1e-10 of a step of the grid.
+NARROWINGS, PARTS = 9, np.linspace(0, 1, 28)
+
+
+def _fit_profile(mean: float, top: float, mean_log: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float]:
+    """(shape, scale) from the excesses' mean, their largest, and mean(log(1 + t x)) as a function of t = shape / scale, of many t at once.
 
     The best shape for a given t is that mean, which leaves a function of t alone, searched on a
-    grid and then by golden section.
+    grid that is narrowed to the neighbours of its best place.
     """
 
-    def loss(t: float) -> float:
-        if abs(t) * mean < 1e-9:
-            return np.log(mean) + 1
-        if 1 + t * top <= 0:
-            return np.inf
-        shape = mean_log(t)
-        return np.log(shape / t) + shape + 1 if shape / t > 0 else np.inf
-
-    grid = np.concatenate([-np.geomspace(0.999 / top, 1e-6 / mean, 60), [0.0], np.geomspace(1e-6 / mean, 50 / mean, 120)])
-    values = np.array([loss(t) for t in grid])
-    k = int(values.argmin())
-    a, b = grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]
-    ratio = (np.sqrt(5) - 1) / 2
-    for _ in range(80):
-        c, d = b - ratio * (b - a), a + ratio * (b - a)
-        a, b = (a, d) if loss(c) < loss(d) else (c, b)
+    def losses(ts: np.ndarray) -> np.ndarray:
+        flat = np.abs(ts) * mean < 1e-9
+        out = np.where(flat, np.log(mean) + 1, np.inf)
+        sound = np.flatnonzero(~flat & (1 + ts * top > 0))
+        shapes = mean_log(ts[sound])
+        scales = shapes / ts[sound]
+        fine = scales > 0
+        out[sound[fine]] = np.log(scales[fine]) + shapes[fine] + 1
+        return out
+
+    grid = np.concatenate([-0.999 / top * (1e-6 / 0.999 * top / mean) ** BELOW, [0.0], ABOVE / mean])
+    for k in range(NARROWINGS + 1):
+        best = int(losses(grid).argmin())
+        a, b = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
+        if k < NARROWINGS:
+            grid = a + (b - a) * PARTS
     t = (a + b) / 2
     if abs(t) * mean < 1e-9:
         return 0.0, mean
-    shape = mean_log(t)
+    shape = float(mean_log(np.array([t]))[0])
     return shape, float(shape / t)
 
 
@@ -103,6 +109,9 @@ def pareto_by(df: DataFrame, value: str, entity: list[str], quantile: float, tar
 
 #: Steps of a tail's grid: t * unit = BEND * sinh(u), from u = LOWEST in steps of STEP, of which none is 0; it spans t * unit from about -60 to 6,000.
 BEND, LOWEST, STEP, GRID = 0.02, -8.6925, 0.015, 1_463
+UNIT_STEPS = BEND * np.sinh(LOWEST + STEP * np.arange(GRID))
+#: Weights of six places of the grid, one apart, in the polynomial through them.
+NEAR = np.array([-1.0, 5.0, -10.0, 10.0, -5.0, 1.0])
 #: Largest different excesses that are kept as they are, each with its number.
 TOPS = 64
 
@@ -119,8 +128,9 @@ class TailSums:
     def __init__(self, unit: float, count: int = 0, total: float = 0.0, tops: Sequence[float] = (), copies: Sequence[int] = (), sums: Sequence[float] = ()):
         self.unit, self.count, self.total = unit, count, total
         self.tops, self.copies = list(tops), list(copies)
-        self.steps = BEND * np.sinh(LOWEST + STEP * np.arange(GRID)) / unit
-        self.sums = np.array(sums, float) if len(sums) else np.zeros(GRID)
+        self.spread = len(sums) > 0  # are there others than the largest?
+        self.steps = UNIT_STEPS / unit
+        self.sums = np.array(sums, float) if self.spread else np.zeros(GRID)
 
     def add(self, x: float) -> None:
         self.count, self.total = self.count + 1, self.total + x
@@ -131,28 +141,30 @@ class TailSums:
         self.tops.insert(k, x)
         self.copies.insert(k, 1)
         if len(self.tops) > TOPS:
+            self.spread = True
             inside, n = 1 + self.steps * self.tops.pop(0), self.copies.pop(0)
             self.sums = self.sums + n * np.log(np.where(inside > 0, inside, np.nan))  # a t that one excess rules out stays out
 
     def fit(self) -> tuple[float, float]:
-        first = int(np.isnan(self.sums).sum())
-
+        first = int(np.isnan(self.sums).sum()) if self.spread else 0
         tops, copies = np.array(self.tops), np.array(self.copies)
-        slopes = self.sums / self.steps  # smooth through t = 0
-
-        def mean_log(t: float) -> float:
-            at = (math.asinh(t * self.unit / BEND) - LOWEST) / STEP
-            k = min(max(first, int(at) - 2), GRID - 6)
-            z = at - k
-            near = [(w / (z - j or 1e-12), slopes[k + j]) for j, w in enumerate((-1, 5, -10, 10, -5, 1))]
-            rest = t * float(sum(w * y for w, y in near)) / sum(w for w, _ in near)
-            return (rest + float(copies @ np.log1p(t * tops))) / self.count
+        slopes = self.sums / self.steps if self.spread else None  # smooth through t = 0
+
+        def mean_log(ts: np.ndarray) -> np.ndarray:
+            if not self.spread:
+                return np.log1p(ts[:, None] * tops) @ copies / self.count
+            at = (np.arcsinh(ts * self.unit / BEND) - LOWEST) / STEP
+            k = np.minimum(np.maximum(first, at.astype(np.int64) - 2), GRID - 6)
+            gaps = (at - k)[:, None] - np.arange(6)
+            near = NEAR / np.where(gaps == 0, 1e-12, gaps)
+            rest = ts * (near * slopes[k[:, None] + np.arange(6)]).sum(1) / near.sum(1)
+            return (rest + np.log1p(ts[:, None] * tops) @ copies) / self.count
 
         return _fit_profile(self.total / self.count, self.tops[-1], mean_log)
 
 
 class Adaptive:
-    """An adaptive threshold: the return level of the tail over a base, refitted when excesses come in. Its state has a fixed size."""
+    """An adaptive threshold: the return level of the tail over a base, refitted when excesses come in. Its state has a fixed size at most."""
 
     def __init__(self, base: float, tail: float, excesses: Sequence[float] = (), unit: float | None = None, held: Sequence | None = None):
         """held: what state() gave. A unit is taken from the excesses where none is given."""
@@ -166,7 +178,7 @@ class Adaptive:
     def state(self) -> tuple:
         """(count, total, tops, copies, sums, seen, threshold, fitted), in columns of STATE."""
         s = self.sums
-        return s.count, float(s.total), [float(x) for x in s.tops], [int(n) for n in s.copies], s.sums.tolist(), self.seen, float(self.threshold), self.fitted
+        return s.count, float(s.total), [float(x) for x in s.tops], [int(n) for n in s.copies], s.sums.tolist() if s.spread else [], self.seen, float(self.threshold), self.fitted
 
     def learn(self, value: float, excess: float | None = None) -> None:
         """Takes in a training value; those not over the base, and infinite ones, say nothing of the tail."""

@@ -68,3 +68,22 @@ def test_adaptive_thresholds_against_full_refits(spark, monkeypatch):
                 assert got[k, i][1] == (v > cut)
             if base < v <= cut:
                 over.append(v - base)
+
+
+def test_a_fit_takes_few_steps_and_a_short_tail_little_state():
+    """The profile is worked out for many t at once; sums of a tail whose excesses are all kept are no state."""
+    x, calls = np.random.default_rng(5).pareto(3.0, 300), []
+
+    def mean_log(ts):
+        calls.append(len(ts))
+        return np.array([np.log1p(t * x).mean() for t in ts])
+
+    shape, scale = tails._fit_profile(float(x.mean()), float(x.max()), mean_log)
+    assert len(calls) < 20
+    loss = lambda t: np.log(np.log1p(t * x).mean() / t) + np.log1p(t * x).mean() + 1
+    best = min(loss(t) for t in np.linspace(0.5, 1.5, 2_001) * shape / scale)
+    assert loss(shape / scale) <= best + 1e-12
+    model = tails.Adaptive(0.0, 0.1, x[: tails.TOPS])
+    assert model.state()[4] == []
+    model.learn(9.0)
+    assert len(model.state()[4]) == tails.GRID
