@@ -146,17 +146,27 @@ def adaptive_thresholds(stream: DataFrame, key: str, order: str, value: str, fit
     schema = f"{key} long, {order} double, {value} double, threshold double, exceeds boolean"
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        base, unit = (float(x) for x in rows[["base", "unit"]].astype(float).iloc[0])
-        model = Adaptive(base, tail_of(quantile), unit=unit, held=state.get if state.exists else None) if np.isfinite(base) else None
-        learned, x = rows[train].to_numpy(bool), rows[value].to_numpy(float)
-        for v in x[learned] if model else ():
-            model.learn(float(v))
-        cuts = np.array([model.step(float(v)) if model else np.nan for v in x[~learned]], float)
-        if model:
-            state.update(model.state())
-        live = rows[~learned]
-        yield pd.DataFrame({key: k[0], order: live[order].astype(float), value: live[value].astype(float), "threshold": cuts, "exceeds": live[value].to_numpy(float) > cuts})
-
-    chosen = stream.where(F.col(value).isNotNull()).select(key, F.col(order).cast("double").alias(order), F.col(value).cast("double").alias(value), F.coalesce(F.col(train), F.lit(False)).alias(train))
-    return chosen.join(fitted.select(key, "base", "unit"), key, "left").groupBy(key).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+        rows, keys, begins = sorted_rows(parts, order)
+        known, columns = (state.get[0], state.get[1:]) if state.exists else ([], [[]] * STATE.count(", ") + [[]])
+        models = dict(zip(known, zip(*columns, strict=True), strict=True))
+        bases, units = rows["base"].to_numpy(float), rows["unit"].to_numpy(float)
+        learned, x, cuts = rows[train].to_numpy(bool), rows[value].to_numpy(float), np.full(len(rows), np.nan)
+        for name, begin, end in zip(keys.tolist(), begins, [*begins[1:], len(rows)], strict=True):
+            if not np.isfinite(bases[begin]):
+                continue
+            model = Adaptive(float(bases[begin]), tail_of(quantile), unit=float(units[begin]), held=models.get(name))
+            at = np.arange(begin, end)
+            for v in x[at[learned[at]]].tolist():
+                model.learn(v)
+            live = at[~learned[at]]
+            cuts[live] = [model.step(v) for v in x[live].tolist()]
+            models[name] = model.state()
+        if models:
+            state.update(([*models], *map(list, zip(*models.values(), strict=True))))
+        yield pd.DataFrame({key: named(k[0], rows), order: rows[order].to_numpy(float), value: x, "threshold": cuts, "exceeds": x > cuts})[~learned]
+
+    fits = fitted.select(F.col(key).cast("long").alias("_key"), "base", "unit").where("_key is not null")
+    chosen = bucketed(stream.where(F.col(value).isNotNull()), key, F.col(order).cast("double").alias(order), F.col(value).cast("double").alias(value), F.coalesce(F.col(train), F.lit(False)).alias(train))
+    met = chosen.join(fits, (chosen["_key"] == fits["_key"]) & (chosen["_bucket"] >= 0), "left").drop(fits["_key"])
+    columns = ", ".join(f"{name} array<{kind}>" for name, kind in (c.split(" ") for c in STATE.split(", ")))
+    return met.groupBy("_bucket").applyInPandasWithState(step, schema, f"keys array<long>, {columns}", "append", GroupStateTimeout.NoTimeout)
