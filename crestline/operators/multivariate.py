@@ -100,12 +100,13 @@ def candidate_patterns(components: list[str], max_lag: int, simultaneous: bool =
     return [(a, b, lag) for a in components for b in components if a != b for lag in range(0 if simultaneous else 1, max_lag + 1)]
 
 
-def lag_detections(hits: DataFrame, entity: list[str], max_lag: int, simultaneous: bool = True, window: int = 64) -> DataFrame:
+def lag_detections(hits: DataFrame, entity: list[str], max_lag: int, simultaneous: bool = True, window: int | None = None) -> DataFrame:
     """(entity, source, target, lag, i) wherever a target exceeds lag samples after a source: all patterns of candidate_patterns() in one join.
 
-    hits: (entity, component, i). Positions are dealt into cells; a source meets its own and the next.
+    hits: (entity, component, i). Positions are dealt into cells of window samples, which are as few as the lag allows
+    unless asked for otherwise; a source meets its own and the next, so wider cells mean more pairs that are out of reach.
     """
-    size = max(window, max_lag + 1)
+    size = max(window or 0, max_lag + 1)
     cell = F.floor(F.col("i") / size)
     source = hits.select(*entity, F.col("component").alias("source"), "i", F.explode(F.array(cell, cell + 1)).alias("_cell"))
     target = hits.select(*entity, F.col("component").alias("target"), F.col("i").alias("_ti"), cell.alias("_cell"))

@@ -125,6 +125,14 @@ def test_permuted_runs_are_counted_in_cells(spark, monkeypatch):
     assert multivariate.evaluated(hits, ["a", "b", "c"], n, lags, "cluster_permutation", replicates=20, inside=(first, last)).count() == 24
 
 
+def test_lagged_pairs_meet_in_cells_of_the_lag(spark):
+    """Cells are no wider than the lag needs, and the pairs are those of any width."""
+    hits = spark.createDataFrame([(c, int(i)) for k, c in enumerate("ab") for i in np.flatnonzero(np.random.default_rng(k).random(200) < 0.3)], "component string, i long")
+    found = multivariate.lag_detections(hits, [], 3)
+    assert "/ 4.0" in plan(found) and "/ 64.0" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, multivariate.lag_detections(hits, [], 3, window=64).collect()))
+
+
 def test_component_thresholds_without_percentile(spark, monkeypatch):
     from crestline.plans.data_queries import COMPONENTS, component_flags
 
