@@ -124,6 +124,7 @@ def contained(df: DataFrame, mask: str, window: int, entity: list[str], name: st
 def pattern_report(found: DataFrame, entity: list[str], run_length: int = 0) -> DataFrame:
     """(source, target, lag, n, clusters, theta): detections, clusters of those whose windows lie within run_length, and their ratio."""
     keys = ["source", "target", "lag"]
+    found = written(found.select(*keys, *entity, "i"), "found")  # met twice
     spans = found.select(*keys, *entity, F.col("i").alias("start"), (F.col("i") + F.col("lag")).alias("end"))
     groups = merged(spans, run_length, [*keys, *entity]).groupBy(*keys).agg(F.count("*").alias("clusters"))
     return found.groupBy(*keys).agg(F.count("*").alias("n")).join(groups, keys).withColumn("theta", F.col("clusters") / F.col("n"))
