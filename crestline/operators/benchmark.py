@@ -13,10 +13,14 @@ from crestline.operators.episodes import merged, spaced, within
 from crestline.operators.evaluation import Costs, Policy, chance_match, evaluated_by, separation
 from crestline.operators.forest import isolation_scores
 from crestline.operators.series import finite, place_among, quantiles
-from crestline.operators.statespace import distance
+from crestline.operators.statespace import least_distances
 from crestline.session import written
 
 
+#: Positions of a range in which scores that look back are worked out; small, so that middling series keep all cores busy.
+SPAN = 100_000
+
+
 @dataclass(frozen=True)
 class Spec:
     """A declared method."""
@@ -151,6 +155,17 @@ def scored(df: DataFrame, setup: Setup, kinds: set[str] | None = None) -> DataFr
     if train.isEmpty():
         raise ValueError("no training rows")
     out, score = rows, "robust_max_abs_z"
+    # scores that look at other rows come first, so that only states are shuffled for them
+    if "empirical_horizon_risk" in kinds:
+        out = horizon_risk(out)
+    if "absolute_first_difference" in kinds:
+        out = detectors.difference_score(out, score, ["split"], span=SPAN).withColumnRenamed("difference_score", "absolute_first_difference")
+    if "spot_streaming_excess" in kinds:
+        out = detectors.running_excess(out, score, ["split"], span=SPAN).withColumnRenamed("excess_score", "spot_streaming_excess")
+    if "conformal_tail_probability" in kinds:
+        tail = detectors.conformal_score(out.withColumn("_train", F.col("split") == "train"), score, "_train")
+        out = tail.withColumn("conformal_tail_probability", 1 - F.col("tail")).drop("tail", "_train")
+    # the others follow from a row and what is fitted
     if "best_single_sensor_z" in kinds:
         out = out.withColumn("best_single_sensor_z", F.abs(F.col(z[sensor_of(train, z, setup.quantile)])))
     if "linear_projection_residual" in kinds:
@@ -160,21 +175,11 @@ def scored(df: DataFrame, setup: Setup, kinds: set[str] | None = None) -> DataFr
         curved = lambda part: part.withColumns({t: F.tanh(F.col(c)) for t, c in zip(bent, z, strict=True)})
         out = detectors.projection_residual(curved(out), bent, detectors.principal_components(curved(train), bent, 2), name="nonlinear_projection_residual").drop(*bent)
     if kinds & {"negative_prototype_distance", "negative_rare_state_distance", "negative_control_distance"}:
-        for kind, refs in references(train, z).items():
-            if refs and kind in kinds:
-                known = F.array(*[F.array(*map(F.lit, r)) for r in refs])
-                out = out.withColumn(kind, -F.array_min(F.transform(known, lambda r: distance(F.array(*z), r))))
+        known = {kind: refs for kind, refs in references(train, z).items() if refs and kind in kinds}
+        far = least_distances(known.values(), len(z))(F.array(*z)) if known else None
+        out = out.withColumn("_far", far).select("*", *[(-F.get("_far", F.lit(k))).alias(kind) for k, kind in enumerate(known)]).drop("_far") if known else out
     if "isolation_forest" in kinds:
-        out = isolation_scores(out, z, setup.trees, "split = 'train'", name="isolation_forest")
-    if "empirical_horizon_risk" in kinds:
-        out = horizon_risk(out)
-    if "absolute_first_difference" in kinds:
-        out = detectors.difference_score(out, score, ["split"]).withColumnRenamed("difference_score", "absolute_first_difference")
-    if "spot_streaming_excess" in kinds:
-        out = detectors.running_excess(out, score, ["split"]).withColumnRenamed("excess_score", "spot_streaming_excess")
-    if "conformal_tail_probability" in kinds:
-        tail = detectors.conformal_score(out.withColumn("_train", F.col("split") == "train"), score, "_train")
-        out = tail.withColumn("conformal_tail_probability", 1 - F.col("tail")).drop("tail", "_train")
+        out = isolation_scores(out, z, setup.trees, train, name="isolation_forest", key="i")
     return written(out.select("i", "split", "failing", *sorted((kinds | {score}) & {*out.columns})), "scores")
 
 
@@ -188,7 +193,7 @@ def fitted(scores: DataFrame, setup: Setup, specs: tuple[Spec, ...]) -> dict[str
     there = [s for s in specs if s.score in scores.columns]
     kinds = sorted({s.score for s in there})
     long = train.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("x")) for k in kinds])).alias("e")).select("e.*")
-    cut = {r["kind"]: r["q"][0] for r in quantiles(long, F.col("x"), [setup.quantile], ["kind"]).collect()}
+    cut = {r["kind"]: r["q"][0] for r in quantiles(long, F.col("x"), [setup.quantile], ["kind"], few=True).collect()}
     chosen: dict[str, float | list[float]] = {}
     for s in there:
         if s.rule == "fixed_physical_3z":
@@ -215,7 +220,7 @@ def fitted(scores: DataFrame, setup: Setup, specs: tuple[Spec, ...]) -> dict[str
     for s in there:
         if s.rule == "regime_conditioned_quantile" and s.name in chosen:
             edges = quantiles(train, F.col(s.score), [1 / 3, 2 / 3], []).first()["q"]
-            each = quantiles(train.withColumn("_place", place_among(edges, F.col(s.score))), F.col(s.score), [setup.quantile], ["_place"])
+            each = quantiles(train.withColumn("_place", place_among(edges, F.col(s.score))), F.col(s.score), [setup.quantile], ["_place"], few=True)
             own = {r["_place"]: r["q"][0] for r in each.collect()}
             chosen[s.name] = [*edges, *[chosen[s.name] if own.get(k) is None else own[k] for k in range(3)]]
     return chosen
@@ -363,7 +368,7 @@ def decomposition(done: Run, rows: DataFrame, setup: Setup) -> DataFrame:
     inside = written(within(done.scores, merged(reach, 0, []), "_inside"), "windows")
     apart = reduce(DataFrame.unionByName, [separation(inside, k, "_inside").select(F.lit(k).alias("score_kind"), F.col("auc").alias("score_separation_auc")) for k in kinds])
     long = done.scores.select(F.explode(F.array(*[F.struct(F.lit(k).alias("score_kind"), F.col(k).alias("x")) for k in kinds])).alias("e")).select("e.*")
-    spread = quantiles(long, F.col("x"), [0.5, 0.95], ["score_kind"]).select("score_kind", F.col("q")[0].alias("score_median"), F.col("q")[1].alias("score_p95"))
+    spread = quantiles(long, F.col("x"), [0.5, 0.95], ["score_kind"], few=True).select("score_kind", F.col("q")[0].alias("score_median"), F.col("q")[1].alias("score_p95"))
     met = spaced(done.hits, ["method"]).join(F.broadcast(rows.select("method", "merge_gap_used")), "method")
     opens = F.col("distance").isNull() | (F.col("distance") - 1 > F.col("merge_gap_used"))
     stages = met.groupBy("method").agg(F.count("*").alias("threshold_exceedances_samples"), F.count_if(opens).alias("extreme_clusters_count"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,27 +68,39 @@ def best_of(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 def matched(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Minimum-cost one-to-one matching. Failures that share alarms form groups, and each group is solved on its own.
 
-    Groups are those of failures whose windows overlap; they are small because failures are.
+    Groups are those of failures whose windows overlap; they are small because failures are. A failure
+    on its own takes its cheapest alarm, so only larger groups are solved in Python, each as one row
+    and many in a call.
     """
     by = by or []
     spans = pairs.groupBy(*by, "failure_id").agg(F.min("a_start").alias("lo"), F.max("a_end").alias("hi"))
     order = Window.partitionBy(*by).orderBy("lo", "failure_id")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    groups = spans.withColumn("_open", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("_group", F.sum("_open").over(order)).select(*by, "failure_id", "_group")
+    groups = spans.withColumn("_open", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("_group", F.sum("_open").over(order))
+    groups = groups.select(*by, "failure_id", "_group", F.count("*").over(Window.partitionBy(*by, "_group")).alias("_failures"))
     kept = [*by, "alarm_id", "failure_id", "lead", "cost"]
-    return pairs.join(groups, [*by, "failure_id"]).groupBy(*by, "_group").applyInPandas(lambda pdf: _assign(pdf)[kept], pairs.select(*kept).schema)
+    met = written(pairs.join(groups, [*by, "failure_id"]).select(*kept, "_group", "_failures"), "met")
+    cheapest = F.row_number().over(Window.partitionBy(*by, "failure_id").orderBy("cost", "alarm_id"))
+    alone = met.where("_failures = 1").withColumn("_r", cheapest).where("_r = 1").select(*kept)
+    tables = met.where("_failures > 1").groupBy(*by, "_group").agg(F.collect_list(F.struct("failure_id", "alarm_id", "cost", "lead")).alias("_p"))
+    solve = F.pandas_udf(_solve, "array<int>")
+    solved = tables.select(*by, "_p", solve(F.col("_p.failure_id"), F.col("_p.alarm_id"), F.col("_p.cost")).alias("_taken"))
+    pair = F.explode(F.transform("_taken", lambda k: F.get("_p", k))).alias("_one")
+    return alone.unionByName(solved.select(*by, pair).select(*by, "_one.alarm_id", "_one.failure_id", "_one.lead", "_one.cost"))
 
 
-def _assign(pdf):
-    """Shortest augmenting paths over one group's cost table."""
-    import numpy as np
+def _solve(failures: pd.Series, alarms: pd.Series, costs: pd.Series) -> pd.Series:
+    """Places of the pairs that are taken, of each row's group."""
+    return pd.Series([_assign(f, a, c) for f, a, c in zip(failures, alarms, costs, strict=True)], dtype=object)
+
 
-    rows, cols = sorted(pdf["failure_id"].unique()), sorted(pdf["alarm_id"].unique())
+def _assign(failures: np.ndarray, alarms: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """Shortest augmenting paths over one group's cost table."""
+    rows, row = np.unique(failures, return_inverse=True)
+    cols, col = np.unique(alarms, return_inverse=True)
     big = 10**9
     cost = np.full((len(rows), max(len(cols), len(rows))), big, dtype=np.int64)
-    at_r, at_c = {x: k for k, x in enumerate(rows)}, {x: k for k, x in enumerate(cols)}
-    for f, a, c in zip(pdf["failure_id"], pdf["alarm_id"], pdf["cost"], strict=True):
-        cost[at_r[f], at_c[a]] = c
+    cost[row, col] = costs
     n, m = cost.shape
     u, v, owner = np.zeros(n + 1, np.int64), np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
     for r in range(1, n + 1):
@@ -105,9 +119,7 @@ def _assign(pdf):
             j = k
         while j:
             owner[j], j = owner[way[j]], way[j]
-    keep = {(rows[owner[k + 1] - 1], a) for k, a in enumerate(cols) if owner[k + 1] and cost[owner[k + 1] - 1, k] < big}
-    chosen = pdf[[(f, a) in keep for f, a in zip(pdf["failure_id"], pdf["alarm_id"], strict=True)]]
-    return chosen
+    return np.flatnonzero((owner[col + 1] == row + 1) & (costs < big)).astype(np.int32)
 
 
 def outcomes(alarms: DataFrame, failures: DataFrame, policy: Policy, assigned: DataFrame | None = None) -> DataFrame:

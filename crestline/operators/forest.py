@@ -26,19 +26,42 @@ def _grow(x: np.ndarray, rng: np.random.Generator, level: int, limit: int) -> tu
     return k, cut, _grow(x[left], rng, level + 1, limit), _grow(x[~left], rng, level + 1, limit)
 
 
+def _flat(tree: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A tree as arrays by node: feature, cut, left child (the right one follows it), length of path, and the tree's depth. A leaf is its own child, whatever the row."""
+    nodes, depth, level = [tree], 0, [0]
+    feature, cut, child, length = [], [], [], []
+    for k, node in enumerate(nodes):  # grows as children are met
+        if len(node) == 1:
+            feature.append(0), cut.append(np.nan), child.append(k - 1), length.append(node[0])
+            continue
+        depth = max(depth, level[k] + 1)
+        feature.append(node[0]), cut.append(node[1]), child.append(len(nodes)), length.append(0.0)
+        nodes += node[2:]
+        level += [level[k] + 1] * 2
+    return np.array(feature), np.array(cut, float), np.array(child), np.array(length, float), depth
+
+
 def _paths(tree: tuple, x: np.ndarray) -> np.ndarray:
-    if len(tree) == 1:
-        return np.full(len(x), tree[0])
-    out, left = np.empty(len(x)), x[:, tree[0]] < tree[1]
-    out[left], out[~left] = _paths(tree[2], x[left]), _paths(tree[3], x[~left])
-    return out
+    """Length of each row's path in a flat tree; all rows go down a level at a time."""
+    feature, cut, child, length, depth = tree
+    wide, at = x.ravel(), np.arange(len(x)) * x.shape[1]
+    node = np.zeros(len(x), np.intp)
+    for _ in range(depth):
+        # not below the cut, a NaN of a leaf among them: one place on
+        node = child[node] + ~(wide[at + feature[node]] < cut[node])
+    return length[node]
+
 
+def isolation_scores(df: DataFrame, columns: list[str], trees: int = 100, train: str | DataFrame = "true", seed: int = 7, name: str = "isolation_score", key: str | None = None) -> DataFrame:
+    """df with a score, larger for rows that are isolated sooner. Trees take TREE_ROWS * trees training rows at most; nulls count as 0.
 
-def isolation_scores(df: DataFrame, columns: list[str], trees: int = 100, train: str = "true", seed: int = 7, name: str = "isolation_score") -> DataFrame:
-    """df with a score, larger for rows that are isolated sooner. Trees take TREE_ROWS * trees training rows at most; nulls count as 0."""
+    train: a condition on df, or the training rows. key: a column of theirs that tells equal rows
+    apart; with it the draw doesn't hang on how the rows lie in partitions.
+    """
     spark = df.sparkSession
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
-    rows = df.where(train).select(*filled, F.xxhash64(*filled, F.monotonically_increasing_id()).alias("_draw"))
+    place = F.monotonically_increasing_id() if key is None else F.col(key)
+    rows = (df.where(train) if isinstance(train, str) else train).select(*filled, F.xxhash64(*filled, place).alias("_draw"))
     most = TREE_ROWS * trees
     share = min(1.0, 1.1 * most / max(1, rows.count()))
     # a row's place is in its draw, so of equal rows a part is drawn; the limit holds whatever is drawn
@@ -47,12 +70,12 @@ def isolation_scores(df: DataFrame, columns: list[str], trees: int = 100, train:
     rng = np.random.default_rng(seed)
     size = min(TREE_ROWS, max(1, len(sample)))
     forest = [_grow(sample[rng.choice(len(sample), size, replace=False)] if len(sample) else sample, rng, 0, max(1, int(np.ceil(np.log2(size))))) for _ in range(trees)]
-    shared = spark.sparkContext.broadcast((forest, max(1e-9, _depth(size))))
+    shared = spark.sparkContext.broadcast(([_flat(t) for t in forest], max(1e-9, _depth(size))))
 
     @F.pandas_udf("double")
     def score(x: pd.DataFrame) -> pd.Series:
         trees_, usual = shared.value
-        values = x.to_numpy(float)
+        values = np.ascontiguousarray(x.to_numpy(float))
         return pd.Series(2.0 ** (-np.mean([_paths(t, values) for t in trees_], axis=0) / usual))
 
     return df.withColumn(name, score(F.struct(*filled)))

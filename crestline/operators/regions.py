@@ -59,7 +59,7 @@ def scored(states: DataFrame, references: DataFrame, key: str, vector: str, eps:
 def scales_of(train: DataFrame, features: list[str]) -> DataFrame:
     """One row: center and scale (interquartile range, 1 where it is 0) of each feature as arrays."""
     long = train.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("x")) for k, c in enumerate(features)])).alias("e")).select("e.*")
-    q = quantiles(long, F.col("x"), [0.25, 0.5, 0.75], ["k"])
+    q = quantiles(long, F.col("x"), [0.25, 0.5, 0.75], ["k"], few=True)
     spread = F.col("q")[2] - F.col("q")[0]
     each = q.select("k", F.col("q")[1].alias("center"), F.when(spread != 0, spread).otherwise(F.lit(1.0)).alias("scale"))
     ordered = F.array_sort(F.collect_list(F.struct("k", "center", "scale")))

@@ -47,8 +47,8 @@ def sensor_separation(train: DataFrame, columns: list[str], label: str, quantile
     """
     value = lambda c: F.abs(F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)))
     long = train.select(F.coalesce(F.col(label), F.lit(False)).alias("_label"), F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(c).alias("sensor"), value(c).alias("x")) for k, c in enumerate(columns)])).alias("e")).select("_label", "e.*")
-    whole = quantiles(long, F.col("x"), [0.5, quantile], ["place", "sensor"]).select("place", "sensor", (F.col("q")[1] > F.col("q")[0]).alias("eligible"))
-    part = quantiles(long, F.col("x"), [0.5], ["place", "_label"]).groupBy("place").agg(F.max(F.when(F.col("_label"), F.col("q")[0])).alias("failing"), F.max(F.when(~F.col("_label"), F.col("q")[0])).alias("healthy"))
+    whole = quantiles(long, F.col("x"), [0.5, quantile], ["place", "sensor"], few=True).select("place", "sensor", (F.col("q")[1] > F.col("q")[0]).alias("eligible"))
+    part = quantiles(long, F.col("x"), [0.5], ["place", "_label"], few=True).groupBy("place").agg(F.max(F.when(F.col("_label"), F.col("q")[0])).alias("failing"), F.max(F.when(~F.col("_label"), F.col("q")[0])).alias("healthy"))
     spread = long.where("not _label").groupBy("place").agg(F.stddev_pop("x").alias("s"))
     out = whole.join(part, "place").join(spread, "place", "left")
     return out.select("place", "sensor", "eligible", F.round((F.col("failing") - F.col("healthy")) / F.when(F.col("s") > 0, F.col("s")).otherwise(F.lit(1.0)), 6).alias("separation"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +41,23 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
 
 
+def least_distances(groups: Iterable[list[list[float]]], size: int):
+    """A function of a column of arrays of size coordinates: the distance to the nearest reference of each group, as an array.
+
+    Squares are summed by coordinate in order, so the distances are those of distance().
+    """
+    known = [np.array(refs, float).reshape(-1, size).T for refs in groups]
+
+    @F.pandas_udf("array<double>")
+    def least(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, size))
+        with np.errstate(over="ignore"):
+            near = [np.sqrt(sum((x[:, k, None] - refs[k]) ** 2 for k in range(size)).min(axis=1)) for refs in known]
+        return pd.Series(list(np.stack(near, axis=1)), dtype=object)
+
+    return least
+
+
 #: References that are sent to all tasks as one array; more of them lie in blocks, which meet blocks of states.
 MOST_REFERENCES = 64
 #: Pivots, references of a block, and states of a block, about.
@@ -146,8 +167,6 @@ def horizon_risk(df: DataFrame, distance_col: str, entity: list[str], radius: fl
 
 def whitened(df: DataFrame, columns: list[str], regularization: float = 1e-6) -> DataFrame:
     """df with white_k: coordinates in which the Euclidean distance is the Mahalanobis one. Covariances come from one aggregate; the driver factors a small matrix."""
-    import numpy as np
-
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
     one = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.covar_samp(a, b).alias(f"c_{k}") for k, (a, b) in enumerate(pairs)]).first()
     cov = np.eye(len(columns)) * regularization
@@ -167,9 +186,6 @@ def medoids(references: DataFrame, key: str, vector: str, count: int) -> DataFra
     Each pick is one pass over the references: a task keeps its farthest row alone, and only the
     vectors chosen so far are sent out.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = references.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
     first = rows.agg(F.min(F.struct("key", "vector")).alias("best")).first()["best"]
     chosen = [first] if first is not None else []

@@ -19,8 +19,8 @@ def machine(spark, sf_dir) -> DataFrame:
     """(i, split, failing, value, k, pause, step) of the event stream."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     rows = written(with_position(events, Series((), ("ts", "event_id"))), "placed")
-    paused = detectors.difference_score(rows, "at", []).withColumnRenamed("difference_score", "pause")
-    moved = detectors.difference_score(paused, "value", []).withColumnRenamed("difference_score", "step")
+    paused = detectors.difference_score(rows, "at", [], span=benchmark.SPAN).withColumnRenamed("difference_score", "pause")
+    moved = detectors.difference_score(paused, "value", [], span=benchmark.SPAN).withColumnRenamed("difference_score", "step")
     labelled = episodes.within(moved, failures(spark, sf_dir).select("start", "end"), "failing")
     return written(labelled.select("i", split_label(F.col("i"), F.lit(rows.count())).alias("split"), "failing", *FEATURES), "machine")
 

@@ -49,6 +49,27 @@ def test_matching_is_cheapest(spark):
     assert len({r["alarm_id"] for r in got}) == len({r["failure_id"] for r in got}) == len(got)
 
 
+def test_lone_failures_are_matched_without_a_call_each(spark):
+    rng, rows = random.Random(8), []
+    for g in range(60):  # groups of one to three failures, apart from each other; costs tie
+        for f in range(g % 3 + 1):
+            picked = [a for a in range(5) if rng.random() < 0.6] or [0]
+            rows += [(f"m{g % 2}", 10 * g + a, 1000 * g, 1000 * g + 900, 10 * g + f, 1000 * g + 500, a - f, rng.randrange(4)) for a in picked]
+    pairs = spark.createDataFrame(rows, "method string, alarm_id long, a_start long, a_end long, failure_id long, f_start long, lead long, cost long")
+    out = evaluation.matched(pairs, ["method"])
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    lead = {(m, a, f): (x, c) for m, a, _, _, f, _, x, c in rows}
+    got = {(r["method"], r["alarm_id"], r["failure_id"]): (r["lead"], r["cost"]) for r in out.collect()}
+    assert got.items() <= lead.items() and len({k[:2] for k in got}) == len({(k[0], k[2]) for k in got}) == len(got)
+    for g in range(60):
+        mine = {(a % 10, f % 10): c for (_, a, f), (_, c) in lead.items() if a // 10 == g}
+        best = min((-sum((a, f) in mine for f, a in enumerate(p)), sum(mine.get((a, f), 0) for f, a in enumerate(p))) for p in itertools.permutations(range(5), g % 3 + 1))
+        taken = {k: v for k, v in got.items() if k[1] // 10 == g}
+        assert (-len(taken), sum(c for _, c in taken.values())) == best
+        if g % 3 == 0:  # of equal costs a lone failure takes the first alarm
+            assert [k[1] % 10 for k in taken] == [min(mine, key=lambda k: (mine[k], k[0]))[0]]
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([(0.1, 0), (0.2, 0), (0.8, 1), (0.9, 1)], "p double, o int")
     assert evaluation.brier(df, "p", "o").first()["brier"] == pytest.approx(0.025)

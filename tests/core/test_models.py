@@ -54,6 +54,37 @@ def test_isolation(spark):
     assert scored.orderBy(F.desc("isolation_score")).first()["id"] == 500
 
 
+def test_paths_of_flat_trees():
+    def walked(tree, row):
+        while len(tree) > 1:
+            tree = tree[2] if row[tree[0]] < tree[1] else tree[3]
+        return tree[0]
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    x[:5, 1] = np.nan
+    for rows in (x[10:210], x[10:12], x[10:11], np.zeros((0, 3))):
+        tree = forest._grow(rows, rng, 0, 8)
+        assert forest._paths(forest._flat(tree), x).tolist() == [walked(tree, row) for row in x]
+
+
+def test_forest_by_key_is_the_same_however_rows_lie(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, *map(float, x)) for k, x in enumerate(np.round(rng.normal(size=(900, 2)), 1))]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    score = lambda part: {r["id"]: r["isolation_score"] for r in forest.isolation_scores(part, ["a", "b"], trees=2, train=part.where("id < 700"), key="id").collect()}
+    assert score(df.coalesce(1)) == score(df.repartition(7, "b"))
+
+
+def test_least_distances(spark):
+    rng = np.random.default_rng(2)
+    groups = [rng.normal(size=(16, 3)).tolist(), rng.normal(size=(1, 3)).tolist()]
+    df = spark.createDataFrame([(v,) for v in (rng.normal(size=(50, 3)) * 1e3).tolist()] + [([0.0, -0.0, 1e200],)], "v array<double>")
+    plain = [F.array_min(F.transform(F.array(*[F.array(*map(F.lit, r)) for r in refs]), lambda r: statespace.distance(F.col("v"), r))) for refs in groups]
+    for r in df.select(statespace.least_distances(groups, 3)("v").alias("got"), F.array(*plain).alias("want")).collect():
+        assert r["got"] == r["want"]
+
+
 def test_preparation(spark):
     df = spark.createDataFrame([(1, 1, 5.0), (1, 2, 7.0), (1, 3, 2.0), (2, 1, 1.0)], "v long, t long, c double")
     got = [(r["c__increment"], r["counter_reset"]) for r in preparation.increments(df, ["c"], ["v"], ["t"]).orderBy("v", "t").collect()]
