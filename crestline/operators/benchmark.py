@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from crestline.operators import detectors, extremal, regions, selection, tails, univariate
 from crestline.operators.episodes import merged, spaced, within
-from crestline.operators.evaluation import Costs, Policy, chance_match, evaluated_by, separation
+from crestline.operators.evaluation import Costs, Policy, chance_match, evaluated_by, separations
 from crestline.operators.forest import isolation_scores
-from crestline.operators.series import finite, place_among, quantiles
-from crestline.operators.statespace import least_distances
+from crestline.operators.series import column_quantiles, finite, place_among
+from crestline.operators.statespace import least_distance_columns
 from crestline.session import written
 
 
@@ -136,7 +136,7 @@ def horizon_risk(rows: DataFrame, score: str = "robust_max_abs_z", most: int = 3
     if reach.isEmpty():
         train_part, rest = (detectors.order_score(rows.where(part), score) for part in ("split = 'train'", "split != 'train'"))
         return train_part.unionByName(rest).withColumnRenamed("order_score", "empirical_horizon_risk")
-    cuts = quantiles(train, F.col(score), [0.2, 0.4, 0.6, 0.8], []).first()["q"]
+    cuts = column_quantiles(train, {score: (F.col(score), [0.2, 0.4, 0.6, 0.8])})[score]
     place = place_among(cuts, F.col(score))
     ahead = within(train, merged(reach, 0, []), "_ahead").groupBy(place.alias("place")).agg(F.avg(F.col("_ahead").cast("double")).alias("risk"))
     risk = {r["place"]: r["risk"] for r in ahead.collect()}
@@ -176,8 +176,7 @@ def scored(df: DataFrame, setup: Setup, kinds: set[str] | None = None) -> DataFr
         out = detectors.projection_residual(curved(out), bent, detectors.principal_components(curved(train), bent, 2), name="nonlinear_projection_residual").drop(*bent)
     if kinds & {"negative_prototype_distance", "negative_rare_state_distance", "negative_control_distance"}:
         known = {kind: refs for kind, refs in references(train, z).items() if refs and kind in kinds}
-        far = least_distances(known.values(), len(z))(F.array(*z)) if known else None
-        out = out.withColumn("_far", far).select("*", *[(-F.get("_far", F.lit(k))).alias(kind) for k, kind in enumerate(known)]).drop("_far") if known else out
+        out = out.withColumn("_far", least_distance_columns(known, z)).select("*", *[(-F.col(f"_far.{kind}")).alias(kind) for kind in known]).drop("_far") if known else out
     if "isolation_forest" in kinds:
         out = isolation_scores(out, z, setup.trees, train, name="isolation_forest", key="i")
     return written(out.select("i", "split", "failing", *sorted((kinds | {score}) & {*out.columns})), "scores")
@@ -192,8 +191,7 @@ def fitted(scores: DataFrame, setup: Setup, specs: tuple[Spec, ...]) -> dict[str
     train = scores.where("split = 'train'")
     there = [s for s in specs if s.score in scores.columns]
     kinds = sorted({s.score for s in there})
-    long = train.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("x")) for k in kinds])).alias("e")).select("e.*")
-    cut = {r["kind"]: r["q"][0] for r in quantiles(long, F.col("x"), [setup.quantile], ["kind"], few=True).collect()}
+    cut = {k: q for k, (q,) in column_quantiles(train, {k: (F.col(k), [setup.quantile]) for k in kinds}).items()}
     chosen: dict[str, float | list[float]] = {}
     for s in there:
         if s.rule == "fixed_physical_3z":
@@ -212,17 +210,17 @@ def fitted(scores: DataFrame, setup: Setup, specs: tuple[Spec, ...]) -> dict[str
     first = rate(guarded) if guarded else {}
     for s in [s for s in guarded if first[s.name] > MOST_TRAIN_RATE]:
         least = train.agg(F.min(s.score)).first()[0]
-        above = quantiles(train.where(F.col(s.score) > least), F.col(s.score), [setup.quantile], []).first()
-        if above is not None and above["q"][0] is not None:
-            chosen[s.name] = above["q"][0]
+        (above,) = column_quantiles(train.where(F.col(s.score) > least), {s.score: (F.col(s.score), [setup.quantile])})[s.score]
+        if above is not None:
+            chosen[s.name] = above
         if rate([s])[s.name] > MOST_TRAIN_RATE:
             del chosen[s.name]
     for s in there:
         if s.rule == "regime_conditioned_quantile" and s.name in chosen:
-            edges = quantiles(train, F.col(s.score), [1 / 3, 2 / 3], []).first()["q"]
-            each = quantiles(train.withColumn("_place", place_among(edges, F.col(s.score))), F.col(s.score), [setup.quantile], ["_place"], few=True)
-            own = {r["_place"]: r["q"][0] for r in each.collect()}
-            chosen[s.name] = [*edges, *[chosen[s.name] if own.get(k) is None else own[k] for k in range(3)]]
+            x = F.col(s.score)
+            edges = column_quantiles(train, {s.score: (x, [1 / 3, 2 / 3])})[s.score]
+            own = column_quantiles(train, {str(k): (F.when(place_among(edges, x) == k, x), [setup.quantile]) for k in range(3)})
+            chosen[s.name] = [*edges, *[chosen[s.name] if q is None else q for (q,) in own.values()]]
     return chosen
 
 
@@ -366,9 +364,9 @@ def decomposition(done: Run, rows: DataFrame, setup: Setup) -> DataFrame:
     kinds = sorted({s.score for s in SPECS} & {*done.scores.columns})
     reach = done.failures.select(F.greatest(F.lit(0).cast("long"), F.col("start") - setup.policy.horizon).alias("start"), F.col("start").alias("end"))
     inside = written(within(done.scores, merged(reach, 0, []), "_inside"), "windows")
-    apart = reduce(DataFrame.unionByName, [separation(inside, k, "_inside").select(F.lit(k).alias("score_kind"), F.col("auc").alias("score_separation_auc")) for k in kinds])
-    long = done.scores.select(F.explode(F.array(*[F.struct(F.lit(k).alias("score_kind"), F.col(k).alias("x")) for k in kinds])).alias("e")).select("e.*")
-    spread = quantiles(long, F.col("x"), [0.5, 0.95], ["score_kind"], few=True).select("score_kind", F.col("q")[0].alias("score_median"), F.col("q")[1].alias("score_p95"))
+    apart = separations(inside, kinds, "_inside").withColumnRenamed("auc", "score_separation_auc")
+    found = column_quantiles(inside, {k: (F.col(k), [0.5, 0.95]) for k in kinds})
+    spread = rows.sparkSession.createDataFrame([(k, *q) for k, q in found.items()], "score_kind string, score_median double, score_p95 double")
     met = spaced(done.hits, ["method"]).join(F.broadcast(rows.select("method", "merge_gap_used")), "method")
     opens = F.col("distance").isNull() | (F.col("distance") - 1 > F.col("merge_gap_used"))
     stages = met.groupBy("method").agg(F.count("*").alias("threshold_exceedances_samples"), F.count_if(opens).alias("extreme_clusters_count"))

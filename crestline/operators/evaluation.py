@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crestline.operators.episodes import covered
-from crestline.operators.series import running_sum
+from crestline.operators.series import SPAN, carried, placed_in, running_sum
 from crestline.session import written
 
 
@@ -223,6 +223,26 @@ def separation(df: DataFrame, score: str, inside: str) -> DataFrame:
     return sums.select(F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("r") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))).alias("auc"), F.col("a").alias("n_inside"), F.col("b").alias("n_outside"))
 
 
+def separations(df: DataFrame, scores: list[str], inside: str, span: int = SPAN) -> DataFrame:
+    """(score_kind, auc) of several scores, each as separation() has it: values of all of them are counted in one pass, and ranks run within ranges of each score."""
+    spark = df.sparkSession
+    each = F.array(*[F.struct(F.lit(k).alias("place"), F.col(c).cast("double").alias("x")) for k, c in enumerate(scores)])
+    long = df.select(F.col(inside).alias("_in"), F.explode(each).alias("e")).select("_in", "e.*").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    values = written(long.groupBy("place", "x").agg(F.count("*").alias("c"), F.count_if("_in").alias("k")), "values")
+    most = max([r["count"] for r in values.groupBy("place").count().collect()], default=0)
+    ranges = -(-most // span)
+    cuts = values.groupBy("place").agg(F.percentile_approx("x", [k / ranges for k in range(1, ranges)], max(10_000, 50 * ranges)).alias("q")).collect() if ranges > 1 else []
+    at = F.coalesce(*[F.when(F.col("place") == r["place"], placed_in(sorted({*r["q"]}), F.col("x"))) for r in cuts], F.lit(0))
+    order = Window.partitionBy("place", "_range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = values.withColumn("_range", at.cast("int")).withColumn("_inside", F.sum("c").over(order))
+    ranked = carried(dealt, ["place"], "_range", "_before", F.sum("c"), F.sum)
+    mid = F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0)) + (F.col("c") + 1) / 2
+    a, b = F.col("a"), F.col("b")
+    sums = ranked.groupBy("place").agg(F.sum(mid * F.col("k")).alias("r"), F.sum("k").alias("a"), F.sum(F.col("c") - F.col("k")).alias("b"))
+    auc = sums.select("place", F.when((a > 0) & (b > 0), (F.col("r") - a * (a + 1) / 2) / (a * b)).alias("auc"))
+    return spark.createDataFrame([*enumerate(scores)], "place int, score_kind string").join(F.broadcast(auc), "place", "left").select("score_kind", "auc")
+
+
 def chance_match(alarms: Column, failures: Column, policy: Policy, n: Column) -> Column:
     """Probability that as many alarms placed at random match a failure."""
     return 1 - F.exp(-alarms * failures * (policy.horizon + policy.after + 1) / n)

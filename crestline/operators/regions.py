@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.operators.series import finite, quantiles, running_sum
+from crestline.operators.series import column_quantiles, finite, quantiles, running_sum
 from crestline.operators.statespace import nearest, observable
 from crestline.session import written
 
@@ -58,12 +58,9 @@ def scored(states: DataFrame, references: DataFrame, key: str, vector: str, eps:
 
 def scales_of(train: DataFrame, features: list[str]) -> DataFrame:
     """One row: center and scale (interquartile range, 1 where it is 0) of each feature as arrays."""
-    long = train.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("x")) for k, c in enumerate(features)])).alias("e")).select("e.*")
-    q = quantiles(long, F.col("x"), [0.25, 0.5, 0.75], ["k"], few=True)
-    spread = F.col("q")[2] - F.col("q")[0]
-    each = q.select("k", F.col("q")[1].alias("center"), F.when(spread != 0, spread).otherwise(F.lit(1.0)).alias("scale"))
-    ordered = F.array_sort(F.collect_list(F.struct("k", "center", "scale")))
-    return written(each.agg(ordered.alias("o")).select(F.col("o.center").alias("_center"), F.col("o.scale").alias("_scale")), "scales")
+    found = [*column_quantiles(train, {c: (F.col(c), [0.25, 0.5, 0.75]) for c in features}).values()]
+    scales = [1.0 if q[1] is None or q[2] == q[0] else q[2] - q[0] for q in found]
+    return train.sparkSession.createDataFrame([([q[1] for q in found], scales)], "_center array<double>, _scale array<double>")
 
 
 def standardised(df: DataFrame, features: list[str], scales: DataFrame, name: str = "state") -> DataFrame:

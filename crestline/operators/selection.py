@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from crestline.functions.draws import number
 from crestline.operators.detectors import suffix_rate, train_share
 from crestline.operators.episodes import clustered, merged, spaced, within
-from crestline.operators.series import quantiles
+from crestline.operators.series import column_quantiles, quantiles
 from crestline.session import written
 
 #: Share of alarms that is aimed at where there is no target to score against.
@@ -46,11 +46,14 @@ def sensor_separation(train: DataFrame, columns: list[str], label: str, quantile
     A sensor is eligible if its magnitude's operating quantile lies above its median. Missing readings count as 0.
     """
     value = lambda c: F.abs(F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)))
-    long = train.select(F.coalesce(F.col(label), F.lit(False)).alias("_label"), F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(c).alias("sensor"), value(c).alias("x")) for k, c in enumerate(columns)])).alias("e")).select("_label", "e.*")
-    whole = quantiles(long, F.col("x"), [0.5, quantile], ["place", "sensor"], few=True).select("place", "sensor", (F.col("q")[1] > F.col("q")[0]).alias("eligible"))
-    part = quantiles(long, F.col("x"), [0.5], ["place", "_label"], few=True).groupBy("place").agg(F.max(F.when(F.col("_label"), F.col("q")[0])).alias("failing"), F.max(F.when(~F.col("_label"), F.col("q")[0])).alias("healthy"))
-    spread = long.where("not _label").groupBy("place").agg(F.stddev_pop("x").alias("s"))
-    out = whole.join(part, "place").join(spread, "place", "left")
+    rows = train.select(F.coalesce(F.col(label), F.lit(False)).alias("_label"), *[value(c).alias(f"_x{k}") for k, c in enumerate(columns)])
+    x = {k: F.col(f"_x{k}") for k in range(len(columns))}
+    size = rows.agg(F.count("*").alias("n"), *[F.stddev_pop(F.when(~F.col("_label"), x[k])).alias(f"s{k}") for k in x]).first()
+    asked = {f"{kind} {k}": part for k in x for kind, part in (("all", (x[k], [0.5, quantile])), ("failing", (F.when(F.col("_label"), x[k]), [0.5])), ("healthy", (F.when(~F.col("_label"), x[k]), [0.5])))}
+    q = column_quantiles(rows, asked) if size["n"] else {}
+    each = [(k, columns[k], *q[f"all {k}"], q[f"failing {k}"][0], q[f"healthy {k}"][0], size[f"s{k}"]) for k in x if q]
+    table = train.sparkSession.createDataFrame(each, "place int, sensor string, _median double, _high double, failing double, healthy double, s double")
+    out = table.withColumn("eligible", F.col("_high") > F.col("_median"))
     return out.select("place", "sensor", "eligible", F.round((F.col("failing") - F.col("healthy")) / F.when(F.col("s") > 0, F.col("s")).otherwise(F.lit(1.0)), 6).alias("separation"))
 
 

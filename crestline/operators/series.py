@@ -142,15 +142,56 @@ def quantiles(df: DataFrame, value: Column, levels: list[float], by: list[str],
     kept = F.when(spot == 0, F.col("_x"))
     counts = each.groupBy(*by, "level", "rank", "at", spot.alias("_spot"), kept.alias("_v")).agg(F.count("*").alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
     here = counts.withColumn("_v", F.when(F.col("_spot") < 0, F.col("_max")).when(F.col("_spot") > 0, F.col("_min")).otherwise(F.col("_v")))
-    upto = F.sum("_c").over(Window.partitionBy(*by, "level").orderBy("_spot", "_v"))
-    ranked = here.withColumn("_upto", upto)
+    wide = _interpolated(here, by)
+    out = rough.join(wide, same_key(rough, wide, by), "left") if by else rough.crossJoin(F.broadcast(wide))
+    return out.select(*by, "n", F.array(*[F.col("_m")[F.lit(q).cast("double")] for q in levels]).alias("q"))
+
+
+def _interpolated(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(_k_.. of by, _m: quantile by level) of (by, level, rank, at, _spot, _v, _c): values and how often they are there, in the order of _spot and _v."""
+    ranked = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "level").orderBy("_spot", "_v")))
     holds = lambda r: F.min(F.when(F.col("_upto") > r, F.struct("_spot", "_v")))["_v"]
     got = ranked.groupBy(*by, "level", "rank", "at").agg(holds(F.col("rank")).alias("_p"), holds(F.col("rank") + 1).alias("_q"))
     part = F.col("at") - F.col("rank")
     found = got.select(*[F.col(c).alias(f"_k_{c}") for c in by], "level", F.when((part > 0) & (F.col("_p") != F.col("_q")) & (F.col("_p") != F.lit(float("-inf"))), F.col("_p") + (F.col("_q") - F.col("_p")) * part).otherwise(F.col("_p")).alias("_z"))
-    wide = found.groupBy(*[f"_k_{c}" for c in by]).agg(F.map_from_entries(F.collect_list(F.struct("level", "_z"))).alias("_m"))
-    out = rough.join(wide, same_key(rough, wide, by), "left") if by else rough.crossJoin(F.broadcast(wide))
-    return out.select(*by, "n", F.array(*[F.col("_m")[F.lit(q).cast("double")] for q in levels]).alias("q"))
+    return found.groupBy(*[f"_k_{c}" for c in by]).agg(F.map_from_entries(F.collect_list(F.struct("level", "_z"))).alias("_m"))
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, tuple[Column, list[float]]], accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """Exact quantiles of the finite values of each column at its levels, as quantiles() has them; nulls for a column without any.
+
+    For a few columns of one table: they are sketched side by side, and values are counted where they are.
+    Only those between two bounds, about four in ``accuracy``, become rows and are sorted; the bounds
+    and the quantiles are all that meets the driver.
+    """
+    names, pad = [*columns], 2 / accuracy
+    rows = df.select(*[finite(columns[c][0].cast("double")).alias(f"_x{k}") for k, c in enumerate(names)])
+    ask = [[min(1.0, max(0.0, q + d)) for q in columns[c][1] for d in (-pad, pad)] for c in names]
+    rough = rows.agg(*[F.struct(F.count(f"_x{k}").alias("n"), F.percentile_approx(f"_x{k}", a, accuracy).alias("a")).alias(f"_r{k}") for k, a in enumerate(ask)]).first()
+    ends, sums, inner = [], [], []
+    for k, c in enumerate(names):
+        n, bounds, x = rough[f"_r{k}"]["n"], rough[f"_r{k}"]["a"], F.col(f"_x{k}")
+        for j, level in enumerate(columns[c][1] if n else []):
+            lo, hi, key = bounds[2 * j], bounds[2 * j + 1], (k, float(level), int((n - 1) * level), float((n - 1) * level))
+            # equal values at a bound are counted there; what lies above both has the rest
+            sums += [F.struct(F.count_if(x < lo).alias("below"), F.max(F.when(x < lo, x)).alias("before"), F.count_if(x == lo).alias("lo"), F.count_if(x == hi).alias("hi"), F.min(F.when(x > hi, x)).alias("after")).alias(f"_s{len(ends)}")]
+            ends.append((key, lo, hi, n))
+            inner += [((x > lo) & (x < hi), F.struct(F.lit(k).alias("name"), F.lit(key[1]).alias("level"), F.lit(key[2]).cast("long").alias("rank"), F.lit(key[3]).alias("at"), x.alias("_v")))] if lo < hi else []
+    if not ends:
+        return {c: [None] * len(columns[c][1]) for c in names}
+    met = rows.agg(*sums).first()
+    known = []
+    for b, (key, lo, hi, n) in enumerate(ends):
+        one = met[f"_s{b}"]
+        spots = [(-2, one["before"], one["below"]), (-1, lo, one["lo"]), *([(1, hi, one["hi"])] if lo < hi else []), (2, one["after"], n)]
+        known += [(*key, *s) for s in spots if s[1] is not None]
+    counts = df.sparkSession.createDataFrame(known, "name int, level double, rank long, at double, _spot int, _v double, _c long")
+    if inner:
+        between = F.filter(F.array(*[F.when(hit, one) for hit, one in inner]), lambda e: e.isNotNull())
+        few = rows.where(reduce(Column.__or__, [hit for hit, _ in inner])).select(F.explode(between).alias("e")).select("e.name", "e.level", "e.rank", "e.at", F.lit(0).alias("_spot"), "e._v")
+        counts = counts.unionByName(few.groupBy(*few.columns).agg(F.count("*").alias("_c")))
+    found = {r["_k_name"]: r["_m"] for r in _interpolated(counts, ["name"]).collect()}
+    return {c: [found.get(k, {}).get(float(level)) for level in columns[c][1]] for k, c in enumerate(names)}
 
 
 def split_label(position: Column, n: Column, train: float = 0.6, validation: float = 0.2) -> Column:

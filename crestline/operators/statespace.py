@@ -51,13 +51,29 @@ def least_distances(groups: Iterable[list[list[float]]], size: int):
     @F.pandas_udf("array<double>")
     def least(vectors: pd.Series) -> pd.Series:
         x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, size))
-        with np.errstate(over="ignore"):
-            near = [np.sqrt(sum((x[:, k, None] - refs[k]) ** 2 for k in range(size)).min(axis=1)) for refs in known]
-        return pd.Series(list(np.stack(near, axis=1)), dtype=object)
+        return pd.Series(list(np.stack([_least_of(x.T, refs) for refs in known], axis=1)), dtype=object)
 
     return least
 
 
+def _least_of(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Distance of each state to the nearest reference; both by coordinate."""
+    with np.errstate(over="ignore"):
+        return np.sqrt(sum((c[None, :] - r[:, None]) ** 2 for c, r in zip(x, refs, strict=True)).min(axis=0))
+
+
+def least_distance_columns(groups: dict[str, list[list[float]]], columns: list[str]) -> Column:
+    """least_distances() of a state whose coordinates are columns, as a struct with a field for each group: no array is made or taken apart for a row."""
+    known = {name: np.array(refs, float).reshape(-1, len(columns)).T for name, refs in groups.items()}
+
+    @F.pandas_udf(", ".join(f"{name} double" for name in known))
+    def least(states: pd.DataFrame) -> pd.DataFrame:
+        x = [np.ascontiguousarray(states.iloc[:, k].to_numpy(float)) for k in range(len(columns))]
+        return pd.DataFrame({name: _least_of(x, refs) for name, refs in known.items()})
+
+    return least(F.struct(*columns))
+
+
 #: References that are sent to all tasks as one array; more of them lie in blocks, which meet blocks of states.
 MOST_REFERENCES = 64
 #: Pivots, references of a block, and states of a block, about.

@@ -33,7 +33,12 @@ def alarms(spark, sf_dir) -> DataFrame:
 
 def failures(spark, sf_dir) -> DataFrame:
     """Three errors that follow at once, merged while at most 120 samples lie between; failure_id is the start."""
-    errors = placed(spark, sf_dir).where("event_type = 'error'").select("i")
+    return failures_of(placed(spark, sf_dir))
+
+
+def failures_of(rows: DataFrame) -> DataFrame:
+    """failures() among the event stream's rows with their positions."""
+    errors = rows.where("event_type = 'error'").select("i")
     runs = episodes.merged(errors.select(F.col("i").alias("start"), F.col("i").alias("end")), 0, []).where(F.col("end") - F.col("start") >= 2)
     return written(episodes.merged(runs, 120, []).select(F.col("start").alias("failure_id"), "start", "end"), "failures")
 

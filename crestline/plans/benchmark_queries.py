@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crestline.operators import benchmark, detectors, episodes, evaluation, selection, thresholds, timeline
 from crestline.operators.series import Series, split_label, with_position
-from crestline.plans.alarm_queries import ALL, FAILURES, OUTCOMES, PER_DAY, POLICY, P, alarms, failures, placed
+from crestline.plans.alarm_queries import ALL, FAILURES, OUTCOMES, PER_DAY, POLICY, P, alarms, failures, failures_of, placed
 from crestline.plans.registry import query, table
 from crestline.session import written
 
@@ -17,11 +17,12 @@ SETUP = benchmark.Setup(FEATURES, "failing", quantile=0.98, merge_gap=5, policy=
 
 def machine(spark, sf_dir) -> DataFrame:
     """(i, split, failing, value, k, pause, step) of the event stream."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     rows = written(with_position(events, Series((), ("ts", "event_id"))), "placed")
-    paused = detectors.difference_score(rows, "at", [], span=benchmark.SPAN).withColumnRenamed("difference_score", "pause")
+    known = failures_of(rows).select("start", "end")
+    paused = detectors.difference_score(rows.drop("event_type"), "at", [], span=benchmark.SPAN).withColumnRenamed("difference_score", "pause")
     moved = detectors.difference_score(paused, "value", [], span=benchmark.SPAN).withColumnRenamed("difference_score", "step")
-    labelled = episodes.within(moved, failures(spark, sf_dir).select("start", "end"), "failing")
+    labelled = episodes.within(moved, known, "failing")
     return written(labelled.select("i", split_label(F.col("i"), F.lit(rows.count())).alias("split"), "failing", *FEATURES), "machine")
 
 

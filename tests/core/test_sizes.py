@@ -138,3 +138,69 @@ def test_component_thresholds_without_percentile(spark, monkeypatch):
 
     monkeypatch.setattr(F, "percentile", lambda *_: pytest.fail("percentile"))
     assert component_flags(spark, "/root/testdata/sf0.001").columns == ["l_suppkey", "i", *COMPONENTS]
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_column_quantiles(spark, accuracy):
+    """Those of quantiles(), whatever is between the bounds, at them and beyond: ties, infinities, NaN, columns without a value."""
+    from crestline.operators.series import column_quantiles
+
+    rng, n, levels = np.random.default_rng(1), 3_000, [0.0, 0.2, 1 / 3, 0.5, 0.98, 1.0]
+    zero, odd = np.where(rng.random(n) < 0.9, 0, rng.normal(size=n)), np.where(rng.random(n) < 0.3, -np.inf, rng.integers(0, 3, n))
+    given = {"a": rng.normal(size=n), "b": np.round(rng.gamma(2, 3, n)), "c": zero, "d": np.where(rng.random(n) < 0.5, np.nan, rng.normal(size=n)), "e": np.full(n, np.inf), "f": odd}
+    shape = ", ".join(f"{c} double" for c in given) + ", g double"
+    for size in (1, n):
+        df = spark.createDataFrame([(*[float(v[k]) for v in given.values()], None) for k in range(size)], shape).repartition(3)
+        got = column_quantiles(df, {c: (F.col(c), levels) for c in df.columns}, accuracy)
+        for c in df.columns:
+            assert got[c] == list(quantiles(df, F.col(c), levels, [], accuracy).first()["q"]), (size, c)
+    assert column_quantiles(df, {"low": (F.col("a"), [0.5]), "high": (F.when(F.col("a") > 0, F.col("a")), [0.1, 0.9])}, accuracy) == {"low": [np.median(given["a"])], "high": pytest.approx(np.quantile(given["a"][given["a"] > 0], [0.1, 0.9]))}
+
+
+def test_benchmark_makes_no_row_of_each_value_for_quantiles(spark, monkeypatch):
+    from crestline.operators import regions, selection
+
+    for module in (regions, selection):
+        monkeypatch.setattr(module, "quantiles", lambda *_, **__: pytest.fail("rows multiplied"))
+    df = spark.createDataFrame([(float(k), float(k % 7), k % 10 == 0) for k in range(101)], "a double, b double, bad boolean")
+    one = regions.scales_of(df, ["a", "b"]).first()
+    assert (one["_center"], one["_scale"]) == ([50.0, 3.0], [50.0, 4.0])
+    got = {r["sensor"]: (r["eligible"], r["separation"]) for r in selection.sensor_separation(df, ["a", "b"], "bad").collect()}
+    x, bad = np.arange(101.0), np.arange(101) % 10 == 0
+    want = {c: (np.median(v[bad]) - np.median(v[~bad])) / v[~bad].std() for c, v in (("a", x), ("b", x % 7))}
+    assert got == {c: (True, pytest.approx(want[c], abs=1e-6)) for c in want}
+    assert selection.sensor_separation(df.limit(0), ["a"], "bad").isEmpty()
+
+
+def test_separations_of_several_scores(spark):
+    """Those of each score, from one count of all values, with ranges that cut a score's values."""
+    from crestline.operators import evaluation
+
+    rng, nan = np.random.default_rng(3), float("nan")
+    rows = [(float(rng.normal()), float(rng.integers(0, 4)), nan if k % 3 else 1.0 * k, None, bool(rng.random() < 0.3)) for k in range(400)]
+    df = spark.createDataFrame(rows, "s0 double, s1 double, s2 double, s3 double, inside boolean").repartition(3)
+    kinds = ["s0", "s1", "s2", "s3"]
+    want = {c: evaluation.separation(df, c, "inside").first()["auc"] for c in kinds}
+    for span in (1_000_000, 50):
+        assert {r["score_kind"]: r["auc"] for r in evaluation.separations(df, kinds, "inside", span).collect()} == want
+    assert want["s3"] is None and want["s0"] is not None
+
+
+def test_distances_of_columns(spark):
+    rng = np.random.default_rng(2)
+    groups = {"near": rng.normal(size=(16, 3)).tolist(), "far": rng.normal(size=(1, 3)).tolist()}
+    df = spark.createDataFrame([tuple(v) for v in (rng.normal(size=(50, 3)) * 1e3).tolist()] + [(0.0, -0.0, 1e200)], "x double, y double, z double")
+    both = df.select(statespace.least_distance_columns(groups, ["x", "y", "z"]).alias("got"), statespace.least_distances(groups.values(), 3)(F.array("x", "y", "z")).alias("want"))
+    assert all([r["got"]["near"], r["got"]["far"]] == r["want"] for r in both.collect())
+
+
+def test_event_stream_is_placed_once(spark, monkeypatch):
+    from crestline.plans import alarm_queries, benchmark_queries
+
+    calls = []
+    for module in (alarm_queries, benchmark_queries):
+        monkeypatch.setattr(module, "with_position", lambda *a, of=module.with_position: calls.append(a) or of(*a))
+    got = benchmark_queries.machine(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+    known = alarm_queries.failures(spark, "/root/testdata/sf0.001").selectExpr("sum(end - start + 1)").first()[0]
+    assert got.where("failing").count() == (known or 0)
