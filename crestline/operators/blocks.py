@@ -233,6 +233,46 @@ def placed_runs(seed: int, units: int, totals: dict, first: int, last: int, size
     return run
 
 
+def cell_lags(components: int, size: int) -> Callable:
+    """Rows of two cells of a series, the second so many cells after the first, as counts of (source, target, lag) over all rows of the task that lie as far apart.
+
+    A cell is an array of size * component + place. Products of Fourier transforms hold all lags; counts are
+    whole numbers of at most size (times the square of repeats), so rounding makes them exact.
+    """
+
+    def placed(at: np.ndarray, n: int) -> np.ndarray:
+        return np.fft.rfft(np.bincount(at // size * n + at % size, minlength=components * n).reshape(components, n).astype(float))
+
+    def rows(sums: np.ndarray, apart: int) -> Iterator[pa.RecordBatch]:
+        for s in range(components):
+            t, k = np.nonzero(sums[s])
+            columns = [np.full(len(t), s, np.int32), t.astype(np.int32), k + (apart - 1) * size, sums[s, t, k]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["source", "target", "lag", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held = np.zeros((components, components, 2 * size), np.int64), None  # lags from size before to size after
+        for batch in batches:
+            for apart, *cells in zip(batch.column("apart").to_pylist(), batch.column("source"), batch.column("target"), strict=True):
+                if held is not None and apart != held:
+                    yield from rows(sums, held)
+                    sums[:] = 0
+                held = apart
+                source, target = (c.values.to_numpy() for c in cells)
+                half = 1 << int(max((source % size).max(), (target % size).max())).bit_length()  # over all places, so that no lag wraps
+                a, b = placed(source, 2 * half), placed(target, 2 * half)
+                reach = min(half, size)
+                for s in range(components):
+                    found = np.rint(np.fft.irfft(a[s].conj() * b, 2 * half)).astype(np.int64)
+                    found[s] = 0
+                    sums[s, :, size : size + reach] += found[:, :reach]
+                    if apart:
+                        sums[s, :, size - reach : size] += found[:, 2 * half - reach :]
+        if held is not None:
+            yield from rows(sums, held)
+
+    return run
+
+
 def lag_counts(size: int, max_lag: int) -> Callable:
     """Rows of a cell's positions by component, as counts of (replicate, source, target, lag) over all cells of the task."""
     kind = np.uint16 if size + max_lag <= 1 << 16 else np.uint32

@@ -31,10 +31,10 @@ def tail_dependence(flags: DataFrame, components: list[str]) -> DataFrame:
     return sums.select(rows.alias("p")).select("p.*").withColumn("right_given_left", share("n_left")).withColumn("left_given_right", share("n_right"))
 
 
-def exceedances_long(flags: DataFrame, components: list[str], position: str = "i") -> DataFrame:
-    """(component, i) of the exceedances alone."""
+def exceedances_long(flags: DataFrame, components: list[str], position: str = "i", entity: list[str] | None = None) -> DataFrame:
+    """(entity, i, component) of the exceedances alone."""
     each = F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in components]), lambda c: c.isNotNull())
-    return flags.select(F.col(position).alias("i"), F.explode(each).alias("component"))
+    return flags.select(*(entity or []), F.col(position).alias("i"), F.explode(each).alias("component"))
 
 
 def lag_surface(hits: DataFrame, max_lag: int, window: int | None = None) -> DataFrame:
@@ -52,6 +52,37 @@ def lag_surface(hits: DataFrame, max_lag: int, window: int | None = None) -> Dat
     return met.groupBy("source", "target", (F.col("ti") - F.col("si")).alias("lag")).agg(F.count("*").alias("n"))
 
 
+#: Counts that a task of whole_lag_surface() holds: all pairs of components at the lags of two cells.
+HELD = 1 << 23
+
+
+def whole_lag_surface(hits: DataFrame, components: list[str], entity: list[str], size: int | None = None) -> DataFrame:
+    """(source, target, lag, n) of ordered pairs of different components at every lag from 0 to the end of a series.
+
+    hits: (entity, component, i), i from 0. The hits of a cell of size positions are one row. It meets those of its own
+    cell and of all later ones of its series, and a task counts all lags of two cells at once, so that no row stands
+    for a pair. Work grows with the square of a series' cells, memory doesn't. Hits without a series meet none.
+    """
+    size = size or max(1, HELD // (2 * len(components) ** 2))
+    names = F.array(*map(F.lit, components))
+    cell = F.floor(F.col("i") / size)
+    at = (F.array_position(names, F.col("component")) - 1) * size + F.col("i") - cell * size
+    cells = written(hits.where(F.col("component").isin(components)).groupBy(*entity, cell.alias("_cell")).agg(F.collect_list(at.cast("int")).alias("_at")), "lag-cells")  # met twice
+    source = cells.select(*entity, F.col("_cell").alias("_first"), F.col("_at").alias("source"))
+    target = cells.select(*entity, F.col("_cell"), F.col("_at").alias("target"), F.explode(F.sequence(F.lit(0).cast("long"), "_cell")).alias("_first"))
+    met = source.join(target, [*entity, "_first"]).select(*entity, (F.col("_cell") - F.col("_first")).alias("apart"), "source", "target")
+    # cells of a series that lie as far apart are counted together; few bytes and much work, so the number of tasks isn't left to their size
+    dealt = met.repartition(_tasks(hits), *entity, "apart").sortWithinPartitions("apart").select("apart", "source", "target")
+    counts = dealt.mapInArrow(blocks.cell_lags(len(components), size), "source int, target int, lag long, n long").groupBy("source", "target", "lag").agg(F.sum("n").alias("n"))
+    return counts.select(*[F.element_at(names, F.col(c) + 1).alias(c) for c in ("source", "target")], "lag", "n")
+
+
+def _tasks(df: DataFrame) -> int:
+    """A few tasks a core, but no more than partitions of a shuffle: each of them has a surface of its own to send."""
+    spark = df.sparkSession
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def detections(flags: DataFrame, components: list[str], lags: list[int], entity: list[str], position: str = "i") -> DataFrame:
     """Rows at which every component of the pattern exceeds at its lag; patterns that pass the end of a series aren't there."""
     order = Window.partitionBy(*entity).orderBy(position)

@@ -195,12 +195,11 @@ LONG = "x AS (" + " UNION ALL ".join(f"SELECT l_suppkey, i, '{c}' AS component F
 
 @query(
     "lag_surface",
-    f"WITH {FLAGS}, {LONG} SELECT a.component AS source, b.component AS target, b.i - a.i AS lag, count(*) AS n FROM x a JOIN x b ON a.l_suppkey = b.l_suppkey AND b.i - a.i BETWEEN 0 AND 5 AND a.component <> b.component GROUP BY ALL",
+    f"WITH {FLAGS}, {LONG} SELECT a.component AS source, b.component AS target, b.i - a.i AS lag, count(*) AS n FROM x a JOIN x b ON a.l_suppkey = b.l_suppkey AND b.i >= a.i AND a.component <> b.component GROUP BY ALL",
 )
 def lag_surface(spark, sf_dir):
-    # suppliers lie far apart on one axis, so no pair crosses them
-    flags = component_flags(spark, sf_dir).withColumn("i", F.col("l_suppkey") * 1_000_000_000 + F.col("i"))
-    return multivariate.lag_surface(multivariate.exceedances_long(flags, COMPONENTS), 5, window=16)
+    hits = multivariate.exceedances_long(component_flags(spark, sf_dir), COMPONENTS, entity=SUPPLIER)
+    return multivariate.whole_lag_surface(hits, COMPONENTS, SUPPLIER)
 
 
 FOUND = f"WITH {FLAGS}, fd AS (SELECT l_suppkey, i FROM (SELECT l_suppkey, i, l_quantity AND coalesce(lead(l_extendedprice, 2) OVER (PARTITION BY l_suppkey ORDER BY i), false) AS ok FROM f) WHERE ok)"

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.operators import evaluation, multivariate
+from crestline.operators import blocks, evaluation, multivariate
 from crestline.operators.evaluation import Policy
 
 
@@ -110,6 +113,40 @@ def test_lag_surface_is_a_count_of_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [None, 1, 7, 64])
+def test_whole_lag_surface_counts_all_pairs(spark, size):
+    """However far apart, in cells of any width; pairs of two series, or of none, don't count."""
+    rng = random.Random(6)
+    hits = sorted({(rng.choice([3, 10**12, 10**12 + 1]), rng.randrange(200), rng.choice("xyz")) for _ in range(240)})
+    rows = spark.createDataFrame([*hits, (None, 0, "x"), (None, 5, "y")], "s long, i long, component string").repartition(3)
+    found = multivariate.whole_lag_surface(rows, ["x", "y", "z"], ["s"], size)
+    got = {(r["source"], r["target"], r["lag"]): r["n"] for r in found.collect()}
+    want = Counter((a, b, j - i) for s, i, a in hits for t, j, b in hits if s == t and a != b and j >= i)
+    assert got == want and max(lag for *_, lag in got) > 150
+    assert dict(found.dtypes) == {"source": "string", "target": "string", "lag": "bigint", "n": "bigint"}
+
+
+def test_lag_surface_query_has_every_lag(spark):
+    from crestline.plans.data_queries import COMPONENTS, component_flags, lag_surface
+
+    flags = component_flags(spark, "/root/testdata/sf0.001")
+    got = lag_surface(spark, "/root/testdata/sf0.001")
+    pairs = sum(r[a] * r[b] for r in flags.groupBy("l_suppkey").agg(*[F.count_if(c).alias(c) for c in COMPONENTS]).collect() for a in COMPONENTS for b in COMPONENTS if a != b)
+    # a pair of two places is there once, as its later one follows the earlier; one of the same place is there in both orders
+    n = {r["same"]: r["n"] for r in got.groupBy((F.col("lag") == 0).alias("same")).agg(F.sum("n").alias("n")).collect()}
+    assert 2 * n[False] + n[True] == pairs
+    assert got.agg(F.max("lag")).first()[0] > 500
+
+
+def test_cells_that_lie_as_far_apart_are_added():
+    rng = np.random.default_rng(2)
+    size, rows = 5, [(0, [0, 1], [0, 1])] + [(d, sorted(rng.choice(10, 4, False).tolist()), rng.choice(10, 4).tolist()) for d in (1, 1, 3)]
+    batch = pa.RecordBatch.from_pydict({"apart": pa.array([r[0] for r in rows]), "source": pa.array([r[1] for r in rows], pa.list_(pa.int32())), "target": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})
+    got = [r for out in blocks.cell_lags(2, size)(iter([batch])) for r in out.to_pylist()]
+    want = Counter((x // size, y // size, d * size + y % size - x % size) for d, a, b in rows for x in a for y in b if x // size != y // size and (d or y % size >= x % size))
+    assert {(r["source"], r["target"], r["lag"]): r["n"] for r in got} == want
+
+
 def test_benjamini_hochberg(spark):
     tests = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, 0.5)], "k int, p double")
     got = {r["k"]: round(r["adjusted"], 6) for r in multivariate.benjamini_hochberg(tests, tie=["k"]).collect()}
